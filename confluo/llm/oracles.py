@@ -25,3 +25,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
+
+SPACED = r"[^\x20\x09-\x0D]+"
+
+op9 = rf"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all({FOLD.format("coalesce(text, '')")}, '{SPACED}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM doc_words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reached r JOIN edges e ON r.y = e.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept,
+  least(doc_id, coalesce(k, doc_id)) AS class_id
+FROM doc_words LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reached GROUP BY x) USING (doc_id)
+LEFT JOIN (SELECT e.x AS doc_id, min(e.y) AS k FROM edges e JOIN sizes p ON p.doc_id = e.x JOIN sizes q ON q.doc_id = e.y
+  JOIN common t ON t.x = least(e.x, e.y) AND t.y = greatest(e.x, e.y) WHERE p.n = q.n AND t.c = p.n GROUP BY e.x) USING (doc_id)
+"""

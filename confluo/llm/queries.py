@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import oracles, packing, token_scan, wu_manber
+from confluo.llm import circulant, oracles, packing, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -23,9 +23,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return wu_manber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"), circulant.Similarity(shingle=2))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": oracles.op5}
+    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9}
