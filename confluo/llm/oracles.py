@@ -48,3 +48,19 @@ LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reached GROUP BY x) USING (doc_i
 LEFT JOIN (SELECT e.x AS doc_id, min(e.y) AS k FROM edges e JOIN sizes p ON p.doc_id = e.x JOIN sizes q ON q.doc_id = e.y
   JOIN common t ON t.x = least(e.x, e.y) AND t.y = greatest(e.x, e.y) WHERE p.n = q.n AND t.c = p.n GROUP BY e.x) USING (doc_id)
 """
+
+
+def op10() -> str:
+    from confluo.llm.licenses import KNOWN, SPELLINGS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    copyright_line = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved|portions copyright)([^\n]*)$"
+    form = f"regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10)), '{copyright_line}', '', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A9}}\\x{{2018}}-\\x{{201F}}]+', ' ', 'g')"
+    form = f"' ' || trim({form}, ' ') || ' '"
+    for old, new in SPELLINGS:
+        form = f"replace({form}, ' {old} ', ' {new} ')"
+    form = f"sha256(trim({form}, ' '))"
+    texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN.items())
+    return f"""WITH known AS (SELECT {form} AS digest, min(license) AS license FROM (VALUES {texts}) t(license, text) GROUP BY 1),
+docs AS (SELECT doc_id, {form} AS digest FROM documents)
+SELECT doc_id, digest, license FROM docs LEFT JOIN known USING (digest)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import circulant, oracles, packing, token_scan, wu_manber
+from confluo.llm import circulant, licenses, mcd, oracles, packing, secrets, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -18,19 +18,31 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return wu_manber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return circulant.near_duplicates(table(spark, sf_dir, "documents"), circulant.Similarity(shingle=2))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9}
+    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9, "op10_license_scans": oracles.op10()}
