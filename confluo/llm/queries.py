@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import circulant, licenses, mcd, oracles, packing, secrets, token_scan, wu_manber
+from confluo.llm import circulant, crf, licenses, mcd, oracles, ordinal, packing, secrets, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -27,10 +27,21 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return wu_manber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.rate(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mcd.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return circulant.near_duplicates(table(spark, sf_dir, "documents"), circulant.Similarity(shingle=2))
