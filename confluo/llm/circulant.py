@@ -14,8 +14,9 @@ From signatures to groups, without ever emitting the pairs within a group:
 3. Connected components of verified links, by alternating stars.
 4. Members of a bucket that its leader didn't tie together could still be linked to each other. All
    members of such buckets go through an exact prefix-filter join: shingles are ordered from rare to
-   common, and two sets of similarity s must share one of the first n - ceil(s n) + 1. A passage that
-   many texts share is common, hence last, so it makes no candidates. New links join step 3's.
+   common, and two sets of similarity s must share one of the first n - ceil(s n) + 1, early enough for
+   the rest to hold the overlap that their sizes require. A passage that many texts share is common,
+   hence last, so it makes no candidates. New links join step 3's.
 
 A pair at the threshold misses all bands with probability (1 - t^rows)^bands: 2.7e-5 for 20 bands of
 4 rows at 0.8, and less above it.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from confluo.llm.arrowtext import bounded_batches, fold_table, slices, words
 from confluo.llm.jobs import saved, shuffle_partitions
 
-#: Bits of the bounded table of shingle frequencies, and documents that meet their leader in one portion.
+#: Bits of the bounded table of shingle frequencies, and about how many documents meet their leader in one portion.
 FREQUENCY_BITS = 20
 PORTION = 256
 
@@ -127,15 +128,12 @@ def sketches(docs: DataFrame, of: Similarity) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, of: Similarity) -> DataFrame:
-    """Those (id, leader) of ``pairs`` whose full sets are similar enough. Members meet their leader in
-    portions of about PORTION, so neither a leader's popularity nor a group's size makes a task large."""
+    """Those (id, leader) of ``pairs`` (with parts) whose full sets are similar enough. Members meet their
+    leader in ``parts`` portions, so neither a leader's popularity nor a group's size makes a task large."""
     spark = docs.sparkSession
-    pairs = pairs.select("id", "leader")
-    portions = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
-    portion = F.pmod(F.xxhash64("id", "leader"), F.col("portions"))
-    members = pairs.join(portions, "leader").select("id", "leader", portion.cast("int").alias("portion"), F.lit(False).alias("leads"))
-    leaders = portions.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), (F.col("portions") - 1).cast("int"))).alias("portion"), F.lit(True).alias("leads"))
-    # ids first, texts last: one row per id with all its meetings, so that a text moves to its row once
+    portion = F.struct("parts", F.pmod(F.xxhash64("id", "leader"), F.col("parts"))).alias("portion")
+    members = pairs.select("id", "leader", portion, F.lit(False).alias("leads"))
+    leaders = members.select("leader", "portion").distinct().select(F.col("leader").alias("id"), "leader", "portion", F.lit(True).alias("leads"))
     meetings = members.unionByName(leaders)
     rows = docs.filter("doc_id IS NOT NULL").join(meetings.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
     joined = meetings.join(rows, "id").repartition(shuffle_partitions(spark) * 2, "leader", "portion").sortWithinPartitions("leader", "portion", F.desc("leads"))
@@ -147,7 +145,7 @@ def verified(docs: DataFrame, pairs: DataFrame, of: Similarity) -> DataFrame:
                 sets = shingle_sets(texts, of.shingle)
                 out = []
                 for leader, portion, leads, own, s in zip(*(part.column(c).to_pylist() for c in ("leader", "portion", "leads", "id")), sets):
-                    if (leader, portion) != now:
+                    if now != (leader, portion):
                         now, lead = (leader, portion), []
                     if leads:
                         lead.append(s)
@@ -219,22 +217,30 @@ def rarest_first(docs: DataFrame, ids: DataFrame, of: Similarity) -> DataFrame:
             for part, column in slices(batch, "text"):
                 frequency = shared.value
                 sets = shingle_sets(column, of.shingle)
-                keys, each = [], []
+                keys, places, each = [], [], []
                 for s in sets:
                     keep = len(s) - -(-of.percent * len(s) // 100) + 1 if len(s) else 0
-                    order = np.lexsort((s, frequency[(s >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]))[:keep]
-                    keys.append(s[order].astype(np.int64))
-                    each.append(keep)
+                    seen = frequency[(s >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
+                    order = np.lexsort((s, seen))[:keep]
+                    shared_ = np.flatnonzero(seen[order] > 1)  # a shingle seen once is in no other set
+                    keys.append(s[order[shared_]].astype(np.int64))
+                    places.append(shared_)
+                    each.append(len(shared_))
                 index = pa.array(np.repeat(np.arange(len(each)), each))
                 size = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), each)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(index), part.column("component").take(index), pa.array(size), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["id", "component", "size", "key"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(index), part.column("component").take(index), pa.array(size), pa.array(np.concatenate(places)), pa.array(np.concatenate(keys))], ["id", "component", "size", "place", "key"])
 
-    heads = saved(texts.mapInArrow(prefixes, "id long, component long, size long, key long"))
-    met = heads.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    heads = heads.join(met, "key")
-    left, right = heads.alias("x"), heads.alias("y")
-    close = (F.col("x.size") * 100 >= F.col("y.size") * of.percent) & (F.col("y.size") * 100 >= F.col("x.size") * of.percent)
-    return left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & close).select(F.col("x.id").alias("id"), F.col("y.id").alias("leader")).distinct()
+    heads = saved(texts.mapInArrow(prefixes, "id long, component long, size long, place long, key long"))
+    # within a key only pairs of different components count, so its largest component needn't meet itself
+    sizes = heads.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    met = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("key", "largest")
+    left = heads.join(met, "key").filter("component <> largest").alias("x")
+    right = heads.alias("y")
+    # what follows a common shingle bounds the overlap, and the sizes say how large it must be
+    enough = lambda side: (F.col(f"{side}.size") - F.col(f"{side}.place")) * (100 + of.percent) >= of.percent * (F.col("x.size") + F.col("y.size"))
+    once = (F.col("y.component") == F.col("x.largest")) | (F.col("x.id") > F.col("y.id"))
+    near = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & enough("x") & enough("y"))
+    return near.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("leader")).distinct()
 
 
 def near_duplicates(docs: DataFrame, of: Similarity = Similarity(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +255,7 @@ def near_duplicates(docs: DataFrame, of: Similarity = Similarity(), *, key: str
     entries = classes.select("id", "n", F.explode(F.array(*bands)).alias("bucket")).distinct()
     buckets = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).filter("leader <> last")
     entries = saved(entries.join(buckets, "bucket").select("bucket", "id", "n", "leader", "members"))
-    pairs = saved(entries.filter("id <> leader").select("id", "leader").distinct())
+    pairs = saved(entries.filter("id <> leader").groupBy("id", "leader").agg(F.ceil(F.max("members") / PORTION).cast("int").alias("parts")))
     links = saved(verified(docs, pairs, of))
     found = components(links)
     # buckets whose other members are still apart
@@ -257,7 +263,8 @@ def near_duplicates(docs: DataFrame, of: Similarity = Similarity(), *, key: str
     apart = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
     rest = saved(placed.join(apart, "bucket").select("id", "component").distinct())
     if not rest.isEmpty():
-        more = saved(verified(docs, rarest_first(docs, rest, of).join(pairs, ["id", "leader"], "left_anti"), of))
+        untried = rarest_first(docs, rest, of).join(pairs, ["id", "leader"], "left_anti")
+        more = saved(verified(docs, untried.withColumn("parts", F.lit(8)), of))
         if not more.isEmpty():
             found = components(found.select("id", F.col("component").alias("leader")).unionByName(more))
     reps = classes.select("set_hi", "set_lo", F.col("id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_hi", "set_lo", "class_id", F.coalesce("component", "class_id").alias("component_id"))
