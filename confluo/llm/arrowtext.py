@@ -22,6 +22,21 @@ def bounded_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def bundled(docs, text: str):
+    """(text, row): the text and, in one struct, all other columns, whatever their names."""
+    from pyspark.sql import functions as F
+
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text]
+    return docs.select(F.col(f"`{text}`").alias("text"), F.struct(F.lit(0).alias("none"), *rest).alias("row"))
+
+
+def unbundled(rows, columns: list[str], text: str):
+    """The columns that ``bundled`` packed, as they were."""
+    from pyspark.sql import functions as F
+
+    return rows.select(*(F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """(slice of the batch, its texts with null as '') with about ``limit`` bytes of text each."""
     texts = batch.column(column)

@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.arrowtext import Words, bounded_batches, slices, words
+from confluo.llm.arrowtext import Words, bounded_batches, bundled, slices, unbundled, words
 
 SAMPLE_PER_LANG = 300
 SAMPLE_CHARS = 20_000
 MOST_LANGS = 200
+LEAST_SCORE = 0.5
 BITS = 17
 CHAIN, CHAINS = 48, 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -225,19 +226,18 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     return fitted([t for _, _, t in found], [n for n, _, _ in found])
 
 
-def predict(docs: DataFrame, model: ChainField | None, *, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred and score of every text; with ``carry``, those columns instead of doc_id."""
-    spark = docs.sparkSession
+def predicted(rows: DataFrame, model: ChainField | None) -> DataFrame:
+    """(text, row) with lang_pred and score added."""
+    spark = rows.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = F.struct(*carry) if carry else F.struct(F.col(key).alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text"):
                 w = words(texts)
-                n = rows.num_rows
+                n = part.num_rows
                 lettered = np.fromiter((LETTER.search(x) is not None for x in w.distinct), bool, len(w.distinct))
                 has = np.concatenate([[0], np.cumsum(lettered[w.codes])]) if len(w.codes) else np.zeros(1, np.int64)
                 has = has[w.offsets[1:]] > has[w.offsets[:-1]]
@@ -248,15 +248,20 @@ def predict(docs: DataFrame, model: ChainField | None, *, key: str = "doc_id", t
                     best = mean.argmax(axis=1)
                     names = [model.langs[b] if ok else "und" for b, ok in zip(best, has)]
                     score = np.where(has, np.clip(mean[np.arange(n), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([rows.column("kept"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["kept", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    out = docs.select(kept.alias("kept"), F.col(text).alias("text"))
-    kind = out.schema["kept"].dataType.simpleString()
-    return out.mapInArrow(run, f"kept {kind}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, key: str = "doc_id", **names) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
-    model = fit(docs, key=key, **names)
-    out = predict(docs, model, key=key, text=names.get("text", "text"))
+    text = names.get("text", "text")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    out = predicted(rows, fit(docs, key=key, **names))
     return out.select("doc_id", F.coalesce(~trained_on(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, *, least: float = LEAST_SCORE, text: str = "text", **names) -> DataFrame:
+    """The documents with a language of at least ``least`` on average, with the columns they came with."""
+    out = predicted(bundled(docs, text), fit(docs, text=text, **names))
+    return unbundled(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns, text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import circulant, crf, licenses, mcd, oracles, ordinal, packing, secrets, token_scan, wu_manber
+from confluo.llm import attention_lm, circulant, crf, licenses, mcd, oracles, ordinal, packing, secrets, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -22,6 +22,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return wu_manber.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")

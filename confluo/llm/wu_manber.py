@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.llm.arrowtext import bounded_batches, fold_table, ragged, slices, words
+from confluo.llm.arrowtext import bounded_batches, bundled, fold_table, ragged, slices, unbundled, words
 
 WINDOW = 10
 BLOCK_CHARS = 16 << 20
@@ -119,29 +119,26 @@ class Patterns:
         return w.offsets, out
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a struct ``found``: n_words, spans (first and end word of the hit stretches, flat,
-    disjoint, ascending) and items (ids, as strings)."""
-    spark = docs.sparkSession
+def marked(rows: DataFrame, benchmark: DataFrame, *, item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``rows`` (text and others) with a struct ``found``: n_words, spans (first and end word of the hit
+    stretches, flat, disjoint, ascending) and items (ids, as strings)."""
+    spark = rows.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col(item_key).cast("string").alias("id"), F.col(item_text).alias("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    kind = "struct<n_words:bigint,spans:array<int>,items:array<string>>"
-    found = docs.withColumns({"found": F.lit(None).cast(kind)}) if "found" not in docs.columns else None
-    if found is None:
-        raise ValueError("the documents already have a column named found")
+    found = rows.withColumn("found", F.lit(None).cast("struct<n_words:bigint,spans:array<int>,items:array<string>>"))
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast((tuple(r.id for r in rows), tuple(r.text for r in rows)))
-        found = found.mapInArrow(_searching(shared, text, window), found.schema)
+        chosen = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
+        shared = spark.sparkContext.broadcast((tuple(r.id for r in chosen), tuple(r.text for r in chosen)))
+        found = found.mapInArrow(_searching(shared, window), found.schema)
     return found
 
 
 _BUILT: dict = {}
 
 
-def _searching(shared, text: str, window: int):
+def _searching(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = shared.value
         key = hash((ids, texts, window))
@@ -150,7 +147,7 @@ def _searching(shared, text: str, window: int):
         patterns = _BUILT[key]
         for batch in batches:
             at = batch.schema.get_field_index("found")
-            for rows, whole in slices(batch, text):
+            for rows, whole in slices(batch, "text"):
                 offsets, occurrences = patterns.occurrences(whole)
                 old = rows.column("found").to_pylist()
                 edge = np.zeros(int(offsets[-1]) + 1, np.int32)
@@ -196,6 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return found.select("doc_id", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), F.col("found.spans").alias("spans"), F.col("found.items").alias("items"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents of which no word is hit, with the columns they came with."""
-    return marked(docs, benchmark, **options).filter(F.size("found.spans") == 0).drop("found")
+    found = marked(bundled(docs, text), benchmark, **options)
+    return unbundled(found.filter(F.size("found.spans") == 0), docs.columns, text)
