@@ -97,7 +97,7 @@ def token_counts(spark: SparkSession, folder: str, *, separator: int = SEPARATOR
     """One row per document of each file: path, ordinal, start, n_tokens (without the separator), terminated."""
     blocks = saved(separator_blocks(spark, folder, separator, block_tokens, dtype))
     base = F.col("block") * block_tokens
-    marks = blocks.select("path", "block", F.floor(F.col("block") / RUN_BLOCKS).alias("run"), (base + F.col("size")).alias("upto"), F.size("found").cast("long").alias("n"), (base + F.element_at("found", -1)).alias("last"))
+    marks = blocks.select("path", "block", F.floor(F.col("block") / RUN_BLOCKS).alias("run"), (base + F.col("size")).alias("upto"), F.size("found").cast("long").alias("n"), (base + F.try_element_at("found", F.lit(-1))).alias("last"))
     # scan within runs of blocks, then over the runs: sums of counts, maxima of the last position
     before = Window.partitionBy("path", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = marks.select("path", "run", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_in"), F.max("last").over(before).alias("last_in"))
