@@ -23,7 +23,7 @@ def route(rows: DataFrame, ranges: DataFrame, by: str, key: str) -> DataFrame:
     ``by``; otherwise starts and rows are sorted together and the last start carried forward."""
     if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
         starts = ranges.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start_key", "part"))).alias("starts"))
-        found = F.element_at(F.filter("starts", lambda s: s["start_key"] <= F.col(key)), -1)["part"]
+        found = F.try_element_at(F.filter("starts", lambda s: s["start_key"] <= F.col(key)), F.lit(-1))["part"]
         return rows.join(F.broadcast(starts), by).withColumn("part", found).drop("starts")
     marks = ranges.select(by, F.col("start_key").alias(key), "part", F.lit(0).alias("is_row"))
     both = rows.withColumn("is_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
