@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.functions import paths
-from confluo.operators import diffs, folds, partitions, retention, sync
+from confluo.operators import delivery, diffs, folds, partitions, retention, sync
 from confluo.session import shared_folder, table
 from confluo.sources import oplog
 from confluo.streaming import apply as streams
@@ -696,6 +696,72 @@ def stream_dedup(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# delivery
+
+
+@query("SELECT coalesce(reason, 'applied') AS reason, count(*) AS n FROM (SELECT CASE WHEN NOT coalesce(op_type = 'upsert', false) THEN 'operation type' WHEN NOT coalesce(num > 0, false) THEN 'not positive' WHEN NOT coalesce(CAST(key AS INT) < 90, false) THEN 'key out of range' END AS reason FROM ops) GROUP BY 1")
+def rejected_operations(spark, d):
+    rules = {"operation type": folds.upserts(), "not positive": F.col("num") > 0, "key out of range": F.col("key").cast("int") < 90}
+    return delivery.judged(ops(spark, d), rules).groupBy(F.coalesce("reason", F.lit("applied")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT document_id, global_clock FROM (SELECT document_id, global_clock, '$.k' || key AS p FROM ops) o WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT document_id, '$.k' || key AS p FROM ops WHERE global_clock % 9 = 0) l WHERE l.document_id = o.document_id AND l.p = o.p)")
+def orphan_operations(spark, d):
+    o = ops(spark, d)
+    live = o.filter("global_clock % 9 = 0").select("document_id", F.concat(F.lit("$.k"), "key").alias("path"))
+    return delivery.orphans(o.withColumn("path", F.concat(F.lit("$.k"), "key", F.lit(".value"))), live).select("document_id", "global_clock")
+
+
+@query("SELECT global_clock FROM ops WHERE op_type = 'upsert' AND num > 0")
+def applied_operations(spark, d):
+    o = ops(spark, d)
+    _, rejected = delivery.split_rejected(o, {"type": folds.upserts(), "positive": F.col("num") > 0})
+    return delivery.applied(o, rejected).select("global_clock")
+
+
+@query(f"""SELECT document_id, key, CAST(num AS DOUBLE) AS num FROM {won('document_id, key')} WHERE op_type = 'upsert' UNION ALL
+ SELECT d, k, 0.5 FROM (SELECT DISTINCT document_id AS d FROM ops), (SELECT unnest(['1', '7', 'seed']) AS k) WHERE NOT EXISTS (SELECT 1 FROM ops WHERE document_id = d AND key = k)""")
+def metadata_seed(spark, d):
+    o = ops(spark, d)
+    values = o.select("document_id", "path").distinct().select("document_id", "path", F.explode(F.array(F.lit("1"), F.lit("7"), F.lit("seed"))).alias("key"), F.lit("0.5").cast("decimal(18,2)").alias("num"))
+    return folds.lww_map(delivery.seeded(o, values)).select("document_id", "key", *real("num"))
+
+
+@query("SELECT CASE WHEN global_clock % 3 = 0 THEN 'tags' WHEN global_clock % 3 = 1 THEN 'header' ELSE 'comments' END AS target, count(*) AS n FROM ops GROUP BY 1")
+def header_routing(spark, d):
+    path = F.when(F.col("global_clock") % 3 == 0, "$.tags[0]").when(F.col("global_clock") % 3 == 1, "$.title").otherwise("$.comments['k']")
+    return delivery.routed(ops(spark, d).withColumn("path", path), ["tags", "comments"]).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, part, CASE WHEN part = 1 THEN k + 1000000 ELSE k END AS k FROM (SELECT o_orderkey, part, o_custkey AS k FROM orders JOIN ranges ON grp = o_orderstatus AND start_key <= o_custkey AND (end_key IS NULL OR o_custkey < end_key))", RANGES)
+def partition_save_load(spark, d):
+    """Overwriting one part leaves the others as they are."""
+    folder = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    rows = order_rows(spark, d)
+    placed = partitions.route(rows, partitions.catalog(rows, "grp", "k", 400), "grp", "k")
+    delivery.save_partitions(placed, folder, ["grp", "part"])
+    delivery.save_partitions(placed.filter("part = 1").withColumn("k", F.col("k") + 1000000), folder, ["grp", "part"])
+    return spark.read.parquet(folder).select("o_orderkey", "part", "k")
+
+
+@query("""s AS (SELECT o_orderstatus AS grp, o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1, 2), n AS (SELECT o_orderstatus AS grp, o_custkey AS k, max(o_totalprice) + 1 AS v FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1, 2),
+ placed AS (SELECT grp, k, (sum(c) OVER (PARTITION BY grp ORDER BY k) - c) // 400 AS part FROM (SELECT grp, k, 1 AS c FROM s))
+ SELECT grp, k, greatest(s.v, coalesce(n.v, s.v)) AS v FROM s LEFT JOIN n USING (grp, k) JOIN placed p USING (grp, k) WHERE (grp, part) IN (SELECT (p.grp, p.part) FROM n JOIN placed p USING (grp, k))""", " ")
+def partition_apply(spark, d):
+    state = order_rows(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey").groupBy("grp", "k").agg(F.max("o_totalprice").alias("v"))
+    ranges = partitions.catalog(state, "grp", "k", 400)
+    news = state.filter("k % 50 = 0").withColumn("v", F.col("v") + 1)
+    merge = lambda rows: rows.groupBy("grp", "part", "k").agg(F.max("v").alias("v"))
+    return delivery.apply_to_partitions(partitions.route(state, ranges, "grp", "k"), news, ranges, "grp", "k", merge).select("grp", "k", "v")
+
+
+@query("SELECT grp, start_key, CASE WHEN part = 0 THEN 0 ELSE n_rows END AS n_rows FROM ranges WHERE part <> 1", RANGES)
+def partition_catalog_dml(spark, d):
+    ranges = partitions.catalog(order_rows(spark, d), "grp", "k", 400)
+    changed = delivery.catalog_changed(ranges, "grp", upserts=ranges.filter("part = 0").withColumn("n_rows", F.lit(0).cast("long")), deletes=ranges.filter("part = 1"))
+    return changed.select("grp", "start_key", "n_rows")
+
+
 # all strategies of one key in one pass
 
 
