@@ -216,13 +216,17 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return None
-    # a hash below each language's share picks about twice the sample; the rest is a bounded top-n
-    picked = None
+    # one scan: a hash below each language's share picks a little more than the sample, which is then cut to size
+    most = per_lang + 6 * per_lang**0.5 + 20
+    below = F.create_map(*(x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(int(min(1.0, most / n) * (1 << 30))))))
     h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    for name, n in sizes.items():
-        part = rows.filter((F.col("lang") == name) & (h < int(min(1.0, 3 * per_lang / n + 20 / n) * (1 << 30)))).withColumn("h", h).orderBy("h", "id").limit(per_lang)
-        picked = part if picked is None else picked.unionByName(part)
-    found = sorted(((r["lang"], r["h"], r["text"]) for r in picked.collect()))
+    picked = sorted((r["lang"], r["h"], r["id"] or 0, r["text"]) for r in rows.withColumn("h", h).filter(h < below[F.col("lang")]).collect())
+    seen: dict[str, int] = {}
+    found = []
+    for name, _, _, t in picked:
+        seen[name] = seen.get(name, 0) + 1
+        if seen[name] <= per_lang:
+            found.append((name, 0, t))
     return fitted([t for _, _, t in found], [n for n, _, _ in found])
 
 

@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is configured, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="confluo-"))
-    return context.getCheckpointDir()
+from confluo.session import shared_folder as checkpoint_dir
 
 
 def saved(df: DataFrame) -> DataFrame:

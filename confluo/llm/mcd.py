@@ -163,7 +163,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, **names) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, distance (squared; null without an estimate) and kept."""
-    rows = saved(pooled(vectors(base_statistics(docs, **names))))
+    rows = saved(pooled(saved(vectors(base_statistics(docs, **names)))))
     d = len(NAMES)
     cut = chi_square_quantile(1 - TAIL, d)
     out = rows.join(estimates(rows), ["lang_", "source_"], "left").withColumn("distance", distance(d))
