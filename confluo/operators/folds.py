@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.functions.ordering import clamp
+from confluo.session import saved
 
 BY = ("document_id", "path")
 
@@ -235,11 +236,11 @@ def replicated_tree(adds: DataFrame, removed: DataFrame, moves: DataFrame) -> Da
 
 
 def tree_depths(nodes: DataFrame, *, node: str = "node", parent: str = "parent", most: int = 64) -> DataFrame:
-    """Depth of each node below a root (null parent), level by level; one join per level."""
-    level = nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("node"), F.lit(0).alias("depth"))
+    """Depth of each node below a root (null parent), level by level: one join each, on saved results."""
+    level = saved(nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("node"), F.lit(0).alias("depth")))
     out = level
     for depth in range(1, most + 1):
-        level = nodes.join(level.select(F.col("node").alias(parent)), parent).select(F.col(node).alias("node"), F.lit(depth).alias("depth"))
+        level = saved(nodes.join(level.select(F.col("node").alias(parent)), parent).select(F.col(node).alias("node"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break
         out = out.unionByName(level)

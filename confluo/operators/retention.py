@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.operators.folds import BY, removes, upserts
+from confluo.session import saved
 
 
 def by_age(threshold: int) -> Column:
@@ -67,5 +68,5 @@ def compact_rga(nodes: DataFrame, *, by: str = "document_id", most: int = 64) ->
         gone = F.col("deleted") & F.col("safe") & F.col("used").isNull()
         if marked.filter(gone).isEmpty():
             break
-        nodes = marked.filter(~gone).select(nodes.columns)
+        nodes = saved(marked.filter(~gone).select(nodes.columns))
     return nodes

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -38,3 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="confluo-"))
     return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: computed once, lineage cut, readable after executors are lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
