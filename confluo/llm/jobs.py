@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from confluo.session import saved
 from confluo.session import shared_folder as checkpoint_dir
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, lineage cut, readable after executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "saved", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
