@@ -7,9 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confluo.functions import paths
 from confluo.operators import delivery, diffs, folds, partitions, retention, sync
+from confluo.plans.registry import Model
 from confluo.session import shared_folder, table
 from confluo.sources import oplog
 from confluo.streaming import apply as streams
@@ -596,6 +598,14 @@ def journal_round_trip(spark, d):
     return oplog.read_journal(spark, folder).groupBy("replica_id").agg(F.count(F.lit(1)).alias("n"), F.sum("num").cast("double").alias("num"))
 
 
+@query("SELECT document_id, count(*) AS n, CAST(sum(num) AS DOUBLE) AS num FROM ops GROUP BY 1")
+def json_journal(spark, d):
+    folder = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    o = ops(spark, d)
+    oplog.write_json_journal(o.unionByName(o.filter("global_clock % 10 = 0")), folder)
+    return oplog.read_json_journal(spark, folder).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("num").cast("double").alias("num"))
+
+
 @query("SELECT tag AS op_id, key, CAST(num AS DOUBLE) AS num FROM ops")
 def serializer_round_trip(spark, d):
     return oplog.from_json(oplog.to_json(ops(spark, d))).select("op_id", "key", *real("num"))
@@ -765,6 +775,18 @@ def partition_catalog_dml(spark, d):
 # all strategies of one key in one pass
 
 
+@query("""SELECT 'balance' AS field, document_id, NULL AS key, CAST(sum(num) AS DOUBLE) AS num FROM ops WHERE global_clock % 2 = 0 GROUP BY document_id UNION ALL
+ SELECT 'tags', document_id, key, CAST(max(num) AS DOUBLE) FROM ops WHERE global_clock % 2 = 1 AND op_type = 'upsert' GROUP BY document_id, key""")
+def model_apply(spark, d):
+    """A document model with a strategy per field, applied to one log."""
+    schema = T.StructType([T.StructField("balance", T.DecimalType(18, 2)), T.StructField("tags", T.MapType(T.StringType(), T.DecimalType(18, 2)))])
+    model = Model(schema).property("$.balance", "counter").property("$.tags", "max_wins_map")
+    o = ops(spark, d).withColumn("path", F.when(F.col("global_clock") % 2 == 0, "$.balance").otherwise("$.tags"))
+    states = model.apply(o)
+    balance = states["$.balance"].select(F.lit("balance").alias("field"), "document_id", F.lit(None).cast("string").alias("key"), *real("num"))
+    return balance.unionByName(states["$.tags"].select(F.lit("tags").alias("field"), "document_id", "key", *real("num")))
+
+
 @query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS total, CAST(max(num) AS DOUBLE) AS largest, CAST(min(num) AS DOUBLE) AS smallest, count(DISTINCT key) FILTER (WHERE op_type = 'upsert') AS elements, count(DISTINCT replica_id) AS replicas FROM ops GROUP BY 1")
 def document_summary(spark, d):
     o = ops(spark, d)

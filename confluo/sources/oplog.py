@@ -82,3 +82,13 @@ def to_json(ops: DataFrame) -> DataFrame:
 
 def from_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.from_json("json", SCHEMA).alias("o")).select("o.*")
+
+
+def write_json_journal(ops: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """A journal of compressed JSON lines, for exchange with other programs."""
+    ops.write.mode("append").option("compression", compression).json(folder)
+
+
+def read_json_journal(spark: SparkSession, folder: str) -> DataFrame:
+    """A JSON journal with a fixed schema and without redelivered operations."""
+    return spark.read.schema(SCHEMA).json(folder).dropDuplicates(["replica_id", "global_clock"])
