@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
-BATCH_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark) -> None:

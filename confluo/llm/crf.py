@@ -32,6 +32,8 @@ from confluo.llm.arrowtext import Words, bounded_batches, bundled, slices, unbun
 SAMPLE_PER_LANG = 300
 SAMPLE_CHARS = 20_000
 MOST_LANGS = 200
+#: Bytes of text that are labelled at once; features and messages take many times as much memory.
+SLICE_BYTES = 4 << 20
 LEAST_SCORE = 0.5
 BITS = 17
 CHAIN, CHAINS = 48, 64
@@ -42,7 +44,7 @@ NOT_LETTERS = {i: None for i in range(128) if not chr(i).isalpha() and chr(i) !=
 def hashed(*columns: np.ndarray) -> np.ndarray:
     h = np.full(len(columns[0]), 0x811C9DC5, np.uint64)
     for c in columns:
-        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -74,7 +76,7 @@ def word_features(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.add.reduceat(np.where(edge, np.uint64(0), mix), np.flatnonzero(edge))[: len(distinct)]
     found.append((np.flatnonzero(sums), hashed(np.full(np.count_nonzero(sums), 99, np.uint32), sums[sums > 0])))
     of, slot = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.int32), kind="stable")
     return of[order], slot[order]
 
 
@@ -239,7 +241,7 @@ def predicted(rows: DataFrame, model: ChainField | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(batch, "text", SLICE_BYTES):
                 w = words(texts)
                 n = part.num_rows
                 lettered = np.fromiter((LETTER.search(x) is not None for x in w.distinct), bool, len(w.distinct))

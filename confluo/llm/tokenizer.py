@@ -22,7 +22,7 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 END = b"\xff"
 #: Chunks a worker keeps between batches; beyond it, chunks are encoded anew.
-KEPT = 300_000
+KEPT = 150_000
 
 
 def default_path() -> str:
