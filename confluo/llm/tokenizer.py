@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from confluo.llm.arrowtext import ragged, words
+from confluo.llm.arrowtext import Words, ragged, words
 
 #: How the vocabulary file cuts a chunk into pieces, for ASCII and Latin-1 letters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
@@ -69,7 +69,10 @@ class WordTokenizer:
 
     def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids as uint32): text i has ids[offsets[i]:offsets[i + 1]], then ``end`` if given."""
-        w = words(texts)
+        return self.encoded(words(texts), end)
+
+    def encoded(self, w: Words, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that are cut into words already."""
         kept, chunk = self.kept, self.chunk
         each = [kept.get(x) or (chunk(x) if x else []) for x in w.distinct]
         if len(kept) < KEPT:
