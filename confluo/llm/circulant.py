@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm.arrowtext import bounded_batches, fold_table, slices, words
-from confluo.llm.jobs import saved, shuffle_partitions
+from confluo.llm.jobs import if_small, saved, shuffle_partitions
 
 #: Bits of the bounded table of shingle frequencies, and about how many documents meet their leader in one portion.
 FREQUENCY_BITS = 20
@@ -135,7 +135,8 @@ def verified(docs: DataFrame, pairs: DataFrame, of: Similarity) -> DataFrame:
     members = pairs.select("id", "leader", portion, F.lit(False).alias("leads"))
     leaders = members.select("leader", "portion").distinct().select(F.col("leader").alias("id"), "leader", "portion", F.lit(True).alias("leads"))
     meetings = members.unionByName(leaders)
-    rows = docs.filter("doc_id IS NOT NULL").join(meetings.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    wanted = if_small(saved(meetings.select("id").distinct()))
+    rows = docs.filter("doc_id IS NOT NULL").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
     joined = meetings.join(rows, "id").repartition(shuffle_partitions(spark) * 2, "leader", "portion").sortWithinPartitions("leader", "portion", F.desc("leads"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def rarest_first(docs: DataFrame, ids: DataFrame, of: Similarity) -> DataFrame:
     """Candidates (id, leader), id > leader, of different components among ``ids`` (id, component, n): a
     superset of all pairs at the threshold, from the rare ends of their sets."""
     spark = docs.sparkSession
-    texts = saved(docs.filter("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("id")).select("id", "component", "text"))
+    texts = saved(docs.filter("doc_id IS NOT NULL").join(if_small(ids), F.col("doc_id") == F.col("id")).select("id", "component", "text"))
     cells = 1 << FREQUENCY_BITS
 
     def count(batches):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.llm import circulant, crf, packing, secrets, wu_manber
-from confluo.llm.jobs import checkpoint_dir
+from confluo.llm.jobs import checkpoint_dir, if_small, saved
 from confluo.session import ship, table
 
 
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
     ship(spark)
-    dropped = circulant.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = saved(circulant.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct())
+    return docs.join(if_small(dropped), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
