@@ -190,6 +190,18 @@ def test_model_is_a_distribution_and_learns():
     assert attention_lm.log_probabilities(p, c, np.array([0, 210]), pattern[:210])[0] > before * 0.6
 
 
+def test_shape_and_learning_of_ids_with_slots_of_their_own():
+    m = attention_lm
+    assert (m.WIDTH, m.HIDDEN) == (32, 64)
+    counts = np.zeros(m.VOCABULARY, np.int64)
+    counts[:1000] = 1000
+    c, p, pattern = m.slots(counts), m.fresh(), np.tile([3, 700, 41, 9, 350, 88, 501], 300)
+    x, y = m.training_windows(c, np.array([0, len(pattern)]), pattern)
+    before = m.log_probabilities(p, c, np.array([0, 210]), pattern[:210])[0]
+    m.train(p, x, y, m.Adam(0.004), 150)
+    assert m.log_probabilities(p, c, np.array([0, 210]), pattern[:210])[0] > before / 5
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     p = {n: a.astype(np.float64) for n, a in attention_lm.fresh().items()}
