@@ -202,6 +202,21 @@ def test_shape_and_learning_of_ids_with_slots_of_their_own():
     assert m.log_probabilities(p, c, np.array([0, 210]), pattern[:210])[0] > before / 5
 
 
+def test_weights_learn_from_every_training_document(shipped, rng):
+    # too long for the first sample, so the rounds alone can learn them
+    words = [rng.choice("kato miru bragstel vorn quil".split()) for _ in range(40)]
+    texts = [" ".join(words * 60) for _ in range(40)]
+    assert len(texts[0]) > attention_lm.SAMPLE_CHARS
+    df = documents(shipped, texts).coalesce(1)
+    seen = []
+    kept = attention_lm.round_
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(attention_lm, "round_", lambda *x: seen.append(kept(*x)) or seen[-1])
+        rows = attention_lm.score(df).collect()
+    assert all(p is not None for p in seen)
+    assert np.mean([r["score"] / r["n_tokens"] for r in rows]) > -1
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     p = {n: a.astype(np.float64) for n, a in attention_lm.fresh().items()}
