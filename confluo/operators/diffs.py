@@ -109,28 +109,48 @@ def clocked(ops: DataFrame, base: DataFrame, order: list[str]) -> DataFrame:
 
 
 def lcs_pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Indices of one longest common subsequence; equal ends are matched before the table is filled."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    high = 0
-    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
-        high += 1
-    x, y = a[low : len(a) - high], b[low : len(b) - high]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [(k, k) for k in range(low)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            out.append((low + i, low + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
+    """Indices of one longest common subsequence, by Myers' middle snakes: time grows with length times
+    difference, memory with length."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, left, right = todo.pop()
+        while low < high and left < right and a[low] == b[left]:
+            out.append((low, left))
+            low, left = low + 1, left + 1
+        while low < high and left < right and a[high - 1] == b[right - 1]:
+            high, right = high - 1, right - 1
+            out.append((high, right))
+        if low < high and left < right:
+            x, y = middle(a, low, high, b, left, right)
+            todo += [(low, x, left, y), (x, high, y, right)]
+    return sorted(out)
+
+
+def middle(a: list, low: int, high: int, b: list, left: int, right: int) -> tuple[int, int]:
+    """A place that a shortest edit path from (low, left) to (high, right) goes through, neither of its ends;
+    the first and last elements differ. Furthest places are kept per diagonal, from both ends, until they meet."""
+    n, m = high - low, right - left
+    delta, most = n - m, (n + m + 1) // 2
+    ahead, back = {1: 0}, {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            x = ahead[k + 1] if k == -d or (k != d and ahead[k - 1] < ahead[k + 1]) else ahead[k - 1] + 1
+            y = x - k
+            while x < n and y < m and x >= 0 <= y and a[low + x] == b[left + y]:
+                x, y = x + 1, y + 1
+            ahead[k] = x
+            if delta % 2 and abs(delta - k) < d and x + back[delta - k] >= n and 0 <= y <= m and x <= n:
+                return low + x, left + y
+        for k in range(-d, d + 1, 2):
+            x = back[k + 1] if k == -d or (k != d and back[k - 1] < back[k + 1]) else back[k - 1] + 1
+            y = x - k
+            while x < n and y < m and x >= 0 <= y and a[high - 1 - x] == b[right - 1 - y]:
+                x, y = x + 1, y + 1
+            back[k] = x
+            if delta % 2 == 0 and abs(delta - k) <= d and x + ahead[delta - k] >= n and 0 <= y <= m and x <= n:
+                return high - x, right - y
+    raise AssertionError("edit paths always meet")
 
 
 def sequence_diff(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:

@@ -302,7 +302,7 @@ def rga_order(spark, d):
 @query()
 def lcs_diff(spark, d):
     words = F.split("text", " ")
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.slice(words, 1, 60).alias("new"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", words.alias("new"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("new").alias("old"))
     pairs = turns.join(before, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("pair"), "old", "new")
     return diffs.sequence_diff(pairs, "pair")

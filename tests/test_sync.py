@@ -92,3 +92,40 @@ def test_paths(spark):
     assert row.select(paths.segments(F.col("p")), paths.parent(F.col("p"))).first()[:] == (["a", "0", "k"], "$.a[0]")
     tests = row.select(*(paths.within(F.lit(p), "$.a") for p in ("$.a", "$.a.b", "$.a[1]", "$.ab", "$.a|EpochBound")))
     assert tuple(tests.first()) == (True, True, True, False, True)
+
+
+def test_lcs_diff_rebuilds_whole_turns(spark):
+    from confluo.plans.queries import lcs_diff
+
+    d = "/root/testdata/sf0.001"
+    turns = {(r["conv_id"], r["turn"]): r["text"].split(" ") for r in spark.read.parquet(f"{d}/conversations.parquet").collect()}
+    changes = {}
+    for r in lcs_diff(spark, d).collect():
+        changes.setdefault(r["pair"], ({}, {}))[r["op_type"] == "upsert"][r["place"]] = r["value"]
+    assert max(map(len, turns.values())) > 60
+    for (conv, turn), new in turns.items():
+        if (conv, turn - 1) in turns:
+            removed, added = changes.get(f"{conv}/{turn}", ({}, {}))
+            kept = iter(w for i, w in enumerate(turns[conv, turn - 1]) if i not in removed)
+            assert [added[i] if i in added else next(kept) for i in range(len(new))] == new
+
+
+def test_lcs_is_longest_and_of_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(10))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        kept = diffs.lcs_pairs(a, b)
+        assert len(kept) == best[-1][-1] and all(a[i] == b[j] for i, j in kept)
+    a, b = ([rng.randrange(500) for _ in range(1500)] for _ in range(2))
+    tracemalloc.start()
+    diffs.lcs_pairs(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000
