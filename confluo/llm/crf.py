@@ -7,7 +7,7 @@ context, so code-switched texts are labelled word by word; a text's language is
 largest mean, and that mean is its score.
 
 Fitting is by stochastic gradient on the chain likelihood, over a bounded sample of labelled texts
-(SAMPLE_PER_LANG of each language, chosen by a hash, each of at most SAMPLE_CHARS characters): the
+(SAMPLE_PER_LANG of each language, chosen by a hash, SAMPLE_CHARS characters of each at most): the
 texts themselves and chains that switch between stretches of different texts, from which transitions
 are learned. Prediction streams over all whole texts where they are read; nothing is shuffled.
 
@@ -31,7 +31,6 @@ from confluo.llm.arrowtext import Words, bounded_batches, bundled, slices, unbun
 
 SAMPLE_PER_LANG = 300
 SAMPLE_CHARS = 20_000
-MOST_LANGS = 200
 #: Bytes of text that are labelled at once; features and messages take many times as much memory.
 SLICE_BYTES = 4 << 20
 LEAST_SCORE = 0.5
@@ -134,22 +133,26 @@ class ChainField:
         return out, each
 
 
-def chains(texts: list[Words], labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(word codes, labels), both chains x CHAIN: half from single texts, half switching between texts."""
+def chains(texts: Words, labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(word codes, labels), both chains x CHAIN: half from single texts, half switching between texts. Short
+    texts and tails make chains too; places after their end have label -1 and repeat their words."""
     w = texts
     size = np.diff(w.offsets)
-    piece = [(i, a) for i in range(len(size)) for a in range(0, int(size[i]) - CHAIN + 1, CHAIN)]
-    single = np.array([w.offsets[i] + a for i, a in piece], np.int64)[:, None] + np.arange(CHAIN)
-    y = np.repeat(labels[[i for i, _ in piece]][:, None], CHAIN, axis=1)
-    if not len(single):
+    piece = [(i, a) for i in range(len(size)) for a in range(0, int(size[i]), CHAIN)]
+    if not piece:
         return np.zeros((0, CHAIN), np.int64), np.zeros((0, CHAIN), np.int64)
+    of, begin = np.array(piece, np.int64).T
+    length = np.minimum(size[of] - begin, CHAIN)[:, None]
+    single = (w.offsets[of] + begin)[:, None] + np.arange(CHAIN) % length
+    lang = np.repeat(labels[of][:, None], CHAIN, axis=1)
+    y = np.where(np.arange(CHAIN) < length, lang, -1)
     # switching: stretches of random length taken from random chains
     n = len(single)
     cut = rng.random((n, CHAIN)) < 1 / 12
     cut[:, 0] = True
     turn = np.maximum.accumulate(np.where(cut, np.arange(CHAIN), 0), axis=1)
     source = rng.integers(0, n, (n, CHAIN))[np.arange(n)[:, None], turn]
-    mixed, mixed_y = single[source, np.arange(CHAIN)], y[source, np.arange(CHAIN)]
+    mixed, mixed_y = single[source, np.arange(CHAIN)], lang[source, np.arange(CHAIN)]
     return w.codes[np.concatenate([single, mixed])].astype(np.int64), np.concatenate([y, mixed_y])
 
 
@@ -169,7 +172,7 @@ def fitted(texts: list[str], labels: list[str], *, epochs: int = 3, rate: float
         order = rng.permutation(len(x))
         for i in range(0, len(order), CHAINS):
             codes, gold = x[order[i : i + CHAINS]], y[order[i : i + CHAINS]]
-            n = len(codes)
+            n, real = len(codes), gold >= 0
             used, where = np.unique(codes, return_inverse=True)
             where = where.reshape(codes.shape)
             sizes = bounds[used + 1] - bounds[used]
@@ -187,13 +190,15 @@ def fitted(texts: list[str], labels: list[str], *, epochs: int = 3, rate: float
                 into = beta[t] * p[:, t]
                 b = into @ step.T
                 joint = alpha[t - 1][:, :, None] * step[None] * into[:, None, :]
-                pair += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                beta[t - 1] = b / b.sum(axis=1, keepdims=True)
+                pair += (joint / joint.sum(axis=(1, 2), keepdims=True))[real[:, t]].sum(axis=0)
+                beta[t - 1] = np.where(real[:, t, None], b / b.sum(axis=1, keepdims=True), 1)
             g = alpha * beta
             g /= g.sum(axis=2, keepdims=True)
             error = g.transpose(1, 0, 2)
-            error[np.arange(n)[:, None], np.arange(CHAIN)[None, :], gold] -= 1
-            np.subtract.at(pair, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+            error[~real] = 0
+            row, at = np.nonzero(real)
+            error[row, at, gold[real]] -= 1
+            np.subtract.at(pair, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
             pair /= n
             by_word = np.stack([np.bincount(where.ravel(), weights=error[:, :, j].ravel(), minlength=len(used)) for j in range(k)], axis=1)
             touched, at = np.unique(slots, return_inverse=True)
@@ -214,15 +219,15 @@ def trained_on(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> ChainField | None:
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.coalesce(trained_on(F.col("id")), F.lit(True)) & F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.coalesce(trained_on(F.col("id")), F.lit(True)) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     # one scan: a hash below each language's share picks a little more than the sample, which is then cut to size
     most = per_lang + 6 * per_lang**0.5 + 20
     below = F.create_map(*(x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(int(min(1.0, most / n) * (1 << 30))))))
     h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    picked = sorted((r["lang"], r["h"], r["id"] or 0, r["text"]) for r in rows.withColumn("h", h).filter(h < below[F.col("lang")]).collect())
+    picked = sorted((r["lang"], r["h"], r["id"] or 0, r["text"]) for r in rows.withColumn("h", h).filter(h < below[F.col("lang")]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).collect())
     seen: dict[str, int] = {}
     found = []
     for name, _, _, t in picked:

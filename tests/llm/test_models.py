@@ -116,6 +116,15 @@ def test_language_id_on_held_out_and_mixed_texts(shipped, rng, odd, empty):
     assert kept.count() == 400 and kept.columns == [*df.columns, "score", "row"]
 
 
+def test_languages_of_short_or_unspaced_texts_are_learned(shipped, rng):
+    rows, _ = languages(rng, 240)
+    rows = [(i, " ".join(t.split()[:9]) if lang == "yy" else "".join(rng.choice("東京都大阪府日本語文字") for _ in range(30)) if lang == "zz" else t, lang) for i, t, lang in rows]
+    out = {r["doc_id"]: r for r in crf.identify(shipped.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang in ("xx", "yy", "zz"):
+        assert np.mean([out[i]["lang_pred"] == lang for i, _, x in rows if x == lang and out[i]["held_out"]]) > 0.95
+    assert crf.accepted(shipped.createDataFrame(rows, "doc_id long, text string, lang string")).count() > 230
+
+
 def test_ordinal_grades(shipped, rng, odd, empty):
     rows, labels = [], []
     for i in range(600):
