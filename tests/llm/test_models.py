@@ -174,6 +174,12 @@ def test_base_score_agrees_with_brute_force(shipped, rng, odd, empty, monkeypatc
     assert attention_lm.score(empty).count() == 0
 
 
+def test_the_end_is_known_outside_the_head(shipped, monkeypatch):
+    monkeypatch.setattr(attention_lm, "most_frequent", lambda counts: {})
+    rows = attention_lm.score(documents(shipped, ["a b c"] * 3)).collect()
+    assert [r["n_known"] for r in rows] == [4] * 3
+
+
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     counts = np.zeros(attention_lm.VOCABULARY, np.int64)
