@@ -8,6 +8,7 @@ itself does; those fold in order of arrival and say so. All take a log in the sh
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,11 +236,11 @@ def replicated_tree(adds: DataFrame, removed: DataFrame, moves: DataFrame) -> Da
     return present.join(parent, [*BY, "key"])
 
 
-def tree_depths(nodes: DataFrame, *, node: str = "node", parent: str = "parent", most: int = 64) -> DataFrame:
+def tree_depths(nodes: DataFrame, *, node: str = "node", parent: str = "parent") -> DataFrame:
     """Depth of each node below a root (null parent), level by level: one join each, on saved results."""
     level = saved(nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("node"), F.lit(0).alias("depth")))
     out = level
-    for depth in range(1, most + 1):
+    for depth in count(1):
         level = saved(nodes.join(level.select(F.col("node").alias(parent)), parent).select(F.col(node).alias("node"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             break

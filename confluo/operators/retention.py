@@ -59,14 +59,13 @@ def compact_fww_register(ops: DataFrame, threshold: int) -> DataFrame:
     return first.filter(F.col("ts") > threshold)
 
 
-def compact_rga(nodes: DataFrame, *, by: str = "document_id", most: int = 64) -> DataFrame:
+def compact_rga(nodes: DataFrame, *, by: str = "document_id") -> DataFrame:
     """Insert-after nodes (by, id, left_id, deleted, safe) without safe tombstones that nothing hangs on, parents
     following their children; one anti-join per level of a dead chain."""
-    for _ in range(most):
+    while True:
         left = nodes.select(by, F.col("left_id").alias("id")).filter("id IS NOT NULL").distinct().withColumn("used", F.lit(True))
         marked = nodes.join(left, [by, "id"], "left")
         gone = F.col("deleted") & F.col("safe") & F.col("used").isNull()
         if marked.filter(gone).isEmpty():
-            break
+            return nodes
         nodes = saved(marked.filter(~gone).select(nodes.columns))
-    return nodes

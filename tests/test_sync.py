@@ -129,3 +129,12 @@ def test_lcs_is_longest_and_of_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2_000_000
+
+
+def test_walks_go_to_the_end_of_a_chain(spark, monkeypatch):
+    from confluo.operators import folds
+
+    local = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  quicker than files for so few rows
+    monkeypatch.setattr(folds, "saved", local)
+    chain = local(spark.range(67).selectExpr("id AS node", "CASE WHEN id > 0 THEN id - 1 END AS parent"))
+    assert sorted(tuple(r) for r in folds.tree_depths(chain).collect()) == [(i, i) for i in range(67)]
