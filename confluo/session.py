@@ -33,13 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. A temporary one only where none is set and
+    the session is local, as in tests; on a cluster, executors wouldn't see each other's files there."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="confluo-"))
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer needed, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, lineage cut, readable after executors are lost."""
     shared_folder(df.sparkSession)
