@@ -6,14 +6,20 @@ touches each distinct word of a batch; everything per occurrence is a numpy gath
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
-BATCH_BYTES = 8 << 20
+#: Bytes of text that are worked on at once: what is made of them takes many times as much memory.
+SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of one text that are cut into words at once.
+SPAN_BYTES = 2 << 20
+#: The bytes that separate words.
+SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 def bounded_batches(spark) -> None:
@@ -37,8 +43,18 @@ def unbundled(rows, columns: list[str], text: str):
     return rows.select(*(F.col("text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(columns)))
 
 
+def relieved() -> None:
+    """Give memory that is free again back to the system: workers are used again and live long."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """(slice of the batch, its texts with null as '') with about ``limit`` bytes of text each."""
+    """(slice of the batch, its texts with null as '') with about ``limit`` bytes of text each; a longer
+    text has a slice of its own."""
     texts = batch.column(column)
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
@@ -50,6 +66,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
+    relieved()
 
 
 def translated(texts: pa.Array, table: np.ndarray) -> pa.Array:
@@ -82,9 +99,44 @@ class Words:
 
 
 def words(texts: pa.Array, table: np.ndarray | None = None) -> Words:
-    """Runs of anything but ASCII white space, after the byte table if one is given."""
+    """Runs of anything but ASCII white space, after the byte table if one is given. Long texts are cut in
+    spans of whole words, so that beside the codes only the words of a span are held at once."""
     if table is not None:
         texts = translated(texts, table)
+    if len(texts) == 0 or pc.max(pc.binary_length(texts)).as_py() <= SPAN_BYTES:
+        return _words(texts)
+    number: dict[str, int] = {}
+    sizes, codes = [], []
+    for i in range(len(texts)):
+        size = 0
+        for span in spans(texts[i]):
+            w = _words(span)
+            known = np.fromiter((number.setdefault(x, len(number)) for x in w.distinct), np.int64, len(w.distinct))
+            codes.append(known[w.codes].astype(np.int32) if len(w.codes) else np.zeros(0, np.int32))
+            size += len(w.codes)
+        sizes.append(size)
+    return Words(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.concatenate(codes), list(number))
+
+
+def spans(text: pa.LargeStringScalar):
+    """A text as arrays of one string each, cut behind white space; a word longer than a span stays whole."""
+    data = text.as_buffer()
+    raw = np.frombuffer(data, np.uint8)
+    at = 0
+    while at < len(raw) or at == 0:
+        to = min(at + SPAN_BYTES, len(raw))
+        if to < len(raw):
+            space = np.flatnonzero(SPACES[raw[at:to]])
+            if len(space):
+                to = at + int(space[-1]) + 1
+            else:
+                later = np.flatnonzero(SPACES[raw[to:]])
+                to = to + int(later[0]) + 1 if len(later) else len(raw)
+        yield pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, to - at], np.int64)), data.slice(at, to - at))
+        at = max(to, 1)
+
+
+def _words(texts: pa.Array) -> Words:
     lists = pc.ascii_split_whitespace(texts)
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()

@@ -159,9 +159,18 @@ def pack_documents(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     return pack(tokenized_pieces(docs, text=text, key=key, tokenizer_path=tokenizer_path, capacity=capacity, end_id=end_id), capacity=capacity)
 
 
-def sequences(packed: DataFrame, pieces_with_ids: DataFrame) -> DataFrame:
-    """The finished sequences themselves: sequence_id, ids (binary, uint32). A sequence has at most
-    ``capacity`` tokens, so each group here is bounded."""
-    joined = packed.select("doc_id", "piece", "ids_crc32", "sequence_id", "offset").join(pieces_with_ids.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
+def with_ids(packed: DataFrame, docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """Placed pieces with their ids (binary, little-endian uint32). Packing moves digests only; the ids are
+    made again and meet their place once, dealt by document and piece. Repeated rows share theirs."""
+    at = ["key_", "piece", "start", "length", "ids_crc32"]
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key_")
+    pieces = tokenized_pieces(docs, text=text, key=key, with_ids=True, **options)
+    ids = pieces.select(named, *at[1:], "ids").groupBy(*at).agg(F.first("ids").alias("ids"))
+    return packed.select(named, *packed.columns).join(ids, at).select(*packed.columns, "ids")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """The finished sequences themselves: sequence_id, ids (binary, uint32), from placed pieces with their ids.
+    A sequence has at most its capacity of tokens, so each group here is bounded."""
     rows = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return joined.groupBy("sequence_id").agg(rows.alias("rows")).select("sequence_id", F.aggregate("rows", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return pieces.groupBy("sequence_id").agg(rows.alias("rows")).select("sequence_id", F.aggregate("rows", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

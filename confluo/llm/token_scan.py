@@ -9,7 +9,8 @@ ever holding more than one block of tokens.
 
 Defined results: an empty file has no documents; tokens after the last separator make a last document
 with ``terminated`` false; two separators in a row make a document of 0 tokens; null texts are
-written as empty; a file whose length isn't a whole number of ids raises.
+written as empty; a file whose length isn't a whole number of ids raises, and so does an id of a larger
+vocabulary that 16 bits can't hold.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from confluo.llm.arrowtext import bounded_batches, slices
 from confluo.llm.jobs import checkpoint_dir, saved, shuffle_partitions
 from confluo.llm.tokenizer import default_path, loaded
+from confluo.session import removed
 
 #: Outside the vocabulary of 49,408 ids, so no text can hold it.
 SEPARATOR = 65_535
@@ -61,6 +63,8 @@ def write_token_files(docs: DataFrame, folder: str, *, text: str = "text", key:
             for batch in batches:
                 for rows, texts in slices(batch, "text"):
                     _, ids = loaded(shared.value).batch(texts, separator)
+                    if len(ids) and ids.max() > 65_535:
+                        raise ValueError("an id doesn't fit in 16 bits")
                     out.write(ids.astype("<u2").tobytes())
                     n = rows.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(np.arange(seen, seen + n)), rows.column("doc_id")], ["file_no", "ordinal", "doc_id"])
@@ -121,4 +125,5 @@ def document_token_counts(docs: DataFrame, **names) -> DataFrame:
     placed = write_token_files(docs, folder, **names)
     number = F.regexp_extract("path", r"part-(\d+)\.tok", 1).cast("int")
     counts = token_counts(spark, folder).select(number.alias("file_no"), "ordinal", "start", "n_tokens")
+    removed(spark, folder)  # the separators' places are saved
     return placed.join(counts, ["file_no", "ordinal"]).select("doc_id", "file_no", "ordinal", "start", "n_tokens")

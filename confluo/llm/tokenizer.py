@@ -22,7 +22,9 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
 END = b"\xff"
 #: Chunks a worker keeps between batches; beyond it, chunks are encoded anew.
-KEPT = 150_000
+KEPT = 100_000
+#: Words whose ids are gathered at once.
+IDS_AT_ONCE = 100_000
 
 
 def default_path() -> str:
@@ -81,13 +83,19 @@ class WordTokenizer:
             each.append([end])
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         flat = np.fromiter(chain.from_iterable(each), np.uint32, int(lengths.sum()))
-        codes, offsets = w.codes.astype(np.int64), w.offsets
+        begins = np.cumsum(lengths) - lengths
+        codes, offsets = w.codes, w.offsets
         if end is not None:
             codes = np.insert(codes, offsets[1:], len(each) - 1)
             offsets = offsets + np.arange(len(offsets))
+        del each
         sizes = lengths[codes]
-        ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], sizes)]
-        return np.concatenate([[0], np.cumsum(sizes)])[offsets], ids
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.empty(int(upto[-1]), np.uint32)
+        for a in range(0, len(codes), IDS_AT_ONCE):
+            part = slice(a, a + IDS_AT_ONCE)
+            ids[upto[a] : upto[min(a + IDS_AT_ONCE, len(codes))]] = flat[ragged(begins[codes[part]], sizes[part])]
+        return upto[offsets], ids
 
 
 _LOADED: dict[int, WordTokenizer] = {}

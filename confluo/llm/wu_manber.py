@@ -143,6 +143,7 @@ def _searching(shared, window: int):
         ids, texts = shared.value
         key = hash((ids, texts, window))
         if key not in _BUILT:
+            _BUILT.clear()  # a worker that is used again keeps one block's tables
             _BUILT[key] = Patterns(list(ids), list(texts), window)
         patterns = _BUILT[key]
         for batch in batches:

@@ -70,14 +70,35 @@ def test_packing_is_whole_and_tight(shipped, rng):
 def test_sequences_hold_the_ids(shipped, rng):
     texts = [prose(rng, 60) for _ in range(20)]
     df = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    pieces = packing.tokenized_pieces(df, capacity=256, with_ids=True)
-    packed = packing.pack(pieces.drop("ids"), capacity=256)
+    packed = packing.pack(packing.tokenized_pieces(df, capacity=256), capacity=256)
+    pieces = packing.with_ids(packed, df, capacity=256)
     ids = library_ids(texts)
-    whole = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.sequences(packed, pieces).collect()}
+    whole = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4") for r in packing.sequences(pieces).collect()}
     for r in packed.collect():
         assert whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]].tolist() == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
 
 
+def test_ids_of_odd_and_repeated_rows(shipped, odd, empty):
+    packed = packing.pack_documents(odd)
+    out = packing.with_ids(packed, odd).collect()
+    assert len(out) == packed.count()
+    for r in out:
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+    assert packing.with_ids(packing.pack_documents(empty), empty).count() == 0
+
+
+def test_a_text_of_20_mb(shipped, rng):
+    words = [prose(rng, 1) + str(i) for i in range(5000)]
+    text = " ".join(rng.choice(words) for _ in range(2_500_000))
+    assert len(text) > 20_000_000
+    df = shipped.createDataFrame([(0, "short one"), (1, text)], "doc_id long, text string")
+    rows = sorted(packing.pack_documents(df).filter("doc_id = 1").collect(), key=lambda r: r["piece"])
+    ids = library_ids([text])[0]
+    assert sum(r["length"] for r in rows) == len(ids)
+    for r in rows[:: len(rows) // 50]:
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
 def test_odd_rows(shipped, odd, empty):
     out = packing.pack_documents(odd.withColumn("piece", odd.doc_id)).collect()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in odd.collect()}

@@ -66,13 +66,13 @@ def test_stages(spark, folder):
 
 def test_run_matches_its_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder)
-    assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.columns[-1] == "ids"
     keep = {r["doc_id"] for r in spark.read.parquet(f"{folder}/out-redact_secrets").collect()}
     assert {r["doc_id"] for r in out.collect()} == keep
 
 
 def test_stages_take_odd_and_empty_tables(spark, folder, odd, empty):
-    clash = odd.withColumn("row", odd.doc_id).withColumn("found", odd.text).withColumn("score", odd.n_chars)
+    clash = odd.withColumn("row", odd.doc_id).withColumn("found", odd.text).withColumn("score", odd.n_chars).withColumn("a.b", odd.doc_id).withColumn("id", odd.lang)
     for name, stage in corpus_pipeline.STAGES:
         for docs in (clash, empty):
             out = stage(spark, docs, folder)

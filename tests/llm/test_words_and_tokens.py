@@ -53,3 +53,18 @@ def test_words_match_their_pattern(texts):
             lower = t if table is None else re.sub("[A-Z]", lambda m: m[0].lower(), t)
             assert [w.distinct[c] for c in w.codes[w.offsets[i] : w.offsets[i + 1]]] == re.findall(pattern, lower)
     assert np.all(np.diff(w.offsets) >= 0)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    import random
+
+    from confluo.llm import arrowtext
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", "é", " ", "\n", "xyz", "東", "\t "]) for _ in range(n)) for n in (0, 1, 50, 400, 3)] + ["w" * 90 + " x", " " * 70, "x" * 200]
+    column = pa.array(texts, pa.large_string())
+    want = arrowtext.words(column)
+    monkeypatch.setattr(arrowtext, "SPAN_BYTES", 16)
+    got = arrowtext.words(column)
+    assert got.offsets.tolist() == want.offsets.tolist()
+    assert [got.distinct[c] for c in got.codes] == [want.distinct[c] for c in want.codes]
