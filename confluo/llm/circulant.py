@@ -16,7 +16,7 @@ From signatures to groups, without ever emitting the pairs within a group:
    members of such buckets go through an exact prefix-filter join: shingles are ordered from rare to
    common, and two sets of similarity s must share one of the first n - ceil(s n) + 1, early enough for
    the rest to hold the overlap that their sizes require. A passage that many texts share is common,
-   hence last, so it makes no candidates. New links join step 3's.
+   hence last, so it makes few candidates. Long keys are dealt in bounded portions. New links join step 3's.
 
 A pair at the threshold misses all bands with probability (1 - t^rows)^bands: 2.7e-5 for 20 bands of
 4 rows at 0.8, and less above it.
@@ -55,16 +55,20 @@ class Similarity:
     rows: int = 4
 
 
-def permuted(x: np.ndarray) -> np.ndarray:
-    """A fixed permutation of the 32-bit integers, in place."""
+def permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
+    """A permutation of the 32-bit integers, in place; odd factors and shifted differences can be undone."""
     x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
+    x *= np.uint32(first)
     x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
+    x *= np.uint32(second)
     x ^= x >> np.uint32(16)
     return x
 
 
+#: Factors of the two permutations: the one that shuffles the shingles, and the one that is shifted.
+SHUFFLING, SHIFTED = (0x85EBCA6B, 0xC2B2AE35), (0x7FEB352D, 0x846CA68B)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x9E3779B97F4A7C15)
@@ -72,11 +76,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def circulant_minima(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    first = permuted((mixed(shingles) >> np.uint64(32)).astype(np.uint32))
+    """Coordinate k is the least of the shingles' numbers in the shifted permutation, turned by k places."""
+    first = permuted((mixed(shingles) >> np.uint64(32)).astype(np.uint32), *SHUFFLING)
     shifts = np.arange(1, coordinates + 1, dtype=np.uint32)[:, None]
     least = np.full(coordinates, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(first), 2048):
-        np.minimum(least, permuted(first[None, at : at + 2048] + shifts).min(axis=1), out=least)
+        np.minimum(least, permuted(first[None, at : at + 2048] + shifts, *SHIFTED).min(axis=1), out=least)
     return least
 
 
@@ -234,13 +239,16 @@ def rarest_first(docs: DataFrame, ids: DataFrame, of: Similarity) -> DataFrame:
     heads = saved(texts.mapInArrow(prefixes, "id long, component long, size long, place long, key long"))
     # within a key only pairs of different components count, so its largest component needn't meet itself
     sizes = heads.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    met = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("key", "largest")
-    left = heads.join(met, "key").filter("component <> largest").alias("x")
-    right = heads.alias("y")
+    met = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components"), F.ceil(F.sum("n") / PORTION).cast("int").alias("parts"))
+    met = if_small(saved(met.filter("components > 1").select("key", "largest", "parts")))
+    # a long key's one side is dealt to portions, and each portion meets the other side
+    tagged = heads.join(met, "key")
+    left = tagged.filter("component <> largest").withColumn("portion", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
+    right = tagged.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     # what follows a common shingle bounds the overlap, and the sizes say how large it must be
     enough = lambda side: (F.col(f"{side}.size") - F.col(f"{side}.place")) * (100 + of.percent) >= of.percent * (F.col("x.size") + F.col("y.size"))
     once = (F.col("y.component") == F.col("x.largest")) | (F.col("x.id") > F.col("y.id"))
-    near = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & enough("x") & enough("y"))
+    near = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.portion") == F.col("y.portion")) & (F.col("x.component") != F.col("y.component")) & once & enough("x") & enough("y"))
     return near.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("leader")).distinct()
 
 
