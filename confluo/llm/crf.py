@@ -7,8 +7,8 @@ context, so code-switched texts are labelled word by word; a text's language is
 largest mean, and that mean is its score.
 
 Fitting is by stochastic gradient on the chain likelihood, over a bounded sample of labelled texts
-(SAMPLE_PER_LANG of each language, chosen by a hash, SAMPLE_CHARS characters of each at most): the
-texts themselves and chains that switch between stretches of different texts, from which transitions
+(SAMPLE_PER_LANG of each language, chosen by a hash, SAMPLE_CHARS characters of each at most, fewer where
+that many languages would make more than SAMPLE_TOTAL characters): the texts themselves and chains that switch between stretches of different texts, from which transitions
 are learned. Prediction streams over all whole texts where they are read; nothing is shuffled.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; words without letters
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from confluo.llm.arrowtext import Words, bounded_batches, bundled, slices, unbundled, words
 
 SAMPLE_PER_LANG = 300
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS, SAMPLE_TOTAL = 20_000, 60_000_000
 #: Bytes of text that are labelled at once; features and messages take many times as much memory.
 SLICE_BYTES = 4 << 20
+#: Different words whose features are held at once.
+WORDS_AT_ONCE = 8192
 LEAST_SCORE = 0.5
 BITS = 17
 CHAIN, CHAINS = 48, 64
@@ -87,11 +89,12 @@ class ChainField:
     first: np.ndarray
 
     def emissions(self, distinct: list[str]) -> np.ndarray:
-        of, slot = word_features(distinct)
         out = np.zeros((len(distinct), len(self.langs)), np.float32)
-        if len(of):
-            begins = np.flatnonzero(np.diff(of, prepend=-1))
-            out[of[begins]] = np.add.reduceat(self.emit[slot], begins, axis=0)
+        for at in range(0, len(distinct), WORDS_AT_ONCE):
+            of, slot = word_features(distinct[at : at + WORDS_AT_ONCE])
+            if len(of):
+                begins = np.flatnonzero(np.diff(of, prepend=-1))
+                out[at + of[begins]] = np.add.reduceat(self.emit[slot], begins, axis=0)
         return out
 
     def marginals(self, w: Words, keep_words: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -156,6 +159,35 @@ def chains(texts: Words, labels: np.ndarray, rng: np.random.Generator) -> tuple[
     return w.codes[np.concatenate([single, mixed])].astype(np.int64), np.concatenate([y, mixed_y])
 
 
+def chain_errors(e: np.ndarray, step: np.ndarray, first: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected less real labels of each place (chains x places x languages) and pair of neighbours (languages x
+    languages, of all chains): the gradients of the negative log-likelihood by emission and by transition. ``e``
+    are log potentials; places of label -1, at the ends of chains, don't count."""
+    n, length, k = e.shape
+    real = gold >= 0
+    p = np.exp(e - e.max(axis=2, keepdims=True))
+    step, first = np.exp(step), np.exp(first)
+    alpha, beta = np.empty((length, n, k)), np.ones((length, n, k))
+    for t in range(length):
+        a = (first[None, :] if t == 0 else alpha[t - 1] @ step) * p[:, t]
+        alpha[t] = a / a.sum(axis=1, keepdims=True)
+    pair = np.zeros((k, k))
+    for t in range(length - 1, 0, -1):
+        into = beta[t] * p[:, t]
+        b = into @ step.T
+        joint = alpha[t - 1][:, :, None] * step[None] * into[:, None, :]
+        pair += (joint / joint.sum(axis=(1, 2), keepdims=True))[real[:, t]].sum(axis=0)
+        beta[t - 1] = np.where(real[:, t, None], b / b.sum(axis=1, keepdims=True), 1)
+    g = alpha * beta
+    g /= g.sum(axis=2, keepdims=True)
+    error = g.transpose(1, 0, 2).copy()
+    error[~real] = 0
+    row, at = np.nonzero(real)
+    error[row, at, gold[real]] -= 1
+    np.subtract.at(pair, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
+    return error, pair
+
+
 def fitted(texts: list[str], labels: list[str], *, epochs: int = 3, rate: float = 0.3, decay: float = 1e-6, seed: int = 3) -> ChainField:
     langs = sorted(set(labels))
     k = len(langs)
@@ -172,33 +204,14 @@ def fitted(texts: list[str], labels: list[str], *, epochs: int = 3, rate: float
         order = rng.permutation(len(x))
         for i in range(0, len(order), CHAINS):
             codes, gold = x[order[i : i + CHAINS]], y[order[i : i + CHAINS]]
-            n, real = len(codes), gold >= 0
+            n = len(codes)
             used, where = np.unique(codes, return_inverse=True)
             where = where.reshape(codes.shape)
             sizes = bounds[used + 1] - bounds[used]
             index = np.repeat(bounds[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             owner, slots = np.repeat(np.arange(len(used)), sizes), slot[index]
             e = np.stack([np.bincount(owner, weights=model.emit[slots, j], minlength=len(used)) for j in range(k)], axis=1)
-            p = np.exp(e - e.max(axis=1, keepdims=True))[where]
-            step, first = np.exp(model.step), np.exp(model.first)
-            alpha, beta = np.empty((CHAIN, n, k)), np.ones((CHAIN, n, k))
-            for t in range(CHAIN):
-                a = (first[None, :] if t == 0 else alpha[t - 1] @ step) * p[:, t]
-                alpha[t] = a / a.sum(axis=1, keepdims=True)
-            pair = np.zeros((k, k))
-            for t in range(CHAIN - 1, 0, -1):
-                into = beta[t] * p[:, t]
-                b = into @ step.T
-                joint = alpha[t - 1][:, :, None] * step[None] * into[:, None, :]
-                pair += (joint / joint.sum(axis=(1, 2), keepdims=True))[real[:, t]].sum(axis=0)
-                beta[t - 1] = np.where(real[:, t, None], b / b.sum(axis=1, keepdims=True), 1)
-            g = alpha * beta
-            g /= g.sum(axis=2, keepdims=True)
-            error = g.transpose(1, 0, 2)
-            error[~real] = 0
-            row, at = np.nonzero(real)
-            error[row, at, gold[real]] -= 1
-            np.subtract.at(pair, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
+            error, pair = chain_errors(e[where], model.step, model.first, gold)
             pair /= n
             by_word = np.stack([np.bincount(where.ravel(), weights=error[:, :, j].ravel(), minlength=len(used)) for j in range(k)], axis=1)
             touched, at = np.unique(slots, return_inverse=True)
@@ -226,8 +239,9 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     # one scan: a hash below each language's share picks a little more than the sample, which is then cut to size
     most = per_lang + 6 * per_lang**0.5 + 20
     below = F.create_map(*(x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(int(min(1.0, most / n) * (1 << 30))))))
+    chars = max(1, min(SAMPLE_CHARS, SAMPLE_TOTAL // (per_lang * len(sizes))))
     h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
-    picked = sorted((r["lang"], r["h"], r["id"] or 0, r["text"]) for r in rows.withColumn("h", h).filter(h < below[F.col("lang")]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).collect())
+    picked = sorted((r["lang"], r["h"], r["id"] or 0, r["text"]) for r in rows.withColumn("h", h).filter(h < below[F.col("lang")]).withColumn("text", F.substring("text", 1, chars)).collect())
     seen: dict[str, int] = {}
     found = []
     for name, _, _, t in picked:
