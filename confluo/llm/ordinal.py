@@ -6,13 +6,13 @@ which gives the expected grade and the probability of the top grade (the tail),
 selected.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE_PER_GRADE of each grade, by a hash of
-the id, of at most SAMPLE_CHARS characters) and then applied to every whole text where it is read: each
+the id, among the documents of 1 to SAMPLE_CHARS characters) and then applied to every whole text where it is read: each
 distinct word of a batch is hashed once, and a text's score is a sum over its words.
 
 Defined results: null, empty and blank texts have no features; they get the score 0 and are not kept;
 labels without a rating, or of unknown documents, aren't used; contradicting labels of one document
-are all used; an empty label table or one with a single grade raises ValueError when there are documents to
-rate; repeated rows are rated each on their own.
+are all used; without labels of two grades there is no model, and score, grade and probability are null and
+nothing is kept; repeated rows are rated each on their own.
 """
 
 from __future__ import annotations
@@ -78,6 +78,21 @@ class CumulativeLink:
         return (1 - below).sum(axis=1), 1 - below[:, -1]
 
 
+def gradients(score: np.ndarray, thresholds: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log-likelihood of the grades, F(t_k - s) - F(t_{k-1} - s) each, and its gradients by
+    score and by threshold."""
+    n, i = len(score), np.arange(len(score))
+    f = 1 / (1 + np.exp(np.clip(score[:, None] - thresholds[None, :], -40, 40)))
+    full = np.concatenate([np.zeros((n, 1)), f, np.ones((n, 1))], axis=1)
+    slope = full * (1 - full)
+    p = np.maximum(full[i, grades + 1] - full[i, grades], 1e-6)
+    by_score = weight * (slope[i, grades + 1] - slope[i, grades]) / p
+    by_threshold = np.zeros((n, len(thresholds) + 2))
+    by_threshold[i, grades + 1] -= weight * slope[i, grades + 1] / p
+    by_threshold[i, grades] += weight * slope[i, grades] / p
+    return float(-(weight * np.log(p)).sum()), by_score, by_threshold[:, 1:-1].sum(axis=0)
+
+
 def fitted(text: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.ndarray, *, epochs: int = 30, rate: float = 0.5, decay: float = 1e-4, seed: int = 7) -> CumulativeLink:
     """Adagrad on the cumulative-link likelihood; texts weigh inversely to their grade's frequency, and
     slots seen in fewer than LEAST_TEXTS texts get no weight."""
@@ -91,7 +106,7 @@ def fitted(text: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.nda
     w, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     t, t_seen = np.linspace(-1.0, 1.0, GRADES - 1), np.full(GRADES - 1, 1e-6)
     rng = np.random.default_rng(seed)
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 64):
             rows = order[at : at + 64]
@@ -99,19 +114,7 @@ def fitted(text: np.ndarray, slot: np.ndarray, value: np.ndarray, grades: np.nda
             index = np.repeat(bounds[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             of = np.repeat(np.arange(len(rows)), size)
             s = np.bincount(of, weights=w[slot[index]] * value[index], minlength=len(rows))
-            # likelihood of grade k: F(t_k - s) - F(t_{k-1} - s)
-            f = 1 / (1 + np.exp(np.clip(s[:, None] - t[None, :], -40, 40)))
-            full = np.concatenate([np.zeros((len(rows), 1)), f, np.ones((len(rows), 1))], axis=1)
-            slope = full * (1 - full)
-            k = grades[rows]
-            i = np.arange(len(rows))
-            p = np.maximum(full[i, k + 1] - full[i, k], 1e-6)
-            weight = balance[k] / len(rows)
-            gs = weight * (slope[i, k + 1] - slope[i, k]) / p
-            gt = np.zeros((len(rows), GRADES + 1))
-            gt[i, k + 1] -= weight * slope[i, k + 1] / p
-            gt[i, k] += weight * slope[i, k] / p
-            gt = gt[:, 1:-1].sum(axis=0)
+            _, gs, gt = gradients(s, t, grades[rows], balance[grades[rows]] / len(rows))
             touched, where = np.unique(slot[index], return_inverse=True)
             g = np.bincount(where, weights=gs[of] * value[index], minlength=len(touched)) + decay * w[touched]
             seen[touched] += g * g
@@ -127,27 +130,33 @@ def grade(quality, toxic):
 
 def sample(docs: DataFrame, labels: DataFrame, *, key: str, text: str, per_grade: int = SAMPLE_PER_GRADE) -> tuple[list[str], np.ndarray]:
     """At most ``per_grade`` rated texts of each grade."""
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
     rated = labels.select(F.col("doc_id").alias("id"), grade(F.col("quality"), F.col("toxic")).alias("grade")).filter("grade IS NOT NULL AND id IS NOT NULL")
-    ranked = rated.withColumn("h", F.xxhash64("id", F.lit(11)))
+    # labels of other documents don't use up the sample
+    ranked = rated.join(texts.select("id"), "id", "left_semi").withColumn("h", F.xxhash64("id", F.lit(11)))
     picked = None
     for g in range(GRADES):
         part = ranked.filter(F.col("grade") == g).orderBy("h", "id").limit(per_grade)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(picked), "id").select("id", "text", "grade").toArrow()
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "grade").toArrow()
     order = np.argsort(rows["id"].to_numpy(), kind="stable")
     return [rows["text"][int(i)].as_py() for i in order], rows["grade"].to_numpy()[order]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> CumulativeLink:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> CumulativeLink | None:
+    """The model, or None without labels of two grades."""
     texts, grades = sample(docs, labels, key=key, text=text)
     if len(set(grades.tolist())) < 2:
-        raise ValueError("the labels need two grades at least")
+        return None
     return fitted(*text_features(words(pa.array(texts, pa.large_string()))), grades, **options)
 
 
-def rate(docs: DataFrame, model: CumulativeLink, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def rate(docs: DataFrame, model: CumulativeLink | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, score, expected_grade, p_top, kept."""
     spark = docs.sparkSession
+    none = F.lit(None).cast("double")
+    if model is None:
+        return docs.select(F.col(key).cast("long").alias("doc_id"), none.alias("score"), none.alias("expected_grade"), none.alias("p_top"), F.lit(False).alias("kept"))
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
