@@ -51,16 +51,18 @@ LEFT JOIN (SELECT e.x AS doc_id, min(e.y) AS k FROM edges e JOIN sizes p ON p.do
 
 
 def op10() -> str:
-    from confluo.llm.licenses import KNOWN, SPELLINGS
+    from confluo.llm.licenses import CLAUSE_NUMBER, COPYRIGHT_LINE, DIGESTS, KNOWN, SPELLINGS, TITLE
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    copyright_line = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved|portions copyright)([^\n]*)$"
-    form = f"regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10)), '{copyright_line}', '', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A9}}\\x{{2018}}-\\x{{201F}}]+', ' ', 'g')"
+    form = f"regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10)), '{COPYRIGHT_LINE}', '', 'g')"
+    form = f"regexp_replace({form}, '{CLAUSE_NUMBER}', ' ', 'g')"
+    form = f"regexp_replace({form}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A9}}\\x{{2018}}-\\x{{201F}}]+', ' ', 'g')"
     form = f"' ' || trim({form}, ' ') || ' '"
     for old, new in SPELLINGS:
         form = f"replace({form}, ' {old} ', ' {new} ')"
-    form = f"sha256(trim({form}, ' '))"
+    form = f"sha256(regexp_replace(trim({form}, ' '), '{TITLE}', ''))"
     texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN.items())
-    return f"""WITH known AS (SELECT {form} AS digest, min(license) AS license FROM (VALUES {texts}) t(license, text) GROUP BY 1),
+    digests = ", ".join(f"('{d}', {quoted(k)})" for k, d in DIGESTS.items())
+    return f"""WITH known AS (SELECT digest, min(license) AS license FROM (SELECT {form} AS digest, license FROM (VALUES {texts}) t(license, text) UNION ALL SELECT * FROM (VALUES {digests})) GROUP BY 1),
 docs AS (SELECT doc_id, {form} AS digest FROM documents)
 SELECT doc_id, digest, license FROM docs LEFT JOIN known USING (digest)"""

@@ -52,6 +52,69 @@ def test_outliers_of_each_group_go(shipped, rng):
     assert gone == {i for i in range(900) if i % 30 == 0}
 
 
+def fast_mcd(x, floors, rng, starts=200):
+    """Location and determinant of the best subset found from many random starts, in numpy."""
+    n, d = x.shape
+    h = int(np.ceil(mcd.H_SHARE * n))
+    scale = mcd.H_SHARE / mcd.chi_square_cdf(mcd.chi_square_quantile(mcd.H_SHARE, d), d + 2)
+
+    def moments(rows):
+        m = rows.mean(axis=0)
+        c = scale * ((rows[:, :, None] * rows[:, None, :]).mean(axis=0) - np.outer(m, m))
+        np.fill_diagonal(c, np.maximum(np.diag(c), floors**2))
+        return m, c
+
+    best = None
+    for _ in range(starts):
+        m, c = moments(x[rng.choice(n, d + 1, replace=False)])
+        for _ in range(30):
+            r = x - m
+            near = np.argsort(np.einsum("ij,jk,ik->i", r, np.linalg.inv(c), r), kind="stable")[:h]
+            old, (m, c) = np.linalg.det(c), moments(x[near])
+            if np.linalg.det(c) >= old * (1 - 1e-9):
+                break
+        if best is None or np.linalg.det(c) < best[1]:
+            best = m, np.linalg.det(c)
+    return best
+
+
+def test_determinant_is_as_small_as_from_many_random_starts(shipped):
+    rng = np.random.default_rng(4)
+    floors = np.array(list(mcd.FLOORS.values()))
+    rows, want = [], {}
+    for lang in "ab":
+        for source in "st":
+            n = 400
+            mix = rng.normal(size=(5, 5)) * floors * 2
+            x = rng.normal(size=(n, 5)) @ mix + rng.normal(size=5)
+            x[: n // 5] = rng.normal(size=(n // 5, 5)) * 0.3 * floors + 6 * np.abs(mix).sum(axis=0)  # a tight cluster far away
+            rows += [(lang, source, *map(float, v)) for v in x]
+            want[lang, source] = fast_mcd(x, floors, rng)
+    df = shipped.createDataFrame(rows, "lang_ string, source_ string, " + ", ".join(f"{n} double" for n in mcd.NAMES))
+    found = {(r["lang_"], r["source_"]): r for r in mcd.smallest_determinants(df).collect()}
+    for k, (m, determinant) in want.items():
+        assert found[k]["determinant"] <= 1.1 * determinant
+        assert np.abs(np.array([found[k][c] for c in mcd.MEANS]) - m).max() < 0.3
+
+
+def test_small_groups_lean_on_their_parents(shipped):
+    rng = np.random.default_rng(6)
+    rows = []
+    for source, n, at in (("big", 3000, 0.0), ("mid", 200, 3.0), ("small", 5, 3.0)):
+        rows += [("a", source, False, *map(float, rng.normal(size=5) + at)) for _ in range(n)]
+    df = shipped.createDataFrame(rows, "lang_ string, source_ string, base_failed boolean, " + ", ".join(f"{n} double" for n in mcd.NAMES))
+    found = {r["source_"]: r["m_0"] for r in mcd.estimates(df).collect()}
+    assert abs(found["big"]) < 0.1 and 2 < found["mid"] < 3 and 0 < found["small"] < 0.6
+    salted = mcd.BROADCAST_IDS
+    try:
+        mcd.BROADCAST_IDS = 0
+        again = {r["source_"]: r["m_0"] for r in mcd.estimates(df).collect()}
+    finally:
+        mcd.BROADCAST_IDS = salted
+    assert again == pytest.approx(found)
+    assert mcd.estimates(df.limit(0)).count() == 0
+
+
 def test_chi_square():
     assert mcd.chi_square_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert mcd.chi_square_cdf(2.0, 2) == pytest.approx(1 - math.exp(-1), abs=1e-9)
@@ -148,8 +211,65 @@ def test_ordinal_grades(shipped, rng, odd, empty):
     mean = [np.mean([out[i]["expected_grade"] for i in range(600) if i % 3 == g]) for g in range(3)]
     assert mean[0] < mean[1] < mean[2]
     assert ordinal.rate(odd, model).count() == odd.count() and ordinal.rate(empty, model).count() == 0
-    with pytest.raises(ValueError):
-        ordinal.fit(docs, known.limit(0))
+    for labels_ in (known.limit(0), known.filter("quality = 1 AND toxic = 0"), known.filter("doc_id = 1000000")):
+        assert ordinal.fit(docs, labels_) is None
+    assert ordinal.fit(empty, known) is None
+    r = ordinal.rate(odd, None).collect()
+    assert len(r) == odd.count() and all(x["expected_grade"] is None and x["kept"] is False for x in r)
+
+
+def test_labels_of_other_documents_dont_use_up_the_sample(shipped):
+    docs = shipped.createDataFrame([(i, f"text {i}") for i in range(40)] + [(99, "x" * 30_000)], "doc_id long, text string")
+    labels = shipped.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(i, i % 2, 0) for i in range(99, 4000)], "doc_id long, quality int, toxic int")
+    texts, grades = ordinal.sample(docs, labels, key="doc_id", text="text", per_grade=20)
+    assert len(texts) == 40 and sorted(grades) == [1] * 20 + [2] * 20
+
+
+def test_cumulative_link_gradients_and_distribution():
+    rng = np.random.default_rng(3)
+    s, t, k, w = rng.normal(size=9), np.array([-0.4, 0.9]), rng.integers(0, 3, 9), rng.random(9)
+    loss, by_score, by_threshold = ordinal.gradients(s, t, k, w)
+    e = 1e-6
+    for i in range(9):
+        d = np.eye(9)[i] * e
+        assert (ordinal.gradients(s + d, t, k, w)[0] - ordinal.gradients(s - d, t, k, w)[0]) / (2 * e) == pytest.approx(by_score[i], abs=1e-6)
+    for i in range(2):
+        d = np.eye(2)[i] * e
+        assert (ordinal.gradients(s, t + d, k, w)[0] - ordinal.gradients(s, t - d, k, w)[0]) / (2 * e) == pytest.approx(by_threshold[i], abs=1e-6)
+    # by hand: grade probabilities, expected grade and tail
+    model = ordinal.CumulativeLink(np.zeros(1), t)
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    expected, top = model.rated(s)
+    for i in range(9):
+        p = [logistic(t[0] - s[i]), logistic(t[1] - s[i]) - logistic(t[0] - s[i]), 1 - logistic(t[1] - s[i])]
+        assert (expected[i], top[i]) == pytest.approx((p[1] + 2 * p[2], p[2]))
+        assert math.exp(-ordinal.gradients(s[i : i + 1], t, k[i : i + 1], np.ones(1))[0]) == pytest.approx(p[k[i]])
+
+
+def test_chain_gradients_are_those_of_the_likelihood():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    e, step, first = rng.normal(size=(3, 4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    gold = np.array([[0, 1, 1, 0], [1, 1, -1, -1], [0, -1, -1, -1]])
+
+    def loss(e, step):
+        out = 0.0
+        for c in range(3):
+            size = int((gold[c] >= 0).sum())
+            score = lambda path: first[path[0]] + sum(e[c, t, y] for t, y in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:]))
+            out += math.log(sum(math.exp(score(path)) for path in itertools.product(range(2), repeat=size))) - score(gold[c][:size].tolist())
+        return out
+
+    error, pair = crf.chain_errors(e, step, first, gold)
+    for at in np.ndindex(e.shape):
+        d = np.zeros_like(e)
+        d[at] = 1e-6
+        assert (loss(e + d, step) - loss(e - d, step)) / 2e-6 == pytest.approx(error[at], abs=1e-6)
+    for at in np.ndindex(step.shape):
+        d = np.zeros_like(step)
+        d[at] = 1e-6
+        assert (loss(e, step + d) - loss(e, step - d)) / 2e-6 == pytest.approx(pair[at], abs=1e-6)
 
 
 def fold(t):
@@ -158,7 +278,7 @@ def fold(t):
 
 def test_base_score_agrees_with_brute_force(shipped, rng, odd, empty, monkeypatch):
     monkeypatch.setattr(attention_lm, "HEAD", 20)
-    monkeypatch.setattr(attention_lm, "FIRST_STEPS", 30)
+    monkeypatch.setattr(attention_lm, "FIRST_STEPS", 6)
     texts = [prose(rng, rng.randint(0, 90)) + " " + str(rng.randrange(40)) for _ in range(60)] + [None, "", "neverseen neverseen"]
     rows = attention_lm.score(documents(shipped, texts)).collect()
     tokens = {i: re.findall(SPACED, fold(t)) + [""] for i, t in enumerate(texts)}
@@ -217,21 +337,56 @@ def test_shape_and_learning_of_ids_with_slots_of_their_own():
     assert m.log_probabilities(p, c, np.array([0, 210]), pattern[:210])[0] > before / 5
 
 
-def test_weights_learn_from_every_training_document(shipped, rng):
-    # too long for the first sample, so the rounds alone can learn them
+def test_every_text_gives_blocks_of_whole_words(rng):
+    import pyarrow as pa
+
+    m = attention_lm
+    texts = [prose(rng, n) for n in (1, 200, 900, 3000)] + ["w" * 5000, "a" * 800 + " b", " " * 2000 + "x"]
+    column, salt = pa.array(["left out", *texts], pa.large_string()).slice(1), np.arange(len(texts)) * 7919
+    for share in (1, 2, 32):
+        seen = [""] * len(texts)
+        for number in range(share):
+            out, first, last = m.blocks(column, salt, share, number)
+            of = 0
+            for t, a, b in zip(out.to_pylist(), first, last):
+                while not (t in texts[of] and (not a or texts[of].startswith(t)) and (not b or texts[of].endswith(t))):
+                    of += 1
+                assert len(t.encode()) < m.BLOCK_BYTES + 6000
+                seen[of] += " " + t
+        for t, s in zip(texts, seen):
+            assert set(re.findall(SPACED, t)) == set(re.findall(SPACED, s)) or not t.strip()
+    c = m.slots(np.ones(m.VOCABULARY, np.int64))
+    ids = np.arange(100)
+    x, y = m.training_windows(c, np.array([0, 100]), ids)
+    assert sorted(y[y >= 0]) == sorted(c.of[ids])
+    x, y = m.training_windows(c, np.array([0, 60, 100]), ids, np.array([True, False]), np.array([False, True]))
+    some = set(y[y >= 0].tolist())
+    assert some & set(c.of[60:100]) == set(c.of[100 - len(some & set(c.of[60:100])) : 100]) and c.of[59] not in some
+    assert set(c.of[:24]) <= some and len(some & set(c.of[60:100])) >= 40 - 8
+
+
+def test_weights_learn_from_every_training_document(shipped, rng, monkeypatch):
     words = [rng.choice("kato miru bragstel vorn quil".split()) for _ in range(40)]
     texts = [" ".join(words * 60) for _ in range(40)]
-    assert len(texts[0]) > attention_lm.SAMPLE_CHARS
     df = documents(shipped, texts).coalesce(1)
-    seen = []
-    kept = attention_lm.round_
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(attention_lm, "round_", lambda *x: seen.append(kept(*x)) or seen[-1])
-        rows = attention_lm.score(df).collect()
-    assert all(p is not None for p in seen)
+    seen, kept = [], attention_lm.round_
+    monkeypatch.setattr(attention_lm, "round_", lambda *x: seen.append(kept(*x)) or seen[-1])
+    rows = attention_lm.score(df).collect()
+    assert len(seen) == attention_lm.ROUNDS and all(p is not None for p in seen)
     assert np.mean([r["score"] / r["n_tokens"] for r in rows]) > -1
 
 
+def test_sections_score_as_a_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    m = attention_lm
+    c, p = m.slots(rng.integers(1, 500, m.VOCABULARY)), m.fresh()
+    sizes = [0, 5, 700, 64, 65, 3]
+    offsets, ids = np.concatenate([[0], np.cumsum(sizes)]), rng.integers(0, 5000, sum(sizes))
+    whole = m.log_probabilities(p, c, offsets, ids)
+    monkeypatch.setattr(m, "SECTION", 64)
+    np.testing.assert_allclose(m.log_probabilities(p, c, offsets, ids), whole, rtol=1e-5)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     p = {n: a.astype(np.float64) for n, a in attention_lm.fresh().items()}

@@ -163,11 +163,101 @@ def test_secrets_agree_with_brute_force(shipped, rng, odd, empty):
 
 
 def test_least_cut():
-    uniform = [10] * secrets.CELLS
-    assert secrets.least_cut(uniform) == 1e-3
-    assert secrets.least_cut([2000] + [10] * (secrets.CELLS - 1)) == 1e-3
-    assert 0.02 < secrets.least_cut([40] * 50 + [10] * (secrets.CELLS - 50)) < 0.05
-    assert secrets.least_cut([0] * secrets.CELLS) == secrets.USUAL_CUT
+    n = secrets.CELLS
+    structured = lambda m, cells: [m // cells if c < cells else 0 for c in range(n)]
+    both = lambda a, b: [x + y for x, y in zip(a, b)]
+    uniform = [50] * n
+    assert secrets.least_cut(uniform) == 1 / n
+    assert secrets.least_cut([0] * n) == secrets.USUAL_CUT
+    assert secrets.least_cut(both(uniform, structured(40_000, 1))) == 1 / n
+    wide = secrets.least_cut(both(uniform, structured(20_000, 20)))
+    assert 15 / n <= wide <= 20 / n
+    # few strings lean on the usual cut, and more of them move it little by little
+    by_size = [secrets.least_cut(both([x // 50 * 1 for x in uniform], structured(m, 20))) for m in (0, 40, 400, 4000)]
+    assert by_size == sorted(by_size) and by_size[0] <= 2 * secrets.USUAL_CUT
+
+
+def key(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_p_values_of_random_strings_are_uniform(shipped):
+    rng = random.Random(11)
+    for name, pattern, alphabet in secrets.ENCODINGS:
+        for n in (24, 33, 60):
+            rows = [key(rng, alphabet, n) for _ in range(900)]
+            rows = [x for x in rows if re.search(secrets.ENCODINGS[[e[0] for e in secrets.ENCODINGS].index(name)][1], x)]
+            if name.endswith("26") and n < secrets.LETTERS:
+                continue
+            ps = sorted(r["p"] for r in secrets.p_values(documents(shipped, [" ".join(rows)])).filter(f"encoding = {[e[0] for e in secrets.ENCODINGS].index(name)}").collect())
+            assert len(ps) > 300
+            assert max(abs(p - (i + 0.5) / len(ps)) for i, p in enumerate(ps)) < 0.06 + 0.9 / len(ps) ** 0.5, (name, n)
+
+
+def test_false_discoveries_stay_few_and_keys_are_found(shipped):
+    rng = random.Random(12)
+    mixed = secrets.UPPER + secrets.LOWER
+    keys = [key(rng, mixed + secrets.DIGITS, rng.choice([24, 32, 40])) for _ in range(150)] + [key(rng, mixed, 36) for _ in range(100)] + [key(rng, mixed + secrets.DIGITS + "+/", 42) + "==" for _ in range(100)]
+    parts = "get user name list order by count http server value table index record state total".split()
+    plain = ["".join(w.title() for w in rng.choices(parts, k=6)) for _ in range(300)] + ["".join(rng.choices(parts, k=5)).title() + "V" + "%09d" % i + "xA" for i in range(300)] + ["item_%020d" % i for i in range(100)]
+    texts = [f"see {x} there" for x in keys + plain]
+    got = {r["doc_id"]: r for r in secrets.scan(documents(shipped, texts)).collect()}
+    found = [i for i in got if got[i]["n_random"]]
+    true = sum(i < len(keys) for i in found)
+    assert true >= 0.8 * len(keys)
+    assert len(found) - true <= 2 * secrets.FDR * len(found)
+    # the whole string is the span, padding included
+    i = next(i for i in found if keys[i].endswith("=="))
+    assert got[i]["spans"] == f"random:4:{4 + len(keys[i])}"
+
+
+def test_query_finds_planted_keys(shipped, tmp_path):
+    from confluo.llm import queries
+
+    rng = random.Random(13)
+    texts = ["plain words only"] * 50 + [f"x {key(rng, secrets.UPPER + secrets.LOWER + secrets.DIGITS, 40)} y" for _ in range(50)]
+    documents(shipped, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_random"] for r in queries.op3_secret_scans(shipped, str(tmp_path)).collect()}
+    assert sum(got[i] for i in range(50)) == 0 and sum(got[i] for i in range(50, 100)) >= 45
+
+
+HEADERS = {"MIT": ["MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "ISC Licence"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License", "The New BSD License"], "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"], "Zlib": ["The zlib License", "zlib License"]}
+
+
+def test_wrapped_and_titled_licenses(shipped):
+    import textwrap
+
+    texts, want = [], []
+    for name, text in licenses.KNOWN.items():
+        for width in (72, 80):
+            for title in ["", *HEADERS.get(name, [])]:
+                holder = f"Copyright (c) 2021-2024, Some Body <some@body.org>\nPortions copyright 1999 Others\nAll rights reserved.\r\n\n" if title or width == 72 else ""
+                texts.append((title + "\n\n") * bool(title) + holder + textwrap.fill(text, width, initial_indent="  ", break_long_words=False, break_on_hyphens=False))
+                want.append(name)
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(documents(shipped, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    bullets = licenses.KNOWN["BSD-3-Clause"]
+    for n in "123":
+        bullets = bullets.replace(f" {n}. ", "\n* ")
+    near = [bullets, licenses.KNOWN["MIT"].replace("sell copies", "rent copies"), "Copyright notices matter.\n" + licenses.KNOWN["ISC"]]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(documents(shipped, near)).collect()}
+    assert [got[i] for i in range(3)] == ["BSD-3-Clause", None, None]
+
+
+def test_long_licenses(shipped):
+    import os
+
+    import pytest
+
+    folder = "/usr/share/common-licenses"
+    files = {n: f"{folder}/{n}" for n in licenses.DIGESTS} | {n: f"{folder}/{n.removesuffix('.0')}" for n in licenses.DIGESTS if n.startswith(("GPL", "LGPL"))} | {"Artistic-1.0": f"{folder}/Artistic"}
+    found = {n: f for n, f in files.items() if os.path.exists(f)}
+    if not found:
+        pytest.skip("no licence texts here")
+    texts = [open(f, encoding="utf-8").read() for f in found.values()]
+    texts += [re.sub(r"\bLICENSE(S?)\b", r"LICENCE\1", t.replace("\n", "\r\n").upper()) for t in texts]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(documents(shipped, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(found) * 2
 
 
 def test_licenses(shipped, odd, empty):
