@@ -2,8 +2,9 @@
 
 The file's tokens end words, drop white space and never span it, so a text's ids are the ids of its
 white-space separated chunks, one after another. Each distinct chunk of a batch is encoded once:
-plain chunks by byte-pair ranks, anything unusual (characters outside ASCII and Latin letters,
-special-token strings) by the tokenizers library itself.
+plain chunks all together by byte-pair ranks, with a line end where a piece ends and a space where a chunk
+does; anything unusual (characters outside ASCII and Latin letters, special-token strings) by the tokenizers
+library itself.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import pyarrow as pa
 from confluo.llm.arrowtext import Words, ragged, words
 
 #: How the vocabulary file cuts a chunk into pieces, for ASCII and Latin-1 letters.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9 ]+")
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+\Z")
-END = b"\xff"
-#: Chunks a worker keeps between batches; beyond it, chunks are encoded anew.
-KEPT = 100_000
+#: What marks the end of a piece, and of a chunk, in the text that is encoded at once; neither occurs in a chunk.
+END, GAP = "\n", " "
 #: Words whose ids are gathered at once.
 IDS_AT_ONCE = 100_000
 
@@ -49,25 +49,38 @@ class WordTokenizer:
         letters = byte_letters()
         ranks = {}
         for token, rank in json.loads(raw)["model"]["vocab"].items():
-            body, end = (token[:-4], END) if token.endswith("</w>") else (token, b"")
+            body, end = (token[:-4], END.encode()) if token.endswith("</w>") else (token, b"")
             if all(c in letters for c in body) and not token.startswith("<|"):
                 ranks[bytes(letters[c] for c in body) + end] = rank
         spare = max(ranks.values()) + 1000
-        ranks.setdefault(END, spare)
-        self.kept: dict[str, list[int]] = {}
-        self.core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-
-    def chunk(self, text: str) -> list[int]:
-        """Ids of a text without white space."""
-        if text.isascii() and text.isalpha():
-            return self.core.encode_single_piece(text.lower().encode() + END)
-        if not PLAIN.match(text) or "<|" in text:
-            return self.library.encode(text, add_special_tokens=False).ids
-        piece = self.core.encode_single_piece
-        text = text.lower()
-        if text.isalpha():
-            return piece(text.encode() + END)
-        return list(chain.from_iterable(piece(p.encode() + END) for p in PIECES.findall(text)))
+        for i, mark in enumerate((END, GAP)):  # line ends and spaces aren't in the vocabulary's own pieces here
+            ranks[mark.encode()] = spare + i
+        self.gap = ranks[GAP.encode()]
+        self.core = tiktoken.Encoding("words", pat_str=r"[^\n ]+\n| ", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids one after another) of texts without white space."""
+        word, mixed, odd = [], [], []
+        for i, x in enumerate(texts):
+            (word if x.isascii() and x.isalpha() else mixed if PLAIN.match(x) and "<|" not in x else odd).append(i)
+        lengths, parts = np.zeros(len(texts), np.int64), []
+        for group, line in ((word, (END + GAP).join), (mixed, GAP.join)):
+            if not group:
+                continue
+            text = line([texts[i] for i in group]).lower()
+            text = text + END if group is word else PIECES.sub(rf"\g<0>{END}", text)
+            ids = np.frombuffer(self.core.encode_to_tiktoken_buffer(text, frozenset()), np.uint32)
+            gaps = np.flatnonzero(ids == self.gap)
+            lengths[group] = np.diff(gaps, prepend=-1, append=len(ids)) - 1
+            parts.append((group, ids[ids != self.gap]))
+        if odd:
+            each = [self.library.encode(texts[i], add_special_tokens=False).ids for i in odd]
+            lengths[odd] = [len(x) for x in each]
+            parts.append((odd, np.fromiter(chain.from_iterable(each), np.uint32)))
+        flat, begins = np.empty(int(lengths.sum()), np.uint32), np.cumsum(lengths) - lengths
+        for group, ids in parts:
+            flat[ragged(begins[group], lengths[group])] = ids
+        return lengths, flat
 
     def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids as uint32): text i has ids[offsets[i]:offsets[i + 1]], then ``end`` if given."""
@@ -75,20 +88,14 @@ class WordTokenizer:
 
     def encoded(self, w: Words, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The same of texts that are cut into words already."""
-        kept, chunk = self.kept, self.chunk
-        each = [kept.get(x) or (chunk(x) if x else []) for x in w.distinct]
-        if len(kept) < KEPT:
-            kept.update(zip(w.distinct[: KEPT - len(kept)], each))
+        lengths, flat = self.chunks(w.distinct)
         if end is not None:
-            each.append([end])
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.uint32, int(lengths.sum()))
+            lengths, flat = np.append(lengths, 1), np.append(flat, np.uint32(end))
         begins = np.cumsum(lengths) - lengths
         codes, offsets = w.codes, w.offsets
         if end is not None:
-            codes = np.insert(codes, offsets[1:], len(each) - 1)
+            codes = np.insert(codes, offsets[1:], len(lengths) - 1)
             offsets = offsets + np.arange(len(offsets))
-        del each
         sizes = lengths[codes]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = np.empty(int(upto[-1]), np.uint32)

