@@ -72,11 +72,13 @@ def bidirectional(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def missing_operations(required: DataFrame, journal: DataFrame) -> DataFrame:
-    """Journal rows (replica_id, global_clock, ...) that fill the requirements: ranges without the known, and dots."""
-    need = required.select(F.col("origin").alias("replica_id"), "target_contiguous", "source_contiguous", "known", "missing")
-    g = F.col("global_clock")
-    wanted = ((g > F.col("target_contiguous")) & (g <= F.col("source_contiguous")) & ~F.array_contains("known", g)) | F.array_contains("missing", g)
-    return journal.join(need, "replica_id").filter(wanted).select(journal.columns)
+    """Journal rows (replica_id, global_clock, ...) that fill the requirements: ranges without the known, and dots.
+    Dots are rows of their own, so a journal row meets its dot and not an array of them. The journal may be a stream."""
+    ranges = required.select(F.col("origin").alias("replica_id"), "target_contiguous", "source_contiguous")
+    dot = lambda name, wanted: F.transform(name, lambda d: F.struct(d.alias("global_clock"), F.lit(wanted).alias("wanted")))
+    dots = required.select(F.col("origin").alias("replica_id"), F.inline(F.concat(dot("known", False), dot("missing", True))))
+    within = (F.col("global_clock") > F.col("target_contiguous")) & (F.col("global_clock") <= F.col("source_contiguous"))
+    return journal.join(ranges, "replica_id").join(dots, ["replica_id", "global_clock"], "left").filter(F.coalesce("wanted", within)).select(journal.columns)
 
 
 def journal_completeness(required: DataFrame, journal: DataFrame) -> DataFrame:
