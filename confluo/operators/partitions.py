@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Catalogs up to this many ranges are broadcast for routing; larger ones are joined by sorting.
+from confluo.functions.paths import within
+from confluo.session import saved
+
+#: Ranges of a catalog that are broadcast at once for routing.
 BROADCAST_RANGES = 200_000
+#: Strategies whose payload's key is the voter, or a position.
+BY_TAG, BY_POSITION = {"vote_counter"}, {"array_lcs", "lseq", "rga"}
 
 
 def catalog(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
@@ -19,16 +25,20 @@ def catalog(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
 
 
 def route(rows: DataFrame, ranges: DataFrame, by: str, key: str) -> DataFrame:
-    """Rows with the part whose range holds their key. Few ranges are broadcast, each as one sorted array per
-    ``by``; otherwise starts and rows are sorted together and the last start carried forward."""
-    if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
-        starts = ranges.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start_key", "part"))).alias("starts"))
-        found = F.try_element_at(F.filter("starts", lambda s: s["start_key"] <= F.col(key)), F.lit(-1))["part"]
-        return rows.join(F.broadcast(starts), by).withColumn("part", found).drop("starts")
-    marks = ranges.select(by, F.col("start_key").alias(key), "part", F.lit(0).alias("is_row"))
-    both = rows.withColumn("is_row", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(key, "is_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("part", F.last("part", ignorenulls=True).over(w)).filter("is_row = 1").drop("is_row")
+    """Rows with the part whose range holds their key, null where there is none. The catalog is broadcast in
+    blocks of at most BROADCAST_RANGES ranges, each as one sorted array per ``by`` that a row searches by halving;
+    the greatest start of all blocks wins. Rows aren't shuffled, whatever a group's size."""
+    blocks = max(1, -(-ranges.count() // BROADCAST_RANGES))
+    name = lambda i: f"found_{i}_"
+    for i in range(blocks):
+        mine = ranges if blocks == 1 else ranges.filter(F.pmod(F.xxhash64(by, "start_key"), F.lit(blocks)) == i)
+        starts = mine.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start_key", "part"))).alias("starts_"))
+        powers = F.array(*(F.lit(1 << k) for k in reversed(range(BROADCAST_RANGES.bit_length()))))
+        no_later = lambda at: F.coalesce(F.get("starts_", at)["start_key"] <= F.col(key), F.lit(False))
+        last = F.aggregate(powers, F.lit(-1), lambda at, step: F.when(no_later(at + step), at + step).otherwise(at))
+        rows = rows.join(F.broadcast(starts), by, "left").withColumn(name(i), F.when(last >= 0, F.get("starts_", last))).drop("starts_")
+    found = F.greatest(*(F.col(name(i)) for i in range(blocks))) if blocks > 1 else F.col(name(0))
+    return rows.withColumn("part", found["part"]).drop(*(name(i) for i in range(blocks)))
 
 
 def lookup(ranges: DataFrame, by: str, value: str, key) -> DataFrame:
@@ -40,14 +50,29 @@ def nth(ranges: DataFrame, by: str, value: str, n: int) -> DataFrame:
     return ranges.filter((F.col(by) == value) & (F.col("part") == n))
 
 
-def split(ranges: DataFrame, rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """Ranges above ``most`` rows cut at their median key; halves may be cut again by another call."""
-    placed = route(rows, ranges, by, key)
+def split(ranges: DataFrame, rows: DataFrame, by: str, key: str, most: int, again: bool = False) -> DataFrame:
+    """Ranges above ``most`` rows cut at their median key, once or, with ``again``, halves as long as they are too
+    large and hold several keys. Only the table of ranges goes from turn to turn."""
+    placed = route(rows, ranges, by, key).filter("part IS NOT NULL")
     keys = placed.groupBy(by, "part", key).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by, "part")
-    halves = keys.withColumns({"nth": F.row_number().over(w.orderBy(key)), "keys": F.count(F.lit(1)).over(w), "all": F.sum("n").over(w)})
-    half = F.when((F.col("all") > most) & (F.col("keys") > 1) & (F.col("nth") > F.floor(F.col("keys") / 2)), 1).otherwise(0)
-    parts = halves.groupBy(by, "part", half.alias("half")).agg(F.min(key).alias("start_key"), F.sum("n").alias("n_rows"))
+    w = Window.partitionBy(by, "part").orderBy(key)
+    ranked = saved(keys.withColumns({"nth": F.row_number().over(w), "upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))}))
+    # a range is (first, last] by rank of its keys, and low and high count rows before and up to them
+    now = ranked.groupBy(by, "part").agg(F.max("nth").alias("last"), F.max("upto").alias("high")).select(by, "part", F.lit(0).alias("first"), "last", F.lit(0).cast("long").alias("low"), "high")
+    done = None
+    while True:
+        large = (F.col("high") - F.col("low") > most) & (F.col("last") - F.col("first") > 1)
+        kept, todo = now.filter(~large), now.filter(large)
+        done = kept if done is None else done.unionByName(kept)
+        middle = todo.withColumn("nth", F.col("first") + F.floor((F.col("last") - F.col("first")) / 2).cast("int"))
+        cut = middle.join(ranked.select(by, "part", "nth", F.col("upto").alias("between")), [by, "part", "nth"])
+        halves = F.array(F.struct(F.col("first"), F.col("nth").alias("last"), F.col("low"), F.col("between").alias("high")), F.struct(F.col("nth").alias("first"), F.col("last"), F.col("between").alias("low"), F.col("high")))
+        now = saved(cut.select(by, "part", F.inline(halves)))
+        if not again or now.isEmpty():
+            done = done.unionByName(now)
+            break
+    starts = ranked.select(by, "part", F.col("nth").alias("begin"), F.col(key).alias("start_key"))
+    parts = done.withColumn("begin", F.col("first") + 1).join(starts, [by, "part", "begin"]).select(by, "start_key", (F.col("high") - F.col("low")).alias("n_rows"))
     order = Window.partitionBy(by).orderBy("start_key")
     return parts.select(by, (F.row_number().over(order) - 1).cast("int").alias("part"), "start_key", "n_rows", F.lead("start_key").over(order).alias("end_key"))
 
@@ -58,3 +83,28 @@ def merge(ranges: DataFrame, by: str, least: int) -> DataFrame:
     parts = ranges.withColumn("to", F.floor(before / least)).groupBy(by, "to").agg(F.min("start_key").alias("start_key"), F.sum("n_rows").alias("n_rows"))
     order = Window.partitionBy(by).orderBy("start_key")
     return parts.select(by, (F.row_number().over(order) - 1).cast("int").alias("part"), "start_key", "n_rows", F.lead("start_key").over(order).alias("end_key"))
+
+
+def keyed(ops: DataFrame, root: str, strategy: str) -> DataFrame:
+    """Operations of the property at ``root`` with the key by which they are dealt to parts: what the strategy's
+    payload names (element, map key, voter, position), or null for operations of the whole property."""
+    expression = F.col("tag") if strategy in BY_TAG else F.col("num").cast("string") if strategy in BY_POSITION else F.col("key")
+    return ops.filter(within(F.col("path"), root)).withColumn("part_key", expression.cast("string"))
+
+
+def minimum_key(type_: T.DataType):
+    """The key that no other of its type is below, from which a property's first range starts."""
+    return -(2**63) if isinstance(type_, T.IntegralType) else "" if isinstance(type_, T.StringType) else None
+
+
+def reassembled(header: DataFrame, data: DataFrame, by: str) -> DataFrame:
+    """The whole document again: every row of its parts beside its header, and headers without any data."""
+    return header.join(data, by, "left")
+
+
+def compact_all(folder: str, spark, by: list[str], rule) -> DataFrame:
+    """Run a compaction rule over every part of a saved table, in place; parts come as they are written, each by
+    itself. Returns what is kept."""
+    kept = saved(rule(spark.read.parquet(folder)))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+    return spark.read.parquet(folder)
