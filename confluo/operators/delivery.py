@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,3 +77,23 @@ def catalog_changed(ranges: DataFrame, by: str, *, upserts: DataFrame | None = N
         gone = upserts.select(*at) if gone is None else gone.unionByName(upserts.select(*at))
     out = ranges if gone is None else ranges.join(gone.distinct(), at, "left_anti").select(ranges.columns)
     return out if upserts is None else out.unionByName(upserts.select(ranges.columns))
+
+
+@dataclass
+class Pipeline:
+    """Steps around an application of operations: ``before`` changes the operations, ``around`` takes the
+    application over (and calls it or not), ``after`` sees the operations and the new state."""
+
+    before: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    around: list[Callable[[Callable[[DataFrame], DataFrame], DataFrame], DataFrame]] = field(default_factory=list)
+    after: list[Callable[[DataFrame, DataFrame], DataFrame]] = field(default_factory=list)
+
+    def run(self, ops: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        for step in self.before:
+            ops = step(ops)
+        for step in reversed(self.around):
+            apply = partial(step, apply)
+        state = apply(ops)
+        for step in self.after:
+            state = step(ops, state)
+        return state

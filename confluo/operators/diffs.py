@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _both(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -83,16 +84,53 @@ def transition_diff(old: DataFrame, new: DataFrame, keys: list[str], state: str,
 
 
 def flattened(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, path, value as text) of a document's scalar fields, nested ones by dotted names."""
-    parts = F.array(*(F.struct(F.lit("$." + f).alias("path"), F.col(f).cast("string").alias("value")) for f in fields))
-    return docs.select(key, F.inline(parts))
+    """(key, path, value as text) of a document's scalar fields, nested ones by dotted names; a struct is a row of
+    its own, whose value only says whether it is there."""
+    parts = []
+
+    def add(path: str, at: Column, type_: T.DataType) -> None:
+        if isinstance(type_, T.StructType):
+            parts.append((path, F.when(at.isNotNull(), "{}"), True))
+            for f in type_.fields:
+                add(f"{path}.{f.name}", at.getField(f.name), f.dataType)
+        else:
+            parts.append((path, at.cast("string"), False))
+
+    for f in fields:
+        add("$." + f, F.col(f), docs.schema[f].dataType)
+    rows = F.array(*(F.struct(F.lit(p).alias("path"), v.alias("value"), F.lit(nested).alias("nested")) for p, v, nested in parts))
+    return docs.select(key, F.inline(rows))
 
 
 def object_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Recursive diff of documents: one write per path that differs. A parent that became null is one remove,
-    not one per child."""
-    changes = register_diff(flattened(old, key, fields), flattened(new, key, fields), [key, "path"], "value")
-    return changes
+    """Recursive diff of documents: one write per scalar path that differs. A parent that became null is one remove,
+    not one per child; one that appears is given by its children."""
+    sides = [flattened(x, key, fields) for x in (old, new)]
+    both = _both(sides[0], sides[1], [key, "path"], ["value", "nested"])
+    changed = both.filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    nested = F.coalesce("new_nested", "old_nested")
+    gone = changed.filter(nested & F.col("new_value").isNull()).select(key, F.col("path").alias("above"))
+    rows = changed.filter(~nested | F.col("new_value").isNull())
+    parents = [".".join(p.split(".")[:n]) for p in sorted(_paths(old, fields)) for n in range(2, p.count(".") + 1)]
+    if parents:
+        below = rows.withColumn("above", F.explode_outer(F.filter(F.array(*map(F.lit, sorted(set(parents)))), lambda a: F.col("path").startswith(F.concat(a, F.lit("."))))))
+        hidden = below.join(gone, [key, "above"], "left_semi").select(key, "path").distinct()
+        rows = rows.join(hidden, [key, "path"], "left_anti")
+    return rows.select(key, "path", F.when(F.col("new_value").isNull(), "remove").otherwise("upsert").alias("op_type"), F.col("new_value").alias("value"))
+
+
+def _paths(docs: DataFrame, fields: list[str]) -> list[str]:
+    out = []
+
+    def add(path: str, type_: T.DataType) -> None:
+        out.append(path)
+        if isinstance(type_, T.StructType):
+            for f in type_.fields:
+                add(f"{path}.{f.name}", f.dataType)
+
+    for f in fields:
+        add("$." + f, docs.schema[f].dataType)
+    return out
 
 
 def decorated(ops: DataFrame, wrap: Callable[[DataFrame], Column]) -> DataFrame:
@@ -174,6 +212,37 @@ def sequence_diff(pairs: DataFrame, key: str, old: str = "old", new: str = "new"
     return pairs.select(F.col(key).cast("string").alias(key), old, new).mapInPandas(run, schema)
 
 
+def predecessors(items: DataFrame, keys: list[str], order: str, id_: str = "id") -> DataFrame:
+    """The left pointer of each element for an insert-after list: its predecessor's id, null at the start."""
+    return items.withColumn("left_id", F.lag(id_).over(Window.partitionBy(*keys).orderBy(order)))
+
+
+#: Fixed value: the digits of one level of a path id.
+LEVEL = 32
+
+
+def path_between(low: Column, high: Column) -> Column:
+    """A digit path between two others (arrays of ints below LEVEL, ``low`` < ``high``, null: open): the digits
+    that both share, then a digit between theirs, or, where none is, low's digits and a new level in its middle."""
+    empty = F.array().cast("array<int>")
+    a, b = F.coalesce(low, empty), high
+    digit = lambda x, i, other: F.coalesce(F.get(x, i), F.lit(other))
+    places = F.sequence(F.lit(0), F.greatest(F.size(a), F.coalesce(F.size(b), F.lit(0))))
+    top = lambda i: F.when(b.isNull(), F.lit(LEVEL)).otherwise(digit(b, i, 0))
+    # the first place where they differ
+    differs = F.filter(places, lambda i: digit(a, i, 0) != top(i))
+    at = F.get(differs, 0)
+    near, far = digit(a, at, 0), top(at)
+    prefix = F.transform(F.sequence(F.lit(0), at), lambda i: digit(a, i, 0))
+    room = F.concat(F.slice(prefix, F.lit(1), at), F.array(F.floor((near + far) / 2).cast("int")))
+    # no digit between: keep low, and go on above the rest of it
+    rest = F.slice(a, at + 2, F.greatest(F.size(a) - at - 1, F.lit(0)))
+    free = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size(rest)), lambda i: digit(rest, i, 0) < LEVEL - 1), 0), F.size(rest))
+    lower = digit(rest, free, 0)
+    deeper = F.concat(prefix, F.slice(rest, F.lit(1), free), F.array(F.ceil((lower + LEVEL) / 2).cast("int")))
+    return F.when(far - near > 1, room).otherwise(deeper)
+
+
 def positions_between(items: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A position for a new element before each item: halfway to its predecessor, or one before the first."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -12,6 +12,7 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confluo.functions.ordering import clamp
 from confluo.session import saved
@@ -207,6 +208,24 @@ def approval_quorum(ops: DataFrame, quorum: int, by: tuple[str, ...] = (*BY, "ke
     return first.withColumn("n", place).filter(F.col("n") == quorum).select(*by, F.col("v.ts").alias("ts"), F.col("replica_id").alias("completed_by"))
 
 
+def quorum_rounds(ops: DataFrame, quorum: int, proposal: tuple[str, ...]) -> DataFrame:
+    """Proposals (their columns) that ``quorum`` different replicas made, each time anew: when a round is complete,
+    its votes are forgotten. By arrival, so one proposal's votes are folded as one array; the row is the completing
+    vote's, with its round."""
+    at = [*BY, *proposal]
+    votes = ops.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("arrival", "global_clock", "replica_id", "ts", "clock"))).alias("votes"))
+    vote = votes.schema["votes"].dataType.elementType
+    begin = F.struct(F.array().cast("array<string>").alias("who"), F.array().cast(T.ArrayType(vote)).alias("done"))
+
+    def step(s: Column, v: Column) -> Column:
+        who = F.array_union(s["who"], F.array(v["replica_id"]))
+        full = F.size(who) >= quorum
+        return F.struct(F.when(full, F.array().cast("array<string>")).otherwise(who).alias("who"), F.when(full, F.concat(s["done"], F.array(v))).otherwise(s["done"]).alias("done"))
+
+    done = votes.select(*at, F.aggregate("votes", begin, step)["done"].alias("done"))
+    return done.select(*at, F.posexplode("done").alias("round", "v")).select(*at, "round", "v.*")
+
+
 def epoch_bound(ops: DataFrame, epoch: Column, clears: Column, inner: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Only operations of the newest epoch count; a clear opens an epoch without contributing."""
     rows = ops.withColumns({"epoch": epoch, "clears": clears})
@@ -237,15 +256,20 @@ def replicated_tree(adds: DataFrame, removed: DataFrame, moves: DataFrame) -> Da
 
 
 def tree_depths(nodes: DataFrame, *, node: str = "node", parent: str = "parent") -> DataFrame:
-    """Depth of each node below a root (null parent), level by level: one join each, on saved results."""
-    level = saved(nodes.filter(F.col(parent).isNull()).select(F.col(node).alias("node"), F.lit(0).alias("depth")))
-    out = level
-    for depth in count(1):
-        level = saved(nodes.join(level.select(F.col("node").alias(parent)), parent).select(F.col(node).alias("node"), F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    """Depth of each node below a root (null parent), by doubling: each turn, a node's known ancestor gives its own
+    ancestor, so a chain of n takes about log n joins. Nodes without a root above them are left out; a cycle raises."""
+    up = F.col(parent)
+    now = saved(nodes.select(F.col(node).alias("node"), up.alias("above"), F.when(up.isNull(), 0).otherwise(1).alias("depth")))
+    most = now.count()
+    for turn in count():
+        todo = now.filter("above IS NOT NULL")
+        if todo.isEmpty():
+            return now.select("node", "depth")
+        if 1 << turn > 2 * most:
+            raise ValueError("the tree has a cycle")
+        jump = now.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        moved = todo.join(jump, "above").select("node", F.col("next").alias("above"), (F.col("depth") + F.col("more")).cast("int").alias("depth"))
+        now = saved(now.filter("above IS NULL").unionByName(moved))
 
 
 # sequences
@@ -261,20 +285,53 @@ def positional_list(inserts: DataFrame, removed: DataFrame, position: str | list
 def rga_order(nodes: DataFrame, *, by: str = "document_id") -> DataFrame:
     """Document order of an insert-after list: depth first over left pointers, newest sibling first, an
     unknown left neighbour being the start. nodes: by, id (long), left_id, deleted. A document's nodes are
-    gathered in one task, as its text would be; documents are independent."""
-    schema = f"{by} string, id long, place int, deleted boolean"
+    gathered in one task, as its text would be; documents are independent, and a batch holds many of them."""
+    import pyarrow as pa
+
+    names = [by, "id", "left_id", "deleted"]
 
-    def walk(pdf):
-        known = set(pdf["id"])
-        below: dict = {}
-        for i, left in zip(pdf["id"], pdf["left_id"]):
+    def walk(ids: list, lefts: list, gone: list) -> tuple[list, list]:
+        known, below, dead = set(ids), {}, dict(zip(ids, gone))
+        for i, left in zip(ids, lefts):
             below.setdefault(left if left in known else None, []).append(i)
-        gone = dict(zip(pdf["id"], pdf["deleted"]))
         out, stack = [], sorted(below.get(None, []))
         while stack:
             i = stack.pop()
             out.append(i)
             stack.extend(sorted(below.get(i, [])))
-        return pdf.iloc[: len(out)].assign(id=out, place=range(1, len(out) + 1), deleted=[bool(gone[i]) for i in out])[[by, "id", "place", "deleted"]]
-
-    return nodes.select(F.col(by).cast("string").alias(by), "id", "left_id", "deleted").groupBy(by).applyInPandas(walk, schema)
+        return out, [bool(dead[i]) for i in out]
+
+    def run(batches):
+        now, held = None, ([], [], [])
+        out = ([], [], [], [])
+
+        def close():
+            ids, gone = walk(*held)
+            out[0].extend([now] * len(ids))
+            out[1].extend(ids)
+            out[2].extend(range(1, len(ids) + 1))
+            out[3].extend(gone)
+            for x in held:
+                x.clear()
+
+        def given():
+            rows = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], [by, "id", "place", "deleted"])
+            for x in out:
+                x.clear()
+            return rows
+
+        for batch in batches:
+            for doc, i, left, gone in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held[0] and doc != now:
+                    close()
+                now = doc
+                for x, v in zip(held, (i, left, gone)):
+                    x.append(v)
+            if len(out[0]) > 10_000:
+                yield given()
+        if held[0]:
+            close()
+        yield given()
+
+    rows = nodes.select(F.col(by).cast("string").alias(by), F.col("id").cast("long").alias("id"), F.col("left_id").cast("long").alias("left_id"), "deleted")
+    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(run, f"{by} string, id long, place int, deleted boolean")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluo.functions.paths import within
 from confluo.operators.folds import BY, removes, upserts
 from confluo.session import saved
 
@@ -53,6 +56,62 @@ def compact_votes(votes: DataFrame, standing: DataFrame, threshold: int) -> Data
     return keep.filter(F.col("votes").isNotNull() | (F.col("ts") > threshold)).select(*BY, "replica_id", "ts")
 
 
+def compact_fww_set(ops: DataFrame, threshold: int) -> DataFrame:
+    """Elements' oldest add and remove, without those that are dead and safe on both counts."""
+    state = ops.groupBy(*BY, "key").agg(F.min(F.when(upserts(), F.col("ts"))).alias("added"), F.min(F.when(removes(), F.col("ts"))).alias("gone"))
+    dead = F.col("gone").isNotNull() & (F.col("added").isNull() | (F.col("gone") < F.col("added")))
+    safe = (F.col("gone") <= threshold) & (F.col("added").isNull() | (F.col("added") <= threshold))
+    return state.filter(~F.coalesce(dead & safe, F.lit(False)))
+
+
+def compact_fww_map(ops: DataFrame, threshold: int) -> DataFrame:
+    """Oldest operation per key, without safe ones of absent keys."""
+    oldest = ops.groupBy(*BY, "key").agg(F.min(F.struct("ts", "replica_id", "global_clock", "op_type")).alias("w")).select(*BY, "key", "w.ts", "w.op_type")
+    return oldest.filter(~(removes() & (F.col("ts") <= threshold)))
+
+
+def compact_or_map(ops: DataFrame, removed: DataFrame, minimum: DataFrame) -> DataFrame:
+    """Add tags as for an OR set, each with its value; a key's newest write goes with its last tag."""
+    return compact_or_set(ops, removed, minimum).join(ops.filter(upserts()).select(*BY, "key", "tag", "num"), [*BY, "key", "tag"])
+
+
+#: Sorted sets and priority queues keep the same two timestamps per element as an LWW set.
+compact_sorted_set = compact_priority_queue = compact_lww_set
+
+
+def compact_two_phase_graph(ops: DataFrame, threshold: int) -> DataFrame:
+    """Vertices and edges (kind) by themselves: a safe tombstone goes together with its add."""
+    state = ops.groupBy(*BY, "kind", "key", "str").agg(F.bool_or(upserts()).alias("added"), F.max(F.when(removes(), F.col("ts"))).alias("gone"))
+    return state.filter(F.col("gone").isNull() | (F.col("gone") > threshold))
+
+
+def compact_tree(adds: DataFrame, removed: DataFrame, minimum: DataFrame) -> DataFrame:
+    """Nodes' add tags without removed ones that every replica has; parent links stay, as moves may refer to them."""
+    return compact_or_set(adds, removed, minimum)
+
+
+#: What each strategy's compaction needs beside the log: a threshold in time. Strategies not named keep all they have.
+BY_TIME: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+    "lww_set": compact_lww_set,
+    "fww_set": compact_fww_set,
+    "sorted_set": compact_lww_set,
+    "priority_queue": compact_lww_set,
+    "two_phase_set": compact_two_phase_set,
+    "two_phase_graph": compact_two_phase_graph,
+    "lww_map": compact_lww_map,
+    "fww_map": compact_fww_map,
+}
+
+
+def compact_model(specs: dict, ops: DataFrame, threshold: int) -> dict[str, DataFrame]:
+    """Each path's compacted state by its strategy's rule; decorators keep what their inner strategy keeps."""
+    out = {}
+    for path, spec in specs.items():
+        mine = ops.filter(within(F.col("path"), path))
+        out[path] = BY_TIME[spec.name](mine.withColumn("path", F.lit(path)), threshold) if spec.name in BY_TIME else mine
+    return out
+
+
 def compact_fww_register(ops: DataFrame, threshold: int) -> DataFrame:
     """First-write timestamps that aren't safe; once one is gone, a later write can win."""
     first = ops.filter(upserts()).groupBy(*BY).agg(F.min("ts").alias("ts"))
