@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from confluo.functions.ordering import operation_id
 from confluo.plans.registry import StrategySpec
+from confluo.sources import oplog
 
 #: How each intent is recorded, as (operation type, payload fields taken from the intent).
 RECORDED = {
@@ -49,3 +51,32 @@ def operations(spark: SparkSession, rows: list[dict], replica_id: str, now: int,
     """Recorded intents of one replica with consecutive clocks and strictly rising timestamps."""
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in COLUMNS.split(", ")) + (i,) for i, r in enumerate(rows)], COLUMNS + ", n long")
     return df.select(*(c.split()[0] for c in COLUMNS.split(", ")), F.lit(replica_id).alias("replica_id"), (F.lit(now) + F.col("n")).alias("ts"), (F.lit(clock + 1) + F.row_number().over(Window.partitionBy("document_id").orderBy("n")) - 1).cast("long").alias("clock"), (F.lit(global_clock + 1) + F.col("n")).alias("global_clock"))
+
+
+#: What the payload of some intents is of.
+KINDS = {"add_vertex": "vertex", "remove_vertex": "vertex", "add_edge": "edge", "remove_edge": "edge", "move_node": "move", "epoch_clear": "clear"}
+
+
+def logged(rows: DataFrame) -> DataFrame:
+    """Intents as rows of an operation log, which folds read: document_id, path, intent, replica_id, ts, clock and
+    global_clock, with any of PAYLOAD. A table of any size; nothing goes through the driver."""
+    given = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    named = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("intent"))
+    type_ = named({intent: "upsert" if op_type == "increment" else op_type for intent, (op_type, _) in RECORDED.items()})
+    kind = named(KINDS)
+    position = F.when(F.col("intent") == "insert", given("index"))
+    number = F.coalesce(given("num"), position, given("value")).try_cast("decimal(18,2)")
+    out = rows.withColumns(
+        {
+            "op_type": type_,
+            "kind": kind,
+            "num": number,
+            "str": F.coalesce(given("voter"), given("target"), given("parent"), given("value")),
+            "key": F.coalesce(given("key"), given("source"), F.when(F.col("intent") == "set_index", given("index"))),
+            "epoch": given("epoch").try_cast("long"),
+            "arrival": F.col("arrival") if "arrival" in rows.columns else F.col("global_clock"),
+            "tag": operation_id(),
+            "op_id": operation_id(),
+        }
+    )
+    return oplog.fitted(out)

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from confluo.functions import paths
 from confluo.operators import delivery, diffs, folds, partitions, retention, sync
+from confluo.plans import intents
 from confluo.plans.registry import Model
-from confluo.session import shared_folder, table
+from confluo.session import saved, shared_folder, table
 from confluo.sources import oplog
 from confluo.streaming import apply as streams
 
@@ -772,6 +773,263 @@ def partition_catalog_dml(spark, d):
     return changed.select("grp", "start_key", "n_rows")
 
 
+# decorators, models and intents
+
+VOTES = OPS + """, votes AS (SELECT *, row_number() OVER (PARTITION BY document_id, {by} ORDER BY arrival, global_clock) AS n FROM (SELECT *, {epoch} AS epoch FROM ops)),
+ run AS (SELECT document_id, {by}, n, ts, replica_id, len([replica_id]) >= {quorum} AS full_, CASE WHEN {quorum} <= 1 THEN [] ELSE [replica_id] END AS who, 0 AS done FROM votes WHERE n = 1 UNION ALL
+  SELECT v.document_id, {vby}, v.n, v.ts, v.replica_id, len(list_distinct(list_append(who, v.replica_id))) >= {quorum}, CASE WHEN len(list_distinct(list_append(who, v.replica_id))) >= {quorum} THEN [] ELSE list_distinct(list_append(who, v.replica_id)) END, done + CASE WHEN full_ THEN 1 ELSE 0 END
+  FROM run r JOIN votes v ON v.document_id = r.document_id AND {on} AND v.n = r.n + 1)"""
+
+
+@query("SELECT document_id, key, CAST(done AS INT) AS round, ts, replica_id AS completed_by FROM run WHERE full_", VOTES.format(by="key", vby="v.key", on="v.key = r.key", epoch="0", quorum=3))
+def quorum_rounds(spark, d):
+    """A proposal can pass again: votes are forgotten when its quorum is complete."""
+    return folds.quorum_rounds(ops(spark, d), 3, ("key",)).select("document_id", "key", "round", "ts", F.col("replica_id").alias("completed_by"))
+
+
+@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS num FROM run JOIN (SELECT document_id, max(epoch) AS newest FROM run WHERE full_ GROUP BY 1) USING (document_id) WHERE full_ AND epoch = newest GROUP BY 1", VOTES.format(by="epoch, num", vby="v.epoch, v.num", on="v.epoch = r.epoch AND v.num = r.num", epoch="global_clock // 2500", quorum=2).replace("FROM ops))", "FROM (SELECT * REPLACE (CAST(key AS DECIMAL(18,2)) AS num) FROM ops)))"))
+def model_chained_decorators(spark, d):
+    """A counter that only counts what two replicas agreed on, and only in the newest epoch."""
+    schema = T.StructType([T.StructField("balance", T.DecimalType(18, 2))])
+    model = Model(schema).property("$.balance", "counter").decorate("$.balance", "epoch_bound").decorate("$.balance", "approval_quorum", quorum=2)
+    o = ops(spark, d).withColumns({"path": F.lit("$.balance"), "epoch": F.floor(F.col("global_clock") / 2500), "num": F.col("key").cast("decimal(18,2)"), "key": F.lit(None).cast("string"), "str": F.lit(None).cast("string"), "op_type": F.lit("upsert")})
+    return model.apply(o)["$.balance"].select("document_id", *real("num"))
+
+
+@query(f"""SELECT 'title' AS field, document_id, NULL AS key, CASE WHEN op_type = 'upsert' THEN CAST(num AS DOUBLE) END AS num FROM {won('document_id', 'DESC', 'global_clock % 2 = 0')} UNION ALL
+ SELECT 'tags', document_id, key, CAST(num AS DOUBLE) FROM {won('document_id, key', 'DESC', 'global_clock % 2 = 1')} WHERE op_type = 'upsert'""")
+def model_defaults(spark, d):
+    """Fields that no spec names follow their type, and a path below a map names the entry."""
+    model = Model(T.StructType([T.StructField("title", T.DecimalType(18, 2)), T.StructField("tags", T.MapType(T.StringType(), T.DecimalType(18, 2)))]))
+    below = F.concat(F.lit("$.tags['"), "key", F.lit("']"))
+    o = ops(spark, d).withColumn("path", F.when(F.col("global_clock") % 2 == 0, "$.title").otherwise(below)).withColumn("key", F.lit(None).cast("string"))
+    states = model.apply(o)
+    title = states["$.title"].select(F.lit("title").alias("field"), "document_id", F.lit(None).cast("string").alias("key"), *real("num"))
+    return title.unionByName(states["$.tags"].select(F.lit("tags").alias("field"), "document_id", "key", *real("num")))
+
+
+@query(f"""SELECT 'scores' AS field, document_id, key, CAST(sum(num) AS DOUBLE) AS num FROM ops WHERE global_clock % 3 = 0 GROUP BY document_id, key UNION ALL
+ SELECT 'tags', document_id, key, NULL FROM ({LWW_SET.replace('FROM ops', 'FROM ops WHERE global_clock % 3 = 1')}) UNION ALL
+ SELECT 'title', document_id, NULL, CAST(num AS DOUBLE) FROM {won('document_id', 'DESC', 'global_clock % 3 = 2')}""")
+def intent_round_trip(spark, d):
+    """Intents become a log, and the model folds it."""
+    schema = T.StructType([T.StructField("scores", T.MapType(T.StringType(), T.DecimalType(18, 2))), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("title", T.DecimalType(18, 2))])
+    model = Model(schema).property("$.scores", "counter_map").property("$.tags", "lww_set")
+    third = F.col("global_clock") % 3
+    pick = lambda a, b, c: F.when(third == 0, a).when(third == 1, b).otherwise(c)
+    none = F.lit(None).cast("string")
+    given = ops(spark, d).select("document_id", pick(F.lit("$.scores"), F.lit("$.tags"), F.lit("$.title")).alias("path"), pick(F.lit("map_increment"), F.when(folds.upserts(), "add").otherwise("remove_value"), F.lit("set")).alias("intent"), pick(F.col("key"), F.col("key"), none).alias("key"), pick(F.col("num").cast("string"), none, none).alias("num"), pick(none, none, F.col("num").cast("string")).alias("value"), "replica_id", "ts", "clock", "global_clock")
+    states = model.apply(intents.logged(given))
+    part = lambda name, key, num: states[f"$.{name}"].select(F.lit(name).alias("field"), "document_id", key.alias("key"), num.cast("double").alias("num"))
+    return part("scores", F.col("key"), F.col("num")).unionByName(part("tags", F.col("key"), F.lit(None))).unionByName(part("title", none, F.col("num")))
+
+
+@query("SELECT document_id, lower(k) AS key FROM (SELECT *, CASE WHEN global_clock % 2 = 0 THEN 'KEY' ELSE 'Key' END || key AS k FROM ops) GROUP BY 1, 2 HAVING max((ts, replica_id)) FILTER (WHERE op_type = 'upsert') IS NOT NULL AND (max(ts) FILTER (WHERE op_type = 'remove') IS NULL OR max((ts, replica_id)) FILTER (WHERE op_type = 'upsert') > max((ts, replica_id)) FILTER (WHERE op_type = 'remove'))")
+def case_insensitive_set(spark, d):
+    """Elements that a comparer holds equal are one element."""
+    model = Model(T.StructType([T.StructField("state", T.ArrayType(T.StringType()))])).property("$.state", "lww_set", comparer=F.lower)
+    o = ops(spark, d).withColumn("key", F.concat(F.when(F.col("global_clock") % 2 == 0, "KEY").otherwise("Key"), "key"))
+    return model.apply(o)["$.state"].select("document_id", "key")
+
+
+@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS num, count(*) AS applied FROM ops WHERE op_type = 'upsert' AND num > 0 GROUP BY 1")
+def pipeline_decorators(spark, d):
+    """Steps before, around and after an application: rejects go, redeliveries go, and the state says what was applied."""
+    flow = delivery.Pipeline()
+    flow.before.append(lambda rows: delivery.split_rejected(rows, {"type": folds.upserts(), "positive": F.col("num") > 0})[0])
+    flow.around.append(lambda apply, rows: apply(rows.dropDuplicates(["op_id"])))
+    flow.after.append(lambda rows, state: state.join(rows.dropDuplicates(["op_id"]).groupBy("document_id").agg(F.count(F.lit(1)).alias("applied")), "document_id"))
+    o = ops(spark, d)
+    return flow.run(o.unionByName(o.filter("global_clock % 6 = 0")), folds.counter).select("document_id", *real("num"), "applied")
+
+
+@query("SELECT global_clock, key AS vertex, CAST(num AS DOUBLE) AS weight FROM ops WHERE global_clock % 2 = 0")
+def payload_kinds(spark, d):
+    """Payloads of a registered type, tagged with their kind, through JSON and back."""
+    oplog.register_payload("weighted", T.StructType([T.StructField("vertex", T.StringType()), T.StructField("weight", T.DecimalType(18, 2))]))
+    o = ops(spark, d)
+    rows = oplog.tagged(o.filter("global_clock % 2 = 0"), "weighted", F.struct(F.col("key").alias("vertex"), F.col("num").alias("weight"))).unionByName(o.filter("global_clock % 2 = 1"))
+    back = oplog.from_json(oplog.to_json(rows)).withColumn("p", oplog.payload_of("weighted"))
+    return back.filter("p IS NOT NULL").select("global_clock", "p.vertex", F.col("p.weight").cast("double").alias("weight"))
+
+
+@query("""SELECT document_id, count(*) AS n, count(DISTINCT key) AS keys, count(DISTINCT replica_id) AS replicas, CAST(sum(num) AS DOUBLE) AS num, max(ts) AS ts FROM (SELECT 'd' || (i * 31 % 5) AS document_id, CAST(i * 7919 % 100 AS VARCHAR) AS key,
+ i * 104729 % 1000 AS num, i * 1000 + i * 6151 % 997 AS ts, 'r' || (i * 613 % 50) AS replica_id FROM (SELECT unnest(range(1, 20001)) AS i)) GROUP BY 1""", "")
+def generated_log(spark, d):
+    return oplog.generated(spark, 20_000).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.countDistinct("replica_id").alias("replicas"), F.sum("num").cast("double").alias("num"), F.max("ts").alias("ts"))
+
+
+# streams of vectors, catch-up and receivers
+
+
+def journal_stream(spark, d, name: str) -> tuple[str, DataFrame]:
+    """A folder, and the journal in it as a stream."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    journal(spark, d).write.parquet(f"{folder}/journal")
+    return folder, spark.readStream.schema(oplog.SCHEMA).parquet(f"{folder}/journal")
+
+
+@query(f"SELECT replica_id, clock FROM {MISSING}", VECTORS)
+def stream_catch_up(spark, d):
+    """Ranges without the dots that are known already, and the missing dots."""
+    folder, rows = journal_stream(spark, d, "catch-up")
+    required = saved(requirement(spark, d))
+    streams.catch_up(rows, required).select("replica_id", "clock").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("replica_id string, clock long").parquet(f"{folder}/out")
+
+
+@query("SELECT replica_id, coalesce(max(clock) FILTER (WHERE clock = rn), 0) AS contiguous, count(*) FILTER (WHERE clock <> rn) AS n_dots FROM (SELECT replica_id, clock, row_number() OVER (PARTITION BY replica_id ORDER BY clock) AS rn FROM ops WHERE clock <= 4 OR clock % 3 = 0) GROUP BY 1")
+def stream_version_dots(spark, d):
+    """What arrives out of order waits as dots in the stream's state."""
+    folder, rows = journal_stream(spark, d, "vectors")
+    seen = streams.version_dots(rows.filter("clock <= 4 OR clock % 3 = 0"))
+    version = streams.apply_stream(seen, f"{folder}/state", f"{folder}/checkpoint", streams.newest_vectors, ["replica_id"])
+    return streams.state(spark, f"{folder}/state", version, buckets=True).select("replica_id", "contiguous", F.size("dots").cast("long").alias("n_dots"))
+
+
+@query("SELECT 'a' AS receiver, document_id, count(*) AS n FROM ops GROUP BY 2 UNION ALL SELECT 'b', document_id, count(*) FROM ops WHERE document_id < 'm' GROUP BY 2")
+def stream_fan_out(spark, d):
+    folder, rows = journal_stream(spark, d, "fan-out")
+    streams.fan_out(rows, f"{folder}/out", f"{folder}/checkpoint", {"a": F.lit(True), "b": F.col("document_id") < "m"})
+    read = lambda name: spark.read.parquet(f"{folder}/out/{name}").groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("receiver"), "document_id", "n")
+    return read("a").unionByName(read("b"))
+
+
+# more compaction
+
+
+FIRST = "SELECT document_id, key, min(ts) FILTER (WHERE op_type = 'upsert') AS added, min(ts) FILTER (WHERE op_type = 'remove') AS gone FROM ops GROUP BY 1, 2"
+
+
+@query(f"SELECT document_id, key, added, gone FROM ({FIRST}) WHERE NOT coalesce(gone IS NOT NULL AND (added IS NULL OR gone < added) AND gone <= {HALF} AND (added IS NULL OR added <= {HALF}), false)")
+def compact_fww_set(spark, d):
+    o = ops(spark, d)
+    return retention.compact_fww_set(o, midway(o)).select("document_id", "key", "added", "gone")
+
+
+@query(f"SELECT document_id, key, ts, op_type FROM {won('document_id, key', 'ASC')} WHERE NOT (op_type = 'remove' AND ts <= {HALF})")
+def compact_fww_map(spark, d):
+    o = ops(spark, d)
+    return retention.compact_fww_map(o, midway(o)).select("document_id", "key", "ts", "op_type")
+
+
+@query(f"SELECT document_id, ts FROM (SELECT document_id, min(ts) AS ts FROM ops WHERE op_type = 'upsert' AND global_clock % 2 = 0 GROUP BY 1) WHERE ts > (SELECT CAST(floor(quantile_disc(t, 0.5)) AS BIGINT) FROM (SELECT min(ts) AS t FROM ops WHERE op_type = 'upsert' AND global_clock % 2 = 0 GROUP BY document_id))")
+def compact_fww_register(spark, d):
+    o = ops(spark, d).filter("global_clock % 2 = 0")
+    first = o.filter(folds.upserts()).groupBy("document_id").agg(F.min("ts").alias("t"))
+    middle = first.agg(F.sort_array(F.collect_list("t")).alias("t")).first()["t"] if first.limit(1).count() else [0]  # a row per document of the test mapping
+    return retention.compact_fww_register(o, middle[(len(middle) - 1) // 2]).select("document_id", "ts")
+
+
+REMOVED_TAGS = """(SELECT a.document_id, a.key, a.tag, a.num, EXISTS (SELECT 1 FROM ops r WHERE r.op_type = 'remove' AND r.document_id = a.document_id AND r.key = a.key AND r.replica_id = a.replica_id AND r.clock > a.clock) AS removed, coalesce(a.clock <= version, false) AS safe
+ FROM ops a LEFT JOIN (SELECT origin AS replica_id, min(contiguous) AS version FROM vectors GROUP BY 1 HAVING count(DISTINCT vectors.replica_id) = 3 AND min(contiguous) > 0) USING (replica_id) WHERE a.op_type = 'upsert')"""
+
+
+@query(f"SELECT document_id, key, tag, removed, CAST(num AS DOUBLE) AS num FROM {REMOVED_TAGS} WHERE NOT (removed AND safe)", VECTORS)
+def compact_or_map(spark, d):
+    o = ops(spark, d)
+    return retention.compact_or_map(o, folds.observed_tags(o), sync.global_minimum(vectors(spark, d), 3)).select("document_id", "key", "tag", "removed", *real("num"))
+
+
+@query(f"SELECT document_id, key AS node, count(*) AS tags FROM {REMOVED_TAGS} WHERE NOT (removed AND safe) GROUP BY 1, 2", VECTORS)
+def compact_tree(spark, d):
+    o = ops(spark, d)
+    return retention.compact_tree(o, folds.observed_tags(o), sync.global_minimum(vectors(spark, d), 3)).groupBy("document_id", F.col("key").alias("node")).agg(F.count(F.lit(1)).alias("tags"))
+
+
+@query(f"SELECT document_id, kind, key, added IS NOT NULL AS added, gone FROM (SELECT document_id, kind, key, max(ts) FILTER (WHERE op_type = 'upsert') AS added, max(ts) FILTER (WHERE op_type = 'remove') AS gone FROM (SELECT *, CASE WHEN global_clock % 3 = 0 THEN 'edge' ELSE 'vertex' END AS kind FROM ops) GROUP BY 1, 2, 3) WHERE gone IS NULL OR gone > {HALF}")
+def compact_two_phase_graph(spark, d):
+    o = ops(spark, d).withColumns({"kind": F.when(F.col("global_clock") % 3 == 0, "edge").otherwise("vertex"), "str": F.lit(None).cast("string")})
+    return retention.compact_two_phase_graph(o, midway(o)).select("document_id", "kind", "key", "added", "gone")
+
+
+@query(f"""SELECT 'tags' AS field, document_id, key, count(*) AS rows_ FROM (SELECT document_id, key FROM ({STATE.replace('FROM ops', 'FROM (SELECT * FROM ops WHERE global_clock % 2 = 0) ops')}) WHERE gone IS NULL OR gone > {HALF}) GROUP BY 2, 3 UNION ALL
+ SELECT 'balance', document_id, NULL, count(*) FROM ops WHERE global_clock % 2 = 1 GROUP BY 2""")
+def compact_model(spark, d):
+    """A model's compaction: each field by its strategy's rule, and those without one keep everything."""
+    model = Model(T.StructType([T.StructField("balance", T.DecimalType(18, 2)), T.StructField("tags", T.ArrayType(T.StringType()))])).property("$.balance", "counter").property("$.tags", "two_phase_set")
+    o = ops(spark, d).withColumn("path", F.when(F.col("global_clock") % 2 == 0, "$.tags").otherwise("$.balance"))
+    states = retention.compact_model(model.bound(), o, midway(o))
+    tags = states["$.tags"].groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("rows_")).select(F.lit("tags").alias("field"), "document_id", "key", "rows_")
+    return tags.unionByName(states["$.balance"].groupBy("document_id").agg(F.count(F.lit(1)).alias("rows_")).select(F.lit("balance").alias("field"), "document_id", F.lit(None).cast("string").alias("key"), "rows_"))
+
+
+# nested diffs, pointers and the life of partitions
+
+
+@query("""SELECT c_custkey, path, CASE WHEN b IS NULL THEN 'remove' ELSE 'upsert' END AS op_type, b AS value FROM (
+  SELECT c_custkey, '$.name' AS path, c_name AS a, CASE WHEN c_custkey % 3 = 0 THEN c_name || '!' ELSE c_name END AS b FROM customer UNION ALL
+  SELECT c_custkey, '$.address', '{}', CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '{}' END FROM customer UNION ALL
+  SELECT c_custkey, '$.address.segment', c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END FROM customer WHERE c_custkey % 5 <> 0 UNION ALL
+  SELECT c_custkey, '$.address.place.nation', CAST(c_nationkey AS VARCHAR), CAST(c_nationkey + 1 AS VARCHAR) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 UNION ALL
+  SELECT c_custkey, '$.address.place', '{}', NULL FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0) WHERE a IS DISTINCT FROM b""", "")
+def diff_nested_object(spark, d):
+    """A parent that is gone is one remove, whatever was in it."""
+    k = F.col("c_custkey")
+    old = table(spark, d, "customer").select(k, F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("nation")).alias("place")).alias("address"))
+    place = F.when(k % 7 != 0, F.struct((F.col("address.place.nation") + 1).alias("nation")))
+    new = old.select(k, F.when(k % 3 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")).alias("name"), F.when(k % 5 != 0, F.struct(F.when(k % 4 != 0, F.col("address.segment")).alias("segment"), place.alias("place"))).alias("address"))
+    return diffs.object_diff(old, new, "c_custkey", ["name", "address"])
+
+
+@query("SELECT source, target, CASE WHEN a THEN 'remove' ELSE 'upsert' END AS op_type FROM (SELECT DISTINCT o_orderkey AS source, o_custkey AS target, o_orderkey % 7 <> 0 AS a, o_orderkey % 5 <> 0 AS b FROM orders) WHERE a <> b", "")
+def diff_graph_edges(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_custkey").alias("target"))
+    old, new = e.filter("source % 7 <> 0"), e.filter("source % 5 <> 0")
+    vertices = lambda x: x.select(F.col("source").alias("vertex"))
+    return diffs.graph_diff((vertices(old), old), (vertices(new), new), ["vertex"], ["source", "target"])[1]
+
+
+@query("SELECT conv_id, id, lag(id) OVER (PARTITION BY conv_id ORDER BY id) AS left_id FROM (SELECT conv_id, turn + 1 AS id FROM conversations)", "")
+def rga_left_pointers(spark, d):
+    return diffs.predecessors(table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("id")), ["conv_id"], "id")
+
+
+@query("""keys AS (SELECT o_orderstatus AS grp, o_custkey AS k, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS nth, sum(count(*)) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS upto FROM orders GROUP BY 1, 2),
+ cut AS (SELECT grp, 0::BIGINT AS a, max(nth) AS b, 0::HUGEINT AS low, max(upto) AS high FROM keys GROUP BY 1 UNION ALL
+  SELECT grp, CASE WHEN side = 0 THEN a ELSE mid END, CASE WHEN side = 0 THEN mid ELSE b END, CASE WHEN side = 0 THEN low ELSE between_ END, CASE WHEN side = 0 THEN between_ ELSE high END
+  FROM (SELECT c.*, k.upto AS between_, k.nth AS mid FROM cut c JOIN keys k ON k.grp = c.grp AND k.nth = a + (b - a) // 2 WHERE high - low > 300 AND b - a > 1), (SELECT unnest([0, 1]) AS side))
+ SELECT c.grp, k.k AS start_key, CAST(high - low AS BIGINT) AS n_rows FROM cut c JOIN keys k ON k.grp = c.grp AND k.nth = a + 1 WHERE NOT (high - low > 300 AND b - a > 1)""", " ")
+def partition_split_recursive(spark, d):
+    """Halves are cut again until no part is too large."""
+    rows = order_rows(spark, d)
+    return partitions.split(partitions.catalog(rows, "grp", "k", 1 << 40), rows, "grp", "k", 300, again=True).select("grp", "start_key", "n_rows")
+
+
+@query("SELECT global_clock, CASE WHEN global_clock % 3 = 0 THEN key WHEN global_clock % 3 = 1 THEN tag ELSE CAST(num AS VARCHAR) END AS part_key FROM ops")
+def partition_keys(spark, d):
+    """What an operation is dealt by, from its payload: the element, the voter or the position."""
+    o = ops(spark, d)
+    roots = ("$.tags", "$.votes", "$.list")
+    o = o.withColumn("path", F.get(F.array(*map(F.lit, roots)), (F.col("global_clock") % 3).cast("int")))
+    out = None
+    for root, strategy in zip(roots, ("or_set", "vote_counter", "array_lcs")):
+        part = partitions.keyed(o, root, strategy).select("global_clock", "part_key")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT grp, label, o_orderkey, part, k FROM (SELECT o_orderkey, part, grp, o_custkey AS k FROM orders JOIN ranges ON grp = o_orderstatus AND start_key <= o_custkey AND (end_key IS NULL OR o_custkey < end_key)) RIGHT JOIN (SELECT unnest(['F', 'O', 'P', 'X']) AS grp, unnest(['done', 'open', 'pending', 'none']) AS label) USING (grp)", RANGES)
+def partition_full_read(spark, d):
+    """The header beside every row of its parts, as they were saved."""
+    folder = f"{shared_folder(spark)}/whole-{uuid.uuid4().hex}"
+    rows = order_rows(spark, d)
+    delivery.save_partitions(partitions.route(rows, partitions.catalog(rows, "grp", "k", 400), "grp", "k"), folder, ["grp", "part"])
+    header = spark.createDataFrame([("F", "done"), ("O", "open"), ("P", "pending"), ("X", "none")], "grp string, label string")
+    return partitions.reassembled(header, spark.read.parquet(folder), "grp").select("grp", "label", "o_orderkey", "part", "k")
+
+
+@query(f"SELECT document_id, key, added IS NOT NULL AS added, gone FROM ({STATE}) WHERE gone IS NULL OR gone > {HALF}")
+def partition_compact_all(spark, d):
+    """A compaction rule over every part of a saved table, in place."""
+    folder = f"{shared_folder(spark)}/compact-{uuid.uuid4().hex}"
+    o = ops(spark, d)
+    threshold = midway(o)
+    state = o.groupBy("document_id", "key").agg(F.bool_or(folds.upserts()).alias("added"), F.max(F.when(folds.removes(), F.col("ts"))).alias("gone")).withColumn("part", F.col("key").cast("int") % 4)
+    delivery.save_partitions(state, folder, ["document_id", "part"])
+    return partitions.compact_all(folder, spark, ["document_id", "part"], lambda rows: rows.filter(F.col("gone").isNull() | (F.col("gone") > threshold))).select("document_id", "key", "added", "gone")
+
+
 # all strategies of one key in one pass
 
 

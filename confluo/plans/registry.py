@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.functions.ordering import operation_id
+from confluo.functions.paths import segments, within
 from confluo.operators import folds
+from confluo.sources import oplog
 
 #: Intents that each strategy accepts.
 INTENTS = {
@@ -48,26 +52,112 @@ NUMERIC = {"counter", "g_counter", "bounded_counter", "average_register"}
 COLLECTIONS = {"fixed_size_array", "g_set", "two_phase_set", "lww_set", "fww_set", "or_set", "sorted_set", "priority_queue", "array_lcs", "lseq", "rga"}
 MAPS = {"lww_map", "fww_map", "or_map", "counter_map", "max_wins_map", "min_wins_map", "vote_counter"}
 PARTITIONABLE = {"g_set", "two_phase_set", "lww_set", "fww_set", "or_set", "sorted_set", "lww_map", "fww_map", "or_map", "counter_map", "max_wins_map", "min_wins_map", "vote_counter", "array_lcs", "lseq", "rga"}
-#: Folds that need nothing but the log.
-PLAIN: dict[str, Callable[[DataFrame], DataFrame]] = {n: getattr(folds, n) for n in ("lww_register", "fww_register", "max_wins", "min_wins", "average_register", "counter", "g_counter", "counter_map", "lww_map", "fww_map", "max_wins_map", "min_wins_map", "g_set", "two_phase_set", "lww_set", "fww_set", "sorted_set", "priority_queue", "vote_counter")}
+
+
+def _fixed_size_array(ops: DataFrame, size: int) -> DataFrame:
+    return folds.fixed_size_array(ops.filter(folds.upserts()), size, F.col("key").cast("int"))
+
+
+def _state_machine(ops: DataFrame, transitions: list[tuple[str, str]], start: str) -> DataFrame:
+    steps = [f"{a}>{b}" for a, b in transitions]
+    return folds.state_machine(ops.filter(folds.upserts()), F.col("str"), lambda a, b: F.concat_ws(">", a, b).isin(steps), start)
+
+
+def _positional(ops: DataFrame) -> DataFrame:
+    return folds.positional_list(ops.filter(folds.upserts()), folds.observed_tags(ops), "num")
+
+
+def _by_path(ops: DataFrame) -> DataFrame:
+    digits = F.split("str", r"\.").cast("array<int>")
+    return folds.positional_list(ops.filter(folds.upserts()).withColumn("digits", digits), folds.observed_tags(ops), "digits")
+
+
+def _rga(ops: DataFrame) -> DataFrame:
+    """Elements' ids are their global clocks, and ``str`` names the left neighbour's."""
+    gone = folds.observed_tags(ops).select("tag").distinct().withColumn("deleted", F.lit(True))
+    nodes = ops.filter(folds.upserts()).join(gone, "tag", "left")
+    return folds.rga_order(nodes.select("document_id", F.col("global_clock").alias("id"), F.col("str").cast("long").alias("left_id"), F.coalesce("deleted", F.lit(False)).alias("deleted")))
+
+
+def _graph(ops: DataFrame) -> DataFrame:
+    return ops.filter(folds.upserts()).select(*folds.BY, "kind", "key", "str").distinct()
+
+
+def _two_phase_graph(ops: DataFrame) -> DataFrame:
+    state = ops.groupBy(*folds.BY, "kind", "key", "str").agg(F.bool_or(folds.upserts()).alias("added"), F.bool_or(folds.removes()).alias("gone"))
+    return state.filter("added AND NOT gone").drop("added", "gone")
+
+
+def _tree(ops: DataFrame) -> DataFrame:
+    moves = F.coalesce(F.col("kind") == "move", F.lit(False))
+    adds = ops.filter(~moves)
+    return folds.replicated_tree(adds, folds.observed_tags(adds), ops.filter(moves))
+
+
+def _votes(ops: DataFrame) -> DataFrame:
+    """The voter is named by ``str`` or else is the replica."""
+    return folds.vote_counter(ops.withColumn("replica_id", F.coalesce("str", "replica_id")))
+
+
+#: Every strategy as a fold of the log; some take parameters of the spec.
+FOLDS: dict[str, Callable[..., DataFrame]] = {n: getattr(folds, n) for n in ("lww_register", "fww_register", "max_wins", "min_wins", "average_register", "counter", "g_counter", "bounded_counter", "counter_map", "lww_map", "fww_map", "max_wins_map", "min_wins_map", "g_set", "two_phase_set", "lww_set", "fww_set", "sorted_set", "priority_queue")} | {
+    "or_set": lambda ops: folds.or_set(ops, folds.observed_tags(ops)),
+    "or_map": lambda ops: folds.or_map(ops, folds.observed_tags(ops)),
+    "vote_counter": _votes,
+    "fixed_size_array": _fixed_size_array,
+    "state_machine": _state_machine,
+    "array_lcs": _positional,
+    "lseq": _by_path,
+    "rga": _rga,
+    "graph": _graph,
+    "two_phase_graph": _two_phase_graph,
+    "replicated_tree": _tree,
+}
+#: What makes two operations the same proposal.
+PROPOSAL = ("op_type", "key", "num", "str", "kind", "epoch")
+
+
+def _approved(ops: DataFrame, quorum: int = 2) -> DataFrame:
+    """The operations that take effect: a proposal's, with the vote that completed its quorum."""
+    done = folds.quorum_rounds(ops, quorum, PROPOSAL).drop("round")
+    return oplog.fitted(done.withColumns({"tag": operation_id(), "op_id": operation_id()}))
+
+
+def _current_epoch(ops: DataFrame) -> DataFrame:
+    """Operations of the newest epoch, without those that only open one (kind ``clear``)."""
+    rows = ops.withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("long")))
+    newest = rows.groupBy(*folds.BY).agg(F.max("epoch").alias("epoch"))
+    return rows.join(newest, [*folds.BY, "epoch"]).filter(~F.coalesce(F.col("kind") == "clear", F.lit(False))).select(ops.columns)
+
+
+#: Decorators unwrap operations: from a log to the log that the next one, or the fold, sees.
+DECORATED: dict[str, Callable[..., DataFrame]] = {"approval_quorum": _approved, "epoch_bound": _current_epoch}
 
 
 @dataclass(frozen=True)
 class StrategySpec:
-    """A field's merge behaviour: a strategy, its parameters and its decorators, outermost first."""
+    """A field's merge behaviour: a strategy, its parameters and its decorators, outermost first. ``comparer``
+    gives the identity of elements and keys, where it isn't theirs byte for byte."""
 
     name: str
     params: tuple[tuple[str, object], ...] = ()
     decorators: tuple[str, ...] = ()
     fold: Callable[[DataFrame], DataFrame] | None = None
+    decorator_params: tuple[tuple[str, tuple[tuple[str, object], ...]], ...] = ()
+    comparer: Callable[[Column], Column] | None = None
 
     def intents(self) -> set[str]:
         return set(INTENTS.get(self.name, set())).union(*(DECORATOR_INTENTS.get(d, set()) for d in self.decorators))
 
     def folded(self, ops: DataFrame) -> DataFrame:
-        fold = self.fold or PLAIN.get(self.name) or getattr(folds, self.name, None)
+        fold = self.fold or FOLDS.get(self.name)
         if fold is None:
             raise KeyError(f"no fold for {self.name}")
+        if self.comparer is not None:
+            ops = ops.withColumn("key", self.comparer(F.col("key")))
+        given = dict(self.decorator_params)
+        for d in self.decorators:
+            ops = DECORATED[d](ops, **dict(given.get(d, ())))
         return fold(ops, **dict(self.params))
 
 
@@ -78,16 +168,18 @@ class Model:
     schema: T.StructType
     specs: dict[str, StrategySpec] = field(default_factory=dict)
 
-    def property(self, path: str, strategy: str, fold: Callable | None = None, **params) -> Model:
-        decorators = self.specs[path].decorators if path in self.specs else ()
-        self.specs[path] = StrategySpec(strategy, tuple(params.items()), decorators, fold)
+    def property(self, path: str, strategy: str, fold: Callable | None = None, comparer: Callable[[Column], Column] | None = None, **params) -> Model:
+        old = self.specs.get(path, StrategySpec(strategy))
+        self.specs[path] = StrategySpec(strategy, tuple(params.items()), old.decorators, fold, old.decorator_params, comparer)
         return self
 
-    def decorate(self, path: str, decorator: str) -> Model:
+    def decorate(self, path: str, decorator: str, **params) -> Model:
+        """Decorators of one field apply in order of their names, the first outermost."""
         if decorator not in DECORATOR_INTENTS:
             raise ValueError(f"unknown decorator {decorator}")
         old = self.resolve(path)
-        self.specs[path] = StrategySpec(old.name, old.params, tuple(sorted({*old.decorators, decorator})), old.fold)
+        given = dict(old.decorator_params) | {decorator: tuple(params.items())}
+        self.specs[path] = replace(old, decorators=tuple(sorted({*old.decorators, decorator})), decorator_params=tuple(sorted(given.items())))
         return self
 
     def field_type(self, path: str) -> T.DataType | None:
@@ -126,6 +218,27 @@ class Model:
                 out.append(f"{path}: {spec.name} is unknown")
         return out
 
+    def bound(self) -> dict[str, StrategySpec]:
+        """The specs of all properties: named ones, and fields of the schema by their type."""
+        out = dict(self.specs)
+        named = [p.lower() for p in out]
+        for f in self.schema.fields:
+            path = f"$.{f.name}"
+            if not any(p == path.lower() or p.startswith(path.lower() + ".") for p in named):
+                out[path] = self.resolve(path)
+        return out
+
+    def operations(self, ops: DataFrame, path: str, all_paths: list[str]) -> DataFrame:
+        """The operations of one property: at its path, or below it and below no other property's. The last
+        segment of a path below is the key where the operation has none."""
+        mine = within(F.col("path"), path)
+        for other in all_paths:
+            if other != path and other.startswith(path):
+                mine = mine & ~within(F.col("path"), other)
+        below = F.when(F.col("path") != path, F.element_at(segments(F.col("path")), -1))
+        return ops.filter(mine).withColumns({"key": F.coalesce("key", below), "path": F.lit(path)})
+
     def apply(self, ops: DataFrame) -> dict[str, DataFrame]:
-        """The state of every named path, each folded from its own operations."""
-        return {path: spec.folded(ops.filter(ops.path == path)) for path, spec in self.specs.items()}
+        """The state of every property, each folded from its own operations."""
+        specs = self.bound()
+        return {path: spec.folded(self.operations(ops, path, list(specs))) for path, spec in specs.items()}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from confluo.functions.ordering import micros, operation_id
 
-#: An operation: who, where, what, when. One wide nullable payload keeps every kind in native columns.
+#: An operation: who, where, what, when. One wide nullable payload keeps every kind in native columns; ``kind``
+#: tells payloads of one strategy apart, and ``epoch`` is what an epoch-bound decorator wraps them in.
 SCHEMA = T.StructType(
     [
         T.StructField("document_id", T.StringType()),
@@ -25,8 +26,49 @@ SCHEMA = T.StructType(
         T.StructField("global_clock", T.LongType()),
         T.StructField("arrival", T.LongType()),
         T.StructField("op_id", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("epoch", T.LongType()),
     ]
 )
+#: Types of payloads beyond the wide row, by kind.
+PAYLOADS: dict[str, T.DataType] = {}
+
+
+def register_payload(kind: str, type_: T.DataType) -> None:
+    """Payloads of this kind are read from and written to JSON with this type."""
+    PAYLOADS[kind] = type_
+
+
+def tagged(rows: DataFrame, kind: str, payload: Column) -> DataFrame:
+    """``rows`` with ``kind`` and their payload, of the registered type, as JSON in ``str``."""
+    return rows.withColumns({"kind": F.lit(kind), "str": F.to_json(payload.cast(PAYLOADS[kind]))})
+
+
+def payload_of(kind: str) -> Column:
+    """The payload of rows of this kind, null for others."""
+    return F.when(F.col("kind") == kind, F.from_json("str", PAYLOADS[kind]))
+
+
+def fitted(rows: DataFrame) -> DataFrame:
+    """Rows in the shape of an operation log; what they lack is null."""
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA))
+
+
+def generated(spark: SparkSession, n: int, documents: int = 5, replicas: int = 50, keys: int = 100) -> DataFrame:
+    """A synthetic log of ``n`` operations, the same in every run, one in four of them a remove."""
+    i = F.col("id")
+    rows = spark.range(1, n + 1).select(
+        F.concat(F.lit("d"), (i * 31 % documents).cast("string")).alias("document_id"),
+        F.lit("$.state").alias("path"),
+        F.when(i % 4 == 0, "remove").otherwise("upsert").alias("op_type"),
+        (i * 7919 % keys).cast("string").alias("key"),
+        (i * 104729 % 1000).cast("decimal(18,2)").alias("num"),
+        (i * 1000 + i * 6151 % 997).alias("ts"),
+        F.concat(F.lit("r"), (i * 613 % replicas).cast("string")).alias("replica_id"),
+        i.alias("global_clock"),
+        i.alias("arrival"),
+    )
+    return fitted(rows.withColumns({"tag": operation_id(), "op_id": operation_id()}))
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -46,7 +88,7 @@ def from_events(events: DataFrame) -> DataFrame:
         (e * 7919 % 1000003).alias("arrival"),
     )
     rows = rows.withColumn("clock", F.row_number().over(Window.partitionBy("replica_id").orderBy("global_clock")).cast("long"))
-    return rows.withColumns({"tag": operation_id(), "op_id": operation_id()}).select(*(f.name for f in SCHEMA))
+    return fitted(rows.withColumns({"tag": operation_id(), "op_id": operation_id()}))
 
 
 def append(ops: DataFrame, journal: str) -> None:
