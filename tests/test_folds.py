@@ -19,7 +19,7 @@ def log(spark, rows):
     out = []
     for i, (kind, key, num, ts, replica) in enumerate(rows):
         clocks[replica] = clocks.get(replica, 0) + 1
-        out.append(("d", "$.p", kind, key, None if num is None else Decimal(num), None, f"{replica}:{i}", ts, replica, clocks[replica], i, i, f"{replica}:{i}"))
+        out.append(("d", "$.p", kind, key, None if num is None else Decimal(num), None, f"{replica}:{i}", ts, replica, clocks[replica], i, i, f"{replica}:{i}", None, None))
     return spark.createDataFrame(out, oplog.SCHEMA)
 
 
@@ -103,3 +103,28 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], oplog.SCHEMA)
     for name in CONVERGENT:
         assert getattr(folds, name)(empty).count() == 0
+
+
+def test_quorum_passes_again_when_its_votes_are_forgotten(spark):
+    votes = [("upsert", "p", 1, t, r) for t, r in enumerate("aabacbbac")]
+    done = folds.quorum_rounds(log(spark, votes), 2, ("key",)).orderBy("round").collect()
+    # a a b | a c | b b a | c
+    assert [(r["round"], r["ts"], r["replica_id"]) for r in done] == [(0, 2, "b"), (1, 4, "c"), (2, 7, "a")]
+
+
+def test_depths_by_doubling(spark):
+    chain = [(i, i - 1 if i else None) for i in range(80)] + [(200, 199), (201, 200)]  # two whose root is missing
+    got = {r["node"]: r["depth"] for r in folds.tree_depths(spark.createDataFrame(chain, "node long, parent long")).collect()}
+    assert got == {i: i for i in range(80)}
+    with pytest.raises(ValueError):
+        folds.tree_depths(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, parent long"))
+
+
+def test_every_strategy_has_a_fold(spark):
+    from confluo.plans.registry import FOLDS, INTENTS, StrategySpec
+
+    assert set(FOLDS) == set(INTENTS)
+    given = {"fixed_size_array": {"size": 3}, "state_machine": {"transitions": [("a", "b")], "start": "a"}, "bounded_counter": {"low": 0, "high": 9}}
+    ops = log(spark, [("upsert", "1", 2, 5, "x"), ("remove", "2", 1, 6, "y")])
+    for name in FOLDS:
+        StrategySpec(name, tuple(given.get(name, {}).items())).folded(ops).collect()

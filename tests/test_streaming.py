@@ -16,6 +16,23 @@ def test_batches_give_what_one_fold_gives(spark, tmp_path):
     assert version == 2 and got == sorted(map(tuple, merge(rows).collect()))
 
 
+def test_bucketed_state_rewrites_what_a_batch_touches(spark, tmp_path):
+    import os
+
+    folder = str(tmp_path)
+    rows = spark.range(600).select((F.col("id") % 70).alias("k"), (F.col("id") * 37 % 101).alias("ts"), F.col("id").alias("n"))
+    merge, seen = streams.newest_per_key(["k"], "ts", "n"), None
+    for number, part in enumerate((F.col("k") >= 0, F.col("k") == 3, F.col("k") < 5, F.col("k") < 5)):
+        batch = rows.filter(part & (F.col("n") % 3 == number % 3))
+        seen = batch if seen is None else seen.unionByName(batch)
+        sink = streams.versioned_merge(folder, merge, ["k"])
+        sink(batch, number)
+        sink(batch, number)  # comes again
+    assert len([x for x in os.listdir(f"{folder}/version=1") if x.startswith("bucket=")]) == 1
+    got = sorted(map(tuple, streams.state(spark, folder, 3, buckets=True).select("k", "ts", "n").collect()))
+    assert got == sorted(map(tuple, merge(seen).select("k", "ts", "n").collect()))
+
+
 def test_a_batch_that_comes_again_has_no_second_effect(spark, tmp_path):
     total = lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n"))
     sink = streams.versioned_merge(str(tmp_path), total)

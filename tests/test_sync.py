@@ -54,17 +54,43 @@ def test_rga_compaction_cascades(spark):
     assert sorted(r["id"] for r in retention.compact_rga(nodes).collect()) == [3, 4]
 
 
-def test_routing_agrees_with_lookup_both_ways(spark):
-    rows = spark.range(500).select(F.lit("g").alias("g"), (F.col("id") * 37 % 211).alias("k"))
-    ranges = partitions.catalog(rows, "g", "k", 60)
-    by_array = sorted((r["k"], r["part"]) for r in partitions.route(rows, ranges, "g", "k").collect())
-    keep, partitions.BROADCAST_RANGES = partitions.BROADCAST_RANGES, 0
+def test_routing_agrees_with_lookup_in_one_block_and_in_many(spark):
+    rows = spark.range(500).select(F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 49 == 0, "other").otherwise("g").alias("g"), (F.col("id") * 37 % 211).alias("k"))
+    rows = rows.unionByName(spark.createDataFrame([("g", None), ("g", -5)], "g string, k long"))
+    ranges = partitions.catalog(rows.filter("g = 'g' AND k >= 0"), "g", "k", 60)
+    key = lambda r: (str(r["g"]), r["k"] is None, r["k"], r["part"])
+    once = sorted(map(key, partitions.route(rows, ranges, "g", "k").collect()))
+    keep, partitions.BROADCAST_RANGES = partitions.BROADCAST_RANGES, 2
     try:
-        by_sort = sorted((r["k"], r["part"]) for r in partitions.route(rows, ranges, "g", "k").collect())
+        blocks = sorted(map(key, partitions.route(rows, ranges, "g", "k").collect()), key=str)
     finally:
         partitions.BROADCAST_RANGES = keep
-    assert by_array == by_sort
-    assert partitions.lookup(ranges, "g", "g", 100).first()["part"] == dict(by_array)[100]
+    assert sorted(once, key=str) == blocks and len(once) == 502  # rows without a range stay
+    found = {(g, k): part for g, _, k, part in once}
+    assert found["g", -5] is None and found["g", None] is None and all(v is None for (g, _), v in found.items() if g != "g")
+    for k in (0, 100, 210):
+        assert partitions.lookup(ranges, "g", "g", k).first()["part"] == found["g", k]
+
+
+def test_recursive_split(spark):
+    rows = spark.range(1000).select(F.lit("g").alias("g"), F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("k"))
+    whole = partitions.catalog(rows, "g", "k", 1 << 40)
+    parts = sorted(partitions.split(whole, rows, "g", "k", 50, again=True).collect(), key=lambda r: r["start_key"])
+    assert sum(r["n_rows"] for r in parts) == 1000 and [r["part"] for r in parts] == list(range(len(parts)))
+    assert all(r["n_rows"] <= 50 or (r["start_key"], r["n_rows"]) == (7, 300) for r in parts)
+    assert [r["end_key"] for r in parts] == [r["start_key"] for r in parts[1:]] + [None]
+
+
+def test_path_ids_lie_between(spark):
+    import random
+
+    rng = random.Random(3)
+    made = [[rng.randrange(32) for _ in range(rng.randint(1, 4))] for _ in range(60)] + [[0], [31], [31, 31], [5], [6], [5, 31], [5, 0]]
+    made = sorted({tuple(x) for x in made if x[-1] != 0 or x == [0]})
+    pairs = [(list(a), list(b)) for a, b in zip(made, made[1:])] + [(list(made[-1]), None), (None, [9])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<int>, b array<int>")
+    for r in df.select("a", "b", diffs.path_between(F.col("a"), F.col("b")).alias("m")).collect():
+        assert (r["a"] or []) < r["m"] and (r["b"] is None or r["m"] < r["b"]), r
 
 
 @pytest.mark.parametrize("a, b", [("", "abc"), ("abc", ""), ("abcbdab", "bdcaba"), ("xaby", "xbay"), ("aaa", "aa")])
