@@ -66,3 +66,17 @@ def op10() -> str:
     return f"""WITH known AS (SELECT digest, min(license) AS license FROM (SELECT {form} AS digest, license FROM (VALUES {texts}) t(license, text) UNION ALL SELECT * FROM (VALUES {digests})) GROUP BY 1),
 docs AS (SELECT doc_id, {form} AS digest FROM documents)
 SELECT doc_id, digest, license FROM docs LEFT JOIN known USING (digest)"""
+
+
+def op13() -> str:
+    """Exact k-means step by step: 16 first centroids, three rounds, a last assignment."""
+    parts = ["""whole AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64)""", """c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS INT) AS cluster, x AS c FROM whole QUALIFY cluster < 16)"""]
+    near = """SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT r, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM whole, c{i}) GROUP BY r"""
+    for i in range(3):
+        parts.append(f"a{i} AS ({near.format(i=i)})")
+        moved = f"SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT cluster, i, CAST(floor(sum(x[i])::DOUBLE / count(*)) AS BIGINT) AS f, sum(x[i]) AS s, count(*) AS n, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM a{i} JOIN whole USING (r), (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster, i) GROUP BY cluster"
+        parts.append(f"c{i + 1} AS (SELECT c{i}.cluster, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN ({moved}) m USING (cluster))")
+    parts.append(f"a3 AS ({near.format(i=3)})")
+    return "WITH " + ", ".join(parts) + """ SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3 JOIN whole USING (r) JOIN c3 USING (cluster)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from confluo.llm import attention_lm, circulant, crf, licenses, mcd, oracles, ordinal, packing, secrets, token_scan, wu_manber
+from confluo.llm import attention_lm, circulant, crf, drake, licenses, mcd, oracles, ordinal, packing, secrets, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -56,9 +56,14 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_drake_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return drake.clusters(table(spark, sf_dir, "embeddings")).drop("went")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9, "op10_license_scans": oracles.op10()}
+    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9, "op10_license_scans": oracles.op10(), "op13_drake_clustering": oracles.op13()}
