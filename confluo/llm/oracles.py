@@ -80,3 +80,49 @@ def op13() -> str:
     parts.append(f"a3 AS ({near.format(i=3)})")
     return "WITH " + ", ".join(parts) + """ SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3 JOIN whole USING (r) JOIN c3 USING (cluster)"""
+
+
+#: CRC-32 of an ASCII string s, byte by byte and bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+
+def op12() -> str:
+    """Turn by turn, the cheapest (cost, edits, text) in each of the four states, with inserted turns before each."""
+    return f"""WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format(s="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS h FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, (SELECT unnest([1, 2]) AS copy) WHERE copy <= CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt
+), judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open_, substr(role, 1, 1) AS r, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM placed
+), turns AS (SELECT *, blank OR again AS must, CASE WHEN open_ AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM judged),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+    sum(cut) AS truncated, count(*) FILTER (WHERE next IS NOT NULL AND r || next NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM turns GROUP BY conv_id
+), inserts(q, more, edits, q2, said) AS (
+  SELECT q, 0, '', q, []::VARCHAR[] FROM (SELECT unnest([0, 1, 2, 3]) AS q) UNION ALL
+  SELECT * FROM (VALUES (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (3, 2, 'I', 2, ['user:']), (2, 2, 'I', 3, ['assistant:']),
+    (0, 4, 'II', 3, ['user:', 'assistant:']), (1, 4, 'II', 3, ['user:', 'assistant:']), (3, 4, 'II', 3, ['user:', 'assistant:']), (2, 4, 'II', 2, ['assistant:', 'user:']))
+), edits(edit, q, r, price, q2, role) AS (
+  VALUES ('D', 0, '', 3, 0, NULL), ('D', 1, '', 3, 1, NULL), ('D', 2, '', 3, 2, NULL), ('D', 3, '', 3, 3, NULL),
+    ('K', 0, 's', 0, 1, ''), ('K', 0, 'u', 0, 2, ''), ('K', 1, 'u', 0, 2, ''), ('K', 3, 'u', 0, 2, ''), ('K', 2, 'a', 0, 3, ''),
+    ('R', 0, '', 2, 2, 'user'), ('R', 1, '', 2, 2, 'user'), ('R', 3, '', 2, 2, 'user'), ('R', 2, '', 2, 3, 'assistant')
+), steps AS (
+  SELECT i.q, i.more + e.price AS price, i.edits || e.edit AS edits, e.edit, e.r, e.q2, i.said, e.role FROM inserts i JOIN edits e ON e.q = i.q2
+), run(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}} FROM counts UNION ALL
+  SELECT w.conv_id, w.i + 1, s.q2, min({{'cost': (w.best).cost + s.price + CASE WHEN s.edit = 'D' THEN 0 ELSE t.cut END, 'audit': (w.best).audit || s.edits,
+    'said': list_concat((w.best).said, s.said, CASE s.edit WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [s.role || ':' || t.text] END)}})
+  FROM run w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1 JOIN steps s ON s.q = w.q AND (s.edit = 'D' OR NOT t.must) AND (s.edit <> 'K' OR s.r = t.r)
+  GROUP BY w.conv_id, w.i, s.q2
+), done AS (
+  SELECT w.conv_id, min({{'cost': (w.best).cost + x.more, 'audit': (w.best).audit || x.edits, 'said': list_concat((w.best).said, x.said)}}) AS best
+  FROM run w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN inserts x ON x.q = w.q AND x.q2 IN (0, 3) GROUP BY w.conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce((best).cost, 0) AS BIGINT) AS cost, coalesce((best).audit, '') AS audit, sha256(coalesce(array_to_string((best).said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from confluo.llm import attention_lm, circulant, crf, drake, licenses, mcd, oracles, ordinal, packing, secrets, token_scan, wu_manber
+from confluo.llm import attention_lm, circulant, crf, drake, licenses, mcd, oracles, ordinal, packing, repair, secrets, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -56,6 +57,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+
+
 def op13_drake_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return drake.clusters(table(spark, sf_dir, "embeddings")).drop("went")
@@ -66,4 +72,4 @@ def queries() -> dict:
 
 
 def sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9, "op10_license_scans": oracles.op10(), "op13_drake_clustering": oracles.op13()}
+    return {"op5_benchmark_decontamination": oracles.op5, "op9_minhash_near_dedup": oracles.op9, "op10_license_scans": oracles.op10(), "op12_conversation_repair": oracles.op12(), "op13_drake_clustering": oracles.op13()}
