@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from confluo.llm import attention_lm, circulant, crf, drake, licenses, mcd, oracles, ordinal, packing, repair, secrets, token_scan, wu_manber
+from confluo.llm import attention_lm, circulant, crf, cube, drake, licenses, mcd, oracles, ordinal, packing, repair, secrets, token_scan, wu_manber
 from confluo.session import ship, table
 
 
@@ -57,9 +56,14 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return cube.mixed(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+    return repair.audited(repair.damaged(table(spark, sf_dir, "conversations")), copies="copies")
 
 
 def op13_drake_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

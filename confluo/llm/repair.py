@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm.jobs import saved
@@ -198,10 +198,10 @@ def matrix(turns: Turns, i: int) -> np.ndarray:
     return backward(*grid, np.where(np.eye(4, dtype=bool), 0, NEVER))[0].T
 
 
-def faults(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: Column | None = None) -> DataFrame:
+def faults(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", copies: str | None = None) -> DataFrame:
     """Different turns, how often each occurs and its first fault: conv, turn, role, text, n, blank, cut (truncated),
     code of the role, must (has to go: blank, or the same as an earlier turn)."""
-    given = rows.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit(" ")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit(" ")).alias("text"), (F.lit(1) if copies is None else copies).cast("long").alias("copies"))
+    given = rows.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit(" ")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit(" ")).alias("text"), (F.lit(1) if copies is None else F.col(copies)).cast("long").alias("copies"))
     counted = given.groupBy("conv", "turn", "role", "text").agg(F.sum("copies").alias("n"))
     counted = counted.withColumns({"digest": F.sha2(F.concat_ws("\0", "role", "text"), 256), "late": F.col("turn").isNotNull()})
     first = counted.filter("n > 0").groupBy("conv", "digest").agg(F.min(F.struct("late", "turn")).alias("at"))
