@@ -33,7 +33,7 @@ from confluo.operators.ranks import ranked
 #: Weights of the sources in order, repeating, and how often a source may be used at most.
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Documents of a block, undecided documents of an order of size that a block leaves, and salts of a join.
-BLOCK, LEFT, SALTS = 50_000, 3, 64
+BLOCK, LEFT, SALTS = 5_000, 3, 64
 SIZES = "source int, doc long, size long, chance double, draw long"
 
 
