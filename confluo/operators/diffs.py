@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.operators.ranks import neighboured
+
 
 def _both(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Full outer join; a side that lacks the key has its ``in_`` flag null."""
@@ -243,8 +245,7 @@ def path_between(low: Column, high: Column) -> Column:
     return F.when(far - near > 1, room).otherwise(deeper)
 
 
-def positions_between(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+def positions_between(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A position for a new element before each item: halfway to its predecessor, or one before the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag("position").over(w)
-    return items.withColumn("between", (F.col("position") + F.coalesce(before, F.col("position") - 2)) / 2)
+    near = neighboured(items, keys, order, {"before": "position"})
+    return near.withColumn("between", (F.col("position") + F.coalesce("before", F.col("position") - 2)) / 2).drop("before")

@@ -14,9 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.functions import values
 from confluo.functions.ordering import clamp
+from confluo.operators.joins import beside
+from confluo.operators.ranks import ranked
+from confluo.operators.sequences import rga_order  # noqa: F401
 from confluo.session import saved
 
+
 BY = ("document_id", "path")
 
 
@@ -28,8 +33,28 @@ def removes() -> Column:
     return F.col("op_type") == "remove"
 
 
-def _winner(ops: DataFrame, by: tuple[str, ...], pick: Callable[[Column], Column], *values: str) -> DataFrame:
-    won = pick(F.struct("ts", "replica_id", "global_clock", "op_type", *values)).alias("won")
+def amounts() -> Column:
+    """Operations that a counter takes: increments, which a log may write as upserts. Removes fail there."""
+    return F.col("op_type").isin("increment", "upsert")
+
+
+def clears() -> Column:
+    """Operations that reset a first-writer-wins property: a remove of kind clear, or one that names nothing."""
+    names = [F.col(c).isNull() for c in ("key", "num", "str")]
+    return removes() & (F.coalesce(F.col("kind") == "clear", F.lit(False)) | (names[0] & names[1] & names[2]))
+
+
+def since_reset(ops: DataFrame, reset: Column | None = None) -> DataFrame:
+    """Operations that arrived after their property's last reset, without resets. Two phases: the last reset of each
+    property, a row each, then a join that is bounded by their number."""
+    reset = clears() if reset is None else reset
+    last = ops.filter(reset).groupBy(*BY).agg(F.max("arrival").alias("last"))
+    return beside(ops, last, list(BY)).filter(F.col("last").isNull() | (F.col("arrival") > F.col("last"))).drop("last").filter(~F.coalesce(reset, F.lit(False)))
+
+
+def _winner(ops: DataFrame, by: tuple[str, ...], pick: Callable[[Column], Column], *columns: str) -> DataFrame:
+    """The row that ``pick`` picks by the total order, with the given columns and, as ``value``, its typed value."""
+    won = pick(F.struct("ts", "replica_id", "global_clock", "op_type", *columns, values.payload(ops).alias("value"))).alias("won")
     return ops.groupBy(*by).agg(won).select(*by, "won.*")
 
 
@@ -37,29 +62,27 @@ def _winner(ops: DataFrame, by: tuple[str, ...], pick: Callable[[Column], Column
 
 
 def lww_register(ops: DataFrame) -> DataFrame:
-    """Newest write; a winning remove leaves null."""
-    return _winner(ops, BY, F.max, "num").withColumn("num", F.when(upserts(), F.col("num")))
+    """Newest write, of any type; a winning remove leaves null."""
+    return _winner(ops, BY, F.max, "num").withColumns({c: F.when(upserts(), F.col(c)) for c in ("num", "value")})
 
 
 def fww_register(ops: DataFrame, reset: Column | None = None) -> DataFrame:
-    """Oldest write since the last reset in order of arrival."""
-    if reset is not None:
-        last = F.max(F.when(reset, F.col("arrival"))).over(Window.partitionBy(*BY))
-        ops = ops.withColumn("last", last).filter(F.col("last").isNull() | (F.col("arrival") > F.col("last"))).drop("last")
-    return _winner(ops.filter(upserts()), BY, F.min, "num")
+    """Oldest operation since the last reset in order of arrival; if that removes a value, null."""
+    return _winner(since_reset(ops, reset), BY, F.min, "num").withColumns({c: F.when(upserts(), F.col(c)) for c in ("num", "value")})
 
 
 def max_wins(ops: DataFrame) -> DataFrame:
-    return ops.groupBy(*BY).agg(F.max("num").alias("num"))
+    """Largest value written, compared by type; removes fail."""
+    return ops.filter(upserts()).groupBy(*BY).agg(F.max("num").alias("num"), F.max(values.payload(ops)).alias("value"))
 
 
 def min_wins(ops: DataFrame) -> DataFrame:
-    return ops.groupBy(*BY).agg(F.min("num").alias("num"))
+    return ops.filter(upserts()).groupBy(*BY).agg(F.min("num").alias("num"), F.min(values.payload(ops)).alias("value"))
 
 
 def average_register(ops: DataFrame) -> DataFrame:
-    """Mean over replicas of each replica's newest contribution."""
-    mine = ops.groupBy(*BY, "replica_id").agg(F.max(F.struct("ts", "global_clock", "num")).alias("won"))
+    """Mean over replicas of each replica's newest contribution; removes fail."""
+    mine = ops.filter(upserts()).groupBy(*BY, "replica_id").agg(F.max(F.struct("ts", "global_clock", "num")).alias("won"))
     return mine.groupBy(*BY).agg((F.sum("won.num").cast("double") / F.count(F.lit(1))).alias("average"), F.count(F.lit(1)).alias("replicas"))
 
 
@@ -88,12 +111,14 @@ def state_machine(ops: DataFrame, target: Column, allowed: Callable[[Column, Col
 
 
 def counter(ops: DataFrame) -> DataFrame:
-    return ops.groupBy(*BY).agg(F.sum("num").alias("num"))
+    """The sum of all increments; removes fail and add nothing."""
+    return ops.filter(amounts()).groupBy(*BY).agg(F.sum("num").alias("num"))
 
 
 def g_counter(ops: DataFrame) -> DataFrame:
     """Only growth counts; anything else is a failed operation."""
-    return ops.groupBy(*BY).agg(F.sum(F.when(F.col("num") > 0, F.col("num"))).alias("num"), F.sum(F.when(F.col("num") > 0, 0).otherwise(1)).alias("failed"))
+    grows = amounts() & F.coalesce(F.col("num") > 0, F.lit(False))
+    return ops.groupBy(*BY).agg(F.sum(F.when(grows, F.col("num"))).alias("num"), F.sum(F.when(grows, 0).otherwise(1)).alias("failed"))
 
 
 def bounded_counter(ops: DataFrame, low, high) -> DataFrame:
@@ -102,14 +127,15 @@ def bounded_counter(ops: DataFrame, low, high) -> DataFrame:
 
 
 def bounded_counter_history(ops: DataFrame, low, high) -> DataFrame:
-    """Shown value after each operation of a replica, in order of its clock."""
+    """Shown value after each increment of a replica, in order of its clock."""
+    ops = ops.filter(amounts())
     w = Window.partitionBy(*BY, "replica_id").orderBy("clock").rowsBetween(Window.unboundedPreceding, 0)
     return ops.select(*BY, "replica_id", "clock", clamp(F.sum("num").over(w).cast("double"), float(low), float(high)).alias("shown"))
 
 
 def counter_map(ops: DataFrame) -> DataFrame:
     up, down = F.sum(F.when(F.col("num") > 0, F.col("num")).otherwise(0)), F.sum(F.when(F.col("num") < 0, -F.col("num")).otherwise(0))
-    return ops.groupBy(*BY, "key").agg(up.alias("p"), down.alias("n")).withColumn("num", F.col("p") - F.col("n"))
+    return ops.filter(amounts()).groupBy(*BY, "key").agg(up.alias("p"), down.alias("n")).withColumn("num", F.col("p") - F.col("n"))
 
 
 # maps
@@ -121,15 +147,16 @@ def lww_map(ops: DataFrame) -> DataFrame:
 
 
 def fww_map(ops: DataFrame) -> DataFrame:
-    return _winner(ops, (*BY, "key"), F.min, "num").filter(upserts())
+    """Oldest operation per key since the last reset of the whole map."""
+    return _winner(since_reset(ops), (*BY, "key"), F.min, "num").filter(upserts())
 
 
 def max_wins_map(ops: DataFrame) -> DataFrame:
-    return ops.filter(upserts()).groupBy(*BY, "key").agg(F.max("num").alias("num"))
+    return ops.filter(upserts()).groupBy(*BY, "key").agg(F.max("num").alias("num"), F.max(values.payload(ops)).alias("value"))
 
 
 def min_wins_map(ops: DataFrame) -> DataFrame:
-    return ops.filter(upserts()).groupBy(*BY, "key").agg(F.min("num").alias("num"))
+    return ops.filter(upserts()).groupBy(*BY, "key").agg(F.min("num").alias("num"), F.min(values.payload(ops)).alias("value"))
 
 
 def or_map(ops: DataFrame, removed: DataFrame) -> DataFrame:
@@ -161,15 +188,16 @@ def lww_set(ops: DataFrame) -> DataFrame:
 
 
 def fww_set(ops: DataFrame) -> DataFrame:
-    """Live while the oldest add is no newer than the oldest remove; a tie adds."""
-    return _add_remove(ops, F.min).filter("added IS NOT NULL AND (gone IS NULL OR added <= gone)").select(*BY, "key")
+    """Live while the oldest add is no newer than the oldest remove, both since the last reset; a tie adds."""
+    return _add_remove(since_reset(ops), F.min).filter("added IS NOT NULL AND (gone IS NULL OR added <= gone)").select(*BY, "key")
 
 
 def observed_tags(ops: DataFrame) -> DataFrame:
-    """Tags that removes have observed: those that the same replica added to the element before."""
+    """Tags that removes have observed: those that the same replica added to the element before. With the newest remove that
+    did: remover and removed_clock."""
     at = [*BY, "key", "replica_id"]
     last = ops.filter(removes()).groupBy(*at).agg(F.max("clock").alias("last"))
-    return ops.filter(upserts()).join(last, at).filter("clock < last").select(*BY, "key", "tag")
+    return ops.filter(upserts()).join(last, at).filter("clock < last").select(*BY, "key", "tag", F.col("replica_id").alias("remover"), F.col("last").alias("removed_clock"))
 
 
 def or_set(ops: DataFrame, removed: DataFrame) -> DataFrame:
@@ -177,18 +205,19 @@ def or_set(ops: DataFrame, removed: DataFrame) -> DataFrame:
     return ops.filter(upserts()).join(removed, [*BY, "key", "tag"], "left_anti").select(*BY, "key").distinct()
 
 
+def _live_with_value(ops: DataFrame) -> DataFrame:
+    newest = _winner(ops.filter(upserts()), (*BY, "key"), F.max, "num").select(*BY, "key", "num", "value")
+    return lww_set(ops).join(newest, [*BY, "key"])
+
+
 def sorted_set(ops: DataFrame) -> DataFrame:
     """The live elements of an LWW set with their newest value, ranked by value, then text."""
-    newest = _winner(ops.filter(upserts()), (*BY, "key"), F.max, "num").select(*BY, "key", "num")
-    w = Window.partitionBy(*BY).orderBy(F.asc_nulls_first("num"), "key")
-    return lww_set(ops).join(newest, [*BY, "key"]).withColumn("rank", F.row_number().over(w))
+    return ranked(_live_with_value(ops), list(BY), [F.asc_nulls_first("value"), F.asc("key")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def priority_queue(ops: DataFrame, top: int | None = None) -> DataFrame:
     """Live elements by descending priority; ``top`` keeps the first few of each queue."""
-    w = Window.partitionBy(*BY).orderBy(F.desc("num"), "key")
-    newest = _winner(ops.filter(upserts()), (*BY, "key"), F.max, "num").select(*BY, "key", "num")
-    out = lww_set(ops).join(newest, [*BY, "key"]).withColumn("rank", F.row_number().over(w))
+    out = ranked(_live_with_value(ops), list(BY), [F.desc("value"), F.asc("key")]).withColumn("rank", F.col("rank").cast("int"))
     return out if top is None else out.filter(F.col("rank") <= top)
 
 
@@ -276,62 +305,7 @@ def tree_depths(nodes: DataFrame, *, node: str = "node", parent: str = "parent")
 
 
 def positional_list(inserts: DataFrame, removed: DataFrame, position: str | list[str]) -> DataFrame:
-    """Elements that weren't removed, in order of their position ids (fractions or digit paths)."""
+    """Elements that weren't removed, in order of their position ids (fractions, digit paths or ordered keys)."""
     at = [position] if isinstance(position, str) else position
     live = inserts.join(removed.select(*BY, "tag").distinct(), [*BY, "tag"], "left_anti")
-    return live.withColumn("place", F.row_number().over(Window.partitionBy(*BY).orderBy(*at, "tag")))
-
-
-def rga_order(nodes: DataFrame, *, by: str = "document_id") -> DataFrame:
-    """Document order of an insert-after list: depth first over left pointers, newest sibling first, an
-    unknown left neighbour being the start. nodes: by, id (long), left_id, deleted. A document's nodes are
-    gathered in one task, as its text would be; documents are independent, and a batch holds many of them."""
-    import pyarrow as pa
-
-    names = [by, "id", "left_id", "deleted"]
-
-    def walk(ids: list, lefts: list, gone: list) -> tuple[list, list]:
-        known, below, dead = set(ids), {}, dict(zip(ids, gone))
-        for i, left in zip(ids, lefts):
-            below.setdefault(left if left in known else None, []).append(i)
-        out, stack = [], sorted(below.get(None, []))
-        while stack:
-            i = stack.pop()
-            out.append(i)
-            stack.extend(sorted(below.get(i, [])))
-        return out, [bool(dead[i]) for i in out]
-
-    def run(batches):
-        now, held = None, ([], [], [])
-        out = ([], [], [], [])
-
-        def close():
-            ids, gone = walk(*held)
-            out[0].extend([now] * len(ids))
-            out[1].extend(ids)
-            out[2].extend(range(1, len(ids) + 1))
-            out[3].extend(gone)
-            for x in held:
-                x.clear()
-
-        def given():
-            rows = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.bool_())], [by, "id", "place", "deleted"])
-            for x in out:
-                x.clear()
-            return rows
-
-        for batch in batches:
-            for doc, i, left, gone in zip(*(batch.column(c).to_pylist() for c in names)):
-                if held[0] and doc != now:
-                    close()
-                now = doc
-                for x, v in zip(held, (i, left, gone)):
-                    x.append(v)
-            if len(out[0]) > 10_000:
-                yield given()
-        if held[0]:
-            close()
-        yield given()
-
-    rows = nodes.select(F.col(by).cast("string").alias(by), F.col("id").cast("long").alias("id"), F.col("left_id").cast("long").alias("left_id"), "deleted")
-    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(run, f"{by} string, id long, place int, deleted boolean")
+    return ranked(live, list(BY), [*map(F.col, at), F.col("tag")], "place")

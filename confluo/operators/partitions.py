@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from confluo.functions.paths import within
+from confluo.operators.ranks import summed
 from confluo.session import saved
 
 #: Ranges of a catalog that are broadcast at once for routing.
@@ -17,8 +18,9 @@ BY_TAG, BY_POSITION = {"vote_counter"}, {"array_lcs", "lseq", "rga"}
 
 def catalog(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
     """Ranges of about ``size`` rows in key order per ``by``: part, start_key, end_key (null: open), n_rows."""
-    counted = rows.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(by).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    counted = summed(rows.groupBy(by, key).agg(F.count(F.lit(1)).alias("n")), [by], [key], "n", "upto_")
+    before = F.col("upto_") - F.col("n")
+    # a row per range from here on
     parts = counted.withColumn("part", F.floor(before / size).cast("int")).groupBy(by, "part").agg(F.min(key).alias("start_key"), F.sum("n").alias("n_rows"))
     w = Window.partitionBy(by).orderBy("start_key")
     return parts.withColumns({"end_key": F.lead("start_key").over(w), "part": (F.row_number().over(w) - 1).cast("int")})

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from confluo.functions.paths import within
-from confluo.operators.folds import BY, removes, upserts
+from confluo.functions import values
+from confluo.operators.folds import BY, observed_tags, removes, upserts
 from confluo.session import saved
 
 
@@ -37,10 +37,14 @@ def compact_two_phase_set(ops: DataFrame, threshold: int) -> DataFrame:
 
 
 def compact_or_set(ops: DataFrame, removed: DataFrame, minimum: DataFrame) -> DataFrame:
-    """Add tags with whether they are removed, without removed tags that every replica has."""
-    tags = by_version(ops.filter(upserts()), minimum).select(*BY, "key", "tag", "safe")
-    marked = tags.join(removed.select(*BY, "key", "tag", F.lit(True).alias("removed")).distinct(), [*BY, "key", "tag"], "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
-    return marked.filter(~(F.col("removed") & F.col("safe"))).drop("safe")
+    """Add tags with whether they are removed, without removed tags whose remove (remover, removed_clock; the newest, if
+    several have seen the tag) every replica has. That the add is known everywhere isn't enough: where the remove isn't,
+    the forgotten tag would come back."""
+    tags = ops.filter(upserts()).select(*BY, "key", "tag")
+    last = removed.groupBy(*BY, "key", "tag").agg(F.max(F.struct("removed_clock", "remover")).alias("by"))
+    seen = by_version(last.select(*BY, "key", "tag", F.col("by.remover").alias("replica_id"), F.col("by.removed_clock").alias("clock")), minimum)
+    marked = tags.join(seen.select(*BY, "key", "tag", "safe", F.lit(True).alias("removed")), [*BY, "key", "tag"], "left").withColumn("removed", F.coalesce("removed", F.lit(False)))
+    return marked.filter(~(F.col("removed") & F.coalesce("safe", F.lit(False)))).drop("safe")
 
 
 def compact_lww_map(ops: DataFrame, threshold: int) -> DataFrame:
@@ -71,8 +75,10 @@ def compact_fww_map(ops: DataFrame, threshold: int) -> DataFrame:
 
 
 def compact_or_map(ops: DataFrame, removed: DataFrame, minimum: DataFrame) -> DataFrame:
-    """Add tags as for an OR set, each with its value; a key's newest write goes with its last tag."""
-    return compact_or_set(ops, removed, minimum).join(ops.filter(upserts()).select(*BY, "key", "tag", "num"), [*BY, "key", "tag"])
+    """Add tags as for an OR set, each with its key's newest write: that stays as long as a tag of the key does, whichever
+    tag it came with, so the map shows what it showed."""
+    newest = ops.filter(upserts()).groupBy(*BY, "key").agg(F.max(F.struct("ts", "replica_id", "global_clock", "num", values.payload(ops).alias("value"))).alias("w"))
+    return compact_or_set(ops, removed, minimum).join(newest.select(*BY, "key", "w.num", "w.value"), [*BY, "key"])
 
 
 #: Sorted sets and priority queues keep the same two timestamps per element as an LWW set.
@@ -103,12 +109,24 @@ BY_TIME: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 }
 
 
-def compact_model(specs: dict, ops: DataFrame, threshold: int) -> dict[str, DataFrame]:
-    """Each path's compacted state by its strategy's rule; decorators keep what their inner strategy keeps."""
+#: Strategies whose tombstones are removes that others must have seen.
+BY_MINIMUM: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {"or_set": compact_or_set, "or_map": compact_or_map, "replicated_tree": compact_tree}
+
+
+def compact_model(model, ops: DataFrame, threshold: int, minimum: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Each property's compacted state by its strategy's rule, from the property's own operations; decorators keep what
+    their inner strategy keeps. Removes that others must have seen stay without a global minimum."""
     out = {}
+    specs = model.bound()
     for path, spec in specs.items():
-        mine = ops.filter(within(F.col("path"), path))
-        out[path] = BY_TIME[spec.name](mine.withColumn("path", F.lit(path)), threshold) if spec.name in BY_TIME else mine
+        mine = model.operations(ops, path, list(specs))
+        if spec.name in BY_TIME:
+            mine = BY_TIME[spec.name](mine, threshold)
+        elif spec.name in BY_MINIMUM and minimum is not None:
+            mine = BY_MINIMUM[spec.name](mine.filter(~F.coalesce(F.col("kind") == "move", F.lit(False))), observed_tags(mine), minimum)
+        elif spec.name == "fww_register":
+            mine = compact_fww_register(mine, threshold)
+        out[path] = mine
     return out
 
 

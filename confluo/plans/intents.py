@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from confluo.functions import keys, values
 from confluo.functions.ordering import operation_id
+from confluo.operators import sequences, states
+from confluo.operators.folds import BY
+from confluo.operators.joins import beside
+from confluo.operators.ranks import ranked
 from confluo.plans.registry import StrategySpec
+from confluo.session import saved
 from confluo.sources import oplog
 
 #: How each intent is recorded, as (operation type, payload fields taken from the intent).
@@ -54,24 +61,27 @@ def operations(spark: SparkSession, rows: list[dict], replica_id: str, now: int,
 
 
 #: What the payload of some intents is of.
-KINDS = {"add_vertex": "vertex", "remove_vertex": "vertex", "add_edge": "edge", "remove_edge": "edge", "move_node": "move", "epoch_clear": "clear"}
+KINDS = {"add_vertex": "vertex", "remove_vertex": "vertex", "add_edge": "edge", "remove_edge": "edge", "move_node": "move", "epoch_clear": "clear", "clear": "clear"}
 
 
 def logged(rows: DataFrame) -> DataFrame:
     """Intents as rows of an operation log, which folds read: document_id, path, intent, replica_id, ts, clock and
-    global_clock, with any of PAYLOAD. A table of any size; nothing goes through the driver."""
+    global_clock, with any of PAYLOAD; ``value`` of any type, tagged or not. A table of any size; nothing goes through the
+    driver. A set to null is a remove. Intents by index need the list: see ``edited``."""
     given = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
     named = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("intent"))
     type_ = named({intent: "upsert" if op_type == "increment" else op_type for intent, (op_type, _) in RECORDED.items()})
     kind = named(KINDS)
-    position = F.when(F.col("intent") == "insert", given("index"))
-    number = F.coalesce(given("num"), position, given("value")).try_cast("decimal(18,2)")
+    value = values.tagged(F.col("value"), rows.schema["value"].dataType) if "value" in rows.columns else F.lit(None).cast(values.VALUE)
+    text = values.read(value, T.StringType())
+    number = F.coalesce(given("num"), text).try_cast("decimal(18,2)")
     out = rows.withColumns(
         {
-            "op_type": type_,
+            "op_type": F.when((F.col("intent") == "set") & value.isNull() & given("num").isNull(), "remove").otherwise(type_),
             "kind": kind,
             "num": number,
-            "str": F.coalesce(given("voter"), given("target"), given("parent"), given("value")),
+            "str": F.coalesce(given("voter"), given("target"), given("parent"), F.when(value["kind"] == "s", text)),
+            "value": value,
             "key": F.coalesce(given("key"), given("source"), F.when(F.col("intent") == "set_index", given("index"))),
             "epoch": given("epoch").try_cast("long"),
             "arrival": F.col("arrival") if "arrival" in rows.columns else F.col("global_clock"),
@@ -80,3 +90,40 @@ def logged(rows: DataFrame) -> DataFrame:
         }
     )
     return oplog.fitted(out)
+
+
+def edited(edits: DataFrame, log: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame]:
+    """(operations, rejected edits) of intents by index on lists: document_id, path, intent (add, insert, remove), index,
+    value, replica_id, ts, clock, global_clock and, optionally, arrival. An index refers to the list that ``log`` folds
+    to, changed by the replica's own edits before in order of its clock; what is at it is looked up among the folded
+    list's places. An index outside the list is rejected and changes nothing."""
+    id_ = keys.of_id(F.col("global_clock"), F.col("replica_id")) if strategy == "rga" else operation_id()
+    rows = edits.withColumns({"tag": id_, "index": F.col("index").cast("long")})
+    listed = states.ordered(states.partial(log.withColumn("strategy", F.lit(strategy))), strategy)
+    seen = ranked(listed.filter("NOT deleted"), list(BY), ["place"], "seen") if strategy == "rga" else listed.withColumn("seen", F.col("place"))
+    elements = saved(seen.select(*BY, F.col("seen").alias("place"), F.col("key").alias("id"), *([] if strategy == "rga" else ["pos"])))
+    sized = beside(rows, elements.groupBy(*BY).agg(F.count(F.lit(1)).alias("length")), list(BY))
+    found = saved(sequences.located(sized.select(*sequences.EDITOR, "clock", "tag", "intent", "index", F.coalesce("length", F.lit(0)).alias("length"))))
+    for which in ("left", "right", "target"):
+        found = sequences.elements_at(found, elements, which)
+    placed = found.filter("problem IS NULL")
+    at = [*sequences.EDITOR, "clock", "tag"]
+    known = placed.select(*at, F.coalesce("left_tag", "left_id").alias("left_ref"), F.coalesce("target_tag", "target_id").alias("target_ref"))
+    if strategy != "rga":
+        inserts = placed.withColumn("inserts", F.col("target_place").isNull() & F.col("target_tag").isNull())
+        known = known.join(sequences.positioned(inserts, strategy), at)
+    both = rows.join(known, at)
+    removes = F.col("intent") == "remove"
+    value = values.tagged(F.col("value"), rows.schema["value"].dataType) if "value" in rows.columns else F.lit(None).cast(values.VALUE)
+    made = both.withColumns(
+        {
+            "op_type": F.when(removes, "remove").otherwise("upsert"),
+            "ref": F.when(removes, F.col("target_ref")).otherwise(F.col("left_ref") if strategy == "rga" else F.lit(None)),
+            "value": F.when(~removes, value),
+            "arrival": F.col("arrival") if "arrival" in rows.columns else F.col("global_clock"),
+            "tag": operation_id(),
+            "op_id": operation_id(),
+        }
+    )
+    rejected = rows.join(found.filter("problem IS NOT NULL").select(*at, "problem"), at).drop("tag")
+    return oplog.fitted(made), rejected

@@ -54,6 +54,9 @@ def query(sql: str | None = None, with_: str = OPS):
     return add
 
 
+UP = "op_type = 'upsert'"
+
+
 def real(*names: str) -> list:
     return [F.col(n).cast("double").alias(n) for n in names]
 
@@ -70,23 +73,23 @@ def lww_register(spark, d):
     return folds.lww_register(ops(spark, d)).select("document_id", "ts", "replica_id", *real("num"))
 
 
-@query(f"""SELECT document_id, ts, replica_id, CAST(num AS DOUBLE) AS num FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts, replica_id) AS rn FROM ops JOIN
-  (SELECT document_id, max(arrival) FILTER (WHERE global_clock % 101 = 0) AS last FROM ops GROUP BY 1) USING (document_id) WHERE op_type = 'upsert' AND (last IS NULL OR arrival > last)) WHERE rn = 1""")
+@query(f"""SELECT document_id, ts, replica_id, CASE WHEN op_type = 'upsert' THEN CAST(num AS DOUBLE) END AS num FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts, replica_id, global_clock) AS rn FROM ops JOIN
+  (SELECT document_id, max(arrival) FILTER (WHERE global_clock % 101 = 0) AS last FROM ops GROUP BY 1) USING (document_id) WHERE last IS NULL OR arrival > last) WHERE rn = 1""")
 def fww_register(spark, d):
     return folds.fww_register(ops(spark, d), F.col("global_clock") % 101 == 0).select("document_id", "ts", "replica_id", *real("num"))
 
 
-@query("SELECT document_id, CAST(max(num) AS DOUBLE) AS num FROM ops GROUP BY 1")
+@query("SELECT document_id, CAST(max(num) AS DOUBLE) AS num FROM ops WHERE op_type = 'upsert' GROUP BY 1")
 def max_wins(spark, d):
     return folds.max_wins(ops(spark, d)).select("document_id", *real("num"))
 
 
-@query("SELECT document_id, CAST(min(num) AS DOUBLE) AS num FROM ops GROUP BY 1")
+@query("SELECT document_id, CAST(min(num) AS DOUBLE) AS num FROM ops WHERE op_type = 'upsert' GROUP BY 1")
 def min_wins(spark, d):
     return folds.min_wins(ops(spark, d)).select("document_id", *real("num"))
 
 
-@query(f"SELECT document_id, round(CAST(sum(num) AS DOUBLE) / count(*), 6) AS average, count(*) AS replicas FROM {won('document_id, replica_id')} GROUP BY 1")
+@query(f"SELECT document_id, round(CAST(sum(num) AS DOUBLE) / count(*), 6) AS average, count(*) AS replicas FROM {won('document_id, replica_id', 'DESC', UP)} GROUP BY 1")
 def average_register(spark, d):
     return folds.average_register(ops(spark, d)).select("document_id", F.round("average", 6).alias("average"), "replicas")
 
@@ -116,27 +119,27 @@ def state_machine(spark, d):
 # counters
 
 
-@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS num FROM ops GROUP BY 1")
+@query(f"SELECT document_id, CAST(sum(num) AS DOUBLE) AS num FROM ops WHERE {UP} GROUP BY 1")
 def counter(spark, d):
     return folds.counter(ops(spark, d)).select("document_id", *real("num"))
 
 
-@query("SELECT document_id, CAST(sum(num) FILTER (WHERE num > 0) AS DOUBLE) AS num, count(*) FILTER (WHERE num <= 0) AS failed FROM ops GROUP BY 1")
+@query(f"SELECT document_id, CAST(sum(num) FILTER (WHERE num > 0 AND {UP}) AS DOUBLE) AS num, count(*) FILTER (WHERE num <= 0 OR NOT {UP}) AS failed FROM ops GROUP BY 1")
 def gcounter(spark, d):
     return folds.g_counter(ops(spark, d)).select("document_id", *real("num"), "failed")
 
 
-@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS num, greatest(0.0::DOUBLE, least(100000.0::DOUBLE, CAST(sum(num) AS DOUBLE))) AS shown FROM ops GROUP BY 1")
+@query(f"SELECT document_id, CAST(sum(num) AS DOUBLE) AS num, greatest(0.0::DOUBLE, least(100000.0::DOUBLE, CAST(sum(num) AS DOUBLE))) AS shown FROM ops WHERE {UP} GROUP BY 1")
 def bounded_counter(spark, d):
     return folds.bounded_counter(ops(spark, d), 0, 100000).select("document_id", *real("num"), "shown")
 
 
-@query("SELECT document_id, replica_id, clock, greatest(-500.0::DOUBLE, least(500.0::DOUBLE, CAST(sum(num) OVER (PARTITION BY document_id, replica_id ORDER BY clock) AS DOUBLE))) AS shown FROM ops")
+@query("SELECT document_id, replica_id, clock, greatest(-500.0::DOUBLE, least(500.0::DOUBLE, CAST(sum(num) OVER (PARTITION BY document_id, replica_id ORDER BY clock) AS DOUBLE))) AS shown FROM ops WHERE op_type = 'upsert'")
 def bounded_counter_running(spark, d):
     return folds.bounded_counter_history(ops(spark, d), -500, 500).select("document_id", "replica_id", "clock", "shown")
 
 
-@query("SELECT document_id, key, CAST(sum(num) AS DOUBLE) AS num FROM ops GROUP BY 1, 2")
+@query(f"SELECT document_id, key, CAST(sum(num) AS DOUBLE) AS num FROM ops WHERE {UP} GROUP BY 1, 2")
 def counter_map(spark, d):
     return folds.counter_map(ops(spark, d)).select("document_id", "key", *real("num"))
 
@@ -230,7 +233,7 @@ def approval_quorum(spark, d):
     return folds.approval_quorum(ops(spark, d), 3).select("document_id", "key", "ts", "completed_by")
 
 
-@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS num FROM ops JOIN (SELECT document_id, max(global_clock // 700) AS e FROM ops GROUP BY 1) USING (document_id) WHERE global_clock // 700 = e AND global_clock % 50 <> 0 GROUP BY 1")
+@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS num FROM ops JOIN (SELECT document_id, max(global_clock // 700) AS e FROM ops GROUP BY 1) USING (document_id) WHERE global_clock // 700 = e AND global_clock % 50 <> 0 AND op_type = 'upsert' GROUP BY 1")
 def epoch_bound(spark, d):
     e = F.floor(F.col("global_clock") / 700)
     return folds.epoch_bound(ops(spark, d), e, F.col("global_clock") % 50 == 0, folds.counter).select("document_id", *real("num"))
@@ -419,8 +422,8 @@ def clock_assignment(spark, d):
 
 @query("SELECT document_id, global_clock, CAST((num + coalesce(lag(num) OVER (PARTITION BY document_id ORDER BY num, global_clock), num - 2)) / 2 AS DOUBLE) AS between_ FROM ops")
 def midpoint_positions(spark, d):
-    items = ops(spark, d).select("document_id", "global_clock", F.col("num").alias("position"), F.struct("num", "global_clock").alias("order"))
-    return diffs.positions_between(items, ["document_id"], "order").select("document_id", "global_clock", F.col("between").cast("double").alias("between_"))
+    items = ops(spark, d).select("document_id", "global_clock", F.col("num").alias("position"), "num")
+    return diffs.positions_between(items, ["document_id"], ["num", "global_clock"]).select("document_id", "global_clock", F.col("between").cast("double").alias("between_"))
 
 
 # version vectors and sync
@@ -541,8 +544,14 @@ def compact_two_phase_set(spark, d):
     return retention.compact_two_phase_set(o, midway(o)).select("document_id", "key", "added", "gone")
 
 
-@query("""SELECT document_id, key, tag, removed FROM (SELECT a.document_id, a.key, a.tag, EXISTS (SELECT 1 FROM ops r WHERE r.op_type = 'remove' AND r.document_id = a.document_id AND r.key = a.key AND r.replica_id = a.replica_id AND r.clock > a.clock) AS removed, coalesce(a.clock <= version, false) AS safe
- FROM ops a LEFT JOIN (SELECT origin AS replica_id, min(contiguous) AS version FROM vectors GROUP BY 1 HAVING count(DISTINCT vectors.replica_id) = 3 AND min(contiguous) > 0) USING (replica_id) WHERE a.op_type = 'upsert') WHERE NOT (removed AND safe)""", VECTORS)
+#: Add tags; the newest remove of the same replica after the add has seen it, and is safe if every holder has that remove.
+REMOVED_TAGS = """(SELECT a.document_id, a.key, a.tag, coalesce(last > a.clock, false) AS removed, coalesce(last <= version, false) AS safe, newest.num FROM ops a
+ LEFT JOIN (SELECT document_id, key, replica_id, max(clock) AS last FROM ops WHERE op_type = 'remove' GROUP BY 1, 2, 3) USING (document_id, key, replica_id)
+ LEFT JOIN (SELECT origin AS replica_id, min(contiguous) AS version FROM vectors GROUP BY 1 HAVING count(DISTINCT vectors.replica_id) = 3 AND min(contiguous) > 0) USING (replica_id)
+ JOIN (SELECT document_id, key, arg_max(num, (ts, replica_id, global_clock)) AS num FROM ops WHERE op_type = 'upsert' GROUP BY 1, 2) newest USING (document_id, key) WHERE a.op_type = 'upsert')"""
+
+
+@query(f"SELECT document_id, key, tag, removed FROM {REMOVED_TAGS} WHERE NOT (removed AND safe)", VECTORS)
 def compact_gmvv_or_set(spark, d):
     o = ops(spark, d)
     return retention.compact_or_set(o, folds.observed_tags(o), sync.global_minimum(vectors(spark, d), 3)).select("document_id", "key", "tag", "removed")
@@ -913,16 +922,14 @@ def compact_fww_map(spark, d):
     return retention.compact_fww_map(o, midway(o)).select("document_id", "key", "ts", "op_type")
 
 
-@query(f"SELECT document_id, ts FROM (SELECT document_id, min(ts) AS ts FROM ops WHERE op_type = 'upsert' AND global_clock % 2 = 0 GROUP BY 1) WHERE ts > (SELECT CAST(floor(quantile_disc(t, 0.5)) AS BIGINT) FROM (SELECT min(ts) AS t FROM ops WHERE op_type = 'upsert' AND global_clock % 2 = 0 GROUP BY document_id))")
-def compact_fww_register(spark, d):
-    o = ops(spark, d).filter("global_clock % 2 = 0")
-    first = o.filter(folds.upserts()).groupBy("document_id").agg(F.min("ts").alias("t"))
-    middle = first.agg(F.sort_array(F.collect_list("t")).alias("t")).first()["t"] if first.limit(1).count() else [0]  # a row per document of the test mapping
-    return retention.compact_fww_register(o, middle[(len(middle) - 1) // 2]).select("document_id", "ts")
+FIRSTS = "SELECT document_id, min(ts) AS ts FROM ops WHERE op_type = 'upsert' GROUP BY 1"
 
 
-REMOVED_TAGS = """(SELECT a.document_id, a.key, a.tag, a.num, EXISTS (SELECT 1 FROM ops r WHERE r.op_type = 'remove' AND r.document_id = a.document_id AND r.key = a.key AND r.replica_id = a.replica_id AND r.clock > a.clock) AS removed, coalesce(a.clock <= version, false) AS safe
- FROM ops a LEFT JOIN (SELECT origin AS replica_id, min(contiguous) AS version FROM vectors GROUP BY 1 HAVING count(DISTINCT vectors.replica_id) = 3 AND min(contiguous) > 0) USING (replica_id) WHERE a.op_type = 'upsert')"""
+@query(f"SELECT document_id, ts FROM ({FIRSTS}) WHERE ts > (SELECT CAST(floor((min(ts) + max(ts)) / 2) AS BIGINT) FROM ({FIRSTS}))")
+def compact_fww_register(spark, d):
+    o = ops(spark, d)
+    firsts = o.filter(folds.upserts()).groupBy("document_id").agg(F.min("ts").alias("ts"))
+    return retention.compact_fww_register(o, midway(firsts)).select("document_id", "ts")
 
 
 @query(f"SELECT document_id, key, tag, removed, CAST(num AS DOUBLE) AS num FROM {REMOVED_TAGS} WHERE NOT (removed AND safe)", VECTORS)
@@ -949,7 +956,7 @@ def compact_model(spark, d):
     """A model's compaction: each field by its strategy's rule, and those without one keep everything."""
     model = Model(T.StructType([T.StructField("balance", T.DecimalType(18, 2)), T.StructField("tags", T.ArrayType(T.StringType()))])).property("$.balance", "counter").property("$.tags", "two_phase_set")
     o = ops(spark, d).withColumn("path", F.when(F.col("global_clock") % 2 == 0, "$.tags").otherwise("$.balance"))
-    states = retention.compact_model(model.bound(), o, midway(o))
+    states = retention.compact_model(model, o, midway(o))
     tags = states["$.tags"].groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("rows_")).select(F.lit("tags").alias("field"), "document_id", "key", "rows_")
     return tags.unionByName(states["$.balance"].groupBy("document_id").agg(F.count(F.lit(1)).alias("rows_")).select(F.lit("balance").alias("field"), "document_id", F.lit(None).cast("string").alias("key"), "rows_"))
 
@@ -1033,7 +1040,7 @@ def partition_compact_all(spark, d):
 # all strategies of one key in one pass
 
 
-@query("""SELECT 'balance' AS field, document_id, NULL AS key, CAST(sum(num) AS DOUBLE) AS num FROM ops WHERE global_clock % 2 = 0 GROUP BY document_id UNION ALL
+@query("""SELECT 'balance' AS field, document_id, NULL AS key, CAST(sum(num) AS DOUBLE) AS num FROM ops WHERE global_clock % 2 = 0 AND op_type = 'upsert' GROUP BY document_id UNION ALL
  SELECT 'tags', document_id, key, CAST(max(num) AS DOUBLE) FROM ops WHERE global_clock % 2 = 1 AND op_type = 'upsert' GROUP BY document_id, key""")
 def model_apply(spark, d):
     """A document model with a strategy per field, applied to one log."""
@@ -1045,7 +1052,8 @@ def model_apply(spark, d):
     return balance.unionByName(states["$.tags"].select(F.lit("tags").alias("field"), "document_id", "key", *real("num")))
 
 
-@query("SELECT document_id, CAST(sum(num) AS DOUBLE) AS total, CAST(max(num) AS DOUBLE) AS largest, CAST(min(num) AS DOUBLE) AS smallest, count(DISTINCT key) FILTER (WHERE op_type = 'upsert') AS elements, count(DISTINCT replica_id) AS replicas FROM ops GROUP BY 1")
+@query("SELECT document_id, CAST(sum(num) FILTER (WHERE op_type = 'upsert') AS DOUBLE) AS total, CAST(max(num) FILTER (WHERE op_type = 'upsert') AS DOUBLE) AS largest, CAST(min(num) FILTER (WHERE op_type = 'upsert') AS DOUBLE) AS smallest, count(DISTINCT key) FILTER (WHERE op_type = 'upsert') AS elements, count(DISTINCT replica_id) AS replicas FROM ops GROUP BY 1")
 def document_summary(spark, d):
     o = ops(spark, d)
-    return o.groupBy("document_id").agg(F.sum("num").cast("double").alias("total"), F.max("num").cast("double").alias("largest"), F.min("num").cast("double").alias("smallest"), F.countDistinct(F.when(folds.upserts(), F.col("key"))).alias("elements"), F.countDistinct("replica_id").alias("replicas"))
+    written = F.when(folds.upserts(), F.col("num"))
+    return o.groupBy("document_id").agg(F.sum(written).cast("double").alias("total"), F.max(written).cast("double").alias("largest"), F.min(written).cast("double").alias("smallest"), F.countDistinct(F.when(folds.upserts(), F.col("key"))).alias("elements"), F.countDistinct("replica_id").alias("replicas"))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.functions import values
 from confluo.functions.ordering import operation_id
-from confluo.functions.paths import segments, within
-from confluo.operators import folds
+from confluo.functions.paths import SEGMENT, segments, within
+from confluo.operators import folds, states
 from confluo.sources import oplog
 
 #: Intents that each strategy accepts.
@@ -63,20 +64,14 @@ def _state_machine(ops: DataFrame, transitions: list[tuple[str, str]], start: st
     return folds.state_machine(ops.filter(folds.upserts()), F.col("str"), lambda a, b: F.concat_ws(">", a, b).isin(steps), start)
 
 
-def _positional(ops: DataFrame) -> DataFrame:
-    return folds.positional_list(ops.filter(folds.upserts()), folds.observed_tags(ops), "num")
+def _listed(strategy: str) -> Callable[[DataFrame], DataFrame]:
+    """Lists: an element is named by its operation, or, if it is inserted after another, by clock and replica; removes
+    name it in ``ref``."""
 
+    def fold(ops: DataFrame) -> DataFrame:
+        return states.ordered(states.partial(ops.withColumn("strategy", F.lit(strategy))), strategy)
 
-def _by_path(ops: DataFrame) -> DataFrame:
-    digits = F.split("str", r"\.").cast("array<int>")
-    return folds.positional_list(ops.filter(folds.upserts()).withColumn("digits", digits), folds.observed_tags(ops), "digits")
-
-
-def _rga(ops: DataFrame) -> DataFrame:
-    """Elements' ids are their global clocks, and ``str`` names the left neighbour's."""
-    gone = folds.observed_tags(ops).select("tag").distinct().withColumn("deleted", F.lit(True))
-    nodes = ops.filter(folds.upserts()).join(gone, "tag", "left")
-    return folds.rga_order(nodes.select("document_id", F.col("global_clock").alias("id"), F.col("str").cast("long").alias("left_id"), F.coalesce("deleted", F.lit(False)).alias("deleted")))
+    return fold
 
 
 def _graph(ops: DataFrame) -> DataFrame:
@@ -106,15 +101,15 @@ FOLDS: dict[str, Callable[..., DataFrame]] = {n: getattr(folds, n) for n in ("lw
     "vote_counter": _votes,
     "fixed_size_array": _fixed_size_array,
     "state_machine": _state_machine,
-    "array_lcs": _positional,
-    "lseq": _by_path,
-    "rga": _rga,
+    "array_lcs": _listed("array_lcs"),
+    "lseq": _listed("lseq"),
+    "rga": _listed("rga"),
     "graph": _graph,
     "two_phase_graph": _two_phase_graph,
     "replicated_tree": _tree,
 }
 #: What makes two operations the same proposal.
-PROPOSAL = ("op_type", "key", "num", "str", "kind", "epoch")
+PROPOSAL = ("op_type", "key", "num", "str", "kind", "epoch", "value", "pos", "ref")
 
 
 def _approved(ops: DataFrame, quorum: int = 2) -> DataFrame:
@@ -155,10 +150,14 @@ class StrategySpec:
             raise KeyError(f"no fold for {self.name}")
         if self.comparer is not None:
             ops = ops.withColumn("key", self.comparer(F.col("key")))
+        return fold(self.unwrapped(ops), **dict(self.params))
+
+    def unwrapped(self, ops: DataFrame) -> DataFrame:
+        """The operations that take effect, through the decorators from the outermost in."""
         given = dict(self.decorator_params)
         for d in self.decorators:
             ops = DECORATED[d](ops, **dict(given.get(d, ())))
-        return fold(ops, **dict(self.params))
+        return ops
 
 
 @dataclass
@@ -219,13 +218,22 @@ class Model:
         return out
 
     def bound(self) -> dict[str, StrategySpec]:
-        """The specs of all properties: named ones, and fields of the schema by their type."""
+        """The specs of all properties: named ones, and every other leaf of the schema by its type. A struct that no
+        spec names isn't a property; its fields are, at any depth."""
         out = dict(self.specs)
-        named = [p.lower() for p in out]
-        for f in self.schema.fields:
-            path = f"$.{f.name}"
-            if not any(p == path.lower() or p.startswith(path.lower() + ".") for p in named):
-                out[path] = self.resolve(path)
+        named = {p.lower() for p in out}
+
+        def walk(struct: T.StructType, above: str) -> None:
+            for f in struct.fields:
+                path = f"{above}.{f.name}"
+                if path.lower() in named:
+                    continue
+                if isinstance(f.dataType, T.StructType):
+                    walk(f.dataType, path)
+                elif not any(p.startswith((path.lower() + ".", path.lower() + "[")) for p in named):
+                    out[path] = self.resolve(path)
+
+        walk(self.schema, "$")
         return out
 
     def operations(self, ops: DataFrame, path: str, all_paths: list[str]) -> DataFrame:
@@ -238,6 +246,55 @@ class Model:
         below = F.when(F.col("path") != path, F.element_at(segments(F.col("path")), -1))
         return ops.filter(mine).withColumns({"key": F.coalesce("key", below), "path": F.lit(path)})
 
+    def dispatched(self, ops: DataFrame) -> DataFrame:
+        """Operations with the property they belong to as ``path`` and its strategy, the longest property that their
+        path is or is below; others are left out. The table of properties is a literal of the plan, so this is a
+        projection of one scan."""
+        specs = self.bound()
+        table = F.create_map(*(F.lit(x) for p, spec in specs.items() for x in (p, spec.name)))
+        plain = F.split_part("path", F.lit("|"), F.lit(1))
+        marks = F.regexp_extract_all(plain, F.lit(SEGMENT), F.lit(0))
+        above = lambda n: F.concat(F.lit("$"), F.array_join(F.slice("marks_", F.lit(1), n), ""))
+        lengths = F.filter(F.sequence(F.size("marks_"), F.lit(0)), lambda n: F.map_contains_key(table, above(n)))
+        rows = ops.withColumn("marks_", marks).withColumn("depth_", F.get(lengths, 0)).filter("depth_ IS NOT NULL")
+        below = F.when(F.col("depth_") < F.size("marks_"), F.element_at(segments(F.col("path")), -1))
+        key = F.coalesce("key", below)
+        root = above(F.col("depth_"))
+        for p, spec in specs.items():
+            if spec.comparer is not None:
+                key = F.when(root == p, spec.comparer(key)).otherwise(key)
+        return rows.withColumn("root_", root).withColumns({"key": key, "path": F.col("root_"), "strategy": F.try_element_at(table, F.col("root_"))}).drop("marks_", "depth_", "root_")
+
+    def state(self, ops: DataFrame) -> DataFrame:
+        """The state of all properties in one pass over the log. Decorated properties are unwrapped first, each from the
+        log of its own."""
+        specs = self.bound()
+        if unknown := [p for p, spec in specs.items() if spec.fold is not None or spec.name not in states.STRATEGIES]:
+            raise ValueError(f"no common state for {', '.join(unknown)}")
+        rows = self.dispatched(ops)
+        wrapped = {p: spec for p, spec in specs.items() if spec.decorators}
+        if wrapped:
+            columns = rows.columns
+            out = rows.filter(~F.col("path").isin(list(wrapped)))
+            for p, spec in wrapped.items():
+                mine = spec.unwrapped(rows.filter(F.col("path") == p).drop("strategy"))
+                out = out.unionByName(mine.withColumn("strategy", F.lit(spec.name)).select(columns))
+            rows = out
+        return states.partial(rows)
+
+    def table(self, ops: DataFrame) -> DataFrame:
+        """document_id, path, strategy, key, value: what all properties show, from one pass over the log. A value is tagged
+        (see ``functions.values``); bounded counters are clamped, and slots beyond an array's size don't show."""
+        rows = states.shown(self.state(ops))
+        value, seen = F.col("value"), F.lit(True)
+        for p, spec in self.bound().items():
+            params = dict(spec.params)
+            if spec.name == "bounded_counter":
+                value = F.when(F.col("path") == p, values.number(F.greatest(F.lit(params["low"]), F.least(F.lit(params["high"]), F.col("value.num"))).cast(values.NUMBER))).otherwise(value)
+            if spec.name == "fixed_size_array":
+                seen = seen & ((F.col("path") != p) | (F.col("key").try_cast("int") < params["size"]))
+        return rows.filter(seen).withColumn("value", value)
+
     def apply(self, ops: DataFrame) -> dict[str, DataFrame]:
         """The state of every property, each folded from its own operations."""
         specs = self.bound()

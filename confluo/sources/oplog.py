@@ -8,9 +8,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from confluo.functions.ordering import micros, operation_id
+from confluo.functions.values import VALUE
 
 #: An operation: who, where, what, when. One wide nullable payload keeps every kind in native columns; ``kind``
-#: tells payloads of one strategy apart, and ``epoch`` is what an epoch-bound decorator wraps them in.
+#: tells payloads of one strategy apart, and ``epoch`` is what an epoch-bound decorator wraps them in. ``value`` is a
+#: payload of any type (``num`` is the short form of a number), ``pos`` a list element's position as an ordered key,
+#: and ``ref`` the element that an operation refers to: the one removed, or an insert-after list's left neighbour.
 SCHEMA = T.StructType(
     [
         T.StructField("document_id", T.StringType()),
@@ -28,6 +31,9 @@ SCHEMA = T.StructType(
         T.StructField("op_id", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("epoch", T.LongType()),
+        T.StructField("value", VALUE),
+        T.StructField("pos", T.StringType()),
+        T.StructField("ref", T.StringType()),
     ]
 )
 #: Types of payloads beyond the wide row, by kind.
