@@ -13,16 +13,18 @@ from confluo.session import saved
 BROADCAST_ROWS, SALTS = 200_000, 32
 
 
-def beside(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def beside(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left", size: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``small``, which has a row per ``keys`` at most; nulls of keys are equal. A table
     of more than BROADCAST_ROWS rows is joined by shuffle, each of its rows once per salt, so that a hot key is dealt
-    to several tasks."""
-    small = saved(small)
+    to several tasks. ``size`` is the count of a table that is saved already."""
+    if size is None:
+        small = saved(small)
+        size = small.count()
     rest = [c for c in small.columns if c not in keys]
     right = small.select(*(F.col(k).alias(f"key_{i}_") for i, k in enumerate(keys)), *rest)
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"key_{i}_")) for i, k in enumerate(keys)))
     names = [f"key_{i}_" for i in range(len(keys))]
-    if small.count() <= BROADCAST_ROWS:
+    if size <= BROADCAST_ROWS:
         return rows.join(F.broadcast(right), same, how).drop(*names)
     salted = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("dealt_", F.pmod(F.xxhash64(*(c for c, t in rows.dtypes if not t.startswith("map"))), F.lit(SALTS)).cast("int"))

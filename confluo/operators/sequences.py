@@ -352,11 +352,14 @@ def positioned(found: DataFrame, strategy: str) -> DataFrame:
     return _in_order(found, lambda row: {}, step, [*EDITOR, "clock", "tag", "inserts", "left_tag", "right_tag", "left_pos", "right_pos"], schema, kinds)
 
 
-def elements_at(rows: DataFrame, elements: DataFrame, which: str) -> DataFrame:
-    """``rows`` with the element at their ``<which>_place``: ``<which>_id`` and, if elements have one, ``<which>_pos``.
+def elements_at(rows: DataFrame, elements: DataFrame, sides: list[str]) -> DataFrame:
+    """``rows`` with the elements at their ``<side>_place``: ``<side>_id`` and, if elements have one, ``<side>_pos``.
     elements: document_id, path, place, id[, pos]. Only places that are asked for go to the join."""
-    at = ["document_id", "path", f"{which}_place"]
-    asked = rows.filter(F.col(f"{which}_place").isNotNull()).select(*at).distinct()
-    wanted = [F.col(c).alias(f"{which}_{c}") for c in ("id", "pos") if c in elements.columns]
-    found = asked.join(elements.select("document_id", "path", F.col("place").cast("long").alias(f"{which}_place"), *wanted), at)
-    return beside(rows, found, at)
+    names = [c for c in ("id", "pos") if c in elements.columns]
+    asked = rows.select("document_id", "path", F.explode(F.array(*(f"{s}_place" for s in sides))).alias("place")).filter("place IS NOT NULL").distinct()
+    found = saved(asked.join(elements.select("document_id", "path", F.col("place").cast("long").alias("place"), *names), ["document_id", "path", "place"]))
+    size = found.count()
+    for s in sides:
+        one = found.select("document_id", "path", F.col("place").alias(f"{s}_place"), *(F.col(c).alias(f"{s}_{c}") for c in names))
+        rows = beside(rows, one, ["document_id", "path", f"{s}_place"], size=size)
+    return rows

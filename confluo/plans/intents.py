@@ -104,8 +104,7 @@ def edited(edits: DataFrame, log: DataFrame, strategy: str) -> tuple[DataFrame,
     elements = saved(seen.select(*BY, F.col("seen").alias("place"), F.col("key").alias("id"), *([] if strategy == "rga" else ["pos"])))
     sized = beside(rows, elements.groupBy(*BY).agg(F.count(F.lit(1)).alias("length")), list(BY))
     found = saved(sequences.located(sized.select(*sequences.EDITOR, "clock", "tag", "intent", "index", F.coalesce("length", F.lit(0)).alias("length"))))
-    for which in ("left", "right", "target"):
-        found = sequences.elements_at(found, elements, which)
+    found = sequences.elements_at(found, elements, ["left", "right", "target"])
     placed = found.filter("problem IS NULL")
     at = [*sequences.EDITOR, "clock", "tag"]
     known = placed.select(*at, F.coalesce("left_tag", "left_id").alias("left_ref"), F.coalesce("target_tag", "target_id").alias("target_ref"))

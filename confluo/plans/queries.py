@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from confluo.functions import paths
-from confluo.operators import delivery, diffs, folds, partitions, retention, sync
+from confluo.functions import keys, paths, values
+from confluo.operators import delivery, diffs, folds, partitions, ranks, retention, states, sync
 from confluo.plans import intents
 from confluo.plans.registry import Model
 from confluo.session import saved, shared_folder, table
@@ -1057,3 +1057,234 @@ def document_summary(spark, d):
     o = ops(spark, d)
     written = F.when(folds.upserts(), F.col("num"))
     return o.groupBy("document_id").agg(F.sum(written).cast("double").alias("total"), F.max(written).cast("double").alias("largest"), F.min(written).cast("double").alias("smallest"), F.countDistinct(F.when(folds.upserts(), F.col("key"))).alias("elements"), F.countDistinct("replica_id").alias("replicas"))
+
+
+# values of any type, nested documents, resets
+
+
+def _plain(num: str) -> str:
+    """A number as text, without trailing zeros."""
+    return rf"regexp_replace(CAST(CAST({num} AS DECIMAL(38,10)) AS VARCHAR), '\.?0+$', '')"
+
+
+def read_values(rows: DataFrame) -> DataFrame:
+    """Tagged values as their kind and their text."""
+    return rows.withColumns({"kind": F.col("value")["kind"], "text": values.read(F.col("value"), T.StringType())})
+
+
+TYPED = f"""typed AS (SELECT *, CASE global_clock % 5 WHEN 0 THEN 's' WHEN 1 THEN 'n' WHEN 2 THEN 'j' WHEN 3 THEN 'd' END AS kind,
+  CASE global_clock % 5 WHEN 0 THEN 't' || key WHEN 1 THEN {_plain('num')} WHEN 2 THEN '{{"k":"' || key || '","n":' || global_clock || '}}' WHEN 3 THEN CAST(CAST(DATE '2020-01-01' + CAST(key AS INT) AS DATE) AS VARCHAR) END AS text FROM ops)"""
+
+
+def newest_text(by: str, where: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ts DESC, replica_id DESC, global_clock DESC) AS rn FROM typed WHERE {where}) WHERE rn = 1)"
+
+
+REGISTER_OF = "CASE global_clock % 3 WHEN 0 THEN '$.title' WHEN 1 THEN '$.owner' ELSE '$.day' END"
+
+
+@query(f"""SELECT document_id, {REGISTER_OF} AS path, NULL AS key, kind, text FROM {newest_text(f"document_id, {REGISTER_OF}", "op_type = 'upsert'")} UNION ALL
+ SELECT document_id, '$.tags', key, kind, text FROM {newest_text("document_id, key", "op_type = 'remove'")} WHERE kind IS NOT NULL OR global_clock % 2 = 0 UNION ALL
+ SELECT document_id, '$.most', NULL, kind, text FROM (SELECT document_id, kind, text, row_number() OVER (PARTITION BY document_id ORDER BY kind DESC, CASE WHEN kind = 'n' THEN num END DESC, text DESC) AS rn FROM typed WHERE kind IN ('n', 's')) WHERE rn = 1""", OPS + ", " + TYPED)
+def typed_registers(spark, d):
+    """Texts, numbers, structs, dates and nulls in registers and maps of one log: setting null removes a register, a map
+    keeps a null entry or, by its own intent, loses the key; an extreme compares by type."""
+    o, k = ops(spark, d), F.col("key")
+    made = [values.text(F.concat(F.lit("t"), k)), values.number(F.col("num")), values.tagged(F.struct(k.alias("k"), F.col("global_clock").alias("n")), T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])), values.tagged(F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")), T.DateType())]
+    clock = F.col("global_clock")
+    value = F.when(clock % 5 == 0, made[0]).when(clock % 5 == 1, made[1]).when(clock % 5 == 2, made[2]).when(clock % 5 == 3, made[3])
+    base = o.select("document_id", "replica_id", "ts", "clock", "global_clock", "key", "op_type", value.alias("value"))
+    paths_ = F.when(clock % 3 == 0, "$.title").when(clock % 3 == 1, "$.owner").otherwise("$.day")
+    registers = base.filter(folds.upserts()).select("document_id", "replica_id", "ts", "clock", "global_clock", paths_.alias("path"), F.lit("set").alias("intent"), F.lit(None).cast("string").alias("key"), "value")
+    lost = F.col("value").isNull() & (clock % 2 == 1)
+    entries = base.filter(folds.removes()).select("document_id", "replica_id", "ts", "clock", "global_clock", F.lit("$.tags").alias("path"), F.when(lost, "map_remove").otherwise("map_set").alias("intent"), "key", "value")
+    extremes = base.filter((clock % 5).isin(0, 1)).select("document_id", "replica_id", "ts", "clock", "global_clock", F.lit("$.most").alias("path"), F.lit("set").alias("intent"), F.lit(None).cast("string").alias("key"), "value")
+    owner = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("title", T.StringType()), T.StructField("owner", owner), T.StructField("day", T.DateType()), T.StructField("most", T.StringType()), T.StructField("tags", T.MapType(T.StringType(), T.StringType()))])
+    model = Model(schema).property("$.owner", "lww_register").property("$.most", "max_wins")
+    log = intents.logged(registers.unionByName(entries).unionByName(extremes))
+    return read_values(model.table(log)).select("document_id", "path", "key", "kind", "text")
+
+
+#: Leaves of the nested document by global clock modulo their number: path, strategy, whether a key is in the path.
+LEAVES = [("$.owner.name", "lww_register"), ("$.owner.balance", "counter"), ("$.owner.contact.city", "fww_register"), ("$.owner.contact.best", "max_wins"), ("$.owner.contact.worst", "min_wins"), ("$.mean", "average_register"), ("$.limit", "bounded_counter"), ("$.tags", "or_set"), ("$.stats.seen", "g_set"), ("$.stats.scores", "lww_map"), ("$.stats.totals", "counter_map"), ("$.votes", "vote_counter"), ("$.slots", "fixed_size_array")]
+LEAF = f"global_clock % {len(LEAVES)}"
+#: Each leaf's value by its strategy's rule, from the rows of its own.
+LEAF_SQL = {
+    "lww_register": "SELECT document_id, NULL AS key, CASE WHEN op_type = 'upsert' THEN CAST(num AS DOUBLE) END AS num FROM {newest}",
+    "counter": "SELECT document_id, NULL, CAST(sum(num) AS DOUBLE) FROM mine WHERE op_type = 'upsert' GROUP BY 1",
+    "fww_register": "SELECT document_id, NULL, CASE WHEN op_type = 'upsert' THEN CAST(num AS DOUBLE) END FROM {oldest}",
+    "max_wins": "SELECT document_id, NULL, CAST(max(num) AS DOUBLE) FROM mine WHERE op_type = 'upsert' GROUP BY 1",
+    "min_wins": "SELECT document_id, NULL, CAST(min(num) AS DOUBLE) FROM mine WHERE op_type = 'upsert' GROUP BY 1",
+    "average_register": "SELECT document_id, NULL, round(CAST(sum(num) AS DOUBLE) / count(*), 6) FROM {newest_by_replica} GROUP BY 1",
+    "bounded_counter": "SELECT document_id, NULL, greatest(-100, least(100, CAST(sum(num) AS DOUBLE))) FROM mine WHERE op_type = 'upsert' GROUP BY 1",
+    "or_set": "SELECT DISTINCT document_id, key, NULL FROM mine a WHERE op_type = 'upsert' AND NOT EXISTS (SELECT 1 FROM mine r WHERE r.op_type = 'remove' AND r.document_id = a.document_id AND r.key = a.key AND r.replica_id = a.replica_id AND r.clock > a.clock)",
+    "g_set": "SELECT DISTINCT document_id, key, NULL FROM mine WHERE op_type = 'upsert'",
+    "lww_map": "SELECT document_id, key, CAST(num AS DOUBLE) FROM {newest_by_key} WHERE op_type = 'upsert'",
+    "counter_map": "SELECT document_id, key, CAST(sum(num) AS DOUBLE) FROM mine WHERE op_type = 'upsert' GROUP BY 1, 2",
+    "vote_counter": "SELECT document_id, key, CAST(count(*) AS DOUBLE) FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, str ORDER BY ts DESC, replica_id DESC, global_clock DESC) AS rn FROM mine WHERE op_type = 'upsert') WHERE rn = 1) GROUP BY 1, 2",
+    "fixed_size_array": "SELECT document_id, key, CAST(num AS DOUBLE) FROM {newest_by_key_up} WHERE CAST(key AS INT) < 50",
+}
+
+
+def leaf_sql(strategy: str, where: str) -> str:
+    """The rule for one strategy over the operations that satisfy a condition."""
+    first = lambda by, way="DESC", only="true": f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ts {way}, replica_id {way}, global_clock {way}) AS rn FROM mine WHERE {only}) WHERE rn = 1)"
+    rule = LEAF_SQL[strategy].format(oldest_by_key=first("document_id, key", "ASC"), newest=first("document_id"), oldest=first("document_id", "ASC"), newest_by_replica=first("document_id, replica_id", "DESC", UP), newest_by_key=first("document_id, key"), newest_by_key_up=first("document_id, key", "DESC", UP))
+    return f"(WITH mine AS (SELECT * FROM ops WHERE {where}) {rule})"
+
+
+def nested_model() -> Model:
+    """A document of structs in structs, with a strategy for most leaves; two follow their type."""
+    number, text = T.DecimalType(18, 2), T.StringType()
+    field = lambda name, kind: T.StructField(name, kind)
+    contact = T.StructType([field("city", number), field("best", number), field("worst", number)])
+    owner = T.StructType([field("name", number), field("balance", number), field("contact", contact)])
+    stats = T.StructType([field("seen", T.ArrayType(text)), field("scores", T.MapType(text, number)), field("totals", T.MapType(text, number))])
+    schema = T.StructType([field("owner", owner), field("mean", number), field("limit", number), field("tags", T.ArrayType(text)), field("stats", stats), field("votes", T.MapType(text, text)), field("slots", T.ArrayType(number))])
+    model = Model(schema)
+    for path, strategy in LEAVES:
+        params = {"bounded_counter": {"low": -100, "high": 100}, "fixed_size_array": {"size": 50}}.get(strategy, {})
+        if path not in ("$.owner.name", "$.stats.scores"):
+            model.property(path, strategy, **params)
+    return model
+
+
+def nested_log(spark, d) -> DataFrame:
+    """Operations dealt to the leaves; a map's key is in the path."""
+    at = F.col("global_clock") % len(LEAVES)
+    path = F.get(F.array(*(F.lit(p) for p, _ in LEAVES)), at.cast("int"))
+    entry = F.get(F.array(*(F.lit(s in ("lww_map", "counter_map")) for _, s in LEAVES)), at.cast("int"))
+    return ops(spark, d).withColumns({"path": F.when(entry, F.concat(path, F.lit("['"), "key", F.lit("']"))).otherwise(path), "key": F.when(~entry, F.col("key"))})
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS path, * FROM {leaf_sql(s, f'{LEAF} = {i}')} AS leaf(document_id, key, num)" for i, (p, s) in enumerate(LEAVES)))
+def model_nested(spark, d):
+    """Structs in structs, a strategy for every leaf, and one pass over the log."""
+    return nested_model().table(nested_log(spark, d)).select("path", "document_id", "key", F.round(F.col("value.num").cast("double"), 6).alias("num"))
+
+
+SINCE = "(SELECT o.* FROM ops o LEFT JOIN (SELECT document_id, global_clock % 3 AS f, max(arrival) AS last FROM ops WHERE global_clock % 41 = 0 GROUP BY 1, 2) l ON l.document_id = o.document_id AND f = o.global_clock % 3 WHERE last IS NULL OR arrival > last)"
+
+
+@query(f"""SELECT '$.first' AS path, document_id, NULL AS key, CASE WHEN op_type = 'upsert' THEN CAST(num AS DOUBLE) END AS num FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts, replica_id, global_clock) AS rn FROM {SINCE} WHERE global_clock % 3 = 0 AND op_type = 'upsert') WHERE rn = 1 UNION ALL
+ SELECT '$.members', document_id, key, NULL FROM {SINCE} WHERE global_clock % 3 = 1 GROUP BY document_id, key HAVING min((ts, replica_id)) FILTER (WHERE op_type = 'upsert') IS NOT NULL AND (min(ts) FILTER (WHERE op_type = 'remove') IS NULL OR min((ts, replica_id)) FILTER (WHERE op_type = 'upsert') <= min((ts, replica_id)) FILTER (WHERE op_type = 'remove')) UNION ALL
+ SELECT '$.entries', document_id, key, CAST(num AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, key ORDER BY ts, replica_id, global_clock) AS rn FROM {SINCE} WHERE global_clock % 3 = 2) WHERE rn = 1 AND op_type = 'upsert'""")
+def fww_clear_model(spark, d):
+    """First writers win anew after a clear, by intent, through the log and in a model: register, set and map."""
+    clock, none = F.col("global_clock"), F.lit(None).cast("string")
+    third = clock % 3
+    o = ops(spark, d)
+    path = F.when(third == 0, "$.first").when(third == 1, "$.members").otherwise("$.entries")
+    up = folds.upserts()
+    intent = F.when(clock % 41 == 0, "clear").when(third == 0, F.when(up, "set")).when(third == 1, F.when(up, "add").otherwise("remove_value")).otherwise(F.when(up, "map_set").otherwise("map_remove"))
+    given = o.select("document_id", "replica_id", "ts", "clock", "global_clock", "arrival", path.alias("path"), intent.alias("intent"), F.when((third != 0) & (clock % 41 != 0), F.col("key")).otherwise(none).alias("key"), F.when(clock % 41 != 0, F.col("num")).alias("value")).filter("intent IS NOT NULL")
+    number = T.DecimalType(18, 2)
+    schema = T.StructType([T.StructField("first", number), T.StructField("members", T.ArrayType(T.StringType())), T.StructField("entries", T.MapType(T.StringType(), number))])
+    model = Model(schema).property("$.first", "fww_register").property("$.members", "fww_set").property("$.entries", "fww_map")
+    return model.table(intents.logged(given)).select("path", "document_id", "key", F.col("value.num").cast("double").alias("num"))
+
+
+# lists: indices and composite ids
+
+
+#: What each of three replicas does to a conversation's list: replica, clock, intent, index, value.
+EDITS = [("a", 1, "remove", 0, None), ("a", 2, "insert", 0, "a0"), ("b", 1, "insert", 0, "b0"), ("b", 2, "insert", 0, "b1"), ("b", 3, "remove", 0, None), ("b", 4, "insert", 1, "b2"), ("b", 5, "add", None, "b3"), ("b", 6, "remove", 1_000_000, None)]
+
+
+@query("""given AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, count(*) AS n FROM conversations GROUP BY 1),
+ lists AS (SELECT document_id, list_concat(['b0', 'b2', 'a0'], list_transform(range(1, n), lambda i: 't' || i), ['b3']) AS by_position, list_concat(['a0', 'b0', 'b2'], list_transform(range(1, n), lambda i: 't' || i), ['b3']) AS after_left FROM given)
+ SELECT strategy, document_id, i AS place, CASE strategy WHEN 'rga' THEN after_left[i] ELSE by_position[i] END AS text FROM (SELECT *, unnest(range(1, len(by_position) + 1)) AS i FROM lists), (SELECT unnest(['array_lcs', 'lseq', 'rga']) AS strategy)""", " ")
+def list_intents(spark, d):
+    """Inserts and removes by index, from two replicas that had the same list: remove(0), insert(0) against insert(0),
+    insert(0), remove(0), insert(1), add. An index is a place in the replica's own list, not a position."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("at"))
+    typed = turns.select("document_id", F.lit("$.list").alias("path"), F.lit("base").alias("replica_id"), F.lit("add").alias("intent"), F.lit(None).cast("int").alias("index"), F.concat(F.lit("t"), (F.col("at") - 1).cast("string")).alias("value"), F.col("at").cast("long").alias("ts"), F.col("at").cast("long").alias("clock"), F.col("at").cast("long").alias("global_clock"))
+    edits = F.array(*(F.struct(F.lit(r).alias("replica_id"), F.lit(c).cast("long").alias("clock"), F.lit(i).alias("intent"), F.lit(x).cast("int").alias("index"), F.lit(v).cast("string").alias("value")) for r, c, i, x, v in EDITS))
+    later = turns.select("document_id").distinct().select("document_id", F.lit("$.list").alias("path"), F.inline(edits)).withColumns({"ts": F.col("clock") + 1_000_000, "global_clock": F.col("clock") + 1_000_000})
+    nothing = oplog.fitted(typed.filter(F.lit(False)).drop("value"))
+    out = None
+    for strategy in ("array_lcs", "lseq", "rga"):
+        base, _ = intents.edited(typed, nothing, strategy)
+        base = saved(base)
+        news, _ = intents.edited(later, base, strategy)
+        log = base.unionByName(news).withColumn("strategy", F.lit(strategy))
+        listed = states.ordered(states.partial(log), strategy)
+        if strategy == "rga":
+            listed = ranks.ranked(listed.filter("NOT deleted").withColumnRenamed("place", "place_"), ["document_id"], ["place_"], "place")
+        rows = listed.select(F.lit(strategy).alias("strategy"), "document_id", "place", F.col("value")["str"].alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""nodes AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn + 1 AS gc, r AS replica, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 1 THEN CASE r WHEN 'a' THEN 'b' ELSE 'a' END ELSE r END AS left_replica FROM conversations, (SELECT unnest(['a', 'b']) AS r)),
+ dense AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY gc, replica) AS n FROM nodes),
+ walk AS (SELECT document_id, gc, replica, [-n] AS p FROM dense d WHERE left_replica IS NULL OR NOT EXISTS (SELECT 1 FROM dense m WHERE m.document_id = d.document_id AND m.gc = d.gc - 1 AND m.replica = d.left_replica) UNION ALL
+  SELECT d.document_id, d.gc, d.replica, list_append(p, -d.n) FROM walk w JOIN dense d ON d.document_id = w.document_id AND d.gc = w.gc + 1 AND d.left_replica = w.replica)
+ SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY p) AS place, replica || ':' || gc AS text FROM walk""", " ")
+def rga_two_replicas(spark, d):
+    """Two replicas with equal clocks: every element once, siblings by clock, then replica."""
+    turn = F.col("turn")
+    other = F.when(F.col("replica_id") == "a", "b").otherwise("a")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), turn, F.explode(F.array(F.lit("a"), F.lit("b"))).alias("replica_id"))
+    left = F.when(turn > 0, keys.of_id(turn, F.when(turn % 3 == 1, other).otherwise(F.col("replica_id"))))
+    log = rows.select("document_id", F.lit("$.list").alias("path"), F.lit("upsert").alias("op_type"), "replica_id", (turn + 1).alias("ts"), (turn + 1).alias("clock"), (turn + 1).alias("global_clock"), (turn + 1).alias("arrival"), left.alias("ref"), values.text(F.concat_ws(":", "replica_id", (turn + 1).cast("string"))).alias("value"))
+    model = Model(T.StructType([T.StructField("list", T.ArrayType(T.StringType()))])).property("$.list", "rga")
+    return model.apply(oplog.fitted(log))["$.list"].select("document_id", "place", F.col("value")["str"].alias("text"))
+
+
+# states that merge, are compacted and begin anew
+
+
+#: Rules for every strategy whose state is told by keys and numbers, beside those of the nested document.
+LEAF_SQL |= {
+    "g_counter": "SELECT document_id, NULL, CAST(sum(num) FILTER (WHERE num > 0 AND op_type = 'upsert') AS DOUBLE) FROM mine GROUP BY 1",
+    "two_phase_set": "SELECT document_id, key, NULL FROM mine GROUP BY 1, 2 HAVING bool_or(op_type = 'upsert') AND NOT bool_or(op_type = 'remove')",
+    "lww_set": "SELECT document_id, key, NULL FROM mine GROUP BY 1, 2 HAVING max(ts) FILTER (WHERE op_type = 'upsert') IS NOT NULL AND (max(ts) FILTER (WHERE op_type = 'remove') IS NULL OR max((ts, replica_id)) FILTER (WHERE op_type = 'upsert') > max((ts, replica_id)) FILTER (WHERE op_type = 'remove'))",
+    "fww_set": "SELECT document_id, key, NULL FROM mine GROUP BY 1, 2 HAVING min(ts) FILTER (WHERE op_type = 'upsert') IS NOT NULL AND (min(ts) FILTER (WHERE op_type = 'remove') IS NULL OR min((ts, replica_id)) FILTER (WHERE op_type = 'upsert') <= min((ts, replica_id)) FILTER (WHERE op_type = 'remove'))",
+    "fww_map": "SELECT document_id, key, CAST(num AS DOUBLE) FROM {oldest_by_key} WHERE op_type = 'upsert'",
+    "max_wins_map": "SELECT document_id, key, CAST(max(num) AS DOUBLE) FROM mine WHERE op_type = 'upsert' GROUP BY 1, 2",
+    "min_wins_map": "SELECT document_id, key, CAST(min(num) AS DOUBLE) FROM mine WHERE op_type = 'upsert' GROUP BY 1, 2",
+    "or_map": "SELECT document_id, key, CAST(num AS DOUBLE) FROM {newest_by_key_up} n WHERE EXISTS (SELECT 1 FROM mine a WHERE a.op_type = 'upsert' AND a.document_id = n.document_id AND a.key = n.key AND NOT EXISTS (SELECT 1 FROM mine r WHERE r.op_type = 'remove' AND r.document_id = a.document_id AND r.key = a.key AND r.replica_id = a.replica_id AND r.clock > a.clock))",
+}
+
+
+MERGED = ["lww_register", "fww_register", "max_wins", "min_wins", "counter", "g_counter", "average_register", "g_set", "two_phase_set", "lww_set", "fww_set", "or_set", "lww_map", "fww_map", "or_map", "counter_map", "max_wins_map", "min_wins_map", "vote_counter"]
+
+
+def every_strategy(where: str = "true") -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS strategy, * FROM {leaf_sql(s, where)} AS leaf(document_id, key, num)" for s in MERGED)
+
+
+def for_strategies(o: DataFrame) -> DataFrame:
+    """The same operations for a property of each strategy."""
+    return o.withColumn("strategy", F.explode(F.array(*map(F.lit, MERGED))))
+
+
+def told(state: DataFrame) -> DataFrame:
+    return states.shown(state).select("strategy", "document_id", "key", F.round(F.col("value.num").cast("double"), 6).alias("num"))
+
+
+@query(every_strategy())
+def state_merge(spark, d):
+    """What three replicas made of operations that each saw a part of, merged: as if one had seen them all."""
+    o = for_strategies(ops(spark, d))
+    seen = lambda n: states.partial(o.filter(F.pmod(F.xxhash64("tag"), F.lit(3)) == n))
+    return told(states.merged(states.merged(seen(0), seen(1)), seen(2)))
+
+
+@query(every_strategy())
+def compaction_keeps_values(spark, d):
+    """States of all strategies after everything that is safe to forget is forgotten show what they showed."""
+    o = ops(spark, d)
+    known = o.groupBy(F.col("replica_id").alias("origin")).agg(F.floor(F.max("clock") * 0.75).alias("version"))
+    return told(states.compacted(states.partial(for_strategies(o)), midway(o), known))
+
+
+@query(every_strategy("NOT (document_id < 'm' AND global_clock % 3 = 0)"))
+def metadata_reset(spark, d):
+    """Properties that are reset begin anew from what comes later; others go on."""
+    o = for_strategies(ops(spark, d))
+    before, later = states.partial(o.filter("global_clock % 3 = 0")), states.partial(o.filter("global_clock % 3 <> 0"))
+    gone = ops(spark, d).filter("document_id < 'm'").select("document_id", "path").distinct()
+    return told(states.merged(states.reset(before, gone), later))

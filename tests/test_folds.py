@@ -19,7 +19,7 @@ def log(spark, rows):
     out = []
     for i, (kind, key, num, ts, replica) in enumerate(rows):
         clocks[replica] = clocks.get(replica, 0) + 1
-        out.append(("d", "$.p", kind, key, None if num is None else Decimal(num), None, f"{replica}:{i}", ts, replica, clocks[replica], i, i, f"{replica}:{i}", None, None))
+        out.append(("d", "$.p", kind, key, None if num is None else Decimal(num), None, f"{replica}:{i}", ts, replica, clocks[replica], i, i, f"{replica}:{i}", None, None, None, None, None))
     return spark.createDataFrame(out, oplog.SCHEMA)
 
 
@@ -89,10 +89,10 @@ def test_quorum_and_epoch(spark):
 
 
 def test_rga_orders_like_repeated_insertion(spark):
-    random.seed(4)
+    rng = random.Random(4)
     nodes, text = [], []
     for i in range(1, 60):
-        left = random.choice([None, *[n[1] for n in nodes]])
+        left = rng.choice([None, *[n[1] for n in nodes]])
         nodes.append(("d", i, left, False))
         text.insert(0 if left is None else text.index(left) + 1, i)
     got = folds.rga_order(spark.createDataFrame(nodes, "document_id string, id long, left_id long, deleted boolean"))
