@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from confluo.functions.paths import within
+from confluo.functions import keys
+from confluo.functions.paths import segments, within
+from confluo.operators.folds import upserts
 from confluo.operators.ranks import summed
 from confluo.session import saved
 
 #: Ranges of a catalog that are broadcast at once for routing.
 BROADCAST_RANGES = 200_000
-#: Strategies whose payload's key is the voter, or a position.
-BY_TAG, BY_POSITION = {"vote_counter"}, {"array_lcs", "lseq", "rga"}
 
 
 def catalog(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
@@ -88,10 +88,19 @@ def merge(ranges: DataFrame, by: str, least: int) -> DataFrame:
 
 
 def keyed(ops: DataFrame, root: str, strategy: str) -> DataFrame:
-    """Operations of the property at ``root`` with the key by which they are dealt to parts: what the strategy's
-    payload names (element, map key, voter, position), or null for operations of the whole property."""
-    expression = F.col("tag") if strategy in BY_TAG else F.col("num").cast("string") if strategy in BY_POSITION else F.col("key")
-    return ops.filter(within(F.col("path"), root)).withColumn("part_key", expression.cast("string"))
+    """Operations of the property at ``root`` with ``part_key``, a text by which they are dealt to parts: the element, the
+    map's key (from the payload, else from the path), the voter, or a list element's place in the order of its list. All
+    operations on one of these have the same key, and keys of list elements are ordered as the list is. Null for
+    operations of the whole property."""
+    below = F.when(F.col("path") != root, F.element_at(segments(F.col("path")), -1))
+    element = F.when(upserts(), F.col("tag")).otherwise(F.col("ref"))
+    key = {
+        "vote_counter": F.coalesce("str", "replica_id"),
+        "array_lcs": F.concat(keys.of_text(F.coalesce("pos", keys.of_number(F.col("num")))), element),
+        "lseq": F.col("pos"),
+        "rga": F.when(upserts(), keys.of_id(F.col("global_clock"), F.col("replica_id"))).otherwise(F.col("ref")),
+    }.get(strategy, F.coalesce("key", below))
+    return ops.filter(within(F.col("path"), root)).withColumn("part_key", key)
 
 
 def minimum_key(type_: T.DataType):

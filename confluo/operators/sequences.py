@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from confluo.operators.joins import beside
 from confluo.operators.ranks import neighboured, ranked
-from confluo.session import saved
+from confluo.session import saved, ship
 
 #: Nodes of a list that one task walks at most; longer lists are ranked.
 WALKED = 50_000
@@ -124,6 +124,7 @@ def tour_ranked(rows: DataFrame, by: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    ship(rows.sparkSession)
     once = rows.groupBy(by, "id").agg(F.min("left_id").alias("left_id"), F.max("deleted").alias("deleted"))
     nodes = saved(ranked(once, [], [by, "id"], "num"))
     above = nodes.select(F.col(by).alias("by_"), F.col("id").alias("id_"), F.col("num").alias("parent"))
@@ -239,6 +240,7 @@ def _in_order(edits: DataFrame, start: Callable[[dict], object], step: Callable[
     are streamed; only what the editor's state holds is in memory."""
     import pyarrow as pa
 
+    ship(edits.sparkSession)
     fields = pa.schema(list(kinds.items()))
 
     def run(batches):
@@ -333,8 +335,8 @@ BETWEEN = {"array_lcs": fraction_between, "lseq": path_key_between}
 
 
 def positioned(found: DataFrame, strategy: str) -> DataFrame:
-    """``pos`` for inserts of ``located`` with left_pos and right_pos of the folded list's elements: between the
-    positions of both neighbours, in order, as a neighbour may be the editor's own."""
+    """``pos`` for the edits of ``located``, with left_pos, right_pos and target_pos of the folded list's elements: an insert's
+    lies between the positions of both neighbours, in order, as a neighbour may be the editor's own; a remove's is its target's."""
     import pyarrow as pa
 
     between = BETWEEN[strategy]
@@ -345,11 +347,13 @@ def positioned(found: DataFrame, strategy: str) -> DataFrame:
             low = mine[row["left_tag"]] if row["left_tag"] is not None else row["left_pos"]
             high = mine[row["right_tag"]] if row["right_tag"] is not None else row["right_pos"]
             out["pos"] = mine[row["tag"]] = between(low, high, row["replica_id"])
+        else:
+            out["pos"] = mine[row["target_tag"]] if row["target_tag"] is not None else row["target_pos"]
         return out
 
     kinds = {c: pa.string() for c in EDITOR} | {"clock": pa.int64(), "tag": pa.string(), "pos": pa.string()}
     schema = ", ".join(f"{c} {'long' if t == pa.int64() else 'string'}" for c, t in kinds.items())
-    return _in_order(found, lambda row: {}, step, [*EDITOR, "clock", "tag", "inserts", "left_tag", "right_tag", "left_pos", "right_pos"], schema, kinds)
+    return _in_order(found, lambda row: {}, step, [*EDITOR, "clock", "tag", "inserts", "left_tag", "right_tag", "target_tag", "left_pos", "right_pos", "target_pos"], schema, kinds)
 
 
 def elements_at(rows: DataFrame, elements: DataFrame, sides: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from confluo.plans.registry import Model
 from confluo.session import saved, shared_folder, table
 from confluo.sources import oplog
 from confluo.streaming import apply as streams
+from confluo.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -705,6 +706,21 @@ def stream_apply_lww(spark, d):
     return streams.state(spark, f"{folder}/state", version).select("document_id", "key", "ts", "num")
 
 
+@query(f"SELECT document_id, key, CASE WHEN op_type = 'upsert' THEN CAST(num AS DOUBLE) END AS num FROM {won('document_id, key')}")
+def stream_state_lww(spark, d):
+    """The newest operation of each cell in Spark's state store, over two batches, a restart, and two more with redelivery."""
+    folder = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    o = ops(spark, d).select("document_id", "path", "key", "ts", "replica_id", "global_clock", "op_type", "num", (F.col("arrival") % 3).alias("n"))
+    source = lambda: spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for n in range(2):
+        o.filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stateful.run(source(), folder)
+    for part in (F.col("n") == 2, F.col("n") == 0):  # what is left, and what was delivered before
+        o.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stateful.run(source(), folder)
+    return stateful.cells(spark, folder).select("document_id", "key", F.when(folds.upserts(), F.col("num").cast("double")).alias("num"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1", "")
 def stream_dedup(spark, d):
     """Redelivered operations count once."""
@@ -1003,15 +1019,26 @@ def partition_split_recursive(spark, d):
     return partitions.split(partitions.catalog(rows, "grp", "k", 1 << 40), rows, "grp", "k", 300, again=True).select("grp", "start_key", "n_rows")
 
 
-@query("SELECT global_clock, CASE WHEN global_clock % 3 = 0 THEN key WHEN global_clock % 3 = 1 THEN tag ELSE CAST(num AS VARCHAR) END AS part_key FROM ops")
+#: Strategies whose collections are cut into parts; of an operation on the n-th, its clock is n modulo their number.
+PARTED = ["g_set", "two_phase_set", "lww_set", "fww_set", "or_set", "sorted_set", "lww_map", "fww_map", "or_map", "counter_map", "max_wins_map", "min_wins_map", "vote_counter", "array_lcs", "lseq", "rga"]
+HEX_CLOCK = "'8' || lpad(printf('%x', {0}), 15, '0')"
+DIGITS = "lpad(split_part(CAST(CAST(abs(num) AS DECIMAL(38,10)) AS VARCHAR), '.', 1), 28, '0') || '.' || split_part(CAST(CAST(abs(num) AS DECIMAL(38,10)) AS VARCHAR), '.', 2)"
+
+
+@query(f"""SELECT global_clock, CASE global_clock % 16 WHEN 12 THEN str WHEN 13 THEN CASE WHEN num < 0 THEN '0' || translate({DIGITS}, '0123456789', '9876543210') ELSE '1' || {DIGITS} END || chr(0) || tag
+  WHEN 14 THEN {HEX_CLOCK.format('CAST(key AS BIGINT)')} || replica_id || chr(0) WHEN 15 THEN {HEX_CLOCK.format('global_clock')} || replica_id ELSE key END AS part_key FROM ops WHERE op_type = 'upsert' OR global_clock % 16 < 13""")
 def partition_keys(spark, d):
-    """What an operation is dealt by, from its payload: the element, the voter or the position."""
-    o = ops(spark, d)
-    roots = ("$.tags", "$.votes", "$.list")
-    o = o.withColumn("path", F.get(F.array(*map(F.lit, roots)), (F.col("global_clock") % 3).cast("int")))
+    """What an operation is dealt by, for every strategy whose collections are cut into parts: the element, the key in
+    payload or path, the voter, and keys whose text has the order of the list."""
+    n = F.col("global_clock") % 16
+    o = ops(spark, d).filter(folds.upserts() | (n < 13))
+    path = F.get(F.array(*(F.lit(f"$.{s}") for s in PARTED)), n.cast("int"))
+    maps = (n >= 6) & (n < 12)
+    place = F.array(F.struct(F.col("key").cast("long").alias("position"), F.col("replica_id").alias("replica")))
+    o = o.withColumns({"path": F.when(maps, F.concat(path, F.lit("['"), "key", F.lit("']"))).otherwise(path), "pos": F.when(n == 14, keys.of_path(place))}).withColumn("key", F.when(~maps, F.col("key")))
     out = None
-    for root, strategy in zip(roots, ("or_set", "vote_counter", "array_lcs")):
-        part = partitions.keyed(o, root, strategy).select("global_clock", "part_key")
+    for strategy in PARTED:
+        part = partitions.keyed(o, f"$.{strategy}", strategy).select("global_clock", "part_key")
         out = part if out is None else out.unionByName(part)
     return out
 

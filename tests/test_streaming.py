@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from confluo.sources import oplog
 from confluo.streaming import apply as streams
+from confluo.streaming import stateful
 
 
 def test_batches_give_what_one_fold_gives(spark, tmp_path):
@@ -50,3 +51,27 @@ def test_journal(spark, tmp_path):
     assert journal.count() == ops.count()
     plan = oplog.in_range(spark.read.parquet(str(tmp_path / "j")), "7", 5, 50)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(replica_id" in plan and "PushedFilters: [IsNotNull(global_clock)" in plan
+
+
+def test_cells_in_the_state_store_over_batches_a_restart_and_expiry(spark, tmp_path):
+    import time
+
+    folder = str(tmp_path)
+    schema = "document_id string, path string, key string, ts long, replica_id string, global_clock long, op_type string, num decimal(18,2)"
+
+    def deliver(*rows):
+        spark.createDataFrame([("d", "$.m", k, ts, "r", g, "upsert", None) for k, ts, g in rows], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        return stateful.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder, ttl_ms=20_000)
+
+    shown = lambda: {r["key"]: r["ts"] for r in stateful.cells(spark, folder).collect()}
+    deliver(("a", 5, 1), ("b", 1, 2), ("a", 3, 3))
+    assert shown() == {"a": 5, "b": 1}
+    deliver(("a", 4, 4), ("b", 2, 5), ("b", 2, 5))  # an older one and a redelivery change nothing
+    assert shown() == {"a": 5, "b": 2}
+    assert spark.read.parquet(f"{folder}/changes").filter("key = 'a'").count() == 1
+    time.sleep(21)
+    deliver(("c", 1, 6))  # both others are out of time and their state is dropped
+    deliver(("a", 1, 7))
+    changes = spark.read.parquet(f"{folder}/changes").filter("key = 'a'").collect()
+    assert sorted((r["ts"], r["changes"]) for r in changes) == [(1, 1), (5, 1)]
+    assert spark.conf.get(stateful.STORE) != stateful.ROCKS  # the session's own setting is back
