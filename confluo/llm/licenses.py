@@ -1,7 +1,7 @@
 """License scans: whole texts looked up by the digest of a canonical form.
 
-The canonical form folds case, drops copyright lines, numbers of clauses and a title above the text, maps
-equivalent spellings to one, and turns every run of punctuation and white space into a single space. Its SHA-256 is joined with the digests
+The canonical form folds case, drops copyright and SPDX lines, numbers of clauses and a title above the text, maps
+equivalent spellings to one, calls whoever a clause names the copyright holder, and turns every run of punctuation and white space into a single space. Its SHA-256 is joined with the digests
 of known licence texts, which get the same treatment, so both sides always agree.
 
 The list of licences is a fixed table of a few rows; its size is checked before it is broadcast, and
@@ -22,9 +22,16 @@ BROADCAST_ROWS = 100_000
 
 #: Lines that only say who holds the copyright, by a sign, a year or a reservation beside the word.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:(?:portions )?copyright[^\n]*(?:\(c\)|©|(?:19|20)[0-9][0-9]|all rights reserved)|(?:\(c\)|©)[^\n]*(?:19|20)[0-9][0-9]|all rights reserved)[^\n]*$"
+#: Lines of a holder's name without sign or year, before case folding; the words of a name have capitals.
+HOLDER_LINE = r"(?m)^[^A-Za-z0-9\n]*(?:Portions )?Copyright(?: \([Cc]\))?(?:[ ,]+(?:[A-Z][^\s,]*|and|of|the|by|&|<[^>\n]*>)){1,20}[ .,]*$"
+#: A line that only names the licence, after case folding.
+SPDX_LINE = r"(?m)^[^a-z0-9\n]*spdx-license-identifier:[^\n]*$"
+#: Whose name may not be used, after punctuation and spelling.
+NAMED = r" neither the name of (?:[^ ]+ ){1,12}?nor the names of its contributors "
+NAMELESS = " neither the name of the copyright holder nor the names of its contributors "
 #: Numbers of clauses, and titles above a text, after case folding, punctuation and spelling.
 CLAUSE_NUMBER = r"(?:^|[\x09-\x0D\x20])\(?[0-9]{1,2}[.)][\x09-\x0D\x20]+"
-TITLE = r"^(?:the )?(?:(?:mit|isc|zlib|expat|x11|(?:new |modified |simplified )?bsd|bsd (?:[0-3]|zero|two|three) clause|(?:[0-3]|zero|two|three) clause bsd) license|(?:[0-3]|zero|two|three) clause bsd)(?: (?:mit|isc|x11|expat|zlib))? "
+TITLE = r"^(?:the )?(?:(?:mit|isc|zlib|expat|x11|(?:new |modified |simplified )?bsd|bsd (?:[0-3]|zero|two|three) clause(?: (?:new or revised|new|revised|modified|simplified|freebsd|open source))?|(?:[0-3]|zero|two|three) clause bsd) license|(?:[0-3]|zero|two|three) clause bsd)(?: (?:mit|isc|x11|expat|zlib))? "
 #: Equivalent spellings, applied after case folding and punctuation.
 SPELLINGS = (
     ("licence", "license"),
@@ -75,12 +82,14 @@ DIGESTS = {
 
 
 def canonical(text: Column) -> Column:
-    folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n")
-    plain = F.regexp_replace(F.regexp_replace(folded, COPYRIGHT_LINE, ""), CLAUSE_NUMBER, " ")
+    held = F.regexp_replace(F.translate(text, "\r", "\n"), HOLDER_LINE, "")
+    folded = F.translate(held, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, SPDX_LINE, ""), COPYRIGHT_LINE, ""), CLAUSE_NUMBER, " ")
     plain = F.regexp_replace(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F©‘-‟]+", " ")
     spaced = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     for old, new in SPELLINGS:
         spaced = F.replace(spaced, F.lit(f" {old} "), F.lit(f" {new} "))
+    spaced = F.regexp_replace(spaced, NAMED, NAMELESS)
     return F.regexp_replace(F.trim(spaced), TITLE, "")
 
 

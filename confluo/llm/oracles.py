@@ -51,15 +51,17 @@ LEFT JOIN (SELECT e.x AS doc_id, min(e.y) AS k FROM edges e JOIN sizes p ON p.do
 
 
 def op10() -> str:
-    from confluo.llm.licenses import CLAUSE_NUMBER, COPYRIGHT_LINE, DIGESTS, KNOWN, SPELLINGS, TITLE
+    from confluo.llm.licenses import CLAUSE_NUMBER, COPYRIGHT_LINE, DIGESTS, HOLDER_LINE, KNOWN, NAMED, NAMELESS, SPDX_LINE, SPELLINGS, TITLE
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    form = f"regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13), 'abcdefghijklmnopqrstuvwxyz' || chr(10)), '{COPYRIGHT_LINE}', '', 'g')"
+    form = f"regexp_replace(translate(text, chr(13), chr(10)), '{HOLDER_LINE}', '', 'g')"
+    form = f"regexp_replace(regexp_replace(translate({form}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPDX_LINE}', '', 'g'), '{COPYRIGHT_LINE}', '', 'g')"
     form = f"regexp_replace({form}, '{CLAUSE_NUMBER}', ' ', 'g')"
     form = f"regexp_replace({form}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{A9}}\\x{{2018}}-\\x{{201F}}]+', ' ', 'g')"
     form = f"' ' || trim({form}, ' ') || ' '"
     for old, new in SPELLINGS:
         form = f"replace({form}, ' {old} ', ' {new} ')"
+    form = f"regexp_replace({form}, '{NAMED}', '{NAMELESS}', 'g')"
     form = f"sha256(regexp_replace(trim({form}, ' '), '{TITLE}', ''))"
     texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN.items())
     digests = ", ".join(f"('{d}', {quoted(k)})" for k, d in DIGESTS.items())

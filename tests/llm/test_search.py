@@ -272,3 +272,17 @@ def test_licenses(shipped, odd, empty):
         assert licenses.scan(documents(shipped, texts)).filter("license IS NOT NULL").count() == 4
     finally:
         licenses.BROADCAST_ROWS = keep
+
+
+def test_names_of_holders_spdx_lines_and_organisations(shipped):
+    known = licenses.KNOWN
+    texts = [
+        "MIT License\n\nCopyright Jane Doe\n\n" + known["MIT"],
+        "SPDX-License-Identifier: MIT\n\nCopyright (c) Jane Doe and Others <jane@doe.org>\n" + known["MIT"],
+        'BSD 3-Clause "New" or "Revised" License\n\nCopyright (c) 2020, Some Body\n' + known["BSD-3-Clause"],
+        known["BSD-3-Clause"].replace("the copyright holder nor", "the University of Nowhere, Inc. nor"),
+        "Copyright Notice About Nothing At All In This Text, and more\nnot a licence",
+        known["BSD-3-Clause"].replace("nor the names of its contributors", "nor anybody"),
+    ]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(documents(shipped, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["MIT", "MIT", "BSD-3-Clause", "BSD-3-Clause", None, None]
