@@ -100,7 +100,7 @@ def op12() -> str:
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt
 ), judged AS (
   SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open_, substr(role, 1, 1) AS r, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM placed
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS open_, substr(role, 1, 1) AS r, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next FROM placed
 ), turns AS (SELECT *, blank OR again AS must, CASE WHEN open_ AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM judged),
 counts AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
