@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A path segment is .name, [index] or ['key'].
 SEGMENT = r"\.([A-Za-z_][A-Za-z0-9_]*)|\[(\d+)\]|\['((?:[^'\\]|\\.)*)'\]"
@@ -50,13 +51,38 @@ def value_at(root: Column, path: str) -> Column:
     return root
 
 
-def with_value(root: Column, path: str, value: Column) -> Column:
-    """A struct column with the field at a literal path replaced; missing parents stay null."""
-    first, *rest = parse(path)
-    if not rest:
-        return root.withField(str(first), value)
-    below = "$" + "".join(f".{s}" if isinstance(s, str) else f"[{s}]" for s in rest)
-    return root.withField(str(first), with_value(root[first], below, value))
+def with_value(root: Column, path: str, value: Column, kind: T.DataType | None = None, create: bool = False) -> Column:
+    """A column with the value at a literal path replaced, in structs, arrays and maps. Without ``kind``, the type of
+    ``root``, names are fields of structs and ['keys'] entries of maps of text; with it, keys are converted to the map's
+    type, and names find entries too. A map gains an entry that it lacks; an array's index that it lacks changes nothing.
+    Missing parents stay null, or, with ``create`` and ``kind``, are made with null fields."""
+    marks = [m.group(0) for m in re.finditer(SEGMENT, path.removeprefix("$"))]
+    parse(path)  # complains about what isn't a path
+    return _with(root, marks, value, kind, create)
+
+
+def _with(root: Column, marks: list[str], value: Column, kind: T.DataType | None, create: bool) -> Column:
+    if not marks:
+        return value
+    mark, rest = marks[0], marks[1:]
+    (name,) = parse("$" + mark)
+    if isinstance(kind, T.MapType) or (kind is None and mark.startswith("['")):
+        key = F.lit(name) if kind is None else F.lit(str(name)).cast(kind.keyType)
+        new = _with(F.try_element_at(root, key), rest, value, kind.valueType if kind else None, create)
+        entry = F.create_map(key, new)
+        changed = F.map_concat(F.map_filter(root, lambda k, _: k != key), entry)
+        return F.when(root.isNotNull(), changed).otherwise(entry if create else F.lit(None))
+    if isinstance(kind, T.ArrayType) or (kind is None and isinstance(name, int)):
+        return F.transform(root, lambda x, i: F.when(i == int(name), _with(x, rest, value, kind.elementType if kind else None, create)).otherwise(x))
+    field = next((f for f in kind.fields if f.name.lower() == str(name).lower()), None) if isinstance(kind, T.StructType) else None
+    if kind is not None and field is None:
+        raise ValueError(f"no field {name} in {kind.simpleString()}")
+    named = field.name if field else str(name)
+    below = _with(root[named], rest, value, field.dataType if field else None, create)
+    if create and field:
+        empty = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
+        return F.coalesce(root, empty).withField(named, below)
+    return root.withField(named, below)
 
 
 def coerced(value: Column, kind: str) -> Column:

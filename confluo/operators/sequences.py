@@ -334,15 +334,17 @@ def path_key_between(low: str | None, high: str | None, replica: str) -> str:
 BETWEEN = {"array_lcs": fraction_between, "lseq": path_key_between}
 
 
-def positioned(found: DataFrame, strategy: str) -> DataFrame:
+def positioned(found: DataFrame) -> DataFrame:
     """``pos`` for the edits of ``located``, with left_pos, right_pos and target_pos of the folded list's elements: an insert's
-    lies between the positions of both neighbours, in order, as a neighbour may be the editor's own; a remove's is its target's."""
+    lies between the positions of both neighbours, in order, as a neighbour may be the editor's own; a remove's is its target's.
+    ``strategy`` says how positions are made; insert-after lists have none."""
     import pyarrow as pa
 
-    between = BETWEEN[strategy]
-
     def step(mine: dict, row: dict) -> dict:
         out = {c: row[c] for c in (*EDITOR, "clock", "tag")} | {"pos": None}
+        between = BETWEEN.get(row["strategy"])
+        if between is None:
+            return out
         if row["inserts"]:
             low = mine[row["left_tag"]] if row["left_tag"] is not None else row["left_pos"]
             high = mine[row["right_tag"]] if row["right_tag"] is not None else row["right_pos"]
@@ -353,7 +355,7 @@ def positioned(found: DataFrame, strategy: str) -> DataFrame:
 
     kinds = {c: pa.string() for c in EDITOR} | {"clock": pa.int64(), "tag": pa.string(), "pos": pa.string()}
     schema = ", ".join(f"{c} {'long' if t == pa.int64() else 'string'}" for c, t in kinds.items())
-    return _in_order(found, lambda row: {}, step, [*EDITOR, "clock", "tag", "inserts", "left_tag", "right_tag", "target_tag", "left_pos", "right_pos", "target_pos"], schema, kinds)
+    return _in_order(found, lambda row: {}, step, [*EDITOR, "clock", "tag", "strategy", "inserts", "left_tag", "right_tag", "target_tag", "left_pos", "right_pos", "target_pos"], schema, kinds)
 
 
 def elements_at(rows: DataFrame, elements: DataFrame, sides: list[str]) -> DataFrame:

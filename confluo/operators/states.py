@@ -47,8 +47,35 @@ def _cell() -> Column:
     return whole.when(_is(*GRAPHS), edge).when(_is(*LISTS), element).when(_is("vote_counter"), F.coalesce("str", "replica_id")).when(_is("state_machine"), F.col("op_id")).otherwise(F.col("key"))
 
 
-def _buffers() -> dict[str, tuple[str, Column]]:
-    """Each aggregate of the table: how it combines, and an operation's own."""
+#: The table's aggregates, and how they combine.
+COMBINE = {
+    "newest": "max",
+    "oldest": "min",
+    "written": "max",
+    "first_add": "min",
+    "last_add": "max",
+    "first_remove": "min",
+    "last_remove": "max",
+    "largest": "max",
+    "smallest": "min",
+    "up": "sum",
+    "down": "sum",
+    "failed": "sum",
+    "add_clock": "max",
+    "gone_clock": "max",
+    "arrived": "min",
+    "cleared": "max",
+    "pos": "min",
+    "ref": "min",
+}
+
+
+def _combined() -> list[Column]:
+    return [getattr(F, how)(name).alias(name) for name, how in COMBINE.items()]
+
+
+def _buffers() -> dict[str, Column]:
+    """An operation's own part of each aggregate."""
     move = F.coalesce(F.col("kind") == "move", F.lit(False))
     add = upserts() & ~move
     carried = F.when(_is("vote_counter"), values.text(F.col("key"))).when(_is("replicated_tree", "state_machine"), values.text(F.col("str"))).otherwise(F.col("payload_"))
@@ -58,24 +85,24 @@ def _buffers() -> dict[str, tuple[str, Column]]:
     number = F.col("num").cast("decimal(38,2)")
     grows = amounts() & F.coalesce(F.col("num") > 0, F.lit(False))
     return {
-        "newest": ("max", whole),
-        "oldest": ("min", whole),
-        "written": ("max", some(upserts() | move, whole)),
-        "first_add": ("min", some(add, at)),
-        "last_add": ("max", some(add, at)),
-        "first_remove": ("min", some(removes() & ~move, at)),
-        "last_remove": ("max", some(removes() & ~move, at)),
-        "largest": ("max", some(add, carried)),
-        "smallest": ("min", some(add, carried)),
-        "up": ("sum", some(grows, number)),
-        "down": ("sum", some(amounts() & ~grows, -number)),
-        "failed": ("sum", some(~grows, F.lit(1).cast("long"))),
-        "add_clock": ("max", some(add, F.col("clock"))),
-        "gone_clock": ("max", some(removes() & ~move, F.col("clock"))),
-        "arrived": ("min", F.col("arrival")),
-        "cleared": ("max", F.lit(None).cast("long")),
-        "pos": ("min", some(add, F.coalesce("pos", F.when(_is("array_lcs"), keys.of_number(F.col("num"))).otherwise(F.col("str"))))),
-        "ref": ("min", some(add & _is("rga"), F.col("ref"))),
+        "newest": whole,
+        "oldest": whole,
+        "written": some(upserts() | move, whole),
+        "first_add": some(add, at),
+        "last_add": some(add, at),
+        "first_remove": some(removes() & ~move, at),
+        "last_remove": some(removes() & ~move, at),
+        "largest": some(add, carried),
+        "smallest": some(add, carried),
+        "up": some(grows, number),
+        "down": some(amounts() & ~grows, -number),
+        "failed": some(~grows, F.lit(1).cast("long")),
+        "add_clock": some(add, F.col("clock")),
+        "gone_clock": some(removes() & ~move, F.col("clock")),
+        "arrived": F.col("arrival"),
+        "cleared": F.lit(None).cast("long"),
+        "pos": some(add, F.coalesce("pos", F.when(_is("array_lcs"), keys.of_number(F.col("num"))).otherwise(F.col("str")))),
+        "ref": some(add & _is("rga"), F.col("ref")),
     }
 
 
@@ -89,8 +116,8 @@ def partial(ops: DataFrame) -> DataFrame:
         rows = beside(rows, barriers, [*BY, "strategy"]).filter(F.col("last_").isNull() | (F.col("arrival") > F.col("last_"))).drop("last_")
     part = F.when(_is(*OBSERVING, "average_register"), F.col("replica_id")).otherwise("")
     kept = rows.filter(~(first & clears())).filter(F.col("cell").isNotNull() | ~first).withColumn("part", part)
-    made = {name: getattr(F, how)(x).alias(name) for name, (how, x) in _buffers().items()}
-    out = kept.groupBy(*KEYS).agg(*made.values())
+    made = [getattr(F, COMBINE[name])(x).alias(name) for name, x in _buffers().items()]
+    out = kept.groupBy(*KEYS).agg(*made)
     resets = barriers.select(*BY, "strategy", F.lit(None).cast("string").alias("cell"), F.lit("").alias("part"), F.col("last_").alias("cleared"))
     return out.unionByName(resets, allowMissingColumns=True).select(out.columns) if not barriers.isEmpty() else out
 
@@ -100,14 +127,14 @@ def merged(*states: DataFrame) -> DataFrame:
     rows = states[0]
     for s in states[1:]:
         rows = rows.unionByName(s)
-    out = rows.groupBy(*KEYS).agg(*(getattr(F, how)(name).alias(name) for name, (how, _) in _buffers().items()))
+    out = rows.groupBy(*KEYS).agg(*_combined())
     barriers = out.filter("cleared IS NOT NULL").select(*BY, "strategy", F.col("cleared").alias("last_"))
     if barriers.isEmpty():
         return out
     # a row that one state began before the barrier holds nothing from after it
     fresh = rows.filter("cell IS NOT NULL OR cleared IS NULL")
     fresh = beside(fresh, barriers, [*BY, "strategy"]).filter("last_ IS NULL OR arrived > last_").drop("last_")
-    again = fresh.groupBy(*KEYS).agg(*(getattr(F, how)(name).alias(name) for name, (how, _) in _buffers().items()))
+    again = fresh.groupBy(*KEYS).agg(*_combined())
     return again.unionByName(out.filter("cleared IS NOT NULL"))
 
 
@@ -120,9 +147,8 @@ def reset(state: DataFrame, properties: DataFrame) -> DataFrame:
 def joined(state: DataFrame) -> DataFrame:
     """A row per cell: parts combined, with ``live`` for strategies that tell replicas apart, and ``average``."""
     alive = F.col("add_clock").isNotNull() & (F.col("gone_clock").isNull() | (F.col("add_clock") > F.col("gone_clock")))
-    combined = [getattr(F, how)(name).alias(name) for name, (how, _) in _buffers().items()]
     mean = F.sum(F.when(F.col("written").isNotNull(), F.coalesce(F.col("written")["value"]["num"], F.lit(0)))).cast("double") / F.count("written")
-    return state.filter("cell IS NOT NULL OR cleared IS NULL").groupBy(*KEYS[:-1]).agg(*combined, F.bool_or(alive).alias("live"), mean.alias("average"))
+    return state.filter("cell IS NOT NULL OR cleared IS NULL").groupBy(*KEYS[:-1]).agg(*_combined(), F.bool_or(alive).alias("live"), mean.alias("average"))
 
 
 def _live() -> Column:
@@ -177,6 +203,20 @@ def ordered(state: DataFrame, strategy: str, **params) -> DataFrame:
     return ranked(live, list(BY), order, "place").select(*BY, "key", "value", "place", "pos")
 
 
+def listed(state: DataFrame, strategies: tuple[str, ...] = LISTS) -> DataFrame:
+    """document_id, path, strategy, key, value, place, pos of the elements that lists of any strategy show, in one ranking."""
+    columns = [*BY, "strategy", "key", "value", "pos"]
+    parts = []
+    if set(strategies) - {"rga"}:
+        cells = joined(state.filter(_is("array_lcs", "lseq"))).filter(_live())
+        parts.append(cells.select(*BY, "strategy", F.col("cell").alias("key"), _value().alias("value"), "pos").select(columns))
+    if "rga" in strategies:
+        walk = ordered(state, "rga").filter("NOT deleted")
+        parts.append(walk.withColumns({"strategy": F.lit("rga"), "pos": keys.of_long(F.col("place"))}).select(columns))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return ranked(rows, list(BY), ["pos", "key"], "place")
+
+
 def compacted(state: DataFrame, threshold: int, minimum: DataFrame) -> DataFrame:
     """State without what no operation to come can need: dead cells whose add and remove are no newer than ``threshold``,
     and replicas' parts that the replica's own remove undid, if every replica has that remove by the global minimum (origin,

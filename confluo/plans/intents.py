@@ -11,7 +11,6 @@ from confluo.functions.ordering import operation_id
 from confluo.operators import sequences, states
 from confluo.operators.folds import BY
 from confluo.operators.joins import beside
-from confluo.operators.ranks import ranked
 from confluo.plans.registry import StrategySpec
 from confluo.session import saved
 from confluo.sources import oplog
@@ -92,37 +91,40 @@ def logged(rows: DataFrame) -> DataFrame:
     return oplog.fitted(out)
 
 
-def edited(edits: DataFrame, log: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame]:
+def edited(edits: DataFrame, log: DataFrame, strategy: str | dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(operations, rejected edits) of intents by index on lists: document_id, path, intent (add, insert, remove), index,
-    value, replica_id, ts, clock, global_clock and, optionally, arrival. An index refers to the list that ``log`` folds
-    to, changed by the replica's own edits before in order of its clock; what is at it is looked up among the folded
-    list's places. An index outside the list is rejected and changes nothing."""
-    id_ = keys.of_id(F.col("global_clock"), F.col("replica_id")) if strategy == "rga" else operation_id()
-    rows = edits.withColumns({"tag": id_, "index": F.col("index").cast("long")})
-    listed = states.ordered(states.partial(log.withColumn("strategy", F.lit(strategy))), strategy)
-    seen = ranked(listed.filter("NOT deleted"), list(BY), ["place"], "seen") if strategy == "rga" else listed.withColumn("seen", F.col("place"))
-    elements = saved(seen.select(*BY, F.col("seen").alias("place"), F.col("key").alias("id"), *([] if strategy == "rga" else ["pos"])))
+    value, replica_id, ts, clock, global_clock and, optionally, arrival. ``strategy`` is that of all lists, or each path's;
+    lists of several strategies go through together. An index refers to the list that ``log`` folds to, changed by the
+    replica's own edits before in order of its clock; what is at it is looked up among the folded list's places. An index
+    outside the list is rejected and changes nothing."""
+    by_path = strategy if isinstance(strategy, dict) else {}
+    used = tuple(sorted(set(by_path.values()) or {strategy}))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in by_path.items() for x in pair)), F.col("path")) if by_path else F.lit(strategy)
+    rows = edits.withColumn("strategy", named)
+    after = F.col("strategy") == "rga"
+    rows = rows.withColumns({"tag": F.when(after, keys.of_id(F.col("global_clock"), F.col("replica_id"))).otherwise(operation_id()), "index": F.col("index").cast("long")})
+    seen = states.listed(states.partial(log.withColumn("strategy", named)), used)
+    elements = saved(seen.select(*BY, "place", F.col("key").alias("id"), "pos"))
     sized = beside(rows, elements.groupBy(*BY).agg(F.count(F.lit(1)).alias("length")), list(BY))
     found = saved(sequences.located(sized.select(*sequences.EDITOR, "clock", "tag", "intent", "index", F.coalesce("length", F.lit(0)).alias("length"))))
-    found = sequences.elements_at(found, elements, ["left", "right", "target"])
-    placed = found.filter("problem IS NULL")
     at = [*sequences.EDITOR, "clock", "tag"]
+    placed = sequences.elements_at(found.filter("problem IS NULL"), elements, ["left", "right", "target"])
+    placed = placed.withColumns({"strategy": named, "inserts": F.col("target_place").isNull() & F.col("target_tag").isNull()})
     known = placed.select(*at, F.coalesce("left_tag", "left_id").alias("left_ref"), F.coalesce("target_tag", "target_id").alias("target_ref"))
-    if strategy != "rga":
-        inserts = placed.withColumn("inserts", F.col("target_place").isNull() & F.col("target_tag").isNull())
-        known = known.join(sequences.positioned(inserts, strategy), at)
+    if used != ("rga",):
+        known = known.join(sequences.positioned(placed), at)
     both = rows.join(known, at)
     removes = F.col("intent") == "remove"
     value = values.tagged(F.col("value"), rows.schema["value"].dataType) if "value" in rows.columns else F.lit(None).cast(values.VALUE)
     made = both.withColumns(
         {
             "op_type": F.when(removes, "remove").otherwise("upsert"),
-            "ref": F.when(removes, F.col("target_ref")).otherwise(F.col("left_ref") if strategy == "rga" else F.lit(None)),
+            "ref": F.when(removes, F.col("target_ref")).when(after, F.col("left_ref")),
             "value": F.when(~removes, value),
             "arrival": F.col("arrival") if "arrival" in rows.columns else F.col("global_clock"),
             "tag": operation_id(),
             "op_id": operation_id(),
         }
     )
-    rejected = rows.join(found.filter("problem IS NOT NULL").select(*at, "problem"), at).drop("tag")
+    rejected = rows.join(found.filter("problem IS NOT NULL").select(*at, "problem"), at).drop("tag", "strategy")
     return oplog.fitted(made), rejected

@@ -590,13 +590,20 @@ def journal_trim(spark, d):
 
 @query("SELECT replica_id, global_clock, key FROM ops WHERE replica_id = '7' AND global_clock > 100 AND global_clock <= 5000")
 def journal_range_scan(spark, d):
-    return oplog.in_range(ops(spark, d), "7", 100, 5000).select("replica_id", "global_clock", "key")
+    """One origin's range, from a journal on disk: one folder is read."""
+    folder = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}"
+    oplog.append(ops(spark, d), folder)
+    return oplog.in_range(oplog.read_journal(spark, folder), "7", 100, 5000).select("replica_id", "global_clock", "key")
 
 
 @query("SELECT replica_id, global_clock, key FROM ops WHERE global_clock % 97 = 0")
 def journal_point_scan(spark, d):
+    """Operations named one by one, from a journal on disk: the folders of their origins are read."""
+    folder = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}"
     o = ops(spark, d)
-    return oplog.at_dots(o, o.filter("global_clock % 97 = 0").select("replica_id", "global_clock")).select("replica_id", "global_clock", "key")
+    oplog.append(o, folder)
+    dots = saved(o.filter("global_clock % 97 = 0").select("replica_id", "global_clock"))
+    return oplog.at_dots(oplog.scanned(spark, folder), dots).select("replica_id", "global_clock", "key")
 
 
 @query("SELECT replica_id, count(*) AS n, CAST(sum(num) AS DOUBLE) AS num FROM ops GROUP BY 1")
@@ -631,12 +638,21 @@ def path_segments(spark, d):
     return e.select("event_id", F.element_at(paths.segments(F.col("path")), -1).alias("last_segment"), F.size(paths.segments(F.col("path"))).alias("n_segments"))
 
 
-@query("SELECT c_custkey, c_name || '!' AS name, c_acctbal AS balance FROM customer", "")
+@query("SELECT c_custkey, c_name || '!' AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS second, c_nationkey + 1 AS nation, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'x' END AS old, c_nationkey * 2 AS made FROM customer", "")
 def path_get_set(spark, d):
-    doc = F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("owner")).alias("doc")
-    rows = table(spark, d, "customer").select("c_custkey", doc)
-    rows = rows.withColumn("doc", paths.with_value(F.col("doc"), "$.owner.name", F.concat(paths.value_at(F.col("doc"), "$.owner.name"), F.lit("!"))))
-    return rows.select("c_custkey", paths.value_at(F.col("doc"), "$.owner.name").alias("name"), paths.value_at(F.col("doc"), "$.owner.balance").alias("balance"))
+    """Values at paths through structs, arrays and maps, read and replaced; a map's key is converted, and a missing parent
+    is made where that is asked for."""
+    k = F.col("c_custkey")
+    kind = T.StructType([T.StructField("owner", T.StructType([T.StructField("name", T.StringType()), T.StructField("balance", T.DoubleType())])), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("codes", T.MapType(T.IntegerType(), T.IntegerType())), T.StructField("deep", T.StructType([T.StructField("twice", T.IntegerType())]))])
+    nothing = F.lit(None).cast(kind["deep"].dataType)
+    tags = F.when(k % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    codes = F.when(k % 5 == 0, F.create_map(F.lit(1), F.lit(1))).otherwise(F.create_map(F.lit(1), F.lit(1), F.lit(9), F.lit(9)))
+    doc = F.struct(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("owner"), tags.alias("tags"), codes.alias("codes"), nothing.alias("deep"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", doc.alias("doc"))
+    at = lambda path: paths.value_at(F.col("doc"), path)
+    for path, value in (("$.owner.name", F.concat(at("$.owner.name"), F.lit("!"))), ("$.tags[1]", F.col("c_mktsegment")), ("$.codes['1']", F.col("c_nationkey") + 1), ("$.deep.twice", (F.col("c_nationkey") * 2).cast("int"))):
+        rows = rows.withColumn("doc", paths.with_value(F.col("doc"), path, value, kind, create=True))
+    return rows.select("c_custkey", at("$.owner.name").alias("name"), at("$.owner.balance").alias("balance"), at("$.tags[1]").alias("second"), F.col("doc.codes")[1].alias("nation"), F.when(F.col("doc.codes")[9].isNotNull(), "x").alias("old"), at("$.deep.twice").alias("made"))
 
 
 # partitions
@@ -1229,19 +1245,13 @@ def list_intents(spark, d):
     typed = turns.select("document_id", F.lit("$.list").alias("path"), F.lit("base").alias("replica_id"), F.lit("add").alias("intent"), F.lit(None).cast("int").alias("index"), F.concat(F.lit("t"), (F.col("at") - 1).cast("string")).alias("value"), F.col("at").cast("long").alias("ts"), F.col("at").cast("long").alias("clock"), F.col("at").cast("long").alias("global_clock"))
     edits = F.array(*(F.struct(F.lit(r).alias("replica_id"), F.lit(c).cast("long").alias("clock"), F.lit(i).alias("intent"), F.lit(x).cast("int").alias("index"), F.lit(v).cast("string").alias("value")) for r, c, i, x, v in EDITS))
     later = turns.select("document_id").distinct().select("document_id", F.lit("$.list").alias("path"), F.inline(edits)).withColumns({"ts": F.col("clock") + 1_000_000, "global_clock": F.col("clock") + 1_000_000})
+    lists = {f"$.{s}": s for s in ("array_lcs", "lseq", "rga")}
+    each = lambda rows: rows.withColumn("path", F.explode(F.array(*map(F.lit, lists))))
     nothing = oplog.fitted(typed.filter(F.lit(False)).drop("value"))
-    out = None
-    for strategy in ("array_lcs", "lseq", "rga"):
-        base, _ = intents.edited(typed, nothing, strategy)
-        base = saved(base)
-        news, _ = intents.edited(later, base, strategy)
-        log = base.unionByName(news).withColumn("strategy", F.lit(strategy))
-        listed = states.ordered(states.partial(log), strategy)
-        if strategy == "rga":
-            listed = ranks.ranked(listed.filter("NOT deleted").withColumnRenamed("place", "place_"), ["document_id"], ["place_"], "place")
-        rows = listed.select(F.lit(strategy).alias("strategy"), "document_id", "place", F.col("value")["str"].alias("text"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    base = saved(intents.edited(each(typed), nothing, lists)[0])
+    log = base.unionByName(intents.edited(each(later), base, lists)[0])
+    shown = states.listed(states.partial(log.withColumn("strategy", F.substring("path", 3, 20))))
+    return shown.select("strategy", "document_id", "place", F.col("value")["str"].alias("text"))
 
 
 @query("""nodes AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn + 1 AS gc, r AS replica, CASE WHEN turn = 0 THEN NULL WHEN turn % 3 = 1 THEN CASE r WHEN 'a' THEN 'b' ELSE 'a' END ELSE r END AS left_replica FROM conversations, (SELECT unnest(['a', 'b']) AS r)),

@@ -104,7 +104,13 @@ def append(ops: DataFrame, journal: str) -> None:
 
 def read_journal(spark: SparkSession, journal: str) -> DataFrame:
     """The journal without redelivered operations."""
-    return spark.read.parquet(journal).withColumn("replica_id", F.col("replica_id").cast("string")).dropDuplicates(["replica_id", "global_clock"])
+    return scanned(spark, journal).dropDuplicates(["replica_id", "global_clock"])
+
+
+def scanned(spark: SparkSession, journal: str) -> DataFrame:
+    """The journal as it lies, with redeliveries. Origins are texts whatever they look like, so that a filter on them prunes
+    folders."""
+    return spark.read.schema(SCHEMA).parquet(journal)
 
 
 def in_range(journal: DataFrame, origin: str, above: int, upto: int) -> DataFrame:
@@ -113,8 +119,10 @@ def in_range(journal: DataFrame, origin: str, above: int, upto: int) -> DataFram
 
 
 def at_dots(journal: DataFrame, dots: DataFrame) -> DataFrame:
-    """Operations named by (replica_id, global_clock)."""
-    return journal.join(dots.select("replica_id", "global_clock").distinct(), ["replica_id", "global_clock"], "left_semi")
+    """Operations named by (replica_id, global_clock). Of a journal on disk, only the folders of origins that the dots name are
+    read: the dots' origins prune its partitions while the query runs. Clocks begin at 0."""
+    wanted = dots.select("replica_id", "global_clock").filter(F.col("global_clock") >= 0).distinct()
+    return journal.join(wanted, ["replica_id", "global_clock"], "left_semi")
 
 
 def trimmed(journal: DataFrame, minimum: DataFrame) -> DataFrame:

@@ -164,3 +164,49 @@ def test_walks_go_to_the_end_of_a_chain(spark, monkeypatch):
     monkeypatch.setattr(folds, "saved", local)
     chain = local(spark.range(67).selectExpr("id AS node", "CASE WHEN id > 0 THEN id - 1 END AS parent"))
     assert sorted(tuple(r) for r in folds.tree_depths(chain).collect()) == [(i, i) for i in range(67)]
+
+
+def test_values_are_set_in_arrays_and_maps(spark):
+    from pyspark.sql import types as T
+
+    from confluo.functions.paths import value_at, with_value
+
+    kind = "d struct<t: array<struct<x: int>>, m: map<string, int>, n: map<int, map<string, string>>, s: struct<y: int>>"
+    rows = spark.createDataFrame([(([(1,), (2,)], {"k": 1}, {7: {"a": "b"}}, None),), ((None, None, None, None),)], kind)
+    type_ = rows.schema["d"].dataType
+    d, seven = F.col("d"), F.lit(7)
+
+    def put(path, value, **how):
+        return [r[0] for r in rows.select(with_value(d, path, value, **how).alias("d")).collect()]
+
+    assert [x.x for x in put("$.t[1].x", seven)[0].t] == [1, 7] and put("$.t[1].x", seven)[1].t is None
+    assert [x.x for x in put("$.t[5].x", seven)[0].t] == [1, 2]
+    assert put("$.m['k']", seven)[0].m == {"k": 7} and put("$.m['new']", seven)[0].m == {"k": 1, "new": 7} and put("$.m['k']", seven)[1].m is None
+    assert put("$.n['7']['a']", F.lit("c"), kind=type_)[0].n == {7: {"a": "c"}}
+    assert put("$.s.y", seven)[0].s is None and put("$.s.y", seven, kind=type_, create=True)[0].s.y == 7
+    assert put("$.m['k']", seven, kind=type_, create=True)[1].m == {"k": 7}
+    with pytest.raises(ValueError):
+        put("$.s.z", seven, kind=T.StructType(type_.fields))
+    assert rows.select(value_at(d, "$.m['k']").alias("v")).first()["v"] == 1
+
+
+def test_scans_of_a_journal_read_the_folders_they_need(spark, tmp_path):
+    from confluo.sources import oplog
+
+    folder = str(tmp_path / "journal")
+    ops = oplog.from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    oplog.append(ops, folder)
+    dots = spark.createDataFrame([("7", g) for g in range(1, 900)], "replica_id string, global_clock long")
+    dots.write.parquet(str(tmp_path / "dots"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the scans' figures can be found in the plan
+    try:
+        got = oplog.at_dots(oplog.scanned(spark, folder), spark.read.parquet(str(tmp_path / "dots")))
+        assert len(got.collect()) == ops.filter("replica_id = '7' AND global_clock < 900").count() > 0
+        leaves = got._jdf.queryExecution().executedPlan().collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size())]
+        read = {s.relation().location().rootPaths().head().getName(): s.metrics().get("numFiles").get().value() for s in scans if s.nodeName().startswith("Scan parquet")}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert read["journal"] == 1 and len(spark.read.parquet(folder).inputFiles()) > 10
+    one = oplog.in_range(oplog.read_journal(spark, folder), "7", 5, 500)
+    assert "replica_id" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
