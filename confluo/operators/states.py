@@ -22,6 +22,7 @@ from confluo.operators import folds, sequences
 from confluo.operators.folds import BY, amounts, clears, removes, upserts
 from confluo.operators.joins import beside
 from confluo.operators.ranks import ranked
+from confluo.session import saved
 
 REGISTERS = ("lww_register", "fww_register", "max_wins", "min_wins", "counter", "g_counter", "bounded_counter")
 #: Strategies whose removes undo what the removing replica has seen.
@@ -191,7 +192,7 @@ def ordered(state: DataFrame, strategy: str, **params) -> DataFrame:
     cells = joined(state.filter(F.col("strategy") == strategy))
     if strategy == "rga":
         list_ = F.concat_ws("\x00", *BY).alias("list_")
-        known = cells.filter("add_clock IS NOT NULL").select(*BY, list_, F.col("cell").alias("id"), F.col("ref").alias("left_id"), F.col("last_remove").isNotNull().alias("deleted"), F.col("written.value").alias("value"))
+        known = saved(cells.filter("add_clock IS NOT NULL").select(*BY, list_, F.col("cell").alias("id"), F.col("ref").alias("left_id"), F.col("last_remove").isNotNull().alias("deleted"), F.col("written.value").alias("value")))
         walk = sequences.rga_order(known, by="list_")
         return walk.join(known.select("list_", "id", *BY, "value"), ["list_", "id"]).select(*BY, F.col("id").alias("key"), "value", F.col("place").cast("long").alias("place"), "deleted")
     if strategy == "state_machine":

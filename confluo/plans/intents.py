@@ -109,7 +109,7 @@ def edited(edits: DataFrame, log: DataFrame, strategy: str | dict[str, str]) ->
     found = saved(sequences.located(sized.select(*sequences.EDITOR, "clock", "tag", "intent", "index", F.coalesce("length", F.lit(0)).alias("length"))))
     at = [*sequences.EDITOR, "clock", "tag"]
     placed = sequences.elements_at(found.filter("problem IS NULL"), elements, ["left", "right", "target"])
-    placed = placed.withColumns({"strategy": named, "inserts": F.col("target_place").isNull() & F.col("target_tag").isNull()})
+    placed = saved(placed.withColumns({"strategy": named, "inserts": F.col("target_place").isNull() & F.col("target_tag").isNull()}))
     known = placed.select(*at, F.coalesce("left_tag", "left_id").alias("left_ref"), F.coalesce("target_tag", "target_id").alias("target_ref"))
     if used != ("rga",):
         known = known.join(sequences.positioned(placed), at)

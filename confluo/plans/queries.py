@@ -895,9 +895,10 @@ def payload_kinds(spark, d):
 
 
 @query("""SELECT document_id, count(*) AS n, count(DISTINCT key) AS keys, count(DISTINCT replica_id) AS replicas, CAST(sum(num) AS DOUBLE) AS num, max(ts) AS ts FROM (SELECT 'd' || (i * 31 % 5) AS document_id, CAST(i * 7919 % 100 AS VARCHAR) AS key,
- i * 104729 % 1000 AS num, i * 1000 + i * 6151 % 997 AS ts, 'r' || (i * 613 % 50) AS replica_id FROM (SELECT unnest(range(1, 20001)) AS i)) GROUP BY 1""", "")
+ i * 104729 % 1000 AS num, i * 1000 + i * 6151 % 997 AS ts, 'r' || (i * 613 % 50) AS replica_id FROM (SELECT row_number() OVER () AS i FROM events)) GROUP BY 1""", "")
 def generated_log(spark, d):
-    return oplog.generated(spark, 20_000).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.countDistinct("replica_id").alias("replicas"), F.sum("num").cast("double").alias("num"), F.max("ts").alias("ts"))
+    """A synthetic log as long as the table of events."""
+    return oplog.generated(spark, table(spark, d, "events").count()).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.countDistinct("replica_id").alias("replicas"), F.sum("num").cast("double").alias("num"), F.max("ts").alias("ts"))
 
 
 # streams of vectors, catch-up and receivers
@@ -1249,7 +1250,7 @@ def list_intents(spark, d):
     each = lambda rows: rows.withColumn("path", F.explode(F.array(*map(F.lit, lists))))
     nothing = oplog.fitted(typed.filter(F.lit(False)).drop("value"))
     base = saved(intents.edited(each(typed), nothing, lists)[0])
-    log = base.unionByName(intents.edited(each(later), base, lists)[0])
+    log = saved(base.unionByName(intents.edited(each(later), base, lists)[0]))
     shown = states.listed(states.partial(log.withColumn("strategy", F.substring("path", 3, 20))))
     return shown.select("strategy", "document_id", "place", F.col("value")["str"].alias("text"))
 
