@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from confluo.operators.joins import beside
 from confluo.operators.ranks import neighboured
 
 
@@ -135,9 +136,12 @@ def _paths(docs: DataFrame, fields: list[str]) -> list[str]:
     return out
 
 
-def decorated(ops: DataFrame, wrap: Callable[[DataFrame], Column]) -> DataFrame:
-    """Operations with their payload wrapped, for a decorator such as an epoch or a proposal."""
-    return ops.withColumn("payload", wrap(ops))
+def decorated(ops: DataFrame, epochs: DataFrame) -> DataFrame:
+    """A diff's operations as an epoch-bound property takes them: in the epoch (document_id, path, epoch) that their property
+    is in now, the first where it has none, so that a diff goes on in the current epoch and opens no other."""
+    at = ["document_id", "path"]
+    now = epochs.groupBy(*at).agg(F.max("epoch").alias("now_"))
+    return beside(ops, now, at).withColumn("epoch", F.coalesce("now_", F.lit(0)).cast("long")).drop("now_")
 
 
 def clocked(ops: DataFrame, base: DataFrame, order: list[str]) -> DataFrame:

@@ -1326,3 +1326,21 @@ def metadata_reset(spark, d):
     before, later = states.partial(o.filter("global_clock % 3 = 0")), states.partial(o.filter("global_clock % 3 <> 0"))
     gone = ops(spark, d).filter("document_id < 'm'").select("document_id", "path").distinct()
     return told(states.merged(states.reset(before, gone), later))
+
+
+@query(f"SELECT document_id, key, CAST(num AS DOUBLE) AS num FROM {won('document_id, key')} WHERE op_type = 'upsert'")
+def diff_decorated(spark, d):
+    """What turns an epoch-bound map into another snapshot, in the map's current epoch: applied, it gives that snapshot."""
+    model = Model(T.StructType([T.StructField("state", T.MapType(T.StringType(), T.DecimalType(18, 2)))])).decorate("$.state", "epoch_bound")
+    o = ops(spark, d)
+    log = o.filter("global_clock % 3 <> 0").withColumn("epoch", F.floor(F.col("global_clock") / 2500))
+    now = model.apply(log)["$.state"].select("document_id", "key", "num")
+    wanted = folds.lww_map(o).select("document_id", "key", "num")
+    change = diffs.map_diff(now, wanted, KEYS, "num")
+    given = change.select(*KEYS, F.lit("$.state").alias("path"), F.when(F.col("change") == "removed", "remove").otherwise("upsert").alias("op_type"), F.col("after").alias("num"), F.lit("differ").alias("replica_id"))
+    base = o.agg(F.max("global_clock").alias("end"))
+    clocked = diffs.clocked(given, base.select(F.lit("differ").alias("replica_id"), F.lit(0).alias("clock"), F.col("end").alias("global_clock")), KEYS)
+    last = midway(o) * 2 + 1  # after all there is
+    timed = clocked.withColumns({"ts": F.lit(last) + F.col("clock"), "arrival": F.col("global_clock")})
+    news = oplog.fitted(diffs.decorated(timed, log.select("document_id", "path", "epoch")))
+    return model.apply(log.unionByName(news))["$.state"].select("document_id", "key", *real("num"))
