@@ -301,8 +301,8 @@ class Repair:
         return self._chained(maps, step, f"conv {self.conv}, share int, last boolean, entry int, end array<long>")
 
     def turns(self) -> DataFrame:
-        """conv, share, item, edit, copies, turn, role, text: the edits in order of share and item; ``turn`` is null for inserted turns,
-        role and text for deleted ones, of which ``copies`` went."""
+        """conv, share, item, edit, copies, turn, role, text: the edits in order of share and item. ``copies`` is how often the
+        turn occurs, all but the first of which are deleted; ``turn`` is null for inserted turns, role and text for deleted ones."""
 
         def run(batches):
             for rows, starts, _, _ in runs(batches):
