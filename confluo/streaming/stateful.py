@@ -1,7 +1,7 @@
 """Cells of a document kept by Spark's own state store: the newest operation of each, with a time to live.
 
 State is keyed by document, path and key, so a document of any size is spread over all tasks. A cell's state is
-replaced when a newer operation arrives, and is dropped when it has seen none for the time to live; an older operation
+replaced when a newer operation arrives, and is dropped, by the next batch, when it has seen none for the time to live; an older operation
 that arrives after that counts as the first. Every change is given out; what a cell shows is its newest change.
 Batches, restarts and redelivery need nothing else: state and offsets are committed together.
 """
@@ -23,16 +23,20 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """A query that starts within keeps its state in RocksDB; the session's own setting is put back."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    """A query that starts within keeps its state in RocksDB and runs no batches without data, as with timeouts there would
+    be no last one; the session's own settings are put back."""
+    ours = {STORE: ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def changes(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ def test_cells_in_the_state_store_over_batches_a_restart_and_expiry(spark, tmp_p
 
     def deliver(*rows):
         spark.createDataFrame([("d", "$.m", k, ts, "r", g, "upsert", None) for k, ts, g in rows], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        return stateful.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder, ttl_ms=20_000)
+        return stateful.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder, ttl_ms=8_000)
 
     shown = lambda: {r["key"]: r["ts"] for r in stateful.cells(spark, folder).collect()}
     deliver(("a", 5, 1), ("b", 1, 2), ("a", 3, 3))
@@ -69,7 +69,7 @@ def test_cells_in_the_state_store_over_batches_a_restart_and_expiry(spark, tmp_p
     deliver(("a", 4, 4), ("b", 2, 5), ("b", 2, 5))  # an older one and a redelivery change nothing
     assert shown() == {"a": 5, "b": 2}
     assert spark.read.parquet(f"{folder}/changes").filter("key = 'a'").count() == 1
-    time.sleep(21)
+    time.sleep(9)
     deliver(("c", 1, 6))  # both others are out of time and their state is dropped
     deliver(("a", 1, 7))
     changes = spark.read.parquet(f"{folder}/changes").filter("key = 'a'").collect()
