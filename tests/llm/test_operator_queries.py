@@ -17,7 +17,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 @pytest.mark.parametrize("name", sorted(queries.sql()))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = c.sql(queries.sql()[name]).df()
     got = queries.queries()[name](spark, DATA).toPandas()
