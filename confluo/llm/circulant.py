@@ -16,7 +16,8 @@ From signatures to groups, without ever emitting the pairs within a group:
    members of such buckets go through an exact prefix-filter join: shingles are ordered from rare to
    common, and two sets of similarity s must share one of the first n - ceil(s n) + 1, early enough for
    the rest to hold the overlap that their sizes require. A passage that many texts share is common,
-   hence last, so it makes few candidates. Long keys are dealt in bounded portions. New links join step 3's.
+   hence last, so it makes few candidates. Sets that share a key with many others meet only those whose size and
+   parity bits leave room for the overlap. Long keys are dealt in bounded portions. New links join step 3's.
 
 A pair at the threshold misses all bands with probability (1 - t^rows)^bands: 2.7e-5 for 20 bands of
 4 rows at 0.8, and less above it.
@@ -30,20 +31,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm.arrowtext import bounded_batches, fold_table, slices, words
 from confluo.llm.jobs import if_small, saved, shuffle_partitions
+from confluo.operators.joins import beside
 
 #: Bits of the bounded table of shingle frequencies, and about how many documents meet their leader in one portion.
 FREQUENCY_BITS = 20
 PORTION = 256
 
+#: Bits of a set's parities, and classes of size per factor e where long keys meet.
+PARITY_BITS, SIZE_STEPS = 512, 20
+
 
 @dataclass(frozen=True)
 class Similarity:
@@ -239,17 +245,76 @@ def rarest_first(docs: DataFrame, ids: DataFrame, of: Similarity) -> DataFrame:
     heads = saved(texts.mapInArrow(prefixes, "id long, component long, size long, place long, key long"))
     # within a key only pairs of different components count, so its largest component needn't meet itself
     sizes = heads.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    met = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components"), F.ceil(F.sum("n") / PORTION).cast("int").alias("parts"))
-    met = if_small(saved(met.filter("components > 1").select("key", "largest", "parts")))
-    # a long key's one side is dealt to portions, and each portion meets the other side
-    tagged = heads.join(met, "key")
-    left = tagged.filter("component <> largest").withColumn("portion", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
-    right = tagged.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    # what follows a common shingle bounds the overlap, and the sizes say how large it must be
-    enough = lambda side: (F.col(f"{side}.size") - F.col(f"{side}.place")) * (100 + of.percent) >= of.percent * (F.col("x.size") + F.col("y.size"))
-    once = (F.col("y.component") == F.col("x.largest")) | (F.col("x.id") > F.col("y.id"))
-    near = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.portion") == F.col("y.portion")) & (F.col("x.component") != F.col("y.component")) & once & enough("x") & enough("y"))
-    return near.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("leader")).distinct()
+    met = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("members"))
+    met = saved(met.filter("components > 1").select("key", "largest", "members"))
+    short, long = met.filter(F.col("members") <= PORTION), saved(met.filter(F.col("members") > PORTION))
+    tagged = heads.join(if_small(short), "key")
+    near = tagged.filter("component <> largest").alias("x").join(tagged.alias("y"), F.expr("x.key = y.key AND x.component <> y.component AND (y.component = x.largest OR x.id > y.id)") & reachable(of))
+    found = ordered(near)
+    if not long.isEmpty():
+        found = found.unionByName(meetings_of_long_keys(firsts(heads.join(if_small(long), "key")), texts, of))
+    return found.distinct()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("leader"))
+
+
+def reachable(of: Similarity) -> Column:
+    """What follows a common shingle bounds the overlap of x and y, and their sizes say how large it must be."""
+    both = (F.col("x.size") + F.col("y.size")) * of.percent
+    return ((F.col("x.size") - F.col("x.place")) * (100 + of.percent) >= both) & ((F.col("y.size") - F.col("y.place")) * (100 + of.percent) >= both)
+
+
+def firsts(heads: DataFrame) -> DataFrame:
+    """Of keys that the same sets share, such as those of one passage, only the first in order: whoever meets at
+    another of them meets there. Two digests of 64 bits and the number of members tell which keys these are."""
+    digests = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"digest_{k}") for k in range(2)]
+    keys = heads.groupBy("key", "members").agg(*digests, F.min("place").alias("place"))
+    kept = saved(keys.groupBy("members", "digest_0", "digest_1").agg(F.min(F.struct("place", "key"))["key"].alias("key")).select("key"))
+    return heads.join(if_small(kept), "key")
+
+
+def parities(texts: DataFrame, of: Similarity) -> DataFrame:
+    """(id, parity_0..): PARITY_BITS bits per set, each the parity of the shingles that fall on it. Sets differ in
+    at least as many shingles as their bits differ."""
+    names = [f"parity_{i}" for i in range(PARITY_BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, column in slices(batch, "text"):
+                odd = [np.bincount((mixed(s) >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1 for s in shingle_sets(column, of.shingle)]
+                bits = np.packbits(np.array(odd, np.uint8).reshape(-1, PARITY_BITS), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["id", *names])
+
+    return texts.select("id", "text").mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
+
+
+def meetings_of_long_keys(heads: DataFrame, texts: DataFrame, of: Similarity) -> DataFrame:
+    """Candidates among entries of keys that many sets share. Entries meet only in cells of a key, where sizes and
+    what follows the key leave room for the overlap; there, parities rule out nearly all pairs of different sets
+    before a text is read. The one side of a cell is dealt to portions."""
+    ids = saved(heads.select("id").distinct())
+    bits = parities(texts.join(if_small(ids), "id", "left_semi"), of)
+    heads = saved(heads.join(bits, "id"))
+    step = lambda n: F.floor(F.log(n.cast("double")) * SIZE_STEPS)
+    size, after, whole = F.col("size"), F.col("size") - F.col("place"), 100 + of.percent
+    # sizes that a partner of this entry can have
+    least, most = F.ceil(size * of.percent / 100), F.least(F.floor(size * 100 / of.percent), F.floor(after * whole / of.percent) - size)
+    # x has the smaller set in cells of the first kind, and the larger one in those of the second
+    smaller = lambda first: heads.filter(most >= size).select("*", F.lit(first).alias("kind"), step(size).alias("low"), F.explode(F.sequence(step(size), step(most))).alias("high"))
+    larger = lambda first: heads.filter(F.least(most, size) >= least).select("*", F.lit(first).alias("kind"), F.explode(F.sequence(step(least), step(F.least(most, size)))).alias("low"), step(size).alias("high"))
+    cell = ["key", "kind", "low", "high"]
+    left = smaller(True).unionByName(larger(False)).filter("component <> largest")
+    right = larger(True).unionByName(smaller(False))
+    parts = saved(left.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("parts")))
+    left = left.join(if_small(parts), cell).withColumn("portion", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("x")
+    right = right.join(if_small(parts), cell).withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    same = reduce(lambda a, b: a & b, (F.col(f"x.{c}") == F.col(f"y.{c}") for c in [*cell, "portion"]))
+    sided = F.expr("CASE WHEN x.kind THEN x.size <= y.size ELSE x.size > y.size END AND x.component <> y.component AND (y.component = x.largest OR x.id > y.id)")
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.parity_{i}").bitwiseXOR(F.col(f"y.parity_{i}"))) for i in range(PARITY_BITS // 64)))
+    both = F.col("x.size") + F.col("y.size")
+    return ordered(left.join(right, same & sided & reachable(of) & ((both - differ) * whole >= both * (2 * of.percent))))
 
 
 def near_duplicates(docs: DataFrame, of: Similarity = Similarity(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,8 +337,9 @@ def near_duplicates(docs: DataFrame, of: Similarity = Similarity(), *, key: str
     apart = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
     rest = saved(placed.join(apart, "bucket").select("id", "component").distinct())
     if not rest.isEmpty():
-        untried = rarest_first(docs, rest, of).join(pairs, ["id", "leader"], "left_anti")
-        more = saved(verified(docs, untried.withColumn("parts", F.lit(8)), of))
+        untried = saved(rarest_first(docs, rest, of).join(pairs, ["id", "leader"], "left_anti"))
+        of_leader = untried.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("parts"))
+        more = saved(verified(docs, beside(untried, of_leader, ["leader"]), of))
         if not more.isEmpty():
             found = components(found.select("id", F.col("component").alias("leader")).unionByName(more))
     reps = classes.select("set_hi", "set_lo", F.col("id").alias("class_id")).join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_hi", "set_lo", "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -118,6 +118,34 @@ def test_prefix_join_alone_finds_every_link(shipped):
                 assert (i, j) in found
 
 
+def test_long_keys_lose_no_link(shipped, monkeypatch):
+    """With portions of two, nearly every key is a long one; sizes from 5 to 60 meet at every threshold."""
+    monkeypatch.setattr(circulant, "PORTION", 2)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([6, 15, 30, 60]))]
+        texts += [" ".join(mutated(rng, base, rng.choice([0, 0.03, 0.06]))[: rng.choice([100, len(base) * 9 // 10])]) for _ in range(20)]
+    docs = documents(shipped, texts).select("doc_id", "text")
+    for k in (1, 2):
+        found = {(r["id"], r["leader"]) for r in circulant.rarest_first(docs, docs.selectExpr("doc_id AS id", "doc_id % 50 AS component"), circulant.Similarity(shingle=k)).collect()}
+        sets = [shingles(t, k) for t in texts]
+        links = {(i, j) for i in range(len(texts)) for j in range(i) if i % 50 != j % 50 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        assert len(links) > 100 and links <= found
+
+
+def test_texts_that_share_their_rarest_words_make_few_candidates(shipped):
+    """20,000 texts without a link share a passage that is rarer than all else they hold."""
+    rng = random.Random(7)
+    pool, passage = [f"p{i}" for i in range(80)], " ".join(f"rare{i}" for i in range(10))
+    shared = [passage + " " + " ".join(rng.sample(pool, 30)) for _ in range(20_000)]
+    others = [" ".join(rng.sample(pool, 60)) for _ in range(20_000)]
+    docs = documents(shipped, shared + others + [shared[0]]).select("doc_id", "text")
+    ids = docs.selectExpr("doc_id AS id", "CASE WHEN doc_id BETWEEN 20000 AND 39999 THEN -1 ELSE doc_id END AS component")
+    found = {(r["id"], r["leader"]) for r in circulant.rarest_first(docs, ids, circulant.Similarity(shingle=1)).collect()}
+    assert (40_000, 0) in found and len(found) < 20
+
+
 def test_components_of_a_long_chain(shipped):
     n = 40
     order = list(range(n))
