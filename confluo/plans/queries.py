@@ -304,13 +304,37 @@ def rga_order(spark, d):
     return folds.rga_order(nodes, by="conv_id")
 
 
-@query()
-def lcs_diff(spark, d):
+def turn_pairs(spark, d) -> DataFrame:
+    """Each turn's words beside those of the turn before."""
     words = F.split("text", " ")
     turns = table(spark, d, "conversations").select("conv_id", "turn", words.alias("new"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("new").alias("old"))
-    pairs = turns.join(before, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("pair"), "old", "new")
-    return diffs.sequence_diff(pairs, "pair")
+    return turns.join(before, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("pair"), "old", "new")
+
+
+@query()
+def lcs_diff(spark, d):
+    return diffs.sequence_diff(turn_pairs(spark, d), "pair")
+
+
+# The SQL fills the table of common lengths a row of old words at a time, over all pairs at once.
+@query("""turns AS (SELECT conv_id, turn, coalesce(string_split(text, ' '), []) AS words FROM conversations),
+ pairs AS MATERIALIZED (SELECT row_number() OVER () AS id, concat(n.conv_id, '/', n.turn) AS pair, o.words AS old, n.words AS new FROM turns n JOIN turns o ON n.conv_id = o.conv_id AND n.turn = o.turn + 1),
+ cells AS MATERIALIZED (SELECT id, unnest(new) AS word, unnest(range(1, len(new) + 1)) AS j FROM pairs),
+ lengths AS (SELECT id, 0 AS i, j, 0 AS best FROM cells UNION ALL
+  SELECT id, i, j, max(reached) OVER (PARTITION BY id ORDER BY j) FROM (SELECT l.id, l.i + 1 AS i, l.j, greatest(l.best, coalesce(lag(l.best) OVER (PARTITION BY l.id ORDER BY l.j), 0) + CAST(p.old[l.i + 1] = c.word AS INT)) AS reached
+   FROM lengths l JOIN pairs p ON p.id = l.id AND l.i < len(p.old) JOIN cells c ON c.id = l.id AND c.j = l.j)),
+ whole AS (SELECT p.id, max(best) AS kept FROM pairs p JOIN lengths l ON l.id = p.id AND l.i = len(p.old) GROUP BY 1)
+ SELECT pair, CAST(sum(len(old)) AS BIGINT) AS n_old, CAST(sum(len(new)) AS BIGINT) AS n_new, CAST(sum(len(old) - coalesce(kept, 0)) AS BIGINT) AS removed, CAST(sum(len(new) - coalesce(kept, 0)) AS BIGINT) AS added
+ FROM pairs LEFT JOIN whole USING (id) GROUP BY 1""", " ")
+def lcs_lengths(spark, d):
+    """What each turn's diff takes away and adds: no fewer edits would do."""
+    pairs = turn_pairs(spark, d)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    edits = lambda kind: F.when(F.col("op_type") == kind, 1).otherwise(0).cast("long")
+    sizes = pairs.select("pair", size("old").alias("n_old"), size("new").alias("n_new"), F.lit(0).cast("long").alias("removed"), F.lit(0).cast("long").alias("added"))
+    changes = diffs.sequence_diff(pairs, "pair").select("pair", F.lit(0).cast("long").alias("n_old"), F.lit(0).cast("long").alias("n_new"), edits("remove").alias("removed"), edits("upsert").alias("added"))
+    return sizes.unionByName(changes).groupBy("pair").agg(*(F.sum(c).alias(c) for c in ("n_old", "n_new", "removed", "added")))
 
 
 # diffs
