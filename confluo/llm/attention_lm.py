@@ -6,11 +6,11 @@ the next slot in LEVELS steps down a tree of BRANCH-fold nodes, so every id has
 stays small.
 
 Training covers the corpus in two stages. Counts, of words for the base score and of ids for the slots,
-are taken over every training document. The weights start from a bounded sample in one task, and are then
-refined in ROUNDS rounds of local updates: in each round every training document gives one in BLOCK_SHARE of
-its blocks of about BLOCK_BYTES (one at least, other ones each round, spread over the whole text), every
-partition trains on its blocks from the same weights, and the weights are averaged by the number of windows.
-So work is bounded by dropping blocks of a document, never documents. The driver only ever holds one model.
+are taken over every training document. The weights start from a bounded sample in one task, and then learn
+from every id of every training document in ROUNDS rounds of local updates: the windows of each text, which hold
+each of its ids and its end once, are dealt to the rounds in turn, every partition trains on its windows of the
+round from the same weights, and the weights are averaged by the number of windows. The driver only ever holds
+one model.
 
 Scoring: a text's ids are cut into overlapping windows of CONTEXT ids, of which the last STRIDE are scored;
 the first window begins before the text. So each id is scored once, with CONTEXT - STRIDE ids before it
@@ -45,8 +45,8 @@ SLOTS, BEFORE = BRANCH**LEVELS, CONTEXT - STRIDE
 VOCABULARY, END_ID = 49_408, 49_407
 #: The first sample: about so many documents, blocks of each at most, bytes of a block, steps.
 SAMPLE, SAMPLE_BLOCKS, SAMPLE_BYTES, FIRST_STEPS = 1500, 12, 768, 700
-#: Rounds of refinement, bytes of a block, share of a document's blocks in a round, windows that are mixed.
-ROUNDS, BLOCK_BYTES, BLOCK_SHARE, MIXED = 2, 96, 64, 16_384
+#: Rounds that share out all windows, bytes of a block of the first sample by default, windows that are mixed.
+ROUNDS, BLOCK_BYTES, MIXED = 2, 96, 16_384
 #: Windows in a batch, rate of learning at first.
 BATCH, RATE = 256, 0.016
 #: Steps after which Adam's averages need no correction.
@@ -362,6 +362,18 @@ def training_windows(c: Slots, offsets: np.ndarray, ids: np.ndarray, first: np.n
     return inputs_at(c.of[ids], starts[text], ends[text], at)
 
 
+def dealt_windows(c: Slots, offsets: np.ndarray, ids: np.ndarray, salt: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and wanted slots of each text's windows of round ``number``: the rounds together hold every id once.
+    Where a text's windows begin, and which round has the first, is told by its ``salt``."""
+    starts, ends, phase = offsets[:-1], offsets[1:], salt % CONTEXT
+    each = -(-(ends - starts + phase) // CONTEXT)
+    first = (number - salt // CONTEXT) % ROUNDS
+    mine = np.maximum(-(-(each - first) // ROUNDS), 0)
+    text = np.repeat(np.arange(len(each)), mine)
+    which = first[text] + ragged(np.zeros(len(each), np.int64), mine) * ROUNDS
+    return inputs_at(c.of[ids], starts[text], ends[text], (starts - phase)[text] + which * CONTEXT + BEFORE)
+
+
 def train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, adam: Adam, steps: int | None = None, seed: int = 1) -> float:
     """One pass over the windows, or ``steps`` batches of them; the mean loss of the last few."""
     rng = np.random.default_rng(seed)
@@ -456,8 +468,8 @@ def fit(training: DataFrame, counts: DataFrame, raw) -> tuple[Slots, dict[str, n
 
 
 def salted(docs: DataFrame) -> DataFrame:
-    """(text, salt) of texts that aren't empty."""
-    return docs.filter(F.length("text") > 0).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("salt"))
+    """(text, salt) of all texts; null counts as empty."""
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("salt"))
 
 
 def block_windows(c: Slots, raw, rows: pa.RecordBatch, texts: pa.Array, share: int, number: int, size: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -494,7 +506,7 @@ def first_weights(training: DataFrame, texts: int, c: Slots, raw) -> tuple[dict[
 
 
 def round_(training: DataFrame, raw, sent, number: int) -> dict[str, np.ndarray] | None:
-    """One round: every partition trains from the same weights on its documents' blocks of the round; the mean of
+    """One round: every partition trains from the same weights on its documents' windows of the round; the mean of
     the results, by windows. Weights travel in chunks and are summed as they come, so a task holds a few chunks
     and the driver one model's numbers."""
 
@@ -513,7 +525,7 @@ def round_(training: DataFrame, raw, sent, number: int) -> dict[str, np.ndarray]
 
         for batch in batches:
             for rows, texts in slices(batch, "text"):
-                held.append(block_windows(c, raw, rows, texts, BLOCK_SHARE, number))
+                held.append(dealt_windows(c, *loaded(raw.value).batch(texts, END_ID), rows.column("salt").to_numpy(), number))
                 if sum(len(x) for x, _ in held) >= MIXED:
                     learn()
         if held:

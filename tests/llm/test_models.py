@@ -365,6 +365,34 @@ def test_every_text_gives_blocks_of_whole_words(rng):
     assert set(c.of[:24]) <= some and len(some & set(c.of[60:100])) >= 40 - 8
 
 
+def test_rounds_learn_every_id_of_every_text_once(rng):
+    m = attention_lm
+    c = m.Slots(np.arange(m.VOCABULARY), np.zeros(m.VOCABULARY))
+    sizes = [1, 2, 23, 24, 25, 700, 1, 4000]
+    offsets, ids = np.concatenate([[0], np.cumsum(sizes)]), np.arange(sum(sizes))
+    salt = np.array([rng.randrange(1 << 30) for _ in sizes])
+    seen = np.concatenate([y[y >= 0] for y in (m.dealt_windows(c, offsets, ids, salt, k)[1] for k in range(m.ROUNDS))])
+    assert sorted(seen.tolist()) == ids.tolist()
+
+
+def test_a_round_trains_on_the_windows_of_whole_texts(shipped, rng):
+    import pyarrow as pa
+
+    m = attention_lm
+    texts = [" ".join(rng.choice("kato miru bragstel vorn quil".split()) for _ in range(n)) for n in (3, 400, 2500, 60)] + [""]
+    rows = m.salted(documents(shipped, texts).coalesce(1)).collect()
+    tokenizer = open(m.default_path(), encoding="utf-8").read()
+    offsets, ids = m.loaded(tokenizer).batch(pa.array([r["text"] for r in rows], pa.large_string()), m.END_ID)
+    c, start, size = m.slots(np.bincount(ids, minlength=m.VOCABULARY)), m.fresh(), {n: np.full(s, 1e-4, np.float32) for n, s in m.shapes().items()}
+    raw = shipped.sparkContext.broadcast(tokenizer)
+    got = m.round_(documents(shipped, texts).coalesce(1), raw, shipped.sparkContext.broadcast((c, start, size)), 0)
+    want = {n: a.copy() for n, a in start.items()}
+    adam = m.Adam(m.RATE / 5, {n: np.zeros_like(a) for n, a in want.items()}, {n: a.copy() for n, a in size.items()}, m.WARM)
+    m.train(want, *m.dealt_windows(c, offsets, ids, np.array([r["salt"] for r in rows]), 0), adam, seed=0)
+    for n in m.NAMES:
+        np.testing.assert_allclose(got[n], want[n], atol=1e-5)
+
+
 def test_weights_learn_from_every_training_document(shipped, rng, monkeypatch):
     words = [rng.choice("kato miru bragstel vorn quil".split()) for _ in range(40)]
     texts = [" ".join(words * 60) for _ in range(40)]
