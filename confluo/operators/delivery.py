@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo.functions.paths import parent
 from confluo.operators import partitions
+from confluo.session import saved
 
 #: The timestamp of initial values, older than any operation.
 SEED_TS = -(2**63)
@@ -57,8 +60,20 @@ def routed(ops: DataFrame, collections: list[str]) -> DataFrame:
 
 
 def save_partitions(rows: DataFrame, folder: str, by: list[str]) -> None:
-    """Write rows into their partitions' folders; partitions without rows keep what they have."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+    """Write rows into their partitions; partitions without rows keep what they have. The last of ``by``, a number, is
+    dealt PARTS_PER_FOLDER to a folder (``part_block``), which is written whole: other parts in it are carried over."""
+    try:
+        there = rows.sparkSession.read.schema(partitions.blocked(rows, by).schema).parquet(folder)
+    except AnalysisException:  # nothing was saved yet
+        there = None
+    if there is not None:
+        rows = saved(rows)
+        parts = rows.select(*by).distinct()
+        blocks = partitions.blocked(parts, by).select(*by[:-1], partitions.BLOCK).distinct()
+        same = lambda a, b, names: reduce(and_, (a[n].eqNullSafe(b[n]) for n in names))
+        near = there.join(F.broadcast(blocks), same(there, blocks, [*by[:-1], partitions.BLOCK]), "left_semi")
+        rows = saved(rows.unionByName(near.join(parts, same(near, parts, by), "left_anti").select(rows.columns)))
+    partitions.written(rows, folder, by)
 
 
 def apply_to_partitions(state: DataFrame, ops: DataFrame, ranges: DataFrame, by: str, key: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql import types as T
 from confluo.functions import keys
 from confluo.functions.paths import segments, within
 from confluo.operators.folds import upserts
+from confluo.operators.joins import beside
 from confluo.operators.ranks import summed
 from confluo.session import saved
 
 #: Ranges of a catalog that are broadcast at once for routing.
 BROADCAST_RANGES = 200_000
+#: Parts of a saved table that share a folder, and the column that tells the folder.
+PARTS_PER_FOLDER, BLOCK = 1000, "part_block"
 
 
 def catalog(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
@@ -109,13 +112,29 @@ def minimum_key(type_: T.DataType):
 
 
 def reassembled(header: DataFrame, data: DataFrame, by: str) -> DataFrame:
-    """The whole document again: every row of its parts beside its header, and headers without any data."""
-    return header.join(data, by, "left")
+    """The whole document again: every row of its parts beside its header, and headers without any data. Rows of the
+    parts aren't dealt by their document, of which a few may hold most."""
+    header, rest = saved(header), [c for c in data.columns if c != by]
+    whole = beside(data.filter(F.col(by).isNotNull()), header, [by], "inner", header.count()).select(*header.columns, *rest)
+    bare = header.join(data.select(by).distinct(), by, "left_anti")
+    return whole.unionByName(bare, allowMissingColumns=True)
+
+
+def blocked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the block of parts that share their folder."""
+    return rows.withColumn(BLOCK, F.floor(F.col(by[-1]) / PARTS_PER_FOLDER).cast("int"))
+
+
+def written(rows: DataFrame, folder: str, by: list[str]) -> None:
+    """Write the folders of blocks that the rows are in, each from few tasks, in order of parts, so that a reader of one
+    part skips the rest of its block."""
+    at = [*by[:-1], BLOCK]
+    dealt = blocked(rows, by).hint("rebalance", *at).sortWithinPartitions(*at, by[-1])
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*at).parquet(folder)
 
 
 def compact_all(folder: str, spark, by: list[str], rule) -> DataFrame:
     """Run a compaction rule over every part of a saved table, in place; parts come as they are written, each by
     itself. Returns what is kept."""
-    kept = saved(rule(spark.read.parquet(folder)))
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+    written(saved(rule(spark.read.parquet(folder))), folder, by)
     return spark.read.parquet(folder)

@@ -210,3 +210,37 @@ def test_scans_of_a_journal_read_the_folders_they_need(spark, tmp_path):
     assert read["journal"] == 1 and len(spark.read.parquet(folder).inputFiles()) > 10
     one = oplog.in_range(oplog.read_journal(spark, folder), "7", 5, 500)
     assert "replica_id" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_many_parts_share_folders_and_one_is_overwritten_alone(spark, tmp_path):
+    import os
+
+    from confluo.operators import delivery
+
+    folder = str(tmp_path / "parts")
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 2500).cast("int").alias("part"), F.col("id").alias("k"))
+    delivery.save_partitions(rows, folder, ["g", "part"])
+    assert sum(len(d) for _, d, _ in os.walk(folder)) <= 2 + 2 * 3
+    delivery.save_partitions(rows.filter("part IN (1, 2400)").withColumn("k", F.col("k") + 1_000_000), folder, ["g", "part"])
+    changed = F.when(F.col("part").isin(1, 2400), F.col("k") + 1_000_000).otherwise(F.col("k"))
+    got = spark.read.parquet(folder).select("g", "part", "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.withColumn("k", changed).collect()))
+    header = spark.createDataFrame([("a", 1), ("z", 2)], "g string, label int")
+    whole = partitions.reassembled(header, got, "g")
+    assert whole.columns == ["g", "label", "part", "k"]
+    assert whole.filter("g = 'a'").count() == 3000 and [tuple(r) for r in whole.filter("g <> 'a'").collect()] == [("z", 2, None, None)]
+
+
+def test_a_journal_of_many_origins_has_few_folders(spark, tmp_path):
+    import os
+
+    from confluo.sources import oplog
+
+    folder = str(tmp_path / "journal")
+    ops = oplog.generated(spark, 3000, replicas=1500)
+    oplog.append(ops, folder)
+    oplog.append(ops.filter("global_clock % 10 = 0"), folder)
+    assert len([x for x in os.listdir(folder) if "=" in x]) <= oplog.JOURNAL_BUCKETS
+    journal = oplog.read_journal(spark, folder)
+    assert sorted(map(str, journal.select(ops.columns).collect())) == sorted(map(str, ops.collect()))
+    assert oplog.in_range(journal, "r7", 0, 1 << 40).count() == ops.filter("replica_id = 'r7'").count() == 2
