@@ -36,6 +36,8 @@ SCHEMA = T.StructType(
         T.StructField("ref", T.StringType()),
     ]
 )
+#: Folders of a journal, to which origins are dealt, and the column that tells the folder. Fixed: journals are found by it.
+JOURNAL_BUCKETS, BUCKET = 64, "replica_id_bucket"
 #: Types of payloads beyond the wide row, by kind.
 PAYLOADS: dict[str, T.DataType] = {}
 
@@ -98,31 +100,39 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def append(ops: DataFrame, journal: str) -> None:
-    """Append to the journal: Parquet, partitioned by origin, so that catch-up reads prune."""
-    ops.write.mode("append").partitionBy("replica_id").parquet(journal)
+    """Append to the journal: Parquet, partitioned by buckets of origins, so that catch-up reads prune, however many
+    origins there are. Within a bucket's files rows are in order of origin and clock."""
+    at = [BUCKET, "replica_id", "global_clock"]
+    ops.withColumn(BUCKET, bucket(F.col("replica_id"))).hint("rebalance", BUCKET).sortWithinPartitions(*at).write.mode("append").partitionBy(BUCKET).parquet(journal)
+
+
+def bucket(origin: Column) -> Column:
+    return F.pmod(F.xxhash64(origin), F.lit(JOURNAL_BUCKETS)).cast("int")
 
 
 def read_journal(spark: SparkSession, journal: str) -> DataFrame:
     """The journal without redelivered operations."""
-    return scanned(spark, journal).dropDuplicates(["replica_id", "global_clock"])
+    return scanned(spark, journal).dropDuplicates([BUCKET, "replica_id", "global_clock"])
 
 
 def scanned(spark: SparkSession, journal: str) -> DataFrame:
-    """The journal as it lies, with redeliveries. Origins are texts whatever they look like, so that a filter on them prunes
-    folders."""
-    return spark.read.schema(SCHEMA).parquet(journal)
+    """The journal as it lies, with redeliveries, and the bucket of each operation's origin."""
+    return spark.read.schema(T.StructType([*SCHEMA.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(journal)
 
 
 def in_range(journal: DataFrame, origin: str, above: int, upto: int) -> DataFrame:
-    """Operations of one origin with above < global_clock <= upto."""
-    return journal.filter((F.col("replica_id") == origin) & (F.col("global_clock") > above) & (F.col("global_clock") <= upto))
+    """Operations of one origin with above < global_clock <= upto. Of a journal on disk, one folder is read."""
+    rows = journal.filter((F.col("global_clock") > above) & (F.col("global_clock") <= upto) & (F.col("replica_id") == origin))
+    return rows.filter(F.col(BUCKET) == bucket(F.lit(origin))).drop(BUCKET) if BUCKET in journal.columns else rows
 
 
 def at_dots(journal: DataFrame, dots: DataFrame) -> DataFrame:
-    """Operations named by (replica_id, global_clock). Of a journal on disk, only the folders of origins that the dots name are
+    """Operations named by (replica_id, global_clock). Of a journal on disk, only the folders of buckets that the dots name are
     read: the dots' origins prune its partitions while the query runs. Clocks begin at 0."""
     wanted = dots.select("replica_id", "global_clock").filter(F.col("global_clock") >= 0).distinct()
-    return journal.join(wanted, ["replica_id", "global_clock"], "left_semi")
+    if BUCKET not in journal.columns:
+        return journal.join(wanted, ["replica_id", "global_clock"], "left_semi")
+    return journal.join(wanted.withColumn(BUCKET, bucket(F.col("replica_id"))), [BUCKET, "replica_id", "global_clock"], "left_semi").drop(BUCKET)
 
 
 def trimmed(journal: DataFrame, minimum: DataFrame) -> DataFrame:
