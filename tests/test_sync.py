@@ -244,3 +244,13 @@ def test_a_journal_of_many_origins_has_few_folders(spark, tmp_path):
     journal = oplog.read_journal(spark, folder)
     assert sorted(map(str, journal.select(ops.columns).collect())) == sorted(map(str, ops.collect()))
     assert oplog.in_range(journal, "r7", 0, 1 << 40).count() == ops.filter("replica_id = 'r7'").count() == 2
+
+
+def test_edits_are_handed_on_as_they_come():
+    import pyarrow as pa
+
+    n = 3000
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([["a"] * 10] * n), pa.array([["b"] * 5] * (n - 1) + [None])], ["key", "old", "new"])
+    out = list(diffs.edit_batches([batch]))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= diffs.EDITS + 15
+    assert sum(b.num_rows for b in out) == n * 15 - 5
