@@ -13,7 +13,7 @@ arrived before another state's barrier go when both are merged, which is right f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,18 +109,45 @@ def _buffers() -> dict[str, Column]:
 
 def partial(ops: DataFrame) -> DataFrame:
     """The state of a log whose rows have ``strategy``, the strategy of their property."""
+    return _partial(ops, None)
+
+
+def partial_of_each(ops: DataFrame, strategies: list[str]) -> DataFrame:
+    """The state of a log that is taken for a property of each of the strategies. Strategies that cut the log into the
+    same cells and parts keep the same of it, so the log is aggregated once for all of these."""
+    alike: dict[tuple, list[str]] = {}
+    for s in strategies:
+        cut = "whole" if s in REGISTERS or s == "average_register" else "key" if s in KEYED or s in ("or_set", "or_map") else s
+        alike.setdefault((cut, s in OBSERVING or s == "average_register", s in FIRST_WINS), []).append(s)
+    likeness = {names[0]: names for names in alike.values()}
+    rows = ops.withColumn("strategy", F.explode(F.array(*map(F.lit, likeness))))
+    return _partial(rows, likeness)
+
+
+def _partial(ops: DataFrame, likeness: dict[str, list[str]] | None) -> DataFrame:
     rows = ops.withColumns({"payload_": values.payload(ops), "cell": _cell()})
     first = _is(*FIRST_WINS)
     last = rows.filter(first & clears()).groupBy(*BY, "strategy").agg(F.max("arrival").alias("last_"))
     barriers = last.select(*BY, "strategy", "last_")
-    if not barriers.isEmpty():
+    cleared = not rows.filter(first & clears()).isEmpty()
+    if cleared:
         rows = beside(rows, barriers, [*BY, "strategy"]).filter(F.col("last_").isNull() | (F.col("arrival") > F.col("last_"))).drop("last_")
     part = F.when(_is(*OBSERVING, "average_register"), F.col("replica_id")).otherwise("")
     kept = rows.filter(~(first & clears())).filter(F.col("cell").isNotNull() | ~first).withColumn("part", part)
-    made = [getattr(F, COMBINE[name])(x).alias(name) for name, x in _buffers().items()]
-    out = kept.groupBy(*KEYS).agg(*made)
-    resets = barriers.select(*BY, "strategy", F.lit(None).cast("string").alias("cell"), F.lit("").alias("part"), F.col("last_").alias("cleared"))
-    return out.unionByName(resets, allowMissingColumns=True).select(out.columns) if not barriers.isEmpty() else out
+    made = [getattr(F, COMBINE[name])(x).alias(name) for name, x in _buffers().items() if name != "cleared"]
+    out = _without_barriers(kept.groupBy(*KEYS).agg(*made))
+    if cleared:
+        resets = barriers.select(*BY, "strategy", F.lit(None).cast("string").alias("cell"), F.lit("").alias("part"), F.col("last_").alias("cleared"))
+        out = out.unionByName(resets, allowMissingColumns=True).select(out.columns)
+    if likeness:
+        names = F.create_map(*(x for s, all_ in likeness.items() for x in (F.lit(s), F.array(*map(F.lit, all_)))))
+        out = out.withColumn("strategy", F.explode(names[F.col("strategy")])).select(out.columns)
+    return out
+
+
+def _without_barriers(state: DataFrame) -> DataFrame:
+    """A state whose plan says that it has no barriers, so that looking for them runs nothing."""
+    return state.withColumn("cleared", F.lit(None).cast("long")).select(*KEYS, *COMBINE)
 
 
 def merged(*states: DataFrame) -> DataFrame:
@@ -128,10 +155,10 @@ def merged(*states: DataFrame) -> DataFrame:
     rows = states[0]
     for s in states[1:]:
         rows = rows.unionByName(s)
-    out = rows.groupBy(*KEYS).agg(*_combined())
-    barriers = out.filter("cleared IS NOT NULL").select(*BY, "strategy", F.col("cleared").alias("last_"))
+    barriers = rows.filter("cleared IS NOT NULL").groupBy(*BY, "strategy").agg(F.max("cleared").alias("last_"))
     if barriers.isEmpty():
-        return out
+        return _without_barriers(rows.groupBy(*KEYS).agg(*(c for name, c in zip(COMBINE, _combined()) if name != "cleared")))
+    out = rows.groupBy(*KEYS).agg(*_combined())
     # a row that one state began before the barrier holds nothing from after it
     fresh = rows.filter("cell IS NOT NULL OR cleared IS NULL")
     fresh = beside(fresh, barriers, [*BY, "strategy"]).filter("last_ IS NULL OR arrived > last_").drop("last_")
@@ -226,8 +253,9 @@ def compacted(state: DataFrame, threshold: int, minimum: DataFrame) -> DataFrame
     low = minimum.select(F.col("origin").alias("part"), F.col("version").alias("low_"))
     rows = beside(state, low, ["part"])
     undone = _is(*OBSERVING) & F.col("gone_clock").isNotNull() & (F.col("add_clock").isNull() | (F.col("add_clock") < F.col("gone_clock"))) & F.coalesce(F.col("gone_clock") <= F.col("low_"), F.lit(False))
-    newest = state.filter(_is("or_map", "replicated_tree")).groupBy(*KEYS[:-1]).agg(F.max("written").alias("top_"))
-    rows = rows.join(newest.select(*(F.col(k).alias(f"{k}_") for k in KEYS[:-1]), "top_"), F.lit(True) & (F.col("document_id") == F.col("document_id_")) & (F.col("path") == F.col("path_")) & (F.col("strategy") == F.col("strategy_")) & F.col("cell").eqNullSafe(F.col("cell_")), "left").drop(*(f"{k}_" for k in KEYS[:-1]))
+    # by the keys that cells are joined by later, so that the state is dealt once
+    newest = F.max(F.when(_is("or_map", "replicated_tree"), F.col("written"))).over(Window.partitionBy(*KEYS[:-1]))
+    rows = rows.withColumn("top_", newest)
     needed = F.coalesce(F.col("written") == F.col("top_"), F.lit(False)) & _is("or_map", "replicated_tree")
     old = lambda c: F.coalesce(F.col(c)["ts"] <= threshold, F.lit(True))
     dead = _is("lww_set", "sorted_set", "priority_queue", "fww_set", "two_phase_set", "two_phase_graph", "lww_map", "fww_map") & ~_live_of_part()

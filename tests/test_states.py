@@ -114,6 +114,16 @@ def test_every_strategy_has_a_state():
     assert set(states.STRATEGIES) == set(INTENTS)
 
 
+def test_strategies_of_like_cells_are_aggregated_once(spark):
+    ops = oplog.generated(spark, 300, replicas=7, keys=9)
+    names = ["lww_register", "counter", "average_register", "lww_map", "or_set", "or_map", "fww_map", "fww_register", "vote_counter", "g_set"]
+    got = states.partial_of_each(ops, names)
+    want = states.partial(ops.withColumn("strategy", F.explode(F.array(*map(F.lit, names)))))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    once = states._partial(ops.withColumn("strategy", F.lit("lww_map")), None)
+    assert once.filter("cleared IS NOT NULL")._jdf.queryExecution().optimizedPlan().maxRows().get() == 0  # told without a run
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_states_merge_to_the_state_of_all(spark, seed):
     ops = random_log(spark, seed).withColumn("strategy", F.explode(F.array(*map(F.lit, states.STRATEGIES)))).persist()
