@@ -33,6 +33,7 @@ def route(rows: DataFrame, ranges: DataFrame, by: str, key: str) -> DataFrame:
     """Rows with the part whose range holds their key, null where there is none. The catalog is broadcast in
     blocks of at most BROADCAST_RANGES ranges, each as one sorted array per ``by`` that a row searches by halving;
     the greatest start of all blocks wins. Rows aren't shuffled, whatever a group's size."""
+    ranges = saved(ranges)  # it is read once per block, and counted
     blocks = max(1, -(-ranges.count() // BROADCAST_RANGES))
     name = lambda i: f"found_{i}_"
     for i in range(blocks):
