@@ -254,3 +254,19 @@ def test_edits_are_handed_on_as_they_come():
     out = list(diffs.edit_batches([batch]))
     assert len(out) > 1 and max(b.num_rows for b in out) <= diffs.EDITS + 15
     assert sum(b.num_rows for b in out) == n * 15 - 5
+
+
+def test_sides_of_a_diff_are_dealt_to_parts_however_small_their_shuffle_is(spark):
+    numbers = lambda low, high: spark.range(low, high, numPartitions=2).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    old, new = numbers(0, 200_000), numbers(100_000, 300_000)
+    found = diffs.set_diff(old, new, ["k"]).withColumn("task", F.spark_partition_id())
+    assert {(r["op_type"], r["n"], r["low"]) for r in found.groupBy("op_type").agg(F.count("*").alias("n"), F.min("k").alias("low")).collect()} == {("remove", 100_000, 0), ("upsert", 100_000, 200_000)}
+    assert found.groupBy("task").count().agg(F.max("count")).first()[0] < 3_000
+    tasks = diffs.map_diff(old, new, ["k"], "v").withColumn("task", F.spark_partition_id()).groupBy("task").count()
+    assert tasks.agg(F.max("count")).first()[0] < 3_000
+
+
+def test_set_diff_with_nulls_and_repeats(spark):
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "a string, b long")
+    got = diffs.set_diff(pairs(("x", 1), ("x", 1), ("y", None), (None, None)), pairs(("x", 1), ("z", 2), ("z", 2), ("y", None)), ["a", "b"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("z", 2, "upsert"), ("y", None, "upsert"), ("y", None, "remove"), (None, None, "remove")], key=str)
