@@ -13,6 +13,8 @@ arrived before another state's barrier go when both are merged, which is right f
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,9 +109,10 @@ def _buffers() -> dict[str, Column]:
     }
 
 
-def partial(ops: DataFrame) -> DataFrame:
-    """The state of a log whose rows have ``strategy``, the strategy of their property."""
-    return _partial(ops, None)
+def partial(ops: DataFrame, strategies: Iterable[str] = FIRST_WINS) -> DataFrame:
+    """The state of a log whose rows have ``strategy``, the strategy of their property. ``strategies`` names all that occur,
+    where that is known: without one whose resets are barriers, the log isn't searched for resets."""
+    return _partial(ops, None, strategies)
 
 
 def partial_of_each(ops: DataFrame, strategies: list[str]) -> DataFrame:
@@ -121,15 +124,15 @@ def partial_of_each(ops: DataFrame, strategies: list[str]) -> DataFrame:
         alike.setdefault((cut, s in OBSERVING or s == "average_register", s in FIRST_WINS), []).append(s)
     likeness = {names[0]: names for names in alike.values()}
     rows = ops.withColumn("strategy", F.explode(F.array(*map(F.lit, likeness))))
-    return _partial(rows, likeness)
+    return _partial(rows, likeness, likeness)
 
 
-def _partial(ops: DataFrame, likeness: dict[str, list[str]] | None) -> DataFrame:
+def _partial(ops: DataFrame, likeness: dict[str, list[str]] | None, strategies: Iterable[str]) -> DataFrame:
     rows = ops.withColumns({"payload_": values.payload(ops), "cell": _cell()})
     first = _is(*FIRST_WINS)
     last = rows.filter(first & clears()).groupBy(*BY, "strategy").agg(F.max("arrival").alias("last_"))
     barriers = last.select(*BY, "strategy", "last_")
-    cleared = not rows.filter(first & clears()).isEmpty()
+    cleared = not set(FIRST_WINS).isdisjoint(strategies) and not rows.filter(first & clears()).isEmpty()
     if cleared:
         rows = beside(rows, barriers, [*BY, "strategy"]).filter(F.col("last_").isNull() | (F.col("arrival") > F.col("last_"))).drop("last_")
     part = F.when(_is(*OBSERVING, "average_register"), F.col("replica_id")).otherwise("")

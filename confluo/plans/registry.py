@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -252,14 +253,16 @@ class Model:
         projection of one scan."""
         specs = self.bound()
         table = F.create_map(*(F.lit(x) for p, spec in specs.items() for x in (p, spec.name)))
+        # most paths are a property's own, and need not be taken apart
+        own = F.col("path").isin([p for p in specs if "$" + "".join(m.group() for m in re.finditer(SEGMENT, p)) == p])
         plain = F.split_part("path", F.lit("|"), F.lit(1))
-        marks = F.regexp_extract_all(plain, F.lit(SEGMENT), F.lit(0))
+        marks = F.when(~own, F.regexp_extract_all(plain, F.lit(SEGMENT), F.lit(0)))
         above = lambda n: F.concat(F.lit("$"), F.array_join(F.slice("marks_", F.lit(1), n), ""))
         lengths = F.filter(F.sequence(F.size("marks_"), F.lit(0)), lambda n: F.map_contains_key(table, above(n)))
-        rows = ops.withColumn("marks_", marks).withColumn("depth_", F.get(lengths, 0)).filter("depth_ IS NOT NULL")
+        rows = ops.withColumn("marks_", marks).withColumn("depth_", F.when(~own, F.get(lengths, 0))).filter(own | F.col("depth_").isNotNull())
         below = F.when(F.col("depth_") < F.size("marks_"), F.element_at(segments(F.col("path")), -1))
         key = F.coalesce("key", below)
-        root = above(F.col("depth_"))
+        root = F.when(own, F.col("path")).otherwise(above(F.col("depth_")))
         for p, spec in specs.items():
             if spec.comparer is not None:
                 key = F.when(root == p, spec.comparer(key)).otherwise(key)
@@ -280,7 +283,7 @@ class Model:
                 mine = spec.unwrapped(rows.filter(F.col("path") == p).drop("strategy"))
                 out = out.unionByName(mine.withColumn("strategy", F.lit(spec.name)).select(columns))
             rows = out
-        return states.partial(rows)
+        return states.partial(rows, [spec.name for spec in specs.values()])
 
     def table(self, ops: DataFrame) -> DataFrame:
         """document_id, path, strategy, key, value: what all properties show, from one pass over the log. A value is tagged

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from confluo.functions import values
 from confluo.operators import folds, ranks, retention, states
-from confluo.plans import intents
+from confluo.plans import intents, queries
 from confluo.plans.registry import INTENTS, Model
 from confluo.sources import oplog
 
@@ -215,3 +215,20 @@ def test_one_scan_for_a_model_of_many_fields(spark, tmp_path):
     random_log(spark, 9).write.parquet(str(tmp_path / "log"))
     plan = nested_model().table(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_a_model_without_first_writers_reads_its_log_when_its_table_is_read(spark):
+    model = Model(T.StructType([field("a", T.StringType()), field("tags", T.MapType(T.StringType(), T.StringType()))]))
+    rows = log(spark, [("$.a", "set", {"value": "1"}), ("$.a", "set", {"value": "2"}), ("$.tags['k']", "map_set", {"value": "3"}), ("$.a|epoch", "set", {"value": "4"}), ("$.b", "set", {"value": "5"})])
+    spark.sparkContext.setJobGroup("no job yet", "")
+    try:
+        table = model.table(rows)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("no job yet")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["path"], r["key"], r["value"]["str"]) for r in table.collect()} == {("$.a", None, "4"), ("$.tags", "k", "3")}
+
+
+def test_typed_registers_read_events_once(spark):
+    plan = queries.typed_registers(spark, "/root/testdata/sf0.001").select("*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("RelationV2") == 1
