@@ -20,7 +20,7 @@ from decimal import Context, Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluo.operators.joins import beside
+from confluo.operators.joins import beside, hot_keys
 from confluo.operators.ranks import neighboured, ranked
 from confluo.session import saved, ship
 
@@ -235,6 +235,19 @@ class Pieces:
 EDITOR = ["document_id", "path", "replica_id"]
 
 
+def listed_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as ``to_pylist`` gives them, of texts, numbers and booleans, column by column."""
+
+    def values(column: pa.Array) -> list:
+        if column.null_count == 0 or column.type == "string":
+            return column.to_numpy(zero_copy_only=False).tolist()
+        out = column.fill_null(False if column.type == "bool" else 0).to_numpy(zero_copy_only=False).astype(object)
+        out[column.is_null().to_numpy(zero_copy_only=False)] = None
+        return out.tolist()
+
+    return (dict(zip(batch.schema.names, row)) for row in zip(*map(values, batch.columns)))
+
+
 def _in_order(edits: DataFrame, start: Callable[[dict], object], step: Callable[[object, dict], dict], columns: list[str], schema: str, kinds: dict) -> DataFrame:
     """``step`` over the edits of each editor in order of its clock, with what ``start`` makes for each editor. Edits
     are streamed; only what the editor's state holds is in memory."""
@@ -247,7 +260,7 @@ def _in_order(edits: DataFrame, start: Callable[[dict], object], step: Callable[
         now, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in listed_rows(batch):
                 who = tuple(row[c] for c in EDITOR)
                 if who != now:
                     now, state = who, start(row)
@@ -362,10 +375,13 @@ def elements_at(rows: DataFrame, elements: DataFrame, sides: list[str]) -> DataF
     """``rows`` with the elements at their ``<side>_place``: ``<side>_id`` and, if elements have one, ``<side>_pos``.
     elements: document_id, path, place, id[, pos]. Only places that are asked for go to the join."""
     names = [c for c in ("id", "pos") if c in elements.columns]
-    asked = rows.select("document_id", "path", F.explode(F.array(*(f"{s}_place" for s in sides))).alias("place")).filter("place IS NOT NULL").distinct()
-    found = saved(asked.join(elements.select("document_id", "path", F.col("place").cast("long").alias("place"), *names), ["document_id", "path", "place"]))
+    at = ["document_id", "path", "place"]
+    places = rows.select("document_id", "path", F.explode(F.array(*(f"{s}_place" for s in sides))).alias("place")).filter("place IS NOT NULL")
+    hot = hot_keys(places, at)
+    asked = places.distinct()
+    found = saved(asked.join(elements.select("document_id", "path", F.col("place").cast("long").alias("place"), *names), at))
     size = found.count()
     for s in sides:
         one = found.select("document_id", "path", F.col("place").alias(f"{s}_place"), *(F.col(c).alias(f"{s}_{c}") for c in names))
-        rows = beside(rows, one, ["document_id", "path", f"{s}_place"], size=size)
+        rows = beside(rows, one, ["document_id", "path", f"{s}_place"], size=size, hot=lambda s=s: hot.withColumnRenamed("place", f"{s}_place"))
     return rows

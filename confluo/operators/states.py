@@ -175,11 +175,15 @@ def reset(state: DataFrame, properties: DataFrame) -> DataFrame:
     return beside(state, gone, list(BY)).filter("gone_ IS NULL").drop("gone_")
 
 
-def joined(state: DataFrame) -> DataFrame:
-    """A row per cell: parts combined, with ``live`` for strategies that tell replicas apart, and ``average``."""
+def joined(state: DataFrame, parts: bool = True) -> DataFrame:
+    """A row per cell: parts combined, with ``live`` for strategies that tell replicas apart, and ``average``. Without
+    ``parts``, of strategies that don't tell replicas apart, a cell is a row of the state already."""
+    rows = state.filter("cell IS NOT NULL OR cleared IS NULL")
+    if not parts:
+        return rows.select(*KEYS[:-1], *COMBINE, F.lit(None).cast("boolean").alias("live"), F.lit(None).cast("double").alias("average"))
     alive = F.col("add_clock").isNotNull() & (F.col("gone_clock").isNull() | (F.col("add_clock") > F.col("gone_clock")))
     mean = F.sum(F.when(F.col("written").isNotNull(), F.coalesce(F.col("written")["value"]["num"], F.lit(0)))).cast("double") / F.count("written")
-    return state.filter("cell IS NOT NULL OR cleared IS NULL").groupBy(*KEYS[:-1]).agg(*_combined(), F.bool_or(alive).alias("live"), mean.alias("average"))
+    return rows.groupBy(*KEYS[:-1]).agg(*_combined(), F.bool_or(alive).alias("live"), mean.alias("average"))
 
 
 def _live() -> Column:
@@ -219,7 +223,7 @@ def shown(state: DataFrame) -> DataFrame:
 
 def ordered(state: DataFrame, strategy: str, **params) -> DataFrame:
     """document_id, path, key, value, place of lists, sorted sets and queues, and the state of state machines."""
-    cells = joined(state.filter(F.col("strategy") == strategy))
+    cells = joined(state.filter(F.col("strategy") == strategy), strategy in (*OBSERVING, "average_register"))
     if strategy == "rga":
         list_ = F.concat_ws("\x00", *BY).alias("list_")
         known = saved(cells.filter("add_clock IS NOT NULL").select(*BY, list_, F.col("cell").alias("id"), F.col("ref").alias("left_id"), F.col("last_remove").isNotNull().alias("deleted"), F.col("written.value").alias("value")))
@@ -239,7 +243,7 @@ def listed(state: DataFrame, strategies: tuple[str, ...] = LISTS) -> DataFrame:
     columns = [*BY, "strategy", "key", "value", "pos"]
     parts = []
     if set(strategies) - {"rga"}:
-        cells = joined(state.filter(_is("array_lcs", "lseq"))).filter(_live())
+        cells = joined(state.filter(_is("array_lcs", "lseq")), parts=False).filter(_live())
         parts.append(cells.select(*BY, "strategy", F.col("cell").alias("key"), _value().alias("value"), "pos").select(columns))
     if "rga" in strategies:
         walk = ordered(state, "rga").filter("NOT deleted")

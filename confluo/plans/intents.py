@@ -10,7 +10,7 @@ from confluo.functions import keys, values
 from confluo.functions.ordering import operation_id
 from confluo.operators import sequences, states
 from confluo.operators.folds import BY
-from confluo.operators.joins import beside
+from confluo.operators.joins import beside, hot_keys
 from confluo.plans.registry import StrategySpec
 from confluo.session import saved
 from confluo.sources import oplog
@@ -103,9 +103,9 @@ def edited(edits: DataFrame, log: DataFrame, strategy: str | dict[str, str]) ->
     rows = edits.withColumn("strategy", named)
     after = F.col("strategy") == "rga"
     rows = rows.withColumns({"tag": F.when(after, keys.of_id(F.col("global_clock"), F.col("replica_id"))).otherwise(operation_id()), "index": F.col("index").cast("long")})
-    seen = states.listed(states.partial(log.withColumn("strategy", named)), used)
+    seen = states.listed(states.partial(log.withColumn("strategy", named), used), used)
     elements = saved(seen.select(*BY, "place", F.col("key").alias("id"), "pos"))
-    sized = beside(rows, elements.groupBy(*BY).agg(F.count(F.lit(1)).alias("length")), list(BY))
+    sized = beside(rows, elements.groupBy(*BY).agg(F.count(F.lit(1)).alias("length")), list(BY), hot=lambda: hot_keys(rows, list(BY)))
     found = saved(sequences.located(sized.select(*sequences.EDITOR, "clock", "tag", "intent", "index", F.coalesce("length", F.lit(0)).alias("length"))))
     at = [*sequences.EDITOR, "clock", "tag"]
     placed = sequences.elements_at(found.filter("problem IS NULL"), elements, ["left", "right", "target"])

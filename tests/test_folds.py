@@ -7,7 +7,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from confluo.operators import folds
+from pyspark.sql import functions as F
+
+from confluo.operators import folds, joins
 from confluo.sources import oplog
 
 FIELDS = [f.name for f in oplog.SCHEMA]
@@ -128,3 +130,23 @@ def test_every_strategy_has_a_fold(spark):
     ops = log(spark, [("upsert", "1", 2, 5, "x"), ("remove", "2", 1, 6, "y")])
     for name in FOLDS:
         StrategySpec(name, tuple(given.get(name, {}).items())).folded(ops).collect()
+
+
+def test_only_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    n = F.col("id")
+    rows = spark.range(2_000).select(n, F.when(n < 1_000, 7).when(n < 1_200, F.lit(None)).otherwise(n % 50 + 100).cast("long").alias("k"))
+    small = spark.range(0, 140).select(F.nullif(n, F.lit(3)).alias("k"), (n * 2).alias("twice"))
+    for name, value in (("adaptive.coalescePartitions.enabled", "false"), ("autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        out = joins.beside(rows, small, ["k"], hot=lambda: joins.hot_keys(rows, ["k"])).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name in ("adaptive.coalescePartitions.enabled", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
+    assert sorted(r["id"] for r in out) == list(range(2_000))
+    assert all(r["twice"] == (6 if r["k"] is None else r["k"] * 2 if r["k"] < 140 else None) for r in out)
+    tasks = {k: len({r["task"] for r in out if r["k"] == k}) for k in {r["k"] for r in out}}
+    assert tasks[7] > 1 and tasks[None] > 1
+    assert all(t == 1 for k, t in tasks.items() if k not in (7, None))

@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from confluo.functions import keys
-from confluo.operators import sequences
+from confluo.operators import sequences, states
 from confluo.plans import intents
 from confluo.plans.registry import Model
 from confluo.sources import oplog
@@ -168,3 +169,21 @@ def test_ordered_keys(spark):
     got = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i long, p array<struct<position long, replica string>>").select("i", keys.of_path(F.col("p")).alias("k")).collect()
     assert [r.i for r in sorted(got, key=lambda r: r.k)] == list(range(len(paths)))
     assert sequences.path_key([(1, "a"), (0, "")]) == got[1].k
+
+
+def test_rows_are_read_column_by_column():
+    batch = pa.RecordBatch.from_pydict({"s": pa.array(["a", None, "b"]), "i": pa.array([1, None, 2**62 + 1]), "t": pa.array([True, None, False]), "n": pa.array([None] * 3, pa.int64())})
+    assert list(sequences.listed_rows(batch)) == batch.to_pylist()
+    assert list(sequences.listed_rows(batch.slice(0, 0))) == []
+
+
+def test_cells_of_lists_are_grouped_once(spark):
+    rows = [("d", "$.l", "upsert", "v", f"t{i}", i, "x", i, i, "lseq", f"p{i}") for i in range(5)] + [("d", "$.l", "remove", None, None, 9, "y", 1, 9, "lseq", None)]
+    ops = spark.createDataFrame(rows, "document_id string, path string, op_type string, str string, tag string, ts long, replica_id string, clock long, global_clock long, strategy string, pos string")
+    log = oplog.fitted(ops.withColumns({"arrival": F.col("global_clock"), "ref": F.when(F.col("op_type") == "remove", "t2")})).withColumn("strategy", F.lit("lseq"))
+    state = states.partial(log, ["lseq"])
+    columns = [*states.KEYS[:-1], *(c for c in states.COMBINE)]
+    assert sorted(map(str, states.joined(state, parts=False).select(columns).collect())) == sorted(map(str, states.joined(state).select(columns).collect()))
+    assert [(r["key"], r["place"]) for r in states.listed(state, ("lseq",)).orderBy("place").collect()] == [("t0", 1), ("t1", 2), ("t3", 3), ("t4", 4)]
+    plan = states.joined(state, parts=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
