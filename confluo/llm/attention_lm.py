@@ -12,6 +12,8 @@ each of its ids and its end once, are dealt to the rounds in turn, every partiti
 round from the same weights, and the weights are averaged by the number of windows. The driver only ever holds
 one model.
 
+Texts are encoded once: their ids, two bytes each, are saved for the rounds and for scoring.
+
 Scoring: a text's ids are cut into overlapping windows of CONTEXT ids, of which the last STRIDE are scored;
 the first window begins before the text. So each id is scored once, with CONTEXT - STRIDE ids before it
 at least, by batched masked attention. Long texts are scored in sections, which see the ids before them.
@@ -49,6 +51,9 @@ SAMPLE, SAMPLE_BLOCKS, SAMPLE_BYTES, FIRST_STEPS = 1500, 12, 768, 700
 ROUNDS, BLOCK_BYTES, MIXED = 2, 96, 16_384
 #: Windows in a batch, rate of learning at first.
 BATCH, RATE = 256, 0.016
+#: Runs of fewer rows are summed place by place; numbers that Adam updates at once; windows
+#: whose attention is worked on at once.
+SHORT, PIECE, SOME = 8, 1 << 15, 128
 #: Steps after which Adam's averages need no correction.
 WARM = 10_000
 #: Weights that travel together; ids that are scored at once.
@@ -84,25 +89,6 @@ LARGEST = 30.0
 MASK = np.where(np.arange(CONTEXT)[:, None] < np.arange(CONTEXT)[None, :], -1e9, 0).astype(np.float32)
 
 
-def forward(p: dict[str, np.ndarray], inputs: np.ndarray, first: int = 0) -> tuple[np.ndarray, tuple]:
-    """What the model makes of places ``first``.. of each row of input slots (n x CONTEXT), and what it took."""
-    dot = lambda a, w: (np.ascontiguousarray(a).reshape(-1, a.shape[-1]) @ w).reshape(*a.shape[:-1], -1)  # noqa: E731  one product, not one per window
-    x = p["embed"][inputs] + p["place"]
-    now = np.ascontiguousarray(x[:, first:])
-    q, k, v = dot(now, p["query"] * np.float32(1 / np.sqrt(WIDTH))), dot(x, p["key"]), dot(x, p["value"])
-    s = q @ k.transpose(0, 2, 1)
-    s += MASK[first:]
-    np.exp(np.minimum(s, LARGEST, out=s), out=s)  # bounded scores need no maximum
-    s /= s @ np.ones((CONTEXT, 1), s.dtype)
-    mixed = s @ v
-    h = biased(now + dot(mixed, p["out"]))
-    u = dot(h, p["up"])
-    r = np.maximum(u, 0, out=u)
-    g = h.copy()
-    g[..., :-1] += dot(r, p["down"])
-    return g, (x, q, k, v, s, mixed, h, r)
-
-
 def biased(a: np.ndarray) -> np.ndarray:
     """With a last column of ones, which makes the last row of weights a bias."""
     out = np.empty((*a.shape[:-1], a.shape[-1] + 1), a.dtype)
@@ -111,6 +97,24 @@ def biased(a: np.ndarray) -> np.ndarray:
     return out
 
 
+class Room:
+    """Arrays by name that are used again, as fresh memory costs about what is computed in it."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size, a = int(np.prod(shape)), self.kept.get(name)
+        if a is None or a.size < size or a.dtype != kind:
+            a = self.kept[name] = np.empty(size, kind)
+        return a[:size].reshape(shape)
+
+    def zeros(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        a = self(name, shape, kind)
+        a.fill(0)
+        return a
+
+
 def soft(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of columns of logits: exp less each one's largest, in place, the sums of these, and the logarithm of
     the soft-max at the row ``picked`` of each, which doesn't get too small for a float."""
@@ -121,74 +125,164 @@ def soft(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return z, sums, at - np.log(sums)
 
 
-def branches(p: dict[str, np.ndarray], rows: np.ndarray, slot: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Logits of the branches of each row's node on a level, a column per row, the branch that leads to its slot,
-    and (node, from, to) of the rows of each node; rows are sorted by slot."""
-    below = BRANCH ** (LEVELS - level - 1)
-    of = slot // (below * BRANCH)
-    begins = np.flatnonzero(np.diff(of, prepend=-1))
-    runs = list(zip(of[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(of)]))
-    weights, turned = p[nodes(level)], rows.T
-    z = np.empty((BRANCH, len(rows)), rows.dtype)
-    for node, a, b in runs:
-        np.matmul(weights[node].T, turned[:, a:b], out=z[:, a:b])
-    return z, slot // below % BRANCH, runs
-
-
-def summed(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows by ``of``, n of them."""
-    order = np.argsort(of, kind="stable")
-    begins = np.flatnonzero(np.diff(of[order], prepend=-1))
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    out[of[order[begins]]] = np.add.reduceat(rows[order], begins, axis=0)
+def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, sizes) of the runs of equal values."""
+    begins = np.flatnonzero(np.diff(sorted_, prepend=sorted_.dtype.type(-1)))
+    return begins, np.diff(begins, append=len(sorted_))
+
+
+def upper(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights of all levels but the last on the way to each node above the last level, side by side."""
+    above = np.arange(BRANCH ** (LEVELS - 2))
+    return np.concatenate([p[nodes(k)][above // BRANCH ** (LEVELS - 2 - k)] for k in range(LEVELS - 1)], axis=2)
+
+
+def ways(slot: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+    """Of sorted slots, for ``upper`` and for the last level: (nodes met, begins, sizes, (node, from, to) of each)."""
+    found = []
+    for width in (BRANCH**2, BRANCH):
+        of = slot // width
+        begins, sizes = runs(of)
+        met = of[begins].astype(np.intp)
+        found.append((met, begins, sizes, list(zip(met.tolist(), begins.tolist(), (begins + sizes).tolist()))))
+    return found
+
+
+def branches(above: np.ndarray, last: np.ndarray, rows: np.ndarray, way: list, room: Room) -> np.ndarray:
+    """Logits of the branches of the nodes on each row's way, a column per row: (LEVELS, BRANCH, rows)."""
+    z, turned = room("logits", (LEVELS * BRANCH, len(rows)), rows.dtype), rows.T
+    cut = (LEVELS - 1) * BRANCH
+    for weights, out, (*_, each) in zip((above, last), (z[:cut], z[cut:]), way):
+        for node, a, b in each:
+            np.matmul(weights[node].T, turned[:, a:b], out=out[:, a:b])
+    return z.reshape(LEVELS, BRANCH, -1)
+
+
+def steps(slot: np.ndarray) -> np.ndarray:
+    """The branch that leads to each slot, level by level: (LEVELS, rows)."""
+    return np.stack([slot // BRANCH ** (LEVELS - 1 - k) % BRANCH for k in range(LEVELS)]).astype(np.intp)
+
+
+def tree_gradients(p: dict[str, np.ndarray], rows: np.ndarray, slot: np.ndarray, d: dict[str, np.ndarray], room: Room) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy of the slots, which are sorted, and what flows back to the rows; the nodes' gradients go to ``d``."""
+    way, above, last, kind = ways(slot), upper(p), p[nodes(LEVELS - 1)], rows.dtype
+    z, at = branches(above, last, rows, way, room), np.arange(len(rows))
+    loss, share = 0.0, kind.type(1 / max(1, len(rows)))
+    for e, branch in zip(z, steps(slot)):
+        _, total, chance = soft(e, branch)
+        loss -= chance.sum()
+        e *= share / total
+        e[branch, at] -= share
+    z, cut = z.reshape(LEVELS * BRANCH, -1), (LEVELS - 1) * BRANCH
+    back, more = (room(name, (len(rows), WIDTH), kind) for name in ("back", "more"))
+    grown = room.zeros("above", above.shape, kind), room.zeros("last", last.shape, kind)
+    for weights, e, grad, out, (*_, each) in zip((above, last), (z[:cut], z[cut:]), grown, (back, more), way):
+        for node, a, b in each:
+            np.matmul(rows[a:b].T, e[:, a:b].T, out=grad[node])
+            np.matmul(e[:, a:b].T, weights[node, :-1].T, out=out[a:b])  # nothing flows into the ones
+    back += more
+    for k in range(LEVELS - 1):
+        d[nodes(k)] = grown[0][..., k * BRANCH : (k + 1) * BRANCH].reshape(BRANCH**k, -1, WIDTH + 1, BRANCH).sum(axis=1)
+    d[nodes(LEVELS - 1)] = grown[1]
+    return float(loss * share), back
+
+
+def summed(rows: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows; long runs by products with ones, short ones place by place."""
+    out, few = np.empty((len(begins), rows.shape[1]), rows.dtype), sizes < SHORT
+    ones = np.ones((1, int(sizes.max(initial=0))), rows.dtype)
+    for i in np.flatnonzero(~few).tolist():
+        a, n = begins[i], sizes[i]
+        np.matmul(ones[:, :n], rows[a : a + n], out=out[i : i + 1])
+    first, left = begins[few], sizes[few]
+    short = rows.take(first, axis=0)
+    for k in range(1, SHORT):
+        on = np.flatnonzero(left > k)
+        if not len(on):
+            break
+        short[on] += rows.take(first[on] + k, axis=0)
+    out[few] = short
     return out
 
 
-def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy over the places that want a slot (not -1), and its gradient."""
-    g, (x, q, k, v, s, mixed, h, r) = forward(p, inputs)
+def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, wanted: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the places that want a slot (not -1), and its gradient, which is in ``room``. Queries,
+    keys and values (these times ``out`` already) are linear in slot and place: they are multiplied out for each
+    slot and place once, and so is what flows back to them, summed by slot and by place. Below the tree, a few
+    windows at a time are worked on, whose numbers stay in the cache."""
+    room = room or Room()
     n, m = inputs.shape
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    want = wanted.ravel()
-    on = np.flatnonzero(want >= 0)
+    used = np.flatnonzero(np.bincount(inputs.ravel(), minlength=SLOTS + 1))
+    code = np.empty(SLOTS + 1, np.int16)  # numpy sorts 16 bits by radix
+    code[used] = np.arange(len(used))
+    entered, want = code[inputs], wanted.ravel().astype(np.int16)
+    embed, place, kind = p["embed"][used], p["place"], p["embed"].dtype
+    scale = kind.type(1 / np.sqrt(WIDTH))
+    looked = np.concatenate([p["query"] * scale, p["key"], p["value"] @ p["out"]], axis=1)
+    of_slot, of_place = (np.concatenate([a @ looked, a], axis=1) for a in (embed, place))
+    part = lambda a: tuple(a[..., i * WIDTH : (i + 1) * WIDTH] for i in range(4))
+    parts, held = [slice(i, min(i + SOME, n)) for i in range(0, n, SOME)], []
+    g = room("g", (n * m, WIDTH + 1), kind)
+    g[:, -1] = 1
+    for some in parts:
+        size, name = (some.stop - some.start) * m, str(some.start)
+        seen, s, h = (room(x + name, (size // m, m, w), kind) for x, w in (("seen", 4 * WIDTH), ("s", m), ("h", WIDTH + 1)))
+        r, active = room("r" + name, (size, HIDDEN), kind), room("active" + name, (size, HIDDEN), np.dtype(bool))
+        of_slot.take(entered[some], axis=0, mode="clip", out=seen)
+        seen += of_place
+        q, k, v, x = part(seen)
+        np.matmul(q, k.transpose(0, 2, 1), out=s)
+        s += MASK
+        np.exp(np.minimum(s, LARGEST, out=s), out=s)  # bounded scores need no maximum
+        s /= s @ np.ones((m, 1), kind)
+        h[..., -1] = 1  # makes the last row of weights a bias
+        np.matmul(s, v, out=h[..., :-1])
+        h[..., :-1] += x
+        h = h.reshape(size, -1)
+        np.matmul(h, p["up"], out=r)
+        np.greater(r, 0, out=active)
+        r *= active
+        np.add(h[:, :-1], np.matmul(r, p["down"], out=room("down", (size, WIDTH), kind)), out=g[some.start * m : some.stop * m, :-1])
+        held.append((seen, s, h, r, active))
+
+    d, on = {}, np.flatnonzero(want >= 0)
     on = on[np.argsort(want[on], kind="stable")]
-    rows, slot = flat(g)[on], want[on]
-    scale = np.float32(1 / max(1, len(on)))
-    at = np.arange(len(on))
-    loss, back, d = 0.0, np.zeros_like(rows), {}
-    for level in range(LEVELS):
-        z, branch, runs = branches(p, rows, slot, level)
-        e, total, chance = soft(z, branch)
-        loss -= chance.sum()
-        e /= total
-        e[branch, at] -= 1
-        e *= scale
-        weights, grad = p[nodes(level)], np.zeros_like(p[nodes(level)])
-        for node, a, b in runs:
-            grad[node] = (e[:, a:b] @ rows[a:b]).T
-            back[a:b] += e[:, a:b].T @ weights[node].T
-        d[nodes(level)] = grad
-    back = back[:, :-1]  # nothing flows into the ones
-    dg = np.zeros((n * m, WIDTH), back.dtype)
-    dg[on] = back
-    dot = lambda a, w: (flat(a) @ w).reshape(*a.shape[:-1], -1)
-    d["down"] = flat(r).T @ dg
-    dg = dg.reshape(n, m, WIDTH)
-    du = dot(dg, p["down"].T) * (r > 0)
-    d["up"] = flat(h).T @ flat(du)
-    dh = dg + dot(du, p["up"][:-1].T)
-    d["out"] = flat(mixed).T @ flat(dh)
-    dm = dot(dh, p["out"].T)
-    dv = s.transpose(0, 2, 1) @ dm
-    ds = dm @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k / np.sqrt(WIDTH, dtype=ds.dtype), ds.transpose(0, 2, 1) @ q  # q is already scaled
-    dx = dh + dot(dq, p["query"].T) + dot(dk, p["key"].T) + dot(dv, p["value"].T)
-    for name, grad in (("query", dq), ("key", dk), ("value", dv)):
-        d[name] = flat(x).T @ flat(grad)
-    d["place"] = dx.sum(axis=0)
-    d["embed"] = summed(flat(dx), inputs.ravel(), SLOTS + 1)
-    return float(loss * scale), d
+    loss, back = tree_gradients(p, g.take(on, axis=0, mode="clip", out=room("rows", (len(on), WIDTH + 1), kind)), want[on], d, room)
+    flown = room.zeros("flown", (n * m, WIDTH), kind)
+    flown[on] = back
+
+    d |= {name: room.zeros("d" + name, p[name].shape, kind) for name in ("embed", "up", "down")}
+    at_slot, at_place, turned = room.zeros("slots", of_slot.shape, kind), np.zeros_like(of_place), np.ascontiguousarray(p["up"][:-1].T)
+    for some, (seen, s, h, r, active) in zip(parts, held):
+        q, k, v, _ = part(seen)
+        dg = flown[some.start * m : some.stop * m]
+        d["down"] += r.T @ dg
+        du = np.matmul(dg, p["down"].T, out=room("du", r.shape, kind))
+        du *= active
+        d["up"] += h.T @ du
+        dg += np.matmul(du, turned, out=room("down", dg.shape, kind))
+        flow, dh = room("flow", seen.shape, kind), dg.reshape(-1, m, WIDTH)
+        dq, dk, dv, dx = part(flow)
+        dx[:] = dh
+        ds = np.matmul(dh, v.transpose(0, 2, 1), out=room("ds", s.shape, kind))
+        ds -= np.einsum("nij,nij->ni", ds, s)[..., None]
+        ds *= s
+        np.matmul(ds, k, out=dq)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+        np.matmul(s.transpose(0, 2, 1), dh, out=dv)
+        at_place += flow.sum(axis=0)
+        slot = entered[some].ravel()
+        by_slot = np.argsort(slot, kind="stable")
+        slot = slot[by_slot]
+        begins, sizes = runs(slot)
+        at_slot[slot[begins]] += summed(flow.reshape(-1, 4 * WIDTH).take(by_slot, axis=0, mode="clip", out=room("sorted", (len(slot), 4 * WIDTH), kind)), begins, sizes)
+    cut = 3 * WIDTH
+    d["place"] = at_place[:, cut:] + at_place[:, :cut] @ looked.T
+    d["embed"][used] = at_slot[:, cut:] + at_slot[:, :cut] @ looked.T
+    into = embed.T @ at_slot[:, :cut] + place.T @ at_place[:, :cut]
+    d["query"], d["key"], both = into[:, :WIDTH] * scale, into[:, WIDTH : 2 * WIDTH], into[:, 2 * WIDTH :]
+    d["value"], d["out"] = both @ p["out"].T, p["value"].T @ both
+    return loss, d
 
 
 @dataclass
@@ -201,18 +295,27 @@ class Adam:
     def update(self, p: dict[str, np.ndarray], d: dict[str, np.ndarray]) -> None:
         """One step, in place."""
         self.steps += 1
+        decay, slower = 1 / np.sqrt(1 - 0.98**self.steps), self.rate / (1 - 0.9**self.steps)
+        room = np.empty(PIECE, np.float32)
         for n, g in d.items():
             if n not in self.first:
                 self.first[n], self.second[n] = np.zeros_like(p[n]), np.zeros_like(p[n])
-            a, b = self.first[n], self.second[n]
-            a *= 0.9
-            a += np.float32(0.1) * g
-            b *= 0.98
-            b += np.float32(0.02) * np.square(g)
-            size = np.sqrt(b)
-            size *= np.float32(1 / np.sqrt(1 - 0.98**self.steps))
-            size += np.float32(1e-8)
-            p[n] -= np.float32(self.rate / (1 - 0.9**self.steps)) * a / size
+            flat = [x.reshape(-1) for x in (p[n], self.first[n], self.second[n], np.ascontiguousarray(g))]
+            for i in range(0, g.size, PIECE):
+                w, a, b, now = (x[i : i + PIECE] for x in flat)
+                t = room[: len(w)]
+                a *= 0.9
+                a += np.multiply(now, np.float32(0.1), out=t)
+                b *= 0.98
+                np.square(now, out=t)
+                t *= np.float32(0.02)
+                b += t
+                np.sqrt(b, out=t)
+                t *= np.float32(decay)
+                t += np.float32(1e-8)
+                np.divide(a, t, out=t)
+                t *= np.float32(slower)
+                w -= t
 
 
 @dataclass
@@ -271,7 +374,7 @@ def log_probabilities(p: dict[str, np.ndarray], c: Slots, offsets: np.ndarray, i
 
 def section_scores(p: dict[str, np.ndarray], c: Slots, starts: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, batch: int = 512) -> np.ndarray:
     """log10 probability of the ids from begin to end of texts that start at ``starts``. One layer lets queries,
-    keys and values be looked up per slot and per place instead of multiplied out; otherwise this is ``forward``."""
+    keys and values be looked up per slot and per place instead of multiplied out; otherwise this is what ``gradients`` has."""
     scale, mix = np.float32(1 / np.sqrt(WIDTH)), p["value"] @ p["out"]
     looked = [(p["embed"] @ w, p["place"][a:] @ w) for w, a in ((p["query"] * scale, BEFORE), (p["key"], 0), (mix, 0))]
     (q_slot, q_place), (k_slot, k_place), (v_slot, v_place) = looked
@@ -291,6 +394,7 @@ def section_scores(p: dict[str, np.ndarray], c: Slots, starts: np.ndarray, begin
         entered[base[i] + BEFORE + 1 - len(seen) : base[i] + BEFORE + 1] = c.of[seen]
     total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=c.share[mine], minlength=len(sizes))
     first, ones = base[text] + at, np.ones((CONTEXT, 1), np.float32)
+    above, last, space = upper(p), p[nodes(LEVELS - 1)], Room()
     for i in range(0, len(text), batch):
         x = entered[first[i : i + batch, None] + np.arange(CONTEXT)]
         now = x[:, BEFORE:]
@@ -315,7 +419,7 @@ def section_scores(p: dict[str, np.ndarray], c: Slots, starts: np.ndarray, begin
         u = h @ p["up"]
         np.maximum(u, 0, out=u)
         h[:, :-1] += u @ p["down"]
-        chance = sum(soft(*branches(p, h, want, level)[:2])[2] for level in range(LEVELS))
+        chance = sum(soft(e, branch)[2] for e, branch in zip(branches(above, last, h, ways(want), space), steps(want)))
         total += np.bincount(text[i + on // STRIDE], weights=chance, minlength=len(total)) / np.log(10)
     return total
 
@@ -378,10 +482,10 @@ def train(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, adam: Adam, st
     """One pass over the windows, or ``steps`` batches of them; the mean loss of the last few."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x)) if steps is None else rng.integers(0, len(x), steps * BATCH)
-    losses = []
+    losses, room = [], Room()
     for i in range(0, len(order), BATCH):
         rows = order[i : i + BATCH]
-        loss, d = gradients(p, x[rows], y[rows])
+        loss, d = gradients(p, x[rows], y[rows], room)
         adam.update(p, d)
         losses.append(loss)
     return float(np.mean(losses[-20:])) if losses else float("nan")
@@ -452,8 +556,9 @@ def most_frequent(counts: DataFrame, limit: int = HEAD) -> dict[str, int]:
     return {} if least is None else {r["word"]: r["n"] for r in counts.filter(F.col("n") >= least).collect()}
 
 
-def fit(training: DataFrame, counts: DataFrame, raw) -> tuple[Slots, dict[str, np.ndarray]]:
-    """Slots from the words of all training documents, weights from a first sample and rounds over all partitions."""
+def fit(training: DataFrame, counts: DataFrame, raw, encoded: DataFrame) -> tuple[Slots, dict[str, np.ndarray]]:
+    """Slots from the words of all training documents, weights from a first sample and rounds over all partitions of
+    the same documents, ``encoded`` to ids."""
     spark = training.sparkSession
     c = slots(id_counts(counts, raw))
     ends = counts.filter("word = ''").first()
@@ -463,13 +568,43 @@ def fit(training: DataFrame, counts: DataFrame, raw) -> tuple[Slots, dict[str, n
     p, size = started
     for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast((c, p, size))
-        p = round_(training, raw, sent, number) or p
+        p = round_(encoded, raw, sent, number) or p
     return c, p
 
 
-def salted(docs: DataFrame) -> DataFrame:
+def salted(docs: DataFrame, column: str = "text") -> DataFrame:
     """(text, salt) of all texts; null counts as empty."""
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("salt"))
+    return docs.select(F.coalesce(column, F.lit("")).alias(column) if column == "text" else column, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("salt"))
+
+
+def as_bytes(offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    """Each text's ids as a column of bytes, two to an id."""
+    small = ids.astype(np.uint16)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((2 * offsets).astype(np.int64)), pa.py_buffer(small)]).cast(pa.binary())
+
+
+def ids_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(slice of the batch, offsets, ids) with about SECTION ids each; a longer text has a slice of its own."""
+    if not batch.num_rows:
+        return
+    column = batch.column("ids").cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
+    ids, at = np.frombuffer(column.buffers()[2], np.uint16), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SECTION, side="right")) - 1)
+        yield batch.slice(at, to - at), ends[at : to + 1] - ends[at], ids[ends[at] : ends[to]]
+        at = to
+
+
+def encoded(docs: DataFrame, raw) -> DataFrame:
+    """(doc_id, ids) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), as_bytes(*loaded(raw.value).batch(texts, END_ID))], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def block_windows(c: Slots, raw, rows: pa.RecordBatch, texts: pa.Array, share: int, number: int, size: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -506,8 +641,8 @@ def first_weights(training: DataFrame, texts: int, c: Slots, raw) -> tuple[dict[
 
 
 def round_(training: DataFrame, raw, sent, number: int) -> dict[str, np.ndarray] | None:
-    """One round: every partition trains from the same weights on its documents' windows of the round; the mean of
-    the results, by windows. Weights travel in chunks and are summed as they come, so a task holds a few chunks
+    """One round over texts or their ids: every partition trains from the same weights on its documents' windows of
+    the round; the mean of the results, by windows. Weights travel in chunks and are summed as they come, so a task holds a few chunks
     and the driver one model's numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -524,8 +659,8 @@ def round_(training: DataFrame, raw, sent, number: int) -> dict[str, np.ndarray]
             seen += len(x)
 
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
-                held.append(dealt_windows(c, *loaded(raw.value).batch(texts, END_ID), rows.column("salt").to_numpy(), number))
+            for rows, offsets, ids in ids_of(batch):
+                held.append(dealt_windows(c, offsets, ids, rows.column("salt").to_numpy(), number))
                 if sum(len(x) for x, _ in held) >= MIXED:
                     learn()
         if held:
@@ -546,7 +681,8 @@ def round_(training: DataFrame, raw, sent, number: int) -> dict[str, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary()), pa.array([count[k] for k in keys], pa.int64())], ["chunk", "w", "n"])
 
     schema = "chunk int, w binary, n long"
-    rows = salted(training).mapInArrow(run, schema).repartition(16, "chunk").mapInArrow(add, schema).collect()
+    ids = training if "ids" in training.columns else encoded(training, raw)
+    rows = salted(ids, "ids").mapInArrow(run, schema).repartition(16, "chunk").mapInArrow(add, schema).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["chunk"])
@@ -565,12 +701,11 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer
     n, v = totals["n"] or 0, totals["v"]
     ends = counts.filter("word = ''").first()
     known = most_frequent(counts) | {"": ends["n"] if ends else 0}  # the end is in no text's rest
-    c, p = fit(training, counts, raw)
-    sent = spark.sparkContext.broadcast((c, p, known))
     base = lambda count: np.log10((count + 1.0) / (n + v + 1.0))
+    common = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, p, known = sent.value
+        known = common.value
         end = known.get("", 0)
         for batch in batches:
             for rows, texts in slices(batch, "text", SCORED_BYTES):
@@ -586,12 +721,21 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer
                 bounds = np.searchsorted(pairs >> 32, np.arange(rows.num_rows + 1)).astype(np.int32)
                 word = pa.array(w.distinct, pa.string()).take(pa.array(pairs & 0xFFFFFFFF))
                 rest = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([word, pa.array(times.astype(np.int32))], ["word", "times"]))
-                scored = log_probabilities(p, c, *loaded(raw.value).encoded(w, END_ID))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(w.offsets) + 1), pa.array(n_known), pa.array(part), pa.array(scored), rest], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+                ids = as_bytes(*loaded(raw.value).encoded(w, END_ID))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(np.diff(w.offsets) + 1), pa.array(n_known), pa.array(part), ids, rest], ["doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "rest"])
+
+    rows = saved(docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids binary, rest array<struct<word:string,times:int>>").withColumn("row", F.monotonically_increasing_id()))
+    sent = spark.sparkContext.broadcast(fit(training, counts, raw, rows.filter(~F.col("held_out"))))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, p = sent.value
+        for batch in batches:
+            for some, offsets, ids in ids_of(batch):
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(log_probabilities(p, c, offsets, ids))], [*some.schema.names[:-1], "score"])
 
-    rows = saved(docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:string,times:int>>").withColumn("row", F.monotonically_increasing_id()))
+    scored = saved(rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids").mapInArrow(scores, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"))
     rest = rows.select("row", F.inline("rest")).join(counts, "word", "left")
     logs = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1.0) / (n + v + 1.0))
     more = rest.groupBy("row").agg(F.sum(logs).alias("base_rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rest"))
-    out = rows.drop("rest").join(more, "row", "left")
+    out = scored.join(more, "row", "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"), "score")

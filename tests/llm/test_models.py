@@ -429,3 +429,32 @@ def test_gradients_are_those_of_the_loss():
             losses.append(attention_lm.gradients(p, x, y)[0])
         p[n][at] = old
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(d[n][at], rel=1e-3)
+
+
+def test_gradients_of_a_batch_are_those_of_its_parts_in_memory_used_again():
+    rng = np.random.default_rng(3)
+    m = attention_lm
+    n, p, room = 2 * m.SOME + 5, m.fresh(), m.Room()
+    x = np.minimum(rng.zipf(1.3, (n, m.CONTEXT)) - 1, m.SLOTS)
+    y = np.minimum(rng.zipf(1.3, (n, m.CONTEXT)) - 1, m.SLOTS) - 1
+    m.gradients(p, x[::-1], y[::-1], room)
+    loss, got = m.gradients(p, x, y, room)
+    parts, weights = [m.gradients(p, x[i : i + 7], y[i : i + 7]) for i in range(0, n, 7)], [(y[i : i + 7] >= 0).sum() / (y >= 0).sum() for i in range(0, n, 7)]
+    assert loss == pytest.approx(sum(w * part for (part, _), w in zip(parts, weights)), rel=1e-5)
+    for name in m.NAMES:
+        np.testing.assert_allclose(got[name], sum(w * d[name] for (_, d), w in zip(parts, weights)), atol=1e-5)
+
+
+def test_texts_are_encoded_once(shipped, rng, monkeypatch):
+    m = attention_lm
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(30)] + [None, "", "É <|ENDOFTEXT|> x"]
+    rows = m.encoded(documents(shipped, texts), shipped.sparkContext.broadcast(open(m.default_path(), encoding="utf-8").read())).collect()
+    tokenizer = m.loaded(open(m.default_path(), encoding="utf-8").read())
+    for r in rows:
+        want = tokenizer.library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == [*want, m.END_ID]
+    monkeypatch.setattr(m, "FIRST_STEPS", 6)
+    given, kept = [], m.round_
+    monkeypatch.setattr(m, "round_", lambda df, *x: given.append(df.columns) or kept(df, *x))
+    assert m.score(documents(shipped, texts)).count() == len(texts)
+    assert len(given) == m.ROUNDS and all("ids" in columns and "text" not in columns for columns in given)
